@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelake.llm.common import documents
+from quirelake.llm.ngram_join import link_components
 from quirelake.llm.packing import pack
 from quirelake.llm.token_files import token_file_digest
 
@@ -20,5 +21,28 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {"op1_token_files": op1_token_files, "op8_packing": op8_packing}
-ORACLE_SQL: dict[str, str] = {}
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_components(documents(spark, sf_dir))
+
+
+QUERIES = {"op1_token_files": op1_token_files, "op8_packing": op8_packing, "op10_ngram_join": op10_ngram_join}
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh
+  FROM w
+), e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS k FROM s
+), links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.k = b.k AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM s UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, min(r.y) AS component_id
+FROM s JOIN reach r ON r.x = s.doc_id GROUP BY s.doc_id, len(s.sh)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op10_ngram_join": OP10_SQL}
