@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelake.llm.common import documents
+from quirelake.llm.kneser_ney import toxicity
 from quirelake.llm.ngram_join import link_components
 from quirelake.llm.packing import pack
+from quirelake.llm.pii import KINDS, find_pii, written_spans
 from quirelake.llm.token_files import token_file_digest
 
 
@@ -16,6 +18,16 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def _is(kind: str):
+    return lambda x: x == kind
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(documents(spark, sf_dir)).withColumn("own", F.filter("pii", lambda s: s["base"]))
+    numbers = [F.size(F.filter(F.transform("own", lambda s: s["kind"]), _is(k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *numbers, F.sha2(written_spans(F.col("own")), 256).alias("base_sha256"), written_spans(F.col("pii")).alias("spans"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -25,7 +37,11 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_token_files": op1_token_files, "op8_packing": op8_packing, "op10_ngram_join": op10_ngram_join}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES = {"op1_token_files": op1_token_files, "op2_pii": op2_pii, "op8_packing": op8_packing, "op9_toxicity": op9_toxicity, "op10_ngram_join": op10_ngram_join}
 OP10_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws

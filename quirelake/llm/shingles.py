@@ -39,18 +39,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _of_bytes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _of_bytes(data: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words in at most SLICE bytes, and where each begins."""
     power, inverse = _tables()
-    word = ~_SPACE[data]
+    word = ~space[data]
     edge = np.diff(np.concatenate([[False], word, [False]]).astype(np.int8))
     starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[_LOWER[data]] * power[: len(data)], dtype=np.uint64)])
     return mixed((sums[stops] - sums[starts]) * inverse[starts]), starts
 
 
-def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
-    """The words `[^\\x20\\x09-\\x0D]+` of each text in order, A-Z lowered."""
+def word_hashes(texts: list[bytes], space: np.ndarray = _SPACE) -> list[np.ndarray]:
+    """The words of each text in order, A-Z lowered; space: bytes between words, [\\x20\\x09-\\x0D] if not given."""
     out: list[np.ndarray] = []
     at = 0
     while at < len(texts):
@@ -59,29 +59,29 @@ def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
             held += len(texts[upto]) + 1
             upto += 1
         if held > SLICE:
-            out.append(_long(texts[at]))
+            out.append(_long(texts[at], space))
         else:
             ends = np.cumsum([len(t) + 1 for t in texts[at:upto]])
-            hashes, starts = _of_bytes(np.frombuffer(b" ".join(texts[at:upto]) + b" ", np.uint8))
+            hashes, starts = _of_bytes(np.frombuffer(b" ".join(texts[at:upto]) + b" ", np.uint8), space)
             out += np.split(hashes, np.searchsorted(starts, ends[:-1]))
         at = upto
     return out
 
 
-def _long(text: bytes) -> np.ndarray:
+def _long(text: bytes, space: np.ndarray) -> np.ndarray:
     """A text of more than SLICE bytes; a word of more is hashed by its own polynomial parts."""
     parts, at = [], 0
     while at < len(text):
         cut = min(len(text), at + SLICE - 1)
-        while cut < len(text) and cut > at and not _SPACE[text[cut]]:
+        while cut < len(text) and cut > at and not space[text[cut]]:
             cut -= 1
         if cut == at:  # no blank in reach: such a word counts by a digest of its bytes
-            cut = next((i for i in range(at + SLICE - 1, len(text)) if _SPACE[text[i]]), len(text))
+            cut = next((i for i in range(at + SLICE - 1, len(text)) if space[text[i]]), len(text))
             import hashlib
 
             parts.append(np.frombuffer(hashlib.sha256(text[at:cut].lower()).digest()[:8], "<u8"))
         else:
-            parts.append(_of_bytes(np.frombuffer(text[at:cut], np.uint8))[0])
+            parts.append(_of_bytes(np.frombuffer(text[at:cut], np.uint8), space)[0])
         at = cut + (cut < len(text))
     return np.concatenate(parts)
 
