@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quirelake.llm.common import documents
 from quirelake.llm.kneser_ney import toxicity
+from quirelake.llm.mixing import taken
 from quirelake.llm.ngram_join import link_components
 from quirelake.llm.packing import pack
 from quirelake.llm.pii import KINDS, find_pii, written_spans
@@ -28,6 +29,11 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *numbers, F.sha2(written_spans(F.col("own")), 256).alias("base_sha256"), written_spans(F.col("pii")).alias("spans"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.aggregate("takings", F.lit(0).cast("long"), lambda total, t: total + t["words"])
+    return taken(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", words.alias("taken"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -41,7 +47,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {"op1_token_files": op1_token_files, "op2_pii": op2_pii, "op8_packing": op8_packing, "op9_toxicity": op9_toxicity, "op10_ngram_join": op10_ngram_join}
+QUERIES = {"op1_token_files": op1_token_files, "op2_pii": op2_pii, "op4_mixing": op4_mixing, "op8_packing": op8_packing, "op9_toxicity": op9_toxicity, "op10_ngram_join": op10_ngram_join}
 OP10_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
