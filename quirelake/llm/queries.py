@@ -12,6 +12,7 @@ from quirelake.llm.mixing import taken
 from quirelake.llm.ngram_join import link_components
 from quirelake.llm.packing import pack
 from quirelake.llm.pii import KINDS, find_pii, written_spans
+from quirelake.llm.secret_index import RULES, find_secrets
 from quirelake.llm.token_files import token_file_digest
 
 
@@ -34,6 +35,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", words.alias("taken"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(documents(spark, sf_dir)).withColumn("own", F.filter("secrets", lambda s: s["base"]))
+    numbers = [F.size(F.filter(F.transform("own", lambda s: s["kind"]), _is(r.kind))).cast("long").alias(f"n_{r.kind}") for r in RULES if r.base]
+    return found.select("doc_id", *numbers, F.sha2(written_spans(F.col("own")), 256).alias("base_sha256"), written_spans(F.col("secrets")).alias("spans"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -47,7 +54,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {"op1_token_files": op1_token_files, "op2_pii": op2_pii, "op4_mixing": op4_mixing, "op8_packing": op8_packing, "op9_toxicity": op9_toxicity, "op10_ngram_join": op10_ngram_join}
+QUERIES = {"op1_token_files": op1_token_files, "op2_pii": op2_pii, "op4_mixing": op4_mixing, "op6_secrets": op6_secrets, "op8_packing": op8_packing, "op9_toxicity": op9_toxicity, "op10_ngram_join": op10_ngram_join}
 OP10_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
