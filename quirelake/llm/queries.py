@@ -11,6 +11,7 @@ from quirelake.llm.kneser_ney import toxicity
 from quirelake.llm.mixing import taken
 from quirelake.llm.ngram_join import link_components
 from quirelake.llm.packing import pack
+from quirelake.llm.parsing import with_edits
 from quirelake.llm.pii import KINDS, find_pii, written_spans
 from quirelake.llm.secret_index import RULES, find_secrets
 from quirelake.llm.token_files import token_file_digest
@@ -30,6 +31,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *numbers, F.sha2(written_spans(F.col("own")), 256).alias("base_sha256"), written_spans(F.col("pii")).alias("spans"))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_edits(documents(spark, sf_dir))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.aggregate("takings", F.lit(0).cast("long"), lambda total, t: total + t["words"])
     return taken(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", words.alias("taken"))
@@ -54,7 +59,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {"op1_token_files": op1_token_files, "op2_pii": op2_pii, "op4_mixing": op4_mixing, "op6_secrets": op6_secrets, "op8_packing": op8_packing, "op9_toxicity": op9_toxicity, "op10_ngram_join": op10_ngram_join}
+QUERIES = {"op1_token_files": op1_token_files, "op2_pii": op2_pii, "op3_fingerprints": op3_fingerprints, "op4_mixing": op4_mixing, "op6_secrets": op6_secrets, "op8_packing": op8_packing, "op9_toxicity": op9_toxicity, "op10_ngram_join": op10_ngram_join}
 OP10_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
