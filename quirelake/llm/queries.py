@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelake.llm.common import documents
+from quirelake.llm.hilbert_search import nearest
 from quirelake.llm.kneser_ney import toxicity
 from quirelake.llm.mixing import taken
 from quirelake.llm.ngram_join import link_components
@@ -40,6 +41,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", words.alias("taken"))
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0), k=20)
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(documents(spark, sf_dir)).withColumn("own", F.filter("secrets", lambda s: s["base"]))
     numbers = [F.size(F.filter(F.transform("own", lambda s: s["kind"]), _is(r.kind))).cast("long").alias(f"n_{r.kind}") for r in RULES if r.base]
@@ -59,7 +65,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {"op1_token_files": op1_token_files, "op2_pii": op2_pii, "op3_fingerprints": op3_fingerprints, "op4_mixing": op4_mixing, "op6_secrets": op6_secrets, "op8_packing": op8_packing, "op9_toxicity": op9_toxicity, "op10_ngram_join": op10_ngram_join}
+QUERIES = {"op1_token_files": op1_token_files, "op2_pii": op2_pii, "op3_fingerprints": op3_fingerprints, "op4_mixing": op4_mixing, "op5_nearest": op5_nearest, "op6_secrets": op6_secrets, "op8_packing": op8_packing, "op9_toxicity": op9_toxicity, "op10_ngram_join": op10_ngram_join}
 OP10_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
@@ -79,4 +85,18 @@ SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, min(r.y) AS component_
 FROM s JOIN reach r ON r.x = s.doc_id GROUP BY s.doc_id, len(s.sh)
 """
 
-ORACLE_SQL: dict[str, str] = {"op10_ngram_join": OP10_SQL}
+OP5_SQL = """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(q.e, lambda x, i: x * c.e[i]), lambda a, b: a + b) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_nearest": OP5_SQL, "op10_ngram_join": OP10_SQL}
