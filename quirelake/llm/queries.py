@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelake.llm.common import documents
+from quirelake.llm.compaction import sharded
 from quirelake.llm.hilbert_search import nearest
 from quirelake.llm.kneser_ney import toxicity
 from quirelake.llm.mixing import taken
@@ -52,6 +53,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *numbers, F.sha2(written_spans(F.col("own")), 256).alias("base_sha256"), written_spans(F.col("secrets")).alias("spans"))
 
 
+def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharded(documents(spark, sf_dir)).select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.length("text").cast("long").alias("text_chars"), "shard_no", "shard_rows", "version")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -65,7 +70,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {"op1_token_files": op1_token_files, "op2_pii": op2_pii, "op3_fingerprints": op3_fingerprints, "op4_mixing": op4_mixing, "op5_nearest": op5_nearest, "op6_secrets": op6_secrets, "op8_packing": op8_packing, "op9_toxicity": op9_toxicity, "op10_ngram_join": op10_ngram_join}
+QUERIES = {"op1_token_files": op1_token_files, "op2_pii": op2_pii, "op3_fingerprints": op3_fingerprints, "op4_mixing": op4_mixing, "op5_nearest": op5_nearest, "op6_secrets": op6_secrets, "op7_shards": op7_shards, "op8_packing": op8_packing, "op9_toxicity": op9_toxicity, "op10_ngram_join": op10_ngram_join}
 OP10_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
