@@ -1 +1,15 @@
+"""Named queries over the tables, each with SQL that says the same."""
 
+from __future__ import annotations
+
+
+def queries() -> dict:
+    from quirelake.plans import documents, records, slots
+
+    return slots.QUERIES | records.QUERIES | documents.QUERIES
+
+
+def oracle_sql() -> dict[str, str]:
+    from quirelake.plans import documents, records, slots
+
+    return slots.SQL | records.SQL | documents.SQL
