@@ -1,2 +1,189 @@
-QUERIES: dict = {}
-SQL: dict = {}
+"""Queries over documents, pages and conversations: lines, layouts, detection, likeness."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quirelake.functions import text as tx
+from quirelake.operators import compare, detect, layout, similarity
+from quirelake.sources import files
+from quirelake.sources.tables import table
+
+
+def line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = files.lines(table(spark, sf_dir, "documents"), "doc_id")
+    return one.groupBy("doc_id").agg(F.count("*").alias("lines"), F.max(F.length("line")).cast("long").alias("longest"))
+
+
+def continuation_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = files.lines(table(spark, sf_dir, "documents"), "doc_id")
+    merged = layout.merged_continuations(one, "doc_id", "^[A-M]")
+    return merged.select("doc_id", "record", "first_line", "n_lines", F.length("text").cast("long").alias("chars"))
+
+
+def section_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    heading = layout.carried(F.when(F.col("role") == "user", F.col("turn")), ["conv_id"], ["turn"])
+    return c.select("conv_id", "turn", "role", heading.alias("asked_at"))
+
+
+def offset_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    found = layout.offset_record(c, ["conv_id"], "turn", "(?i)^[a-t]", {"before": -1, "second": 2}, text="text")
+    return found.select("conv_id", "turn", F.length("before").cast("long").alias("before_chars"), F.length("second").cast("long").alias("second_chars"))
+
+
+def page_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages of their source."""
+    return files.page_classes(table(spark, sf_dir, "documents"), "source")
+
+
+def conversation_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three turns of each conversation as its head."""
+    pages = table(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") + 1).alias("page"), "text")
+    heads = files.head_text(pages, "conv_id")
+    return heads.select("conv_id", F.md5("head").alias("head_md5"), F.length("head").cast("long").alias("chars"))
+
+
+def header_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") + 1).alias("page"), "text")
+    return files.header_pages(pages, "conv_id", most_pages=3, enough=120).select("conv_id", "page")
+
+
+def unusable_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id") % 6
+    broken = F.when(k == 0, F.regexp_replace(F.left("text", F.lit(300)), ".", "(cid:7)")).when(k == 1, F.regexp_replace("text", "[A-Za-z]", "9")).when(k == 2, " ").otherwise(F.col("text"))
+    d = table(spark, sf_dir, "documents").select(F.coalesce(tx.unusable_reason(broken), F.lit("usable")).alias("reason"))
+    return d.groupBy("reason").agg(F.count("*").alias("documents"))
+
+
+def document_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", tx.snippet(F.col("text"), 120).alias("snippet"))
+
+
+def file_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.col("c_mktsegment"), F.lit(" (List/A) "), F.col("c_name"), F.lit(".pdf")).alias("f"))
+    return c.select("c_custkey", tx.slug(F.col("f")).alias("slug"), tx.stem(F.col("f")).alias("stem"))
+
+
+def html_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages")
+    n = lambda tag: F.size(files.cells(F.col("html"), tag)).cast("long").alias(f"n_{tag}")
+    return p.select("page_id", n("li"), n("p"), n("a"), n("title"))
+
+
+def document_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines printed and read back by a declared layout: sections, two forms of rows, a header, feet."""
+    li = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.array_sort(F.collect_set(F.concat((F.col("l_partkey") % 90 + 10).cast("string"), F.lit(" PN-"), F.col("l_partkey").cast("string")))).alias("rows"))
+    text = F.concat(F.lit("REG: VP-"), F.col("l_suppkey").cast("string"), F.lit("\nATA 24 POWER\n"), F.array_join("rows", "\nwrapped text\n"), F.lit("\nATA 32 GEAR\nPN only\nPage 1"))
+    lines = files.lines(li.select(F.col("l_suppkey").alias("doc_id"), text.alias("text")), "doc_id")
+    found = layout.extract(lines, PRINTED)
+    return found.groupBy("doc_id", "ATA", "REG").agg(F.count("*").alias("rows"), F.count_if(F.col("NOTE") == "wrapped text").alias("wrapped"), F.max("PART").alias("last_part"))
+
+
+PRINTED = layout.LineLayout(
+    name="printed order lines",
+    columns=("NO", "PART", "NOTE"),
+    branches=((r"^(\d{2}) (PN-\d+)$", ("NO", "PART")), (r"^(PN) only$", ("PART",))),
+    section=r"^ATA (\d{2})\b",
+    header={"REG": r"^REG: (\S+)$"},
+    continuation=(r"^wrapped", "NOTE"),
+    skip=r"^Page \d+$",
+)
+
+
+def _signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four words of each benchmark text stand for a format's signature."""
+    return table(spark, sf_dir, "benchmark").select(F.concat(F.lit("V"), F.col("item_id").cast("string")).alias("variant"), F.col("item_id").alias("priority"), F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("signature"))
+
+
+def signature_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.match_signatures(table(spark, sf_dir, "documents"), _signatures(spark, sf_dir), "doc_id", "text").withColumn("pass", F.col("pass").cast("long"))
+
+
+def near_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = detect.near_misses(table(spark, sf_dir, "conversations").withColumn("key", F.concat_ws(":", "conv_id", "turn")), _signatures(spark, sf_dir), "key", "text")
+    return found.select("key", "variant", F.round("ratio", 6).alias("ratio"))
+
+
+_SHEETS = {"LLP": ["the of", "is that"], "HT": ["for the"], "OCCM": ["and the", "with that"]}
+
+
+def sheet_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(detect.sheet_type(F.col("text"), _SHEETS).alias("sheet_type"))
+    return d.groupBy("sheet_type").agg(F.count("*").alias("documents"))
+
+
+def hint_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A top-k report: the twenty commonest hints."""
+    d = table(spark, sf_dir, "documents").select(F.explode(F.split(F.concat_ws(" · ", "lang", "source", F.when(F.col("n_chars") > 2000, "long").otherwise("short")), " · ")).alias("hint"))
+    return d.groupBy("hint").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "hint").limit(20)
+
+
+def document_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.search(table(spark, sf_dir, "documents"), "licensed under|token =", ["text"]).select("doc_id")
+
+
+def trigram_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark texts, the stated queries, against all of them."""
+    b = table(spark, sf_dir, "benchmark")
+    return similarity.trigram_cosine(b, b, "item_id", "text").filter("a < b").select("a", "b", F.round("cosine", 6).alias("cosine"))
+
+
+def leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark texts by likeness, in order; the pass is sequential by definition, so there is no SQL."""
+    b = table(spark, sf_dir, "benchmark").withColumn("block", F.lit(0))
+    return similarity.leader_clusters(b, "block", "item_id", "text", 0.35).select("item_id", "leader")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        line_counts, continuation_merge, section_carry, offset_record, page_classes, conversation_heads, header_pages, unusable_texts, document_snippets, file_slugs, html_cells, document_layout, signature_match, near_misses, sheet_types,
+        hint_frequency, document_search, trigram_similarity, leader_clusters,
+    )
+}
+
+_LINES = "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)"
+_SIG = "s AS (SELECT 'V' || item_id AS variant, item_id AS priority, array_to_string(string_split(text, ' ')[1:4], ' ') AS signature FROM benchmark)"
+_UP = r"upper(trim(regexp_replace({0}, '[ \t\r\n\f\v]+', ' ', 'g')))"
+_SQUEEZED = r"upper(regexp_replace({0}, '\s+', '', 'g'))"
+
+SQL = {
+    "line_counts": f"{_LINES} SELECT doc_id, count(*) AS lines, max(length(line)) AS longest FROM l GROUP BY 1",
+    "continuation_merge": f"""{_LINES}, m AS (SELECT *, CAST(sum(CAST(regexp_matches(line, '^[A-M]') AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY line_no) AS BIGINT) AS record FROM l)
+      SELECT doc_id, record, min(line_no) AS first_line, count(*) AS n_lines, length(string_agg(line, ' ' ORDER BY line_no)) AS chars FROM m WHERE record > 0 GROUP BY 1, 2""",
+    "section_carry": "SELECT conv_id, turn, role, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS asked_at FROM conversations",
+    "offset_record": """WITH o AS (SELECT *, coalesce(lag(text) OVER w, '') AS b, coalesce(lead(text, 2) OVER w, '') AS s FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+      SELECT conv_id, turn, length(b) AS before_chars, length(s) AS second_chars FROM o WHERE regexp_matches(text, '^[a-t]', 'i')""",
+    "page_classes": "SELECT source, count(*) AS pages, count(*) FILTER (length(text) > 1000) AS text_pages, count(*) FILTER (length(text) < 200) AS scanned_pages FROM documents GROUP BY 1",
+    "conversation_heads": "WITH h AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS h FROM conversations WHERE turn < 3 GROUP BY 1) SELECT conv_id, md5(h) AS head_md5, length(h) AS chars FROM h",
+    "header_pages": """WITH b AS (SELECT conv_id, turn + 1 AS page, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM conversations WHERE turn < 3)
+      SELECT conv_id, page FROM b WHERE before <= 120""",
+    "unusable_texts": r"""WITH t AS (SELECT CASE doc_id % 6 WHEN 0 THEN 'garbled_cid' WHEN 1 THEN regexp_replace(text, '[A-Za-z]', '9', 'g') WHEN 2 THEN '' ELSE text END AS t, doc_id % 6 = 0 AS cid FROM documents),
+      r AS (SELECT CASE WHEN cid THEN 'garbled_cid' WHEN length(trim(t, E' \n\t')) = 0 THEN 'no_text_layer' WHEN length(trim(t, E' \n\t')) < 50 THEN 'near_blank_text'
+        WHEN length(regexp_replace(t, '[^A-Za-z]', '', 'g')) < 0.3 * length(regexp_replace(t, '\s', '', 'g')) THEN 'garbled_encoding' ELSE 'usable' END AS reason FROM t) SELECT reason, count(*) AS documents FROM r GROUP BY 1""",
+    "document_snippets": r"SELECT doc_id, left(trim(regexp_replace(text, '[ \t\r\n\f\v]+', ' ', 'g')), 120) AS snippet FROM documents",
+    "file_slugs": "SELECT c_custkey, lower(c_mktsegment) || '_lista_' || lower(c_name) || '.pdf' AS slug, c_mktsegment || '_(List_A)_' || c_name AS stem FROM customer",
+    "html_cells": "SELECT page_id, " + ", ".join(f"len(regexp_extract_all(html, '(?is)<{t}\\b[^>]*>(.*?)</{t}>')) AS n_{t}" for t in ("li", "p", "a", "title")) + " FROM pages",
+    "document_layout": """WITH r AS (SELECT DISTINCT l_suppkey AS doc_id, CAST(l_partkey % 90 + 10 AS VARCHAR) || ' PN-' || l_partkey AS line FROM lineitem),
+      n AS (SELECT doc_id, split_part(line, ' ', 2) AS part, row_number() OVER (PARTITION BY doc_id ORDER BY line DESC) AS back FROM r)
+      SELECT doc_id, '24' AS "ATA", 'VP-' || doc_id AS "REG", count(*) AS rows, count(*) FILTER (back > 1) AS wrapped, max(part) AS last_part FROM n GROUP BY 1
+      UNION ALL SELECT DISTINCT doc_id, '32', 'VP-' || doc_id, 1, 0, 'PN' FROM r""",
+    "signature_match": f"""WITH {_SIG}, d AS (SELECT doc_id, {_UP.format('text')} AS h, {_SQUEEZED.format('text')} AS h2 FROM documents),
+      t AS (SELECT doc_id, variant, priority, CASE WHEN contains(h, upper(signature)) THEN 1 ELSE 2 END AS pass FROM d, s
+        WHERE contains(h, upper(signature)) OR (length({_SQUEEZED.format('signature')}) >= 8 AND contains(h2, {_SQUEEZED.format('signature')})))
+      SELECT doc_id, variant, CAST(pass AS BIGINT) AS pass FROM t QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pass, priority) = 1""",
+    "near_misses": f"""WITH {_SIG}, c AS (SELECT conv_id || ':' || turn AS key, {_UP.format('text')} AS h FROM conversations), w AS (SELECT variant, list_filter(string_split({_UP.format('signature')}, ' '), lambda x: x <> '') AS words FROM s),
+      r AS (SELECT key, variant, len(list_filter(words, lambda x: contains(h, x))) / len(words) AS ratio FROM c, w WHERE len(words) >= 2),
+      b AS (SELECT key, variant, max(ratio) AS ratio FROM r WHERE ratio >= 0.6 AND ratio < 1 GROUP BY 1, 2)
+      SELECT key, variant, round(ratio, 6) AS ratio FROM b QUALIFY row_number() OVER (PARTITION BY key ORDER BY b.ratio DESC, variant) <= 3""",
+    "sheet_types": f"""WITH d AS (SELECT {_UP.format('text')} AS h, {_SQUEEZED.format('text')} AS q FROM documents), t AS (SELECT CASE WHEN contains(h, 'THE OF') OR contains(h, 'IS THAT') THEN 'LLP' WHEN contains(h, 'FOR THE') THEN 'HT'
+      WHEN contains(h, 'AND THE') OR contains(h, 'WITH THAT') THEN 'OCCM' WHEN contains(q, 'WITHTHAT') THEN 'OCCM' ELSE 'Unknown' END AS sheet_type FROM d) SELECT sheet_type, count(*) AS documents FROM t GROUP BY 1""",
+    "hint_frequency": "WITH h AS (SELECT unnest([lang, source, CASE WHEN n_chars > 2000 THEN 'long' ELSE 'short' END]) AS hint FROM documents) SELECT hint, count(*) AS n FROM h GROUP BY 1 ORDER BY n DESC, hint LIMIT 20",
+    "document_search": "SELECT doc_id FROM documents WHERE regexp_matches(text, 'licensed under|token =', 'i')",
+    "trigram_similarity": r"""WITH t AS (SELECT item_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS t FROM benchmark), g AS (SELECT item_id, unnest(list_transform(range(1, length(t) - 1), lambda i: t[i:i + 2])) AS gram FROM t),
+      n AS (SELECT item_id, gram, count(*) AS n FROM g GROUP BY 1, 2), m AS (SELECT item_id, sqrt(sum(n * n)) AS norm FROM n GROUP BY 1)
+      SELECT x.item_id AS a, y.item_id AS b, round(sum(x.n * y.n) / (any_value(p.norm) * any_value(q.norm)), 6) AS cosine FROM n x JOIN n y ON x.gram = y.gram AND x.item_id < y.item_id JOIN m p ON p.item_id = x.item_id JOIN m q ON q.item_id = y.item_id GROUP BY 1, 2""",
+}

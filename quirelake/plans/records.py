@@ -1,2 +1,395 @@
-QUERIES: dict = {}
-SQL: dict = {}
+"""Queries over records: cleaning, issues, imputation, dates, keys, comparisons, profiles."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quirelake.functions import dates, identity, rules
+from quirelake.operators import compare, layout, membership, quality, slots
+from quirelake.sources.tables import table
+
+_CYCLES = rules.Rule(r"^\d{1,3}(?:[,.']?\d{3})*$", hard=(0, 55_000), review=(0, 30_000))
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as raw records with the noise of recognised text."""
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    return p.select(
+        k.alias("_key"),
+        F.col("p_type").alias("_type"),
+        F.when(k % 9 == 0, "").otherwise((F.col("p_size") + F.when(k % 7 == 0, 50).otherwise(0)).cast("string")).alias("ATA"),
+        F.when(k % 4 == 0, "").otherwise((k % 1000).cast("string")).alias("ZONE"),
+        F.col("p_name").alias("DESCRIPTION"),
+        F.concat(F.when(k % 3 == 0, "..").otherwise(" "), F.translate("p_brand", "#", "-"), F.when(k % 5 == 0, " _X").otherwise("~~7")).alias("PART_NUMBER"),
+        F.concat(F.col("p_type"), F.lit("/"), F.col("p_size").cast("string"), F.when(k % 6 == 0, "-'").otherwise("")).alias("SERIAL_NUMBER"),
+    )
+
+
+_RAW = r"""SELECT p_partkey AS _key, p_type AS _type, CASE WHEN p_partkey % 9 = 0 THEN '' ELSE CAST(p_size + CASE WHEN p_partkey % 7 = 0 THEN 50 ELSE 0 END AS VARCHAR) END AS "ATA",
+  CASE WHEN p_partkey % 4 = 0 THEN '' ELSE CAST(p_partkey % 1000 AS VARCHAR) END AS "ZONE", upper(trim(p_name)) AS "DESCRIPTION",
+  upper(regexp_replace(regexp_replace(translate(replace(CASE WHEN p_partkey % 3 = 0 THEN '..' ELSE ' ' END || replace(p_brand, '#', '-') || CASE WHEN p_partkey % 5 = 0 THEN ' _X' ELSE '~~7' END, '~~', '-'), 'OolI', '0011'), '^\s*[.]*', ''), '\s+', '', 'g')) AS "PART_NUMBER",
+  upper(trim(translate(replace(p_type || '/' || p_size || CASE WHEN p_partkey % 6 = 0 THEN '-''' ELSE '' END, '-''', '7'), 'OolI', '0011'))) AS "SERIAL_NUMBER" FROM part"""
+_CLEAN = rf"""WITH r AS ({_RAW}), c AS (SELECT *, concat_ws(',',
+    CASE WHEN "ATA" = '' THEN 'ATA:empty' END, CASE WHEN "ATA" <> '' AND NOT regexp_full_match("ATA", '\d{{2}}') THEN 'ATA:bad_format' END,
+    CASE WHEN "ATA" <> '' AND CAST(nullif("ATA", '') AS INTEGER) NOT BETWEEN 20 AND 83 THEN 'ATA:out_of_range' END,
+    CASE WHEN "ZONE" = '' THEN 'ZONE:empty' WHEN NOT regexp_full_match("ZONE", '\d{{2,3}}') THEN 'ZONE:bad_format' END,
+    CASE WHEN "DESCRIPTION" = '' THEN 'DESCRIPTION:empty' END,
+    CASE WHEN NOT regexp_full_match("PART_NUMBER", '[A-Z0-9](?:[A-Z0-9\-]*[A-Z0-9])?') THEN 'PART_NUMBER:bad_format' END,
+    CASE WHEN NOT regexp_full_match("SERIAL_NUMBER", '[A-Z0-9/](?:[A-Z0-9\-/]*[A-Z0-9/])?') THEN 'SERIAL_NUMBER:bad_format' END) AS _issues FROM r)"""
+
+
+def clean_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.clean_record(_records(spark, sf_dir))
+
+
+def issue_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.exploded_issues(clean_records(spark, sf_dir), []).groupBy("column", "reason").agg(F.count("*").alias("n"))
+
+
+def issue_frequency_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = quality.exploded_issues(clean_records(spark, sf_dir), ["_type"])
+    return one.groupBy(F.col("_type").alias("variant"), "column", "reason").agg(F.count("*").alias("n"))
+
+
+def issue_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    n = issue_frequency(spark, sf_dir)
+    return n.withColumn("width", F.floor(100 * F.col("n") / F.max("n").over(Window.partitionBy())))
+
+
+def scoreboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scoreboard(clean_records(spark, sf_dir).withColumnRenamed("_type", "variant"), ["variant"])
+
+
+def flagged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean_records(spark, sf_dir).filter("_issues <> ''").select(F.col("_key").alias("key"), F.col("_issues").alias("issues"))
+
+
+def row_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = compare.row_text_contains(clean_records(spark, sf_dir), "widget", ["ATA", "ZONE", "DESCRIPTION", "PART_NUMBER"], flagged_only=True)
+    return rows.select(F.col("_key").alias("key"), "DESCRIPTION")
+
+
+def leading_marks_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the normaliser takes leading marks off, by type of part."""
+    raw = F.trim("PART_NUMBER")
+    hit = raw.rlike(f"^[{rules.LEADING_MARKS}]")
+    return _records(spark, sf_dir).groupBy(F.col("_type").alias("variant")).agg(F.count_if(hit).alias("stripped"), F.count("*").alias("rows"))
+
+
+def clean_cell_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("l_extendedprice").cast("bigint").cast("string")
+    grouped = lambda mark: F.regexp_replace(n, r"(\d)(\d{3})$", f"$1{mark}$2")
+    k = F.col("l_orderkey") % 5
+    value = F.when(k == 0, n).when(k == 1, grouped(",")).when(k == 2, grouped("'")).when(k == 3, F.col("l_quantity").cast("string")).otherwise("")
+    li = table(spark, sf_dir, "lineitem").select(rules.cleaned(value, _CYCLES).alias("v"))
+    found = li.select(rules.thousands(F.col("v")).alias("n"), F.array_join(rules.issues(F.col("v"), _CYCLES), ",").alias("issues"))
+    return found.groupBy("issues").agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+
+
+def conform_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first of several columns that is there and not blank."""
+    p = table(spark, sf_dir, "part")
+    record = F.map_from_arrays(F.array(F.lit("PN"), F.lit("MPN"), F.lit("PART_NUMBER")), F.array(F.when(F.col("p_partkey") % 3 == 0, F.col("p_brand")), F.when(F.col("p_partkey") % 2 == 0, F.lit("  ")).otherwise(F.col("p_type")), F.col("p_name")))
+    first = F.coalesce(*[F.nullif(F.trim(F.try_element_at(record, F.lit(c))), F.lit("")) for c in ("PN", "MPN", "FULL_PN", "PART_NUMBER")], F.lit(""))
+    return p.select("p_partkey", first.alias("part_number"))
+
+
+def forward_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id")
+    ata = F.when(k % 3 == 0, "").when(k % 7 == 0, "99").when(k % 5 == 0, "9").otherwise((20 + k % 64).cast("string"))
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", ata.alias("ATA")).withColumn("_issues", F.when(F.col("ATA") == "", "ATA:empty,ZONE:empty").otherwise(""))
+    return quality.forward_fill(e, "user_id", ["ts", "event_id"]).select("event_id", "user_id", F.col("ATA").alias("ata"), F.col("_issues").alias("issues"))
+
+
+def imputed_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = forward_fill(spark, sf_dir).withColumnRenamed("issues", "_issues")
+    return quality.scoreboard(rows, ["user_id"])
+
+
+def pn_group_disagree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").withColumn("desc", F.upper("p_name"))
+    return p.select("p_partkey", quality.disagreeing(p, ["p_type", "desc", "p_size"], "p_brand").alias("disagrees"))
+
+
+def row_self_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("l_orderkey")
+    a, b = F.col("l_quantity").cast("int"), F.col("l_linenumber")
+    total = F.when(k % 7 == 0, "").when(k % 11 == 0, "n/a").when(k % 5 == 0, (a + b + 1).cast("string")).otherwise((a + b).cast("string"))
+    li = table(spark, sf_dir, "lineitem").select(quality.row_check([a.cast("string"), b.cast("string")], total).alias("status"))
+    return li.groupBy("status").agg(F.count("*").alias("rows"))
+
+
+def normalize_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, k = F.col("o_orderdate"), F.col("o_orderkey") % 9
+    f = lambda form: F.date_format(d, form)
+    forms = ["yyyy-MM-dd", "dd/MM/yyyy", "dd-MMM-yyyy", "dd.MMM.yy", "MMM d, yyyy", "MMM d, yy", "d.M.yy", "yyyy/M/d"]
+    value = F.lit("31/02/2020")
+    for i, form in enumerate(forms):
+        value = F.when(k == i, f(form)).otherwise(value)
+    return table(spark, sf_dir, "orders").select("o_orderkey", dates.normalize_date(value).alias("iso"))
+
+
+def report_date_iso(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, k = F.col("o_orderdate"), F.col("o_orderkey") % 9
+    forms = ["yyyy-MM-dd", "dd-MMM-yy", "dd/MMM/yyyy", "dd.MMM.yyyy", "ddMMMyyyy", "dd MMM yy", "d/M/yy", "MMMM dd, yyyy"]
+    value = F.lit("21-23-50")
+    for i, form in enumerate(forms):
+        value = F.when(k == i, F.date_format(d, form)).otherwise(value)
+    return table(spark, sf_dir, "orders").select("o_orderkey", dates.report_date_iso(value).alias("iso"))
+
+
+def aircraft_key_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, k = F.col("c_custkey"), F.col("c_custkey") % 7
+    four = F.lpad((n % 900 + 1000).cast("string"), 4, "0")
+    name = (
+        F.when(k == 0, F.concat(F.lit("OCCM_MSN_"), four, F.lit(".pdf")))
+        .when(k == 1, F.concat(four, F.lit("_a305_occm.pdf")))
+        .when(k == 2, F.concat(F.lit("HT status VP-BDK"), F.lit(".pdf")))
+        .when(k == 3, "OOABC_list.pdf")
+        .when(k == 4, F.concat(F.lit("list-of ("), (n % 900 + 10000).cast("string"), F.lit(") 2016.pdf")))
+        .when(k == 5, "1111 components 2016.pdf")
+        .otherwise("components list.pdf")
+    )
+    key = identity.aircraft_key(name)
+    return table(spark, sf_dir, "customer").select("c_custkey", key["key"].alias("aircraft_key"), key["source"].alias("key_source"))
+
+
+def key_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overrides and header values joined to files: left joins of small sides, then the ladder."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.concat((F.col("c_custkey") % 900 + 1000).cast("string"), F.lit("_x.pdf")).alias("source_file"))
+    over = table(spark, sf_dir, "supplier").filter("s_suppkey % 4 = 0").select(F.col("s_suppkey").alias("k1"), F.concat(F.lit("KEY"), F.col("s_suppkey").cast("string")).alias("override"))
+    meta = table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k2"), F.when(F.col("c_custkey") % 2 == 0, (F.col("c_custkey") + 5000).cast("string")).otherwise("").alias("msn"), F.lit("VP-ABC").alias("registration"))
+    rows = c.join(over, F.col("c_custkey") == F.col("k1"), "left").join(meta, F.col("c_custkey") == F.col("k2"), "left")
+    key = identity.preferred_key(F.col("source_file"), F.col("override"), F.col("msn"), F.col("registration"))
+    return rows.select("c_custkey", key["key"].alias("aircraft_key"), key["source"].alias("key_source"))
+
+
+def family_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey") % 8
+    text = (
+        F.when(k == 0, "LIST\nMODEL: 321-231 X")
+        .when(k == 1, "TYPE XX-A350\nB777 HS")
+        .when(k == 2, "ref 747-06209 only")
+        .when(k == 3, "fitted to A330 here")
+        .when(k == 4, "BOEING 737-73S")
+        .when(k == 5, "EMB-190 status")
+        .when(k == 6, "see 767-3Q8ER.")
+        .otherwise(F.col("p_name"))
+    )
+    f = identity.family(text)
+    return table(spark, sf_dir, "part").select("p_partkey", f["family"].alias("family"), f["confidence"].alias("confidence"))
+
+
+def llp_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey") % 5
+    text = F.concat_ws(" ", "p_name", F.when(k == 0, "engine disk CFM56").when(k == 1, "main landing gear axle").when(k == 2, "APU engine").when(k == 3, "gear and engine").otherwise("bolt"))
+    s = identity.subject(text)
+    return table(spark, sf_dir, "part").select("p_partkey", s["subject"].alias("subject"), s["score"].alias("score"), s["confidence"].alias("confidence"))
+
+
+def pair_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def side(key: str, table_name: str, prefix: str) -> DataFrame:
+        n = F.col(key)
+        return table(spark, sf_dir, table_name).select(
+            n.alias(f"{prefix}_no"),
+            F.struct(
+                F.when(n % 3 == 0, F.concat(F.lit("VP-"), (n % 50).cast("string"))).otherwise("").alias("registration"),
+                F.when(n % 4 == 0, (n % 40).cast("string")).otherwise("").alias("msn"),
+                F.when(n % 5 == 0, F.concat(F.lit("A3"), (n % 2).cast("string"))).otherwise("Unknown").alias("family"),
+                (n % 20).cast("string").alias("key"),
+            ).alias(prefix),
+            F.col(f"{table_name[0]}_nationkey").alias(f"{prefix}_nation"),
+        )
+
+    pairs = side("c_custkey", "customer", "c").join(side("s_suppkey", "supplier", "s"), F.col("c_nation") == F.col("s_nation"))
+    v = compare.pair("c", "s")
+    return pairs.select(v["status"].alias("status"), v["confidence"].alias("confidence"), v["reason"].alias("reason")).groupBy("status", "confidence", "reason").agg(F.count("*").alias("pairs"))
+
+
+def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("NO"), F.col("o_orderstatus").alias("STATUS"), F.col("o_orderpriority").alias("PRIORITY"), F.col("o_orderkey").alias("row_seq"))
+    old = o.filter("row_seq % 10 < 8")
+    new = o.filter("row_seq % 10 > 1").withColumn("STATUS", F.when(F.col("row_seq") % 3 == 0, F.concat(F.col("STATUS"), F.lit(" changed to a value that is longer than forty characters"))).otherwise(F.col("STATUS")))
+    return compare.diff_snapshots(old, new, ["NO"]).withColumnsRenamed({"_change": "change", "_key": "key", "_changes": "changes"})
+
+
+def diff_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshot_diff(spark, sf_dir).groupBy("change").agg(F.count("*").alias("rows"))
+
+
+def journey_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    level = F.when(F.col("event_type") == "view", "L1").when(F.col("event_type") == "click", "L3").otherwise("L4")
+    page = (F.col("event_id") % 7 + 1).cast("int")
+    seen = e.groupBy("user_id").agg(F.count("*").alias("rows_total"), F.count_if(level == "L1").alias("rows_l1"), F.count_if(level == "L3").alias("rows_l3"), F.count_if(level == "L4").alias("rows_l4"), F.collect_set(page).alias("seen"), F.count_if(F.col("value") < 50).alias("clean"))
+    missing = F.array_sort(quality.missing_numbers(F.col("seen"), F.lit(9)))
+    return seen.select("user_id", "rows_total", "rows_l1", "rows_l3", "rows_l4", F.size("seen").cast("long").alias("pages_with_rows"), F.array_join(missing.cast("array<string>"), ",").alias("pages_missing"), quality.percent(F.col("clean"), F.col("rows_total")).alias("clean_pct"))
+
+
+def journey_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slots.last_of(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
+
+
+def profile_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = quality.profile(table(spark, sf_dir, "events").withColumn("cents", F.round(F.col("value") * 100).cast("long")), ["event_type"], "cents")
+    return p.select("event_type", "n", "median", F.round("mean", 6).alias("mean"), "p95", "largest", "total")
+
+
+def slowest_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A top-k report."""
+    return table(spark, sf_dir, "events").select("event_id", "event_type", "value").orderBy(F.desc("value"), "event_id").limit(10)
+
+
+def sample_per_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sampling operator: the first eight rows of each type, as JSON."""
+    from pyspark.sql import Window
+
+    p = table(spark, sf_dir, "part").withColumn("no", F.row_number().over(Window.partitionBy("p_type").orderBy("p_partkey")))
+    return p.filter("no <= 8").select("p_type", "no", F.concat(F.lit('{"brand":"'), F.col("p_brand"), F.lit('","size":'), F.col("p_size").cast("string"), F.lit("}")).alias("sample"))
+
+
+def master_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    master = membership.master_values(table(spark, sf_dir, "part").filter("p_size > 10").select(F.concat(F.lit(" pn"), F.col("p_partkey").cast("string")).alias("v")), ["v"])
+    li = table(spark, sf_dir, "lineitem").select(F.when(F.col("l_orderkey") % 13 == 0, " ").otherwise(F.concat(F.lit("Pn"), F.col("l_partkey").cast("string"))).alias("pn"))
+    return membership.known(li, "pn", master).groupBy(F.col("_known").alias("known")).agg(F.count("*").alias("rows"))
+
+
+def bloom_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of a filter's bits by built-in functions."""
+    m, _ = membership.sizes(100_000)
+    v = F.concat(F.lit("PN"), F.col("p_partkey").cast("string"))
+    return table(spark, sf_dir, "part").select("p_partkey", membership.first_hash(v).cast("string").alias("h1"), *[membership.native_place(v, m, i).alias(f"place_{i}") for i in range(3)])
+
+
+def bloom_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts held against a filter of those of size over ten; false positives aside, the exact answer."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("PN"), F.col("p_partkey").cast("string")).alias("v"), (F.col("p_size") > 10).alias("listed"))
+    bloom = membership.build_bloom(p.filter("listed").select(F.col("v").alias("value")), 1e-6)
+    return p.select("p_partkey", "listed", membership.maybe_known(F.col("v"), bloom).alias("maybe"))
+
+
+def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("event_type", F.get_json_object("props", "$.k").try_cast("long").alias("k"))
+    return e.groupBy("event_type").agg(F.count("k").alias("n"), F.sum("k").alias("total"))
+
+
+def word_row_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.round(F.col("value") * 10).cast("long").alias("top"), F.col("event_id").alias("left"), F.lit(30).alias("height"))
+    return layout.row_islands(e, ["user_id"]).select("event_id", "user_id", "row")
+
+
+def x_band_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bands = [("ATA", 0, 5), ("PART", 5, 20), ("SERIAL", 20, 60), ("REST", 60, 200)]
+    e = table(spark, sf_dir, "events").select(layout.banded(F.col("value"), bands).alias("band"))
+    return e.groupBy(F.coalesce("band", F.lit("none")).alias("band")).agg(F.count("*").alias("words"))
+
+
+def nearest_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    anchors = F.array(*[F.lit(x) for x in (100, 1000, 2500, 9000)])
+    cents = F.round(F.col("value") * 100).cast("int")
+    e = table(spark, sf_dir, "events").select(layout.nearest_anchor(cents, anchors, 900).alias("anchor"))
+    return e.groupBy("anchor").agg(F.count("*").alias("words"))
+
+
+def gap_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("point_no"), F.round(F.col("value") * 100).cast("long").alias("x"))
+    return layout.gap_clusters(e, ["user_id"], "x", 4)
+
+
+def page_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.search(table(spark, sf_dir, "part"), "small|brand#1", ["p_name", "p_brand"]).select("p_partkey")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        clean_records, issue_frequency, issue_frequency_by_type, issue_bars, scoreboard, flagged_rows, row_text_search, leading_marks_stripped, clean_cell_range, conform_candidates, forward_fill, imputed_share, pn_group_disagree,
+        row_self_check, normalize_date, report_date_iso, aircraft_key_ladder, key_precedence, family_classify, llp_subject, pair_ladder, snapshot_diff, diff_summary, journey_rollup, journey_latest, profile_percentiles, slowest_topk,
+        sample_per_variant, master_membership, bloom_places, bloom_membership, json_props, word_row_islands, x_band_bucket, nearest_anchor, gap_clusters, page_search,
+    )
+}
+
+_ISSUES = _CLEAN + ", i AS (SELECT _type, unnest(string_split(_issues, ',')) AS i FROM c WHERE _issues <> ''), n AS (SELECT _type, split_part(i, ':', 1) AS \"column\", split_part(i, ':', 2) AS reason FROM i)"
+_FILL = """WITH e AS (SELECT event_id, user_id, ts, CASE WHEN event_id % 3 = 0 THEN '' WHEN event_id % 7 = 0 THEN '99' WHEN event_id % 5 = 0 THEN '9' ELSE CAST(20 + event_id % 64 AS VARCHAR) END AS ata FROM events),
+  f AS (SELECT *, last_value(CASE WHEN ata NOT IN ('', '99', '9') THEN ata END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS up FROM e),
+  g AS (SELECT event_id, user_id, CASE WHEN ata = '' AND up IS NOT NULL THEN up ELSE ata END AS ata, CASE WHEN ata <> '' THEN '' WHEN up IS NOT NULL THEN 'ZONE:empty,_imputed:ATA' ELSE 'ATA:empty,ZONE:empty' END AS issues FROM f)"""
+_BOARD = "count(*) AS rows, count(*) FILTER ({0} = '') AS clean, count(*) FILTER ({0} <> '') AS flagged, round_even(100.0 * count(*) FILTER ({0} = '') / count(*), 1) AS clean_pct, count(*) FILTER (contains({0}, '_imputed:')) AS imputed"
+_DIFF = """WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS key, o_orderstatus AS s, o_orderpriority AS p, o_orderkey AS k FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY o_orderkey) = 1),
+  a AS (SELECT * FROM o WHERE k % 10 < 8), b AS (SELECT key, CASE WHEN k % 3 = 0 THEN s || ' changed to a value that is longer than forty characters' ELSE s END AS s, p FROM o WHERE k % 10 > 1),
+  d AS (SELECT coalesce(b.key, a.key) AS key, CASE WHEN a.key IS NULL THEN 'added' WHEN b.key IS NULL THEN 'removed' WHEN a.s <> b.s THEN 'changed' ELSE 'unchanged' END AS change,
+    CASE WHEN a.s <> b.s THEN 'STATUS:' || a.s || '→' || CASE WHEN length(b.s) > 40 THEN b.s[1:37] || '…' ELSE b.s END ELSE '' END AS changes, coalesce(b.s, a.s) AS "STATUS", coalesce(b.p, a.p) AS "PRIORITY" FROM a FULL OUTER JOIN b ON a.key = b.key)"""
+_H = "CAST(('0x' || substr(sha256('PN' || p_partkey), {0}, 16)) AS UBIGINT)"
+_M = membership.sizes(100_000)[0]
+
+SQL = {
+    "clean_records": f"{_CLEAN} SELECT * FROM c",
+    "issue_frequency": f'{_ISSUES} SELECT "column", reason, count(*) AS n FROM n GROUP BY 1, 2',
+    "issue_frequency_by_type": f'{_ISSUES} SELECT _type AS variant, "column", reason, count(*) AS n FROM n GROUP BY 1, 2, 3',
+    "issue_bars": f'{_ISSUES}, q AS (SELECT "column", reason, count(*) AS n FROM n GROUP BY 1, 2) SELECT *, CAST(floor(100 * n / max(n) OVER ()) AS BIGINT) AS width FROM q',
+    "scoreboard": f"{_CLEAN} SELECT _type AS variant, {_BOARD.format('_issues')} FROM c GROUP BY 1",
+    "flagged_rows": f"{_CLEAN} SELECT _key AS key, _issues AS issues FROM c WHERE _issues <> ''",
+    "row_text_search": f"{_CLEAN} SELECT _key AS key, \"DESCRIPTION\" FROM c WHERE _issues <> '' AND contains(lower(\"ATA\" || \"ZONE\" || \"DESCRIPTION\" || \"PART_NUMBER\"), 'widget')",
+    "leading_marks_stripped": "SELECT p_type AS variant, count(*) FILTER (p_partkey % 3 = 0) AS stripped, count(*) AS rows FROM part GROUP BY 1",
+    "clean_cell_range": r"""WITH v AS (SELECT l_orderkey % 5 AS k, CAST(trunc(l_extendedprice) AS BIGINT) AS n FROM lineitem),
+      r AS (SELECT CASE WHEN k < 3 THEN n END AS n, CASE WHEN k = 4 THEN 'empty' WHEN k = 3 THEN 'bad_format,not_a_number' WHEN n > 55000 THEN 'out_of_range' WHEN n > 30000 THEN 'over_review_band' ELSE '' END AS issues FROM v)
+      SELECT issues, count(*) AS rows, CAST(coalesce(sum(n), 0) AS BIGINT) AS total FROM r GROUP BY 1""",
+    "conform_candidates": "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_brand WHEN p_partkey % 2 = 1 THEN p_type ELSE p_name END AS part_number FROM part",
+    "forward_fill": f"{_FILL} SELECT * FROM g",
+    "imputed_share": f"{_FILL} SELECT user_id, {_BOARD.format('issues')} FROM g GROUP BY 1",
+    "pn_group_disagree": "SELECT p_partkey, min(p_brand) OVER w <> max(p_brand) OVER w AS disagrees FROM part WINDOW w AS (PARTITION BY p_type, upper(p_name), p_size)",
+    "row_self_check": "SELECT CASE WHEN l_orderkey % 7 = 0 THEN 'SKIPPED' WHEN l_orderkey % 11 = 0 THEN 'UNPARSEABLE' WHEN l_orderkey % 5 = 0 THEN 'MISMATCH' ELSE 'OK' END AS status, count(*) AS rows FROM lineitem GROUP BY 1",
+    "normalize_date": "SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 8 THEN '31/02/2020' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS iso FROM orders",
+    "report_date_iso": "SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 8 THEN '' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS iso FROM orders",
+    "aircraft_key_ladder": """SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN CAST(c_custkey % 900 + 1000 AS VARCHAR) WHEN 1 THEN CAST(c_custkey % 900 + 1000 AS VARCHAR) WHEN 2 THEN 'VP-BDK' WHEN 3 THEN 'OO-ABC'
+      WHEN 4 THEN CAST(c_custkey % 900 + 10000 AS VARCHAR) WHEN 5 THEN '1111' ELSE 'components list' END AS aircraft_key,
+      CASE c_custkey % 7 WHEN 0 THEN 'msn' WHEN 1 THEN 'msn_prefix' WHEN 2 THEN 'registration' WHEN 3 THEN 'registration_compressed' WHEN 4 THEN 'msn_guess' WHEN 5 THEN 'msn_prefix' ELSE 'filename' END AS key_source FROM customer""",
+    "key_precedence": """SELECT c_custkey, CASE WHEN s_suppkey IS NOT NULL THEN 'KEY' || s_suppkey WHEN c_custkey % 6 = 0 THEN CAST(c_custkey + 5000 AS VARCHAR) WHEN c_custkey % 3 = 0 THEN 'VP-ABC' ELSE CAST(c_custkey % 900 + 1000 AS VARCHAR) END AS aircraft_key,
+      CASE WHEN s_suppkey IS NOT NULL THEN 'override' WHEN c_custkey % 6 = 0 THEN 'header_msn' WHEN c_custkey % 3 = 0 THEN 'header_registration' ELSE 'msn_prefix' END AS key_source
+      FROM customer LEFT JOIN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 4 = 0) s ON s_suppkey = c_custkey""",
+    "family_classify": """SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'A320 family' WHEN 1 THEN 'B777' WHEN 3 THEN 'A330' WHEN 4 THEN 'B737' WHEN 5 THEN 'Embraer' WHEN 6 THEN 'B767' ELSE 'Unknown' END AS family,
+      CASE p_partkey % 8 WHEN 0 THEN 'high' WHEN 4 THEN 'high' WHEN 1 THEN 'medium' WHEN 3 THEN 'medium' WHEN 5 THEN 'medium' WHEN 6 THEN 'medium' ELSE 'none' END AS confidence FROM part""",
+    "llp_subject": r"""WITH t AS (SELECT p_partkey, lower(p_name || ' ' || CASE p_partkey % 5 WHEN 0 THEN 'engine disk CFM56' WHEN 1 THEN 'main landing gear axle' WHEN 2 THEN 'APU engine' WHEN 3 THEN 'gear and engine' ELSE 'bolt' END) AS t FROM part),
+      n AS (SELECT p_partkey, 3 * len(regexp_extract_all(t, '\bengine\b')) + 5 * len(regexp_extract_all(t, '\bcfm\s?56|\bcf\s?34|\bv2500|\bpw\d{4}')) + 2 * len(regexp_extract_all(t, '\bdisk\b|\bspool\b|\bblade\b')) AS e,
+        5 * len(regexp_extract_all(t, '\blanding gear\b')) + 2 * len(regexp_extract_all(t, '\bgear\b')) + 2 * len(regexp_extract_all(t, '\baxle\b|\bstrut\b|\bpiston\b')) AS g,
+        5 * len(regexp_extract_all(t, '\bapu\b')) + 5 * len(regexp_extract_all(t, '\bauxiliary power\b')) + 4 * len(regexp_extract_all(t, '\bgtcp')) AS a FROM t),
+      s AS (SELECT *, greatest(e, g, a) AS best, e + g + a - greatest(e, g, a) - least(e, g, a) AS second FROM n)
+      SELECT p_partkey, CASE WHEN best = 0 THEN 'Unknown' WHEN e = best THEN 'Engine' WHEN g = best THEN 'Landing Gear' ELSE 'APU' END AS subject, CAST(best AS BIGINT) AS score,
+        CASE WHEN best = 0 THEN 'none' WHEN 2 * second <= best THEN 'high' ELSE 'low' END AS confidence FROM s""",
+    "pair_ladder": """WITH c AS (SELECT c_nationkey AS nation, CASE WHEN c_custkey % 3 = 0 THEN 'VP-' || (c_custkey % 50) ELSE '' END AS reg, CASE WHEN c_custkey % 4 = 0 THEN CAST(c_custkey % 40 AS VARCHAR) ELSE '' END AS msn,
+        CASE WHEN c_custkey % 5 = 0 THEN 'A3' || (c_custkey % 2) ELSE 'Unknown' END AS fam, c_custkey % 20 AS k FROM customer),
+      s AS (SELECT s_nationkey AS nation, CASE WHEN s_suppkey % 3 = 0 THEN 'VP-' || (s_suppkey % 50) ELSE '' END AS reg, CASE WHEN s_suppkey % 4 = 0 THEN CAST(s_suppkey % 40 AS VARCHAR) ELSE '' END AS msn,
+        CASE WHEN s_suppkey % 5 = 0 THEN 'A3' || (s_suppkey % 2) ELSE 'Unknown' END AS fam, s_suppkey % 20 AS k FROM supplier),
+      v AS (SELECT CASE WHEN c.fam <> 'Unknown' AND s.fam <> 'Unknown' AND c.fam <> s.fam THEN 'hard-stop,none,family_conflict' WHEN c.msn <> '' AND s.msn <> '' AND c.msn <> s.msn THEN 'hard-stop,none,msn_conflict'
+        WHEN c.msn <> '' AND c.msn = s.msn THEN 'safe,high,msn' WHEN c.reg <> '' AND c.reg = s.reg THEN 'safe,high,registration' WHEN c.reg <> '' AND s.reg <> '' THEN 'ask,low,registration_differs'
+        WHEN c.k = s.k THEN 'ask,medium,key' WHEN c.fam <> 'Unknown' AND s.fam <> 'Unknown' THEN 'ask,low,family' ELSE 'ask,none,no_evidence' END AS v FROM c JOIN s USING (nation))
+      SELECT split_part(v, ',', 1) AS status, split_part(v, ',', 2) AS confidence, split_part(v, ',', 3) AS reason, count(*) AS pairs FROM v GROUP BY 1, 2, 3""",
+    "snapshot_diff": f"""{_DIFF} SELECT change, key, changes, key AS "NO", "STATUS", "PRIORITY" FROM d""",
+    "diff_summary": f"{_DIFF} SELECT change, count(*) AS rows FROM d GROUP BY 1",
+    "journey_rollup": """WITH g AS (SELECT user_id, count(*) AS rows_total, count(*) FILTER (event_type = 'view') AS rows_l1, count(*) FILTER (event_type = 'click') AS rows_l3, count(*) FILTER (event_type NOT IN ('view', 'click')) AS rows_l4,
+        list(DISTINCT event_id % 7 + 1) AS seen, count(*) FILTER (value < 50) AS clean FROM events GROUP BY 1)
+      SELECT user_id, rows_total, rows_l1, rows_l3, rows_l4, CAST(len(seen) AS BIGINT) AS pages_with_rows, array_to_string(list_filter(range(1, 10), lambda x: NOT list_contains(seen, x)), ',') AS pages_missing,
+        round_even(100.0 * clean / rows_total, 1) AS clean_pct FROM g""",
+    "journey_latest": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
+    "profile_percentiles": """WITH v AS (SELECT event_type, CAST(round(value * 100) AS BIGINT) AS c FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY c) AS no, count(*) OVER (PARTITION BY event_type) AS k FROM v)
+      SELECT event_type, count(*) AS n, quantile_cont(CAST(c AS DOUBLE), 0.5) AS median, round(avg(c), 6) AS mean, max(c) FILTER (no = CAST(floor(k * 0.95) AS BIGINT) + 1) AS p95, max(c) AS largest, CAST(sum(c) AS BIGINT) AS total FROM n GROUP BY 1""",
+    "slowest_topk": "SELECT event_id, event_type, value FROM events ORDER BY value DESC, event_id LIMIT 10",
+    "sample_per_variant": """SELECT p_type, CAST(row_number() OVER w AS INTEGER) AS no, '{"brand":"' || p_brand || '","size":' || p_size || '}' AS sample FROM part WINDOW w AS (PARTITION BY p_type ORDER BY p_partkey) QUALIFY no <= 8""",
+    "master_membership": "SELECT CASE WHEN l_orderkey % 13 = 0 THEN NULL ELSE p_partkey IS NOT NULL END AS known, count(*) AS rows FROM lineitem LEFT JOIN (SELECT p_partkey FROM part WHERE p_size > 10) ON l_partkey = p_partkey GROUP BY 1",
+    "bloom_places": f"SELECT p_partkey, CAST({_H.format(1)} AS VARCHAR) AS h1, " + ", ".join(f"CAST((CAST({_H.format(1)} AS HUGEINT) + {i} * CAST({_H.format(17)} AS HUGEINT)) % {_M} AS BIGINT) AS place_{i}" for i in range(3)) + " FROM part",
+    "bloom_membership": "SELECT p_partkey, p_size > 10 AS listed, p_size > 10 AS maybe FROM part",
+    "json_props": "SELECT event_type, count(k) AS n, CAST(sum(k) AS BIGINT) AS total FROM (SELECT event_type, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY 1",
+    "word_row_islands": """WITH e AS (SELECT event_id, user_id, CAST(round(value * 10) AS BIGINT) AS top FROM events), j AS (SELECT *, coalesce(abs(top - lag(top) OVER (PARTITION BY user_id ORDER BY top, event_id)) > 21, false) AS j FROM e)
+      SELECT event_id, user_id, CAST(sum(CAST(j AS INTEGER)) OVER (PARTITION BY user_id ORDER BY top, event_id) AS BIGINT) AS row FROM j""",
+    "x_band_bucket": "SELECT CASE WHEN value >= 0 AND value < 5 THEN 'ATA' WHEN value >= 5 AND value < 20 THEN 'PART' WHEN value >= 20 AND value < 60 THEN 'SERIAL' WHEN value >= 60 AND value < 200 THEN 'REST' ELSE 'none' END AS band, count(*) AS words FROM events GROUP BY 1",
+    "nearest_anchor": """WITH e AS (SELECT event_id, CAST(round(value * 100) AS INTEGER) AS c FROM events), d AS (SELECT event_id, a, abs(a - c) AS d FROM e, (VALUES (100), (1000), (2500), (9000)) t(a)),
+      b AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY d, a) = 1) SELECT CASE WHEN d <= 900 THEN a END AS anchor, count(*) AS words FROM b GROUP BY 1""",
+    "gap_clusters": """WITH e AS (SELECT user_id, event_id, CAST(round(value * 100) AS BIGINT) AS x FROM events), g AS (SELECT *, x - lag(x) OVER (PARTITION BY user_id ORDER BY x, event_id) AS gap FROM e),
+      r AS (SELECT *, gap IS NOT NULL AND row_number() OVER (PARTITION BY user_id ORDER BY gap DESC NULLS LAST, x, event_id) <= 3 AS cut FROM g),
+      c AS (SELECT user_id, x, CAST(sum(CAST(cut AS INTEGER)) OVER (PARTITION BY user_id ORDER BY x, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cluster FROM r)
+      SELECT user_id, cluster, quantile_cont(CAST(x AS DOUBLE), 0.5) AS center, count(*) AS members FROM c GROUP BY 1, 2""",
+    "page_search": "SELECT p_partkey FROM part WHERE regexp_matches(p_name, 'small|brand#1', 'i') OR regexp_matches(p_brand, 'small|brand#1', 'i')",
+}
