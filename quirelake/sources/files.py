@@ -12,11 +12,24 @@ from pyspark.sql import types as T
 from quirelake.functions.text import blank, strip
 
 
-def scan_files(spark: SparkSession, folder: str, glob: str = "*.{pdf,PDF}") -> DataFrame:
-    """(path, filename, size_kb, status, content) of files at any depth; an empty file is a placeholder, not an error."""
+def scan_files(spark: SparkSession, folder: str, suffix: str = "pdf") -> DataFrame:
+    """(path, filename, size_kb, status, content) of files at any depth, whatever the suffix's case.
+
+    An empty file is a placeholder, not an error. Spark's reader passes these over, so they come from a listing.
+    """
+    glob = "*." + "".join(f"[{c.lower()}{c.upper()}]" for c in suffix)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)
+    found = files.select("path", "length", "content")
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    listing, empty = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True), []
+    while listing.hasNext():
+        f = listing.next()
+        if not f.getLen() and f.getPath().getName().lower().endswith(f".{suffix.lower()}"):
+            empty.append((f.getPath().toString(), 0, b""))
+    if empty:
+        found = found.unionByName(spark.createDataFrame(empty, "path string, length long, content binary"))
     status = F.when(F.col("length") == 0, "NotDownloaded").otherwise("ok")
-    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), F.floor(F.col("length") / 1024).cast("int").alias("size_kb"), status.alias("status"), "content")
+    return found.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), F.floor(F.col("length") / 1024).cast("int").alias("size_kb"), status.alias("status"), "content")
 
 
 def read_pages(files: DataFrame, reader: Callable[[bytes], list[str]]) -> DataFrame:
