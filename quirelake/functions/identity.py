@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirelake.functions.text import blank
@@ -118,19 +118,68 @@ def header_registration(text: Column) -> Column:
     return F.coalesce(F.nullif(labelled, F.lit("")), F.nullif(loose, F.lit("")), F.lit(""))
 
 
-# Weights of words by subject; the first subject wins ties.
-SUBJECTS = {
-    "Engine": ((r"\bengine\b", 3), (r"\bcfm\s?56|\bcf\s?34|\bv2500|\bpw\d{4}", 5), (r"\bdisk\b|\bspool\b|\bblade\b", 2)),
-    "Landing Gear": ((r"\blanding gear\b", 5), (r"\bgear\b", 2), (r"\baxle\b|\bstrut\b|\bpiston\b", 2)),
-    "APU": ((r"\bapu\b", 5), (r"\bauxiliary power\b", 5), (r"\bgtcp", 4)),
-}
+# Fixed patterns of the other family classifier, which knows more makers and takes a stated type first.
+TYPE_LABELS = (r"Aircraft\s+Type:", r"A/C\s+Type\s*:", r"Type/Series\s*:", r"Aircraft\s+Model\s*:", r"AIRPLANE\s+MODEL\s*:")
+TYPE_END = r"(?:\s+(?:Reference|A/C\s+T[TC]|MSN|Registration|TSN|CSN|Serial\s+N|Date|Reg\b)|\s{2,}|\s*$)"
+FAMILY_TOKEN = r"(?i)(A3[012345]\d|A2[28]0|B7[0-9]{2}|EMB[\s-]?\d{3}|ERJ[\s-]?\d{3}|CRJ[\s-]?\d{3}|ATR[\s-]?\d{2}|MD[\s-]?\d{2}|DC[\s-]?\d+|737|747|757|767|777|787)"
 
 
-def subject(text: Column, subjects: dict = SUBJECTS) -> Column:
-    """struct(subject, score, runner_up, confidence): weighted counts of words, by the ratio to the second best."""
-    lower = F.lower(blank(text))
-    scores = [F.struct((sum((F.regexp_count(lower, F.lit(p)) * w for p, w in words), F.lit(0))).alias("score"), F.lit(-i).alias("turn"), F.lit(name).alias("name")) for i, (name, words) in enumerate(subjects.items())]
-    ranked = F.reverse(F.array_sort(F.array(*scores)))
-    best, second = F.get(ranked, 0), F.get(ranked, 1)
-    sure = F.when(best["score"] == 0, "none").when(second["score"] * 2 <= best["score"], "high").otherwise("low")
-    return F.struct(F.when(best["score"] > 0, best["name"]).otherwise("Unknown").alias("subject"), best["score"].cast("long").alias("score"), second["score"].cast("long").alias("runner_up"), sure.alias("confidence"))
+def stated_type(head: Column) -> Column:
+    """What follows the first label of a type that a header has, or empty."""
+    found = [_found(blank(head), rf"(?im){label}\s*(.+?){TYPE_END}") for label in TYPE_LABELS]
+    return F.coalesce(*[F.trim(f) for f in found], F.lit(""))
+
+
+def short_family(head: Column) -> Column:
+    """A header's family without blanks and dashes (A320, B737, EMB190): of its stated type, else anywhere, else empty."""
+    token = F.coalesce(_found(stated_type(head), FAMILY_TOKEN), _found(blank(head), FAMILY_TOKEN), F.lit(""))
+    plain = F.regexp_replace(F.upper(token), r"[\s-]", "")
+    return F.when(plain.rlike(r"^\d+$"), F.concat(F.lit("B"), plain)).otherwise(plain)
+
+
+# Fixed patterns of what a list of life-limited parts is about.
+ENGINE_MODEL = r"(?i)\b(CFM56|CFM-56|CF34|CF6|GE9X|GEnx|LEAP[\- ]?1[AB]|V2500|V2527|V2533|PW[12]\d{3}|PW4\d{3}|PW6\d{3}|JT8D|JT9D|RB211|TRENT[ \-]?\d{0,4}|GP7\d{3}|GTF)\b"
+APU_MODEL = r"(?i)\b(APU|GTCP\d*|GTCP-\d+|APIC|APS\d{3,4}|131-9[AB]?|331-\d{3})\b"
+GEAR_MODEL = r"(?i)\b(MLG|NLG|MAIN\s+LANDING\s+GEAR|NOSE\s+LANDING\s+GEAR|LANDING\s+GEAR|SHOCK\s+STRUT|TORQUE\s+LINK|TRUNNION|PINTLE)\b"
+ENGINE_PART = r"(?i)^(?:\d{3,4}M\d{1,3}[GP]\d{1,3}|338-\d{3}-\d{3}-\d|336-\d{3}-\d{3}-\d|50N\d{4}|3\d{4}-\d{2,4}|\d{4}M\d{1,3})"
+APU_PART = r"(?i)^(?:3800\d{3}-|389\d{4}-|GTCP)"
+GEAR_WORDS = r"(?i)\b(AXLE|TRUNNION|SLIDING\s+TUBE|OUTER\s+CYLINDER|INNER\s+CYLINDER|SHIMMY|TORQUE\s+LINK|MAIN\s+FITTING|SHOCK\s+STRUT|PINTLE|DRAG\s+STRUT|SIDE\s+STAY|PIN/BOLT)\b"
+ENGINE_MODULES = ("LPC", "HPC", "HPT", "LPT", "FAN", "BOOSTER", "COMBUSTOR", "COMBUSTION", "COMP", "TURBINE")
+
+
+def record_signals(records: DataFrame, key: str) -> DataFrame:
+    """(key, engine_modules, engine_atas, gear_atas, apu_atas, engine_parts, apu_parts, gear_words) of documents' records.
+
+    records: (key, MODULE, ATA, PART_NUMBER, DESCRIPTION); the sets are of ten fixed names at most.
+    """
+    ata = F.when(F.trim("ATA").rlike(r"^\d{1,9}$"), F.trim("ATA").cast("int"))
+    module = F.upper("MODULE")
+    return records.groupBy(key).agg(
+        F.size(F.collect_set(F.when(module.isin(*ENGINE_MODULES), module))).alias("engine_modules"),
+        F.count_if(ata.between(70, 80)).alias("engine_atas"),
+        F.count_if(ata == 32).alias("gear_atas"),
+        F.count_if(ata == 49).alias("apu_atas"),
+        F.count_if(F.trim("PART_NUMBER").rlike(ENGINE_PART)).alias("engine_parts"),
+        F.count_if(F.trim("PART_NUMBER").rlike(APU_PART)).alias("apu_parts"),
+        F.count_if(F.col("DESCRIPTION").rlike(GEAR_WORDS)).alias("gear_words"),
+    )
+
+
+def subject(text: Column) -> Column:
+    """struct(subject, confidence, score, runner_up): weighted signals of a document's first 3000 characters and records.
+
+    The row has the columns of record_signals(), null where it has no records. Ties go to Engine, then Landing Gear.
+    """
+    head = F.left(blank(text), F.lit(3000))
+    hits = lambda p: F.regexp_count(head, F.lit(p))
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    many = lambda c: F.when(n(c) >= 3, 4).otherwise(0)
+    scores = {
+        "Engine": hits(ENGINE_MODEL) * 2 + n("engine_modules") * 4 + n("engine_atas") + many("engine_parts"),
+        "Landing Gear": hits(GEAR_MODEL) + n("gear_atas") * 2 + many("gear_words"),
+        "APU": hits(APU_MODEL) * 2 + n("apu_atas") * 2 + many("apu_parts"),
+    }
+    ranked = F.reverse(F.array_sort(F.array(*[F.struct(s.cast("long").alias("score"), F.lit(-i).alias("turn"), F.lit(name).alias("name")) for i, (name, s) in enumerate(scores.items())])))
+    best, second = F.get(ranked, 0), F.get(ranked, 1)["score"]
+    sure = F.when(best["score"] == 0, "low").when(best["score"] >= 2 * F.greatest(second, F.lit(1)), "high").when(best["score"] > second, "medium").otherwise("low")
+    return F.struct(F.when(best["score"] > 0, best["name"]).otherwise("Other").alias("subject"), sure.alias("confidence"), best["score"].alias("score"), second.alias("runner_up"))

@@ -77,26 +77,38 @@ def row_text_contains(df: DataFrame, text: str, columns: list[str], flagged_only
     return df.filter(hit & (F.col("_issues") != "")) if flagged_only else df.filter(hit)
 
 
-def pair(a: str, b: str) -> Column:
-    """struct(status, confidence, reason) for two documents' identity structs (registration, msn, family, key, source).
+# What a caller may do with a pair.
+PAIR_CLASSES = {
+    "manual_override": "safe", "msn_match": "safe", "registration_match": "safe", "msn_one_side_only": "safe",
+    "filename_only": "ask", "no_match": "ask",
+    "msn_mismatch": "hard-stop", "registration_mismatch": "hard-stop",
+}
 
-    Agreeing registrations or serial numbers are safe; families or numbers that contradict are a hard stop; what agrees
-    in a weaker way is asked about.
+
+def pair(a: str, b: str, override: Column | None = None) -> Column:
+    """struct(status, key, confidence, class, warning) of two documents' structs (msn, registration, key, source).
+
+    The first rung that applies: an override; serial numbers on both, equal or not; registrations on both, equal or not;
+    a serial number on one side that the other's key agrees with; equal keys of file names; nothing in common.
     """
-    x, y = (lambda f: F.col(f"{a}.{f}")), (lambda f: F.col(f"{b}.{f}"))
+    x, y = (lambda f: F.coalesce(F.col(f"{a}.{f}"), F.lit(""))), (lambda f: F.coalesce(F.col(f"{b}.{f}"), F.lit("")))
     both = lambda f: (x(f) != "") & (y(f) != "")
-    same = lambda f: both(f) & (F.upper(x(f)) == F.upper(y(f)))
-    known = both("family") & (x("family") != "Unknown") & (y("family") != "Unknown")
-    verdict = lambda status, sure, why: F.struct(F.lit(status).alias("status"), F.lit(sure).alias("confidence"), F.lit(why).alias("reason"))
-    return (
-        F.when(known & (F.upper(x("family")) != F.upper(y("family"))), verdict("hard-stop", "none", "family_conflict"))
-        .when(both("msn") & ~same("msn"), verdict("hard-stop", "none", "msn_conflict"))
-        .when(same("msn"), verdict("safe", "high", "msn"))
-        .when(same("registration"), verdict("safe", "high", "registration"))
-        .when(both("registration"), verdict("ask", "low", "registration_differs"))
-        .when(same("key"), verdict("ask", "medium", "key"))
-        .when(known, verdict("ask", "low", "family"))
-        .otherwise(verdict("ask", "none", "no_evidence"))
-    )
+    same = lambda f: x(f) == y(f)
 
+    def verdict(status: str, key: Column | str, sure: str, warning: Column | str = "") -> Column:
+        parts = {"status": status, "key": key, "confidence": sure, "class": PAIR_CLASSES[status], "warning": warning}
+        return F.struct(*[(F.lit(v) if isinstance(v, str) else v).alias(k) for k, v in parts.items()])
 
+    differ = lambda f: F.concat(F.lit(f"{f} "), x(f), F.lit(" is not "), y(f))
+    given = F.coalesce(override, F.lit("")) if override is not None else F.lit("")
+    return (
+        F.when(given != "", verdict("manual_override", given, "manual_required"))
+        .when(both("msn") & same("msn"), verdict("msn_match", x("msn"), "high"))
+        .when(both("msn"), verdict("msn_mismatch", "", "manual_required", differ("msn")))
+        .when(both("registration") & same("registration"), verdict("registration_match", x("registration"), "high"))
+        .when(both("registration"), verdict("registration_mismatch", "", "manual_required", differ("registration")))
+        .when((x("msn") != "") & (y("msn") == "") & (y("key") == x("msn")), verdict("msn_one_side_only", x("msn"), "medium", "matched on the second side's key"))
+        .when((y("msn") != "") & (x("msn") == "") & (x("key") == y("msn")), verdict("msn_one_side_only", y("msn"), "medium", "matched on the first side's key"))
+        .when((x("key") != "") & same("key"), verdict("filename_only", x("key"), "manual_required", "matched on keys of file names"))
+        .otherwise(verdict("no_match", "", "manual_required", differ("key")))
+    )

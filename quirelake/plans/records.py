@@ -185,29 +185,39 @@ def family_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llp_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("p_partkey") % 5
-    text = F.concat_ws(" ", "p_name", F.when(k == 0, "engine disk CFM56").when(k == 1, "main landing gear axle").when(k == 2, "APU engine").when(k == 3, "gear and engine").otherwise("bolt"))
+    """Suppliers as lists of life-limited parts, their order lines as records."""
+    li, k = table(spark, sf_dir, "lineitem"), F.col("l_suppkey") % 4
+    module = F.when((k == 0) & (F.col("l_linenumber") <= 2), F.when(F.col("l_linenumber") == 1, "fan").otherwise("HPT"))
+    ata = F.when(k == 0, "72").when(k == 1, "32").when(k == 2, "49").otherwise("21")
+    name = F.when(k == 1, "main fitting pin").otherwise("bolt")
+    signals = identity.record_signals(li.select("l_suppkey", module.alias("MODULE"), ata.alias("ATA"), F.lit("X1").alias("PART_NUMBER"), name.alias("DESCRIPTION")), "l_suppkey")
+    m = F.col("s_suppkey") % 5
+    text = F.when(m == 0, "CFM56-7B engine and CFM56").when(m == 1, "MLG torque link").when(m == 2, "APU GTCP131").otherwise("list")
+    rows = table(spark, sf_dir, "supplier").join(signals.filter("l_suppkey % 3 <> 0"), F.col("s_suppkey") == F.col("l_suppkey"), "left")
     s = identity.subject(text)
-    return table(spark, sf_dir, "part").select("p_partkey", s["subject"].alias("subject"), s["score"].alias("score"), s["confidence"].alias("confidence"))
+    return rows.select("s_suppkey", s["subject"].alias("subject"), s["confidence"].alias("confidence"), s["score"].alias("score"))
+
+
+def short_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey") % 5
+    head = F.when(k == 0, "x\nAircraft Type: Airbus A320-214  MSN 1").when(k == 1, "A/C Type : 737-800 Reg XX").when(k == 2, "fleet of ATR 72s").when(k == 3, "EMB-190 list, B777").otherwise(F.col("p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", identity.short_family(head).alias("family"))
 
 
 def pair_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers and suppliers of a nation as the two documents of a pair."""
+
     def side(key: str, table_name: str, prefix: str) -> DataFrame:
         n = F.col(key)
+        tail = F.when(n % 3 == 0, F.concat(F.lit("VP-"), (n % 9).cast("string"))).otherwise("")
+        msn = F.when(n % 4 == 0, (n % 20).cast("string")).otherwise("")
         return table(spark, sf_dir, table_name).select(
-            n.alias(f"{prefix}_no"),
-            F.struct(
-                F.when(n % 3 == 0, F.concat(F.lit("VP-"), (n % 50).cast("string"))).otherwise("").alias("registration"),
-                F.when(n % 4 == 0, (n % 40).cast("string")).otherwise("").alias("msn"),
-                F.when(n % 5 == 0, F.concat(F.lit("A3"), (n % 2).cast("string"))).otherwise("Unknown").alias("family"),
-                (n % 20).cast("string").alias("key"),
-            ).alias(prefix),
-            F.col(f"{table_name[0]}_nationkey").alias(f"{prefix}_nation"),
+            n.alias(f"{prefix}_no"), F.struct(tail.alias("registration"), msn.alias("msn"), (n % 20).cast("string").alias("key"), F.lit("filename").alias("source")).alias(prefix), F.col(f"{table_name[0]}_nationkey").alias(f"{prefix}_nation")
         )
 
     pairs = side("c_custkey", "customer", "c").join(side("s_suppkey", "supplier", "s"), F.col("c_nation") == F.col("s_nation"))
-    v = compare.pair("c", "s")
-    return pairs.select(v["status"].alias("status"), v["confidence"].alias("confidence"), v["reason"].alias("reason")).groupBy("status", "confidence", "reason").agg(F.count("*").alias("pairs"))
+    v = compare.pair("c", "s", override=F.when(F.col("c_no") % 50 == 7, "KEY"))
+    return pairs.select(v["status"].alias("status"), v["confidence"].alias("confidence"), v["class"].alias("class"), v["key"].alias("key")).groupBy("status", "confidence", "class", "key").agg(F.count("*").alias("pairs"))
 
 
 def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -308,7 +318,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         clean_records, issue_frequency, issue_frequency_by_type, issue_bars, scoreboard, flagged_rows, row_text_search, leading_marks_stripped, clean_cell_range, conform_candidates, forward_fill, imputed_share, pn_group_disagree,
-        row_self_check, normalize_date, report_date_iso, aircraft_key_ladder, key_precedence, family_classify, llp_subject, pair_ladder, snapshot_diff, diff_summary, journey_rollup, journey_latest, profile_percentiles, slowest_topk,
+        row_self_check, normalize_date, report_date_iso, aircraft_key_ladder, key_precedence, family_classify, short_family, llp_subject, pair_ladder, snapshot_diff, diff_summary, journey_rollup, journey_latest, profile_percentiles, slowest_topk,
         sample_per_variant, master_membership, bloom_places, bloom_membership, json_props, word_row_islands, x_band_bucket, nearest_anchor, gap_clusters, page_search,
     )
 }
@@ -352,21 +362,21 @@ SQL = {
       FROM customer LEFT JOIN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 4 = 0) s ON s_suppkey = c_custkey""",
     "family_classify": """SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'A320 family' WHEN 1 THEN 'B777' WHEN 3 THEN 'A330' WHEN 4 THEN 'B737' WHEN 5 THEN 'Embraer' WHEN 6 THEN 'B767' ELSE 'Unknown' END AS family,
       CASE p_partkey % 8 WHEN 0 THEN 'high' WHEN 4 THEN 'high' WHEN 1 THEN 'medium' WHEN 3 THEN 'medium' WHEN 5 THEN 'medium' WHEN 6 THEN 'medium' ELSE 'none' END AS confidence FROM part""",
-    "llp_subject": r"""WITH t AS (SELECT p_partkey, lower(p_name || ' ' || CASE p_partkey % 5 WHEN 0 THEN 'engine disk CFM56' WHEN 1 THEN 'main landing gear axle' WHEN 2 THEN 'APU engine' WHEN 3 THEN 'gear and engine' ELSE 'bolt' END) AS t FROM part),
-      n AS (SELECT p_partkey, 3 * len(regexp_extract_all(t, '\bengine\b')) + 5 * len(regexp_extract_all(t, '\bcfm\s?56|\bcf\s?34|\bv2500|\bpw\d{4}')) + 2 * len(regexp_extract_all(t, '\bdisk\b|\bspool\b|\bblade\b')) AS e,
-        5 * len(regexp_extract_all(t, '\blanding gear\b')) + 2 * len(regexp_extract_all(t, '\bgear\b')) + 2 * len(regexp_extract_all(t, '\baxle\b|\bstrut\b|\bpiston\b')) AS g,
-        5 * len(regexp_extract_all(t, '\bapu\b')) + 5 * len(regexp_extract_all(t, '\bauxiliary power\b')) + 4 * len(regexp_extract_all(t, '\bgtcp')) AS a FROM t),
-      s AS (SELECT *, greatest(e, g, a) AS best, e + g + a - greatest(e, g, a) - least(e, g, a) AS second FROM n)
-      SELECT p_partkey, CASE WHEN best = 0 THEN 'Unknown' WHEN e = best THEN 'Engine' WHEN g = best THEN 'Landing Gear' ELSE 'APU' END AS subject, CAST(best AS BIGINT) AS score,
-        CASE WHEN best = 0 THEN 'none' WHEN 2 * second <= best THEN 'high' ELSE 'low' END AS confidence FROM s""",
-    "pair_ladder": """WITH c AS (SELECT c_nationkey AS nation, CASE WHEN c_custkey % 3 = 0 THEN 'VP-' || (c_custkey % 50) ELSE '' END AS reg, CASE WHEN c_custkey % 4 = 0 THEN CAST(c_custkey % 40 AS VARCHAR) ELSE '' END AS msn,
-        CASE WHEN c_custkey % 5 = 0 THEN 'A3' || (c_custkey % 2) ELSE 'Unknown' END AS fam, c_custkey % 20 AS k FROM customer),
-      s AS (SELECT s_nationkey AS nation, CASE WHEN s_suppkey % 3 = 0 THEN 'VP-' || (s_suppkey % 50) ELSE '' END AS reg, CASE WHEN s_suppkey % 4 = 0 THEN CAST(s_suppkey % 40 AS VARCHAR) ELSE '' END AS msn,
-        CASE WHEN s_suppkey % 5 = 0 THEN 'A3' || (s_suppkey % 2) ELSE 'Unknown' END AS fam, s_suppkey % 20 AS k FROM supplier),
-      v AS (SELECT CASE WHEN c.fam <> 'Unknown' AND s.fam <> 'Unknown' AND c.fam <> s.fam THEN 'hard-stop,none,family_conflict' WHEN c.msn <> '' AND s.msn <> '' AND c.msn <> s.msn THEN 'hard-stop,none,msn_conflict'
-        WHEN c.msn <> '' AND c.msn = s.msn THEN 'safe,high,msn' WHEN c.reg <> '' AND c.reg = s.reg THEN 'safe,high,registration' WHEN c.reg <> '' AND s.reg <> '' THEN 'ask,low,registration_differs'
-        WHEN c.k = s.k THEN 'ask,medium,key' WHEN c.fam <> 'Unknown' AND s.fam <> 'Unknown' THEN 'ask,low,family' ELSE 'ask,none,no_evidence' END AS v FROM c JOIN s USING (nation))
-      SELECT split_part(v, ',', 1) AS status, split_part(v, ',', 2) AS confidence, split_part(v, ',', 3) AS reason, count(*) AS pairs FROM v GROUP BY 1, 2, 3""",
+    "llp_subject": """WITH r AS (SELECT l_suppkey, count(DISTINCT CASE WHEN l_suppkey % 4 = 0 AND l_linenumber <= 2 THEN l_linenumber END) AS modules, count(*) AS n FROM lineitem WHERE l_suppkey % 3 <> 0 GROUP BY 1),
+      c AS (SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN 4 ELSE 0 END + CASE WHEN s_suppkey % 4 = 0 THEN coalesce(modules * 4 + n, 0) ELSE 0 END AS e,
+        CASE s_suppkey % 5 WHEN 1 THEN 2 ELSE 0 END + CASE WHEN s_suppkey % 4 = 1 THEN coalesce(n * 2 + CASE WHEN n >= 3 THEN 4 ELSE 0 END, 0) ELSE 0 END AS g,
+        CASE s_suppkey % 5 WHEN 2 THEN 4 ELSE 0 END + CASE WHEN s_suppkey % 4 = 2 THEN coalesce(n * 2, 0) ELSE 0 END AS a FROM supplier LEFT JOIN r ON l_suppkey = s_suppkey),
+      s AS (SELECT *, greatest(e, g, a) AS best, e + g + a - greatest(e, g, a) - least(e, g, a) AS second FROM c)
+      SELECT s_suppkey, CASE WHEN best = 0 THEN 'Other' WHEN e = best THEN 'Engine' WHEN g = best THEN 'Landing Gear' ELSE 'APU' END AS subject,
+        CASE WHEN best = 0 THEN 'low' WHEN best >= 2 * greatest(second, 1) THEN 'high' WHEN best > second THEN 'medium' ELSE 'low' END AS confidence, CAST(best AS BIGINT) AS score FROM s""",
+    "short_family": "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'A320' WHEN 1 THEN 'B737' WHEN 2 THEN 'ATR72' WHEN 3 THEN 'EMB190' ELSE '' END AS family FROM part",
+    "pair_ladder": """WITH c AS (SELECT c_nationkey AS nation, c_custkey % 50 = 7 AS o, CASE WHEN c_custkey % 3 = 0 THEN 'VP-' || (c_custkey % 9) ELSE '' END AS reg, CASE WHEN c_custkey % 4 = 0 THEN CAST(c_custkey % 20 AS VARCHAR) ELSE '' END AS msn, CAST(c_custkey % 20 AS VARCHAR) AS k FROM customer),
+      s AS (SELECT s_nationkey AS nation, CASE WHEN s_suppkey % 3 = 0 THEN 'VP-' || (s_suppkey % 9) ELSE '' END AS reg, CASE WHEN s_suppkey % 4 = 0 THEN CAST(s_suppkey % 20 AS VARCHAR) ELSE '' END AS msn, CAST(s_suppkey % 20 AS VARCHAR) AS k FROM supplier),
+      v AS (SELECT CASE WHEN o THEN 'manual_override,manual_required,safe,KEY' WHEN c.msn <> '' AND c.msn = s.msn THEN 'msn_match,high,safe,' || c.msn WHEN c.msn <> '' AND s.msn <> '' THEN 'msn_mismatch,manual_required,hard-stop,'
+        WHEN c.reg <> '' AND c.reg = s.reg THEN 'registration_match,high,safe,' || c.reg WHEN c.reg <> '' AND s.reg <> '' THEN 'registration_mismatch,manual_required,hard-stop,'
+        WHEN c.msn <> '' AND s.k = c.msn THEN 'msn_one_side_only,medium,safe,' || c.msn WHEN s.msn <> '' AND c.k = s.msn THEN 'msn_one_side_only,medium,safe,' || s.msn
+        WHEN c.k = s.k THEN 'filename_only,manual_required,ask,' || c.k ELSE 'no_match,manual_required,ask,' END AS v FROM c JOIN s USING (nation))
+      SELECT split_part(v, ',', 1) AS status, split_part(v, ',', 2) AS confidence, split_part(v, ',', 3) AS "class", split_part(v, ',', 4) AS key, count(*) AS pairs FROM v GROUP BY 1, 2, 3, 4""",
     "snapshot_diff": f"""{_DIFF} SELECT change, key, changes, key AS "NO", "STATUS", "PRIORITY" FROM d""",
     "diff_summary": f"{_DIFF} SELECT change, count(*) AS rows FROM d GROUP BY 1",
     "journey_rollup": """WITH g AS (SELECT user_id, count(*) AS rows_total, count(*) FILTER (event_type = 'view') AS rows_l1, count(*) FILTER (event_type = 'click') AS rows_l3, count(*) FILTER (event_type NOT IN ('view', 'click')) AS rows_l4,
