@@ -25,7 +25,7 @@ def test_store(spark, tmp_path):
     store.append(df.withColumn("a", (F.col("id") % 10).cast("int")), "a")
     assert store.version() == 10 and len(store.shards()) == 10
     before = store.shards(10)
-    assert store.compact(keep_versions=True) == 2 and len(store.shards()) == 4
+    assert store.compact(keep_versions=True) == 3 and len(store.shards()) == 1
     assert sorted(r["id"] for r in store.read().collect()) == list(range(400)) == sorted(r["id"] for r in store.read(10).collect())
     assert not store.commit(10, before), "the version is taken"
     assert store.shards(10) == before
