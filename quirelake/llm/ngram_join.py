@@ -8,10 +8,15 @@ documents; the order only decides how large spaces get, never the result.
 
 Within a space, pivots are chosen and every document is measured against them: it belongs to the region of a pivot
 it links with. A document outside must still meet members of other regions, but only those in its window: by the
-triangle inequality, |d(x, p) - d(y, p)| <= EPS for the first pivot p. So each round takes new pivots among the
-documents outside the largest region, measures them against their windows, and joins the regions they link; a space
-is done when every document outside its largest region has been a pivot. Documents of one region need no measuring:
-the result is the regions' union over all spaces, the connected components.
+triangle inequality, |d(x, p) - d(y, p)| <= EPS for the first pivot p. So each round takes new pivots, measures them
+against those of their windows that are in other regions, and joins the regions they link: at first pivots of the
+largest region, which take in most documents outside it, then those outside themselves. A space is done when every
+document outside its largest region has been a pivot. Documents of one region need no measuring: the result is the
+regions' union over all spaces, the connected components.
+
+Sets are large and most documents that share a rare shingle are far apart, so a sketch goes first: the numbers of a
+set's shingles by remainder of their hash. The L1 distance of two sketches is at most the sets' symmetric difference,
+which a link bounds by a ninth of the sizes' sum: a sketch that is further away rules a link out, exactly.
 """
 
 from __future__ import annotations
@@ -32,13 +37,17 @@ EPS = 0.2
 #: The share of all shingles, by hash, whose frequency is counted; prefixes are filled from these first.
 COUNTED = 0.35
 #: Shingles of more documents go last in the order.
-COMMON = 64
+COMMON = 16
 #: Most shingles in the list of common ones (8 bytes each, broadcast): beyond it, only commoner ones are listed.
 MOST_COMMON = 1 << 20
 #: Bits of the filter of documents whose sets are needed (broadcast; beyond its use it lets all pass).
 FILTER_BITS = 1 << 22
-#: Pivots of a space in the second round; later ones take twice as many each.
-PIVOTS = 4
+#: Pivots of a space in a round; rounds that take them inside the largest region; later ones take twice as many each.
+PIVOTS, INNER_TURNS = 32, 2
+#: Edges whose components one task finds (16 bytes each); larger graphs are labelled by joins.
+SMALL_GRAPH = 1 << 20
+#: Members whose sketches are broadcast (a few hundred bytes each); of more, they are joined by shuffle.
+SMALL_SKETCHES = 1 << 16
 #: Keys a task holds before it sends them on.
 HELD = 1 << 20
 
@@ -57,8 +66,24 @@ def _dealt(keys: np.ndarray, parts: int, *columns: np.ndarray) -> Iterator[tuple
         yield int(p), [c[rows] for c in (keys, *columns)]
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Numbers of hashes by remainder, up to 255; about eight to a cell, the cells a power of two."""
+    cells = 1 << max(5, (len(hashes) // 8).bit_length())
+    return np.minimum(np.bincount((hashes & np.uint64(cells - 1)).astype(np.int64), minlength=cells), 255).astype(np.uint8)
+
+
+def _folded(a: np.ndarray, cells: int) -> np.ndarray:
+    """A sketch of fewer cells; a capped number stays a lower bound of what it counts, so folding comes before capping."""
+    return np.minimum(a.astype(np.int64).reshape(-1, cells).sum(0), 255)
+
+
+def may_link(a: np.ndarray, n: int, b: np.ndarray, m: int) -> bool:
+    cells = min(len(a), len(b))
+    return 9 * np.abs(_folded(a, cells) - _folded(b, cells)).sum() <= n + m
+
+
 def _classes(parts: int):
-    """Of each document its set's name and size; of the counted shingles, numbers by part."""
+    """Of each document its set's name, size and sketch; of the counted shingles, numbers by part."""
     limit = np.uint64(int(COUNTED * 2**64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,14 +94,14 @@ def _classes(parts: int):
             keys, numbers = np.unique(np.concatenate(held), return_counts=True)
             rows = [(p, k.astype("<u4").tobytes() + n.astype("<u4").tobytes()) for p, (k, n) in _dealt(keys, parts, numbers)]
             none = pa.nulls(len(rows), pa.int64())
-            return _batch(["doc_id", "n", "fp", "part", "blob"], [none, none, none, pa.array([p for p, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())])
+            return _batch(CLASS_NAMES, [none, none, none, pa.array([p for p, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())])
 
         for batch in batches:
             sets = shingle_sets(batch.column(1).to_pylist())
             m = len(sets)
             yield _batch(
-                ["doc_id", "n", "fp", "part", "blob"],
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([-1] * m, pa.int32()), pa.nulls(m, pa.binary())],
+                CLASS_NAMES,
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([-1] * m, pa.int32()), pa.array([sketch(s).tobytes() for s in sets], pa.binary())],
             )
             for s in sets:
                 held.append(s[: np.searchsorted(s, limit)] >> np.uint64(32))
@@ -91,6 +116,7 @@ def _classes(parts: int):
     return run
 
 
+CLASS_NAMES = ["doc_id", "n", "fp", "part", "blob"]
 _CLASS = "doc_id long, n long, fp long, part int, blob binary"
 
 
@@ -200,6 +226,21 @@ def _rare_spaces(group: pd.DataFrame) -> pd.DataFrame:
     return out.drop_duplicates(["space", "fp"])
 
 
+def _plausible(group: pd.DataFrame) -> pd.DataFrame:
+    """Members that some other member of their space may link with, by their sketches. Rare spaces only: they are small."""
+    group = group.sort_values(["space", "fp"], ignore_index=True)
+    spaces, ns = group["space"].to_numpy(), group["n"].to_numpy()
+    sketches = [np.frombuffer(b, np.uint8) for b in group["blob"]]
+    cuts = np.flatnonzero(np.concatenate([[True], spaces[1:] != spaces[:-1], [True]]))
+    keep = np.zeros(len(group), bool)
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        for i in range(a, b):
+            for j in range(i + 1, b):
+                if not (keep[i] and keep[j]) and 4 * ns[i] <= 5 * ns[j] and 4 * ns[j] <= 5 * ns[i] and may_link(sketches[i], ns[i], sketches[j], ns[j]):
+                    keep[i] = keep[j] = True
+    return group.loc[keep, ["space", "fp", "n"]]
+
+
 def _sets(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = shared.value, set()
@@ -241,16 +282,59 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(["x", "y", "common", "union"], [batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(union, pa.int64())])
 
 
-def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(x, y, common, union) of distinct pairs."""
-    left = sets.select(F.col("fp").alias("x"), F.col("hashes").alias("hx"))
-    right = sets.select(F.col("fp").alias("y"), F.col("hashes").alias("hy"))
-    joined = pairs.join(left, "x").join(right, "y").select("x", "y", "hx", "hy")
+def _may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x, nx, bx, y, ny, by = (c.to_pylist() for c in batch.columns)
+        keep = [may_link(np.frombuffer(a, np.uint8), n, np.frombuffer(b, np.uint8), m) for n, a, m, b in zip(nx, bx, ny, by, strict=True)]
+        yield _batch(["x", "y"], [batch.column(0), batch.column(3)]).filter(pa.array(keep, pa.bool_()))
+
+
+def _named(table: DataFrame, end: str) -> DataFrame:
+    return table.select(F.col("fp").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in table.columns if c != "fp"])
+
+
+def _measured(pairs: DataFrame, sets: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(x, y, common, union) of distinct pairs, without those whose sketches rule a link out."""
+    small = F.broadcast(sketches) if sketches.count() <= SMALL_SKETCHES else sketches
+    may = pairs.join(_named(small, "x"), "x").join(_named(small, "y"), "y")
+    may = may.select("x", "n_x", "blob_x", "y", "n_y", "blob_y").mapInArrow(_may, "x long, y long")
+    joined = may.join(_named(sets, "x"), "x").join(_named(sets, "y"), "y").select("x", "y", "hashes_x", "hashes_y")
     return written(joined.mapInArrow(_measure, "x long, y long, common long, `union` long"), "measured")
 
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over all edges that a task has."""
+    up: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        root = v
+        while up.setdefault(root, root) != root:
+            root = up[root]
+        while up[v] != root:
+            up[v], v = root, up[v]
+        return root
+
+    for batch in batches:
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = find(x), find(y)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    vertices = list(up)
+    yield _batch(["v", "label"], [pa.array(vertices, pa.int64()), pa.array([find(v) for v in vertices], pa.int64())])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(v, label): of each vertex of edges (x, y), the least vertex it is joined to, by spreading and jumping."""
+    """(v, label): of each vertex of edges (x, y), the least vertex it is joined to.
+
+    A small graph's by one task; a larger one's by labels that spread along edges and jump to their labels' own.
+    """
+    edges = written(edges.select("x", "y").filter("x != y"), "edges")
+    if edges.count() <= SMALL_GRAPH:
+        return written(edges.coalesce(1).mapInArrow(_united, "v long, label long"), "labels")
+    return _spread(edges)
+
+
+def _spread(edges: DataFrame) -> DataFrame:
     both = written(edges.select("x", "y").union(edges.select("y", "x")).filter("x != y").distinct(), "edges")
     labels = written(both.groupBy(F.col("x").alias("v")).agg(F.min("y").alias("m")).select("v", F.least("v", "m").alias("label")), "labels")
     while True:
@@ -263,8 +347,8 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _spaces(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(doc_id, n, fp) of all documents; members (space, fp, n) of spaces of two and more; the members' sets."""
+def _spaces(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(doc_id, n, fp) of all documents; members (space, fp, n) of spaces of two and more; the members' sets, and sketches."""
     spark = docs.sparkSession
     parts = 4 * shuffle_partitions(spark)
     first = written(docs.select("doc_id", "text").mapInArrow(_classes(parts), _CLASS), "shingled")
@@ -272,10 +356,18 @@ def _spaces(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     texts = docs.filter(F.length("text") > 0).select("text")
     keyed = written(texts.mapInArrow(_keys(parts, common), "space long, fp long, n long, part int, blob binary"), "prefixes")
     rare = keyed.filter("part >= 0").groupBy("part").applyInPandas(_rare_spaces, "space long, fp long, n long")
-    members = written(rare.union(keyed.filter("part < 0").select("space", "fp", "n")).distinct(), "members")
+    rare = written(rare.distinct(), "rare-spaces")
+    classes = first.filter("part < 0")
+    wanted = rare.select("fp").union(keyed.filter("part < 0").select("fp")).distinct()
+    sketches = classes.join(wanted, "fp", "left_semi").select("fp", "n", "blob").dropDuplicates(["fp"])
+    sketches = written(sketches, "sketches")
+    near = rare.join(sketches.select("fp", "blob"), "fp").withColumn("part", F.pmod("space", F.lit(parts)))
+    near = near.groupBy("part").applyInPandas(_plausible, "space long, fp long, n long")
+    members = written(near.union(keyed.filter("part < 0").select("space", "fp", "n").distinct()), "members")
     bits = spark.sparkContext.broadcast(_filter(members))
     sets = written(texts.mapInArrow(_sets(bits), "fp long, hashes binary").dropDuplicates(["fp"]), "sets")
-    return first.filter("part < 0").select("doc_id", "n", "fp"), members, sets
+    sketches = written(sketches.join(members.select("fp").distinct(), "fp", "left_semi"), "sketches")
+    return classes.select("doc_id", "n", "fp"), members, sets, sketches
 
 
 def _within(a: str, b: str):
@@ -287,45 +379,44 @@ def _link() -> F.Column:
     return 100 * F.col("common") >= 80 * F.col("union")
 
 
-def _regions(members: DataFrame, sets: DataFrame) -> DataFrame:
+def _regions(members: DataFrame, sets: DataFrame, sketches: DataFrame) -> DataFrame:
     """(fp, label) of every member that links with another."""
-    spark = members.sparkSession
-    first = members.groupBy("space").agg(F.min_by("fp", F.struct("n", "fp")).alias("p"), F.min("n").alias("pn"))
-    reached = members.join(first, "space").filter("fp != p").filter(_within("n", "pn"))
-    found = _measured(reached.select(F.col("fp").alias("x"), F.col("p").alias("y")).distinct(), sets)
+    # spaces of one first pivot are one: a group of copies has many, all much alike
+    first = members.groupBy("space").agg(F.min_by("fp", F.struct("n", "fp")).alias("p"))
+    named = written(members.join(first, "space").select(F.col("p").alias("space"), "fp", "n").distinct(), "spaces")
+    own = named.filter("space = fp").select("space", F.col("n").alias("pn"))
+    reached = named.join(own, "space").filter("fp != space").filter(_within("n", "pn"))
+    found = _measured(reached.select(F.col("fp").alias("x"), F.col("space").alias("y")), sets, sketches)
     labels = components(found.filter(_link()).select("x", "y"))
-    d = found.select(F.col("x").alias("fp"), F.col("y").alias("p"), (1 - F.col("common") / F.col("union")).alias("d"))
-    state = (
-        members.join(first.select("space", "p"), "space")
-        .join(d, ["fp", "p"], "left")
-        .select("space", "fp", "n", F.when(F.col("fp") == F.col("p"), F.lit(0.0)).otherwise(F.col("d")).alias("d"), (F.col("fp") == F.col("p")).alias("used"))
-    )
-    pivots = PIVOTS
+    d = found.select(F.col("x").alias("fp"), F.col("y").alias("space"), (1 - F.col("common") / F.col("union")).alias("d"))
+    pivot = F.col("fp") == F.col("space")
+    state = named.join(d, ["fp", "space"], "left").select("space", "fp", "n", F.when(pivot, F.lit(0.0)).otherwise(F.col("d")).alias("d"), pivot.alias("used"))
+    turn = 0
     while True:
-        # each member's region, and the largest of each space by its members that were no pivots
-        named = state.join(labels.select(F.col("v").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-        named = written(named, "state")
-        sizes = named.filter("not used").groupBy("space", "label").agg(F.count("*").alias("c"))
-        largest = sizes.groupBy("space").agg(F.max_by("label", F.struct("c", "label")).alias("top"))
-        outside = named.filter("not used").join(largest, "space").filter("label != top")
-        turn = Window.partitionBy("space").orderBy("label", "fp")
-        chosen = outside.withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= pivots)
+        # each member's region; of each space the one with most members that were no pivots, and how many are outside
+        now = state.join(labels.select(F.col("v").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+        now = written(now, "state")
+        sizes = now.filter("not used").groupBy("space", "label").agg(F.count("*").alias("c"))
+        largest = sizes.groupBy("space").agg(F.max_by("label", F.struct("c", "label")).alias("top"), (F.sum("c") - F.max("c")).alias("outside")).filter("outside > 0")
+        open_ = written(now.join(largest, "space"), "open")
+        # pivots of the largest region take in most of those outside; the last of these are pivots themselves
+        few = (F.col("outside") <= PIVOTS) | F.lit(turn >= INNER_TURNS)
+        rank = F.row_number().over(Window.partitionBy("space").orderBy(F.xxhash64("fp"), "fp"))
+        candidate = open_.filter("not used").filter((F.col("label") != F.col("top")) == few)
+        most = PIVOTS << max(0, 2 * (turn - INNER_TURNS))
+        chosen = candidate.withColumn("rank", rank).filter(F.col("rank") <= most)
         chosen = written(chosen.select("space", F.col("fp").alias("q"), F.col("n").alias("qn"), F.col("d").alias("qd"), F.col("label").alias("ql")), "pivots")
         if chosen.isEmpty():
             return labels.select(F.col("v").alias("fp"), "label")
         near = F.col("d").isNull() | F.col("qd").isNull() | (F.abs(F.col("d") - F.col("qd")) <= EPS + 1e-9)
-        window = named.filter("not used").join(chosen, "space").filter((F.col("label") != F.col("ql")) & near).filter(_within("n", "qn"))
-        found = _measured(window.select(F.least("fp", "q").alias("x"), F.greatest("fp", "q").alias("y")).distinct(), sets)
+        window = open_.filter("not used").join(chosen, "space").filter((F.col("label") != F.col("ql")) & near).filter(_within("n", "qn"))
+        found = _measured(window.select(F.least("fp", "q").alias("x"), F.greatest("fp", "q").alias("y")).distinct(), sets, sketches)
         links = found.filter(_link()).select("x", "y")
         if not links.isEmpty():
             labels = components(links.union(labels.select(F.col("v").alias("x"), F.col("label").alias("y"))))
-        open_ = chosen.select("space").distinct()
-        state = (
-            named.join(open_, "space", "left_semi")
-            .join(chosen.select("space", F.col("q").alias("fp"), F.lit(True).alias("now")), ["space", "fp"], "left")
-            .select("space", "fp", "n", "d", (F.col("used") | F.coalesce("now", F.lit(False))).alias("used"))
-        )
-        pivots *= 2
+        picked = chosen.select("space", F.col("q").alias("fp"), F.lit(True).alias("now"))
+        state = open_.join(picked, ["space", "fp"], "left").select("space", "fp", "n", "d", (F.col("used") | F.coalesce("now", F.lit(False))).alias("used"))
+        turn += 1
 
 
 def link_components(docs: DataFrame) -> DataFrame:
@@ -338,8 +429,8 @@ def link_components(docs: DataFrame) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     rows = with_columns_of(docs, doc_id=T.LongType(), text=T.StringType())
-    classes, members, sets = _spaces(rows)
-    labels = _regions(members, sets)
+    classes, members, sets, sketches = _spaces(rows)
+    labels = _regions(members, sets, sketches)
     named = classes.filter("n > 0").join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     linked = named.join(least, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
@@ -350,9 +441,8 @@ def link_components(docs: DataFrame) -> DataFrame:
 def near_duplicates_removed(docs: DataFrame) -> DataFrame:
     """The rows of docs without those of a component other than its least doc_id's; all columns stay.
 
-    Of rows with that doc_id only one stays, the one of the least text; rows without words stay all.
+    Rows without words stay all, and so do rows that repeat a doc_id that stays, or have none.
     """
-    keep = link_components(docs)
-    lead = keep.filter("doc_id <=> component_id").select("doc_id").distinct()
-    own = docs.join(lead.withColumnRenamed("doc_id", "kept_id"), docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
-    return own
+    lead = link_components(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = docs.filter(F.col("doc_id").isNotNull()).join(lead, docs["doc_id"] == lead["kept_id"], "left_semi")
+    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
