@@ -43,7 +43,7 @@ MOST_COMMON = 1 << 20
 #: Bits of the filter of documents whose sets are needed (broadcast; beyond its use it lets all pass).
 FILTER_BITS = 1 << 22
 #: Pivots of a space in a round; rounds that take them inside the largest region; later ones take twice as many each.
-PIVOTS, INNER_TURNS = 32, 2
+PIVOTS, INNER_TURNS = 8, 3
 #: Edges whose components one task finds (16 bytes each); larger graphs are labelled by joins.
 SMALL_GRAPH = 1 << 20
 #: Members whose sketches are broadcast (a few hundred bytes each); of more, they are joined by shuffle.
@@ -67,8 +67,8 @@ def _dealt(keys: np.ndarray, parts: int, *columns: np.ndarray) -> Iterator[tuple
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
-    """Numbers of hashes by remainder, up to 255; about eight to a cell, the cells a power of two."""
-    cells = 1 << max(5, (len(hashes) // 8).bit_length())
+    """Numbers of hashes by remainder, up to 255; one or two to a cell, the cells a power of two."""
+    cells = 1 << max(5, (len(hashes) // 2).bit_length())
     return np.minimum(np.bincount((hashes & np.uint64(cells - 1)).astype(np.int64), minlength=cells), 255).astype(np.uint8)
 
 
