@@ -155,6 +155,57 @@ def test_toxicity(spark):
     assert kneser_ney.toxicity(docs, labels.limit(0)).count() == docs.count()
 
 
+def plain_ratio(counted, text):
+    """The ratio of a text by exact counts of the texts (text, toxic) that are counted."""
+    of, pre, after = ({}, {}), {}, {}
+    for t, toxic in counted:
+        w = ["", "", *t.split()]
+        for x, y, z in zip(w, w[1:], w[2:], strict=False):
+            of[toxic].setdefault(z, set()).add(y)
+            pre.setdefault((y, z), set()).add(x)
+    for (y, _), x in pre.items():
+        after[y] = after.get(y, 0) + len(x)
+    n = [{w: len(x) for w, x in c.items()} for c in of]
+    both = {w: n[0].get(w, 0) + n[1].get(w, 0) for w in n[0] | n[1]}
+
+    def backed(counts, discount, below):
+        total = sum(counts.values())
+        left = 1 - sum(max(c - discount, 0) for c in counts.values()) / total
+        return lambda w: max(counts.get(w, 0) - discount, 0) / total + left * below(w)
+
+    base = backed(both, 1.0, lambda w: 1 / max(len(both), 1 << 20))
+    lower, total, w = [backed(c, 2.0, base) for c in n], 0.0, ["", *text.split()]
+    for y, z in zip(w, w[1:], strict=False):
+        kept = min(max(len(pre.get((y, z), ())) - 10.0, 0) / max(after.get(y, 0), 1), 0.95)
+        o, t = (np.log(kept + (1 - kept) * c(z)) for c in lower)
+        total += np.sign(t - o) * max(abs(t - o) - kneser_ney.MARGIN, 0)
+    return total / (len(w) - 1)
+
+
+def test_toxicity_counts_words_and_bigrams_exactly(spark):
+    import zlib
+
+    names = [f"w{i}" for i in range(8000)]
+    at = {}
+    for name, h in zip(names, kneser_ney.words_of([" ".join(names)])[0], strict=True):
+        at.setdefault(int(h) >> 44, []).append(name)
+    # pairs of words whose hashes agree in their first twenty bits
+    alike = [x for x in at.values() if len(x) > 1][:8]
+    assert len(alike) == 8
+    rng, rows = random.Random(3), []
+    for i in range(600):
+        toxic = i % 4 == 0
+        own = [rng.choice(names[:40]) for _ in range(40)]
+        own[::5] = [rng.choice(alike)[toxic] for _ in own[::5]]
+        rows.append((i, " ".join(own), int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model, _ = kneser_ney.train(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    counted = [(t, toxic) for i, t, toxic in rows if zlib.crc32(str(i).encode()) % 4 < 2]
+    for text in [rows[2][1], rows[4][1], alike[0][0], alike[0][1], f"{names[0]} {alike[1][1]} unheard"]:
+        assert model.ratio(kneser_ney.words_of([text])[0]) == pytest.approx(plain_ratio(counted, text), abs=1e-4)
+    assert model.ratio(kneser_ney.words_of([alike[0][1]])[0]) > 0 > model.ratio(kneser_ney.words_of([alike[0][0]])[0])
+
+
 def plain_sets(text):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
