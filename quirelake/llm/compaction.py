@@ -128,13 +128,21 @@ class ShardStore:
     def append(self, arrivals: DataFrame, arrival: str) -> None:
         """Appends rows, the column `arrival` (a whole number) telling which arrival they are of; it is not kept.
 
-        Each arrival is committed by itself, in order. An arrival without rows changes nothing.
+        Each arrival is committed by itself, in order; rows of a null arrival are one before all that the store has.
+        An arrival without rows changes nothing. Other values than whole numbers are an error.
         """
         folder = f"{self.root}/arrived-{uuid.uuid4().hex}"
         arrivals.write.partitionBy(arrival).parquet(folder)
         fs, at = hadoop_fs(self.spark, folder)
-        names = [f.getPath().getName() for f in fs.listStatus(at) if f.isDirectory()]
-        for no, name in sorted((int(n.partition("=")[2]), n) for n in names if n.partition("=")[2].lstrip("-").isdigit()):
+        values = {n.partition("=")[2]: n for n in (f.getPath().getName() for f in fs.listStatus(at) if f.isDirectory()) if "=" in n}
+        null = values.pop("__HIVE_DEFAULT_PARTITION__", None)
+        if odd := [v for v in values if not v.removeprefix("-").isdigit()]:
+            fs.delete(at, True)
+            raise ValueError(f"arrivals that are no whole numbers: {sorted(odd)[:3]}")
+        named = {int(v): n for v, n in values.items()}
+        if null:
+            named[min([0, *named, *(s.first for s in self.shards())]) - 1] = null
+        for no, name in sorted(named.items()):
             new = self._adopted(f"{folder}/{name}", no, no)
             self._changed(lambda old, new=new: old + new)
 

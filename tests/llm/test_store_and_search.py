@@ -31,6 +31,19 @@ def test_store(spark, tmp_path):
     assert store.shards(10) == before
 
 
+def test_store_keeps_rows_without_arrival(spark, tmp_path):
+    store = compaction.ShardStore(spark, f"file://{tmp_path}/store")
+    df = spark.range(40).coalesce(1)
+    for part in (df.filter("id < 20"), df.filter("id >= 20")):
+        store.append(part.withColumn("a", F.when(F.col("id") % 3 > 0, F.col("id") % 3)), "a")
+    assert sorted(r["id"] for r in store.read().collect()) == list(range(40))
+    assert [s.first for s in store.shards()] == [-1, 1, 2, -2, 1, 2]
+    with pytest.raises(ValueError, match="whole"):
+        store.append(df.withColumn("a", F.lit("x")), "a")
+    store.compact()
+    assert sorted(r["id"] for r in store.read().collect()) == list(range(40))
+
+
 def test_sharded(spark):
     rows = [(1, None, "x"), (2, "", "y"), (None, "a", "z"), (3, "b", "w"), (3, "b", "w")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, _merge string")
