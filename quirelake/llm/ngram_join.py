@@ -419,6 +419,14 @@ def _regions(members: DataFrame, sets: DataFrame, sketches: DataFrame) -> DataFr
         turn += 1
 
 
+def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, fp) of all rows, and those with words with their component's label."""
+    small_batches(docs.sparkSession)
+    classes, members, sets, sketches = _spaces(with_columns_of(docs, doc_id=T.LongType(), text=T.StringType()))
+    labels = _regions(members, sets, sketches)
+    return classes, classes.filter("n > 0").join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+
+
 def link_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text).
 
@@ -427,22 +435,44 @@ def link_components(docs: DataFrame) -> DataFrame:
     doc_id is no least one: such a row takes the least doc_id of its component, null if all are. An empty table has no
     rows. Other columns are not read. Shingles and sets count by 64-bit hashes.
     """
-    small_batches(docs.sparkSession)
-    rows = with_columns_of(docs, doc_id=T.LongType(), text=T.StringType())
-    classes, members, sets, sketches = _spaces(rows)
-    labels = _regions(members, sets, sketches)
-    named = classes.filter("n > 0").join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    classes, named = _labelled(docs)
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     linked = named.join(least, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = classes.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
 
 
+def _sets_of_rows(text: int):
+    """Adds the name and size of the set of the column numbered text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = shingle_sets(batch.column(text).to_pylist())
+            columns = [pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
+            yield _batch([*batch.schema.names, "fp", "n"], [*batch.columns, *columns])
+
+    return run
+
+
 def near_duplicates_removed(docs: DataFrame) -> DataFrame:
-    """The rows of docs without those of a component other than its least doc_id's; all columns stay.
+    """One row of each component, with all its columns: of the least doc_id, nulls last, then of the least hash.
 
-    Rows without words stay all, and so do rows that repeat a doc_id that stays, or have none.
+    Rows without words stay all.
     """
-    lead = link_components(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.filter(F.col("doc_id").isNotNull()).join(lead, docs["doc_id"] == lead["kept_id"], "left_semi")
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+    classes, named = _labelled(docs)
+    least = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("lead"))
+    lead = written(least.select(F.col("lead.doc_id").alias("kept_id"), F.col("lead.fp").alias("kept_fp")), "leads")
+    again = written(classes.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("doc_id").alias("again_id")), "repeated")
+    # a doc_id of one row names it; the others' rows are told apart by their sets
+    once = lead.select("kept_id").union(classes.filter("n = 0").select("doc_id")).dropna().distinct()
+    once = once.join(again, once["kept_id"] == again["again_id"], "left_anti")
+    rows = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    doc_id, text = (F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "text"))
+    kept = rows.join(once, doc_id.cast("long") == F.col("kept_id"), "left_semi")
+    more = rows.filter(doc_id.isNull()).unionByName(rows.join(again, doc_id.cast("long") == F.col("again_id"), "left_semi"))
+    schema = T.StructType([*more.schema.fields, T.StructField("fp", T.LongType()), T.StructField("n", T.LongType())])
+    more = more.mapInArrow(_sets_of_rows(docs.columns.index("text")), schema)
+    leads = more.filter("n > 0").join(lead, doc_id.cast("long").eqNullSafe(F.col("kept_id")) & (F.col("fp") == F.col("kept_fp")), "left_semi")
+    hashed = F.xxhash64(*[F.col(f.name) for f in rows.schema.fields if "map<" not in f.dataType.simpleString()])
+    one = leads.groupBy(doc_id.cast("long"), "fp").agg(F.min_by(F.struct(*rows.columns), F.struct(hashed, text)).alias("row")).select("row.*")
+    return kept.unionByName(one).unionByName(more.filter("n = 0").select(*rows.columns)).toDF(*docs.columns)

@@ -255,6 +255,14 @@ def test_ngram_join(spark, monkeypatch):
     assert {r["doc_id"] for r in kept.collect()} - {None} == want
 
 
+def test_one_row_of_each_component_stays(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(7, a, "x")] * 50 + [(8, a, "y"), (None, a, "y"), (9, b, "x"), (9, c, "x"), (4, c, "y"), (None, "only null ids", "x"), (None, "only  null ids", "x"), (3, "", "x"), (3, "", "x"), (None, None, "x")]
+    kept = ngram_join.near_duplicates_removed(spark.createDataFrame(rows, "doc_id long, text string, fp string").repartition(3)).collect()
+    got = sorted(repr((r["doc_id"], " ".join((r["text"] or "").split()))) for r in kept)
+    assert got == sorted(map(repr, [(7, a), (9, b), (4, c), (None, "only null ids"), (3, ""), (3, ""), (None, "")]))
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=80), st.data())
 def test_sketches_rule_out_no_link(a, data):
