@@ -1,13 +1,15 @@
 """Personal data, secrets, fingerprints, toxicity, near duplicates, mixing: against plain versions, on awkward rows."""
 
+import dataclasses
 import hashlib
 import random
 import re
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import find, given, settings
 from hypothesis import strategies as st
+from hypothesis.errors import NoSuchExample
 from pyspark.sql import functions as F
 
 from quirelake.llm import kneser_ney, mixing, ngram_join, parsing, pii, secret_index, shingles
@@ -155,6 +157,22 @@ def test_toxicity(spark):
     assert kneser_ney.toxicity(docs, labels.limit(0)).count() == docs.count()
 
 
+@pytest.mark.parametrize("rule", [r for r in secret_index.RULES if secret_index.trigram_query(r)], ids=lambda r: r.kind)
+def test_trigram_queries_follow_from_the_expressions(rule):
+    """No match is generated that the literals miss; without any one of their ways some match is."""
+    matches = st.from_regex(re.compile(rule.pattern, re.ASCII), fullmatch=True)
+
+    def missed(literals):
+        ways = secret_index.trigram_query(dataclasses.replace(rule, literals=literals))
+        return lambda m: ways is None or not any(all(g in m.lower() for g in way) for way in ways)
+
+    tries = settings(max_examples=200, deadline=None, database=None, derandomize=True)
+    with pytest.raises(NoSuchExample):
+        find(matches, missed(rule.literals), settings=tries)
+    for way in rule.literals if len(rule.literals) > 1 else ():
+        assert find(matches, missed(tuple(w for w in rule.literals if w != way)), settings=tries)
+
+
 def plain_ratio(counted, text):
     """The ratio of a text by exact counts of the texts (text, toxic) that are counted."""
     of, pre, after = ({}, {}), {}, {}
