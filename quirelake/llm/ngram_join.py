@@ -1,90 +1,99 @@
 """Exact Jaccard self-join of documents on word shingles, as a join in a metric space.
 
 Distance is 1 - Jaccard, a metric on sets; documents link within EPS = 0.2. Distances of texts crowd at 1, where the
-triangle inequality separates nothing, so the space is first cut into *spaces*: documents that share one of the rare
-shingles of their prefixes. Two documents that link share at least one (any 4/5 of a set meets the first fifth and one
-of every total order), so joining each space by itself loses no link. Which shingles are rare is counted over all
-documents; the order only decides how large spaces get, never the result.
-
-Within a space, pivots are chosen and every document is measured against them: it belongs to the region of a pivot
-it links with. A document outside must still meet members of other regions, but only those in its window: by the
-triangle inequality, |d(x, p) - d(y, p)| <= EPS for the first pivot p. So each round takes new pivots, measures them
-against those of their windows that are in other regions, and joins the regions they link: at first pivots of the
-largest region, which take in most documents outside it, then those outside themselves. A space is done when every
-document outside its largest region has been a pivot. Documents of one region need no measuring: the result is the
-regions' union over all spaces, the connected components.
-
-Sets are large and most documents that share a rare shingle are far apart, so a sketch goes first: the numbers of a
-set's shingles by remainder of their hash. The L1 distance of two sketches is at most the sets' symmetric difference,
-which a link bounds by a ninth of the sizes' sum: a sketch that is further away rules a link out, exactly.
+triangle inequality separates nothing, so the space is first cut into *regions* by shared rare shingles: the shorter of
+two documents that link has one of their common shingles among the first ninth of its set, the longer one among its
+first fifth, in every total order. Every shingle of every document is counted, and the order puts rare ones first; it
+only decides how large regions get, never the result.
+
+A region that does not fit a task is split by pivots, recursively. Each member is measured against all pivots of its
+region; it is at home in the Voronoi cell of the nearest, and by the triangle inequality meets members at home in
+another cell only if that one's pivot is within 2 * EPS of its nearest one's distance, so copies go to just these cells.
+Cells are regions again, until they fit. A region that no pivots separate (near copies of one text) is cut into blocks by
+hash, and each two blocks are a region, but for those whose members the pivots have already linked with each other.
+
+A region that fits is joined by one task. Sketches go first: the numbers of a set's shingles by remainder of their hash.
+The L1 distance of two sketches is at most the sets' symmetric difference, which a link bounds by a ninth of the sizes'
+sum, so a sketch that is further away rules a link out, exactly. Whoever has a plausible partner goes on with the whole
+set; in a region, members are measured against all others until everyone outside the largest linked group has been. What
+comes out are the links of spanning forests, whose connected components are the result, never all pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quirelake.llm.common import shuffle_partitions, small_batches, with_columns_of, written
-from quirelake.llm.shingles import set_id, shingle_sets
+from quirelake.llm.shingles import mixed, set_id, shingle_sets
 
 EPS = 0.2
-#: The share of all shingles, by hash, whose frequency is counted; prefixes are filled from these first.
-COUNTED = 0.35
+#: Bits of a shingle's hash by which it is counted; a collision only makes a shingle look less rare.
+KEY_BITS = 48
 #: Shingles of more documents go last in the order.
-COMMON = 16
-#: Most shingles in the list of common ones (8 bytes each, broadcast): beyond it, only commoner ones are listed.
-MOST_COMMON = 1 << 20
-#: Bits of the filter of documents whose sets are needed (broadcast; beyond its use it lets all pass).
-FILTER_BITS = 1 << 22
-#: Pivots of a space in a round; rounds that take them inside the largest region; later ones take twice as many each.
-PIVOTS, INNER_TURNS = 8, 3
+COMMON = 2
+#: Most shingles in the list of common ones (16 bytes each, broadcast): beyond it, only commoner ones are listed.
+MOST_COMMON = 1 << 22
+#: Shingles that a task holds before it sends their counts, or their keys, on.
+HELD_COUNTS, HELD_KEYS = 1 << 22, 1 << 20
+#: Documents of a part, about, so that a part's shingles fit a task however many documents there are.
+PART_DOCUMENTS = 8192
+#: Members of a region that one task joins, and shingles of them.
+FIT, FIT_SHINGLES = 2048, 1 << 22
+#: Pivots of a region that is split; the share of its members that a cell may have for the split to go on.
+PIVOTS, SHRINKS = 16, 0.7
+#: Members measured inside the largest linked group before all those outside it.
+INNER_TURNS = 6
+#: Bits of the filter of rows whose sets are needed: eight for each, this many at most (broadcast; beyond its use all pass).
+FILTER_BITS = 1 << 26
 #: Edges whose components one task finds (16 bytes each); larger graphs are labelled by joins.
 SMALL_GRAPH = 1 << 20
-#: Members whose sketches are broadcast (a few hundred bytes each); of more, they are joined by shuffle.
-SMALL_SKETCHES = 1 << 16
-#: Keys a task holds before it sends them on.
-HELD = 1 << 20
 
 
 def _batch(names: list[str], columns: list[pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def _dealt(keys: np.ndarray, parts: int, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """Rows by key modulo parts."""
-    r = (keys % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(r, kind="stable")
-    cuts = np.searchsorted(r[order], np.arange(parts + 1))
-    for p in np.flatnonzero(np.diff(cuts)):
-        rows = order[cuts[p] : cuts[p + 1]]
-        yield int(p), [c[rows] for c in (keys, *columns)]
+# counting
 
 
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """Numbers of hashes by remainder, up to 255; one or two to a cell, the cells a power of two."""
-    cells = 1 << max(5, (len(hashes) // 2).bit_length())
-    return np.minimum(np.bincount((hashes & np.uint64(cells - 1)).astype(np.int64), minlength=cells), 255).astype(np.uint8)
+def _packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending distinct keys by their steps, and counts up to 255 (the rest as keys repeated), byte planes compressed."""
+    more = np.repeat(keys, (counts - 1) // 255)
+    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
+    planes = steps.view(np.uint8).reshape(-1, 8).T.copy()
+    small = ((counts - 1) % 255 + 1).astype(np.uint8)
+    return zstandard.ZstdCompressor(level=1).compress(np.array([len(keys), len(more)], "<u8").tobytes() + planes.tobytes() + small.tobytes() + more.astype("<u8").tobytes())
 
 
-def _folded(a: np.ndarray, cells: int) -> np.ndarray:
-    """A sketch of fewer cells; a capped number stays a lower bound of what it counts, so folding comes before capping."""
-    return np.minimum(a.astype(np.int64).reshape(-1, cells).sum(0), 255)
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    n, m = (int(x) for x in data[:16].view("<u8"))
+    keys = np.cumsum(data[16 : 16 + 8 * n].reshape(8, n).T.copy().view("<u8")[:, 0], dtype=np.uint64)
+    more = data[16 + 9 * n :].copy().view("<u8")
+    return np.concatenate([keys, more]), np.concatenate([data[16 + 8 * n : 16 + 9 * n].astype(np.int64), np.full(m, 255)])
 
 
-def may_link(a: np.ndarray, n: int, b: np.ndarray, m: int) -> bool:
-    cells = min(len(a), len(b))
-    return 9 * np.abs(_folded(a, cells) - _folded(b, cells)).sum() <= n + m
+def _key(hashes: np.ndarray) -> np.ndarray:
+    return hashes >> np.uint64(64 - KEY_BITS)
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Numbers of hashes by remainder, up to 255; one or two to a cell, the cells a power of two."""
+    cells = 1 << max(5, (len(hashes) // 2).bit_length())
+    return np.minimum(np.bincount((hashes & np.uint64(cells - 1)).astype(np.int64), minlength=cells), 255).astype(np.uint8)
 
 
 def _classes(parts: int):
-    """Of each document its set's name, size and sketch; of the counted shingles, numbers by part."""
-    limit = np.uint64(int(COUNTED * 2**64))
+    """Of each document its set's name, size and sketch; of all shingles, numbers by part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -92,9 +101,13 @@ def _classes(parts: int):
 
         def counted() -> pa.RecordBatch:
             keys, numbers = np.unique(np.concatenate(held), return_counts=True)
-            rows = [(p, k.astype("<u4").tobytes() + n.astype("<u4").tobytes()) for p, (k, n) in _dealt(keys, parts, numbers)]
-            none = pa.nulls(len(rows), pa.int64())
-            return _batch(CLASS_NAMES, [none, none, none, pa.array([p for p, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())])
+            # parts are ranges of keys, so a part's keys are close together
+            cuts = np.searchsorted(keys, (np.arange(parts + 1, dtype=np.float64) * (2.0**KEY_BITS / parts)).astype(np.uint64))
+            cuts[-1] = len(keys)
+            full = np.flatnonzero(np.diff(cuts))
+            blobs = [_packed(keys[cuts[p] : cuts[p + 1]], numbers[cuts[p] : cuts[p + 1]]) for p in full]
+            none = pa.nulls(len(full), pa.int64())
+            return _batch(CLASS_NAMES, [none, none, none, pa.array(full.astype(np.int32)), pa.array(blobs, pa.binary())])
 
         for batch in batches:
             sets = shingle_sets(batch.column(1).to_pylist())
@@ -104,9 +117,9 @@ def _classes(parts: int):
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([-1] * m, pa.int32()), pa.array([sketch(s).tobytes() for s in sets], pa.binary())],
             )
             for s in sets:
-                held.append(s[: np.searchsorted(s, limit)] >> np.uint64(32))
-                size += len(held[-1])
-            if size >= HELD:
+                held.append(_key(s))
+                size += len(s)
+            if size >= HELD_COUNTS:
                 yield counted()
                 held.clear()
                 size = 0
@@ -120,186 +133,280 @@ CLASS_NAMES = ["doc_id", "n", "fp", "part", "blob"]
 _CLASS = "doc_id long, n long, fp long, part int, blob binary"
 
 
-def _common(group: pd.DataFrame) -> pd.DataFrame:
-    blobs = [np.frombuffer(b, "<u4").reshape(2, -1) for b in group["blob"]]
-    keys, which = np.unique(np.concatenate([b[0] for b in blobs]), return_inverse=True)
-    numbers = np.bincount(which, weights=np.concatenate([b[1] for b in blobs]))
+def _common(table: pa.Table) -> pa.Table:
+    """The part's shingles of more than COMMON documents, with their numbers."""
+    both = [_unpacked(b.as_py()) for b in table["blob"]]
+    keys, which = np.unique(np.concatenate([k for k, _ in both]), return_inverse=True)
+    numbers = np.bincount(which, weights=np.concatenate([c for _, c in both])).astype(np.int64)
     keep = numbers > COMMON
-    return pd.DataFrame({"key": keys[keep].astype(np.int64), "df": numbers[keep].astype(np.int64)})
+    return pa.table({"key": pa.array(keys[keep].astype(np.int64)), "df": pa.array(numbers[keep])})
 
 
 def _listed(counts: DataFrame) -> np.ndarray:
-    """The common shingles (the upper halves of their hashes), at most MOST_COMMON, commonest last."""
-    table = written(counts.filter("part >= 0").groupBy("part").applyInPandas(_common, "key long, df long"), "common")
+    """The keys of common shingles, ascending, and their numbers: the commonest powers of two that are MOST_COMMON at most."""
+    table = written(counts.filter("part >= 0").groupBy("part").applyInArrow(_common, "key long, df long"), "common")
     levels = sorted((r["l"], r["c"]) for r in table.groupBy(F.floor(F.log2("df")).cast("int").alias("l")).agg(F.count("*").alias("c")).collect())
     total, least = 0, 64
     for level, c in reversed(levels):
         if total + c > MOST_COMMON:
             break
         total, least = total + c, level
-    rows = table.filter(F.floor(F.log2("df")) >= least).toPandas()
-    return np.array([rows["key"], rows["df"]], np.uint64)[:, np.argsort(rows["key"].to_numpy(), kind="stable")]
+    rows = table.filter(F.floor(F.log2("df")) >= least).toArrow()
+    keys, numbers = (rows[c].to_numpy().astype(np.uint64) for c in ("key", "df"))
+    return np.array([keys, numbers])[:, np.argsort(keys, kind="stable")]
 
 
-def prefix(hashes: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first fifth of a set and one more in the total order, and which of these are common.
+# regions
 
-    The order: counted shingles that are not common, by hash; those not counted, by hash; common ones, by frequency.
+
+def prefix(hashes: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, int]:
+    """The first fifth of a set and one more in the total order, and how many of them are not listed as common.
+
+    The order: shingles that are not listed, by hash; listed ones, by frequency.
     """
     n = len(hashes)
     want = n // 5 + 1 if n else 0
-    counted = np.searchsorted(hashes, np.uint64(int(COUNTED * 2**64)))
-    upper = hashes[:counted] >> np.uint64(32)
-    at = np.minimum(np.searchsorted(common[0], upper), max(common.shape[1] - 1, 0))
-    is_common = common[0][at] == upper if common.shape[1] else np.zeros(counted, bool)
-    rare = np.concatenate([hashes[:counted][~is_common], hashes[counted:]])
+    if not common.shape[1]:
+        return hashes[:want], want
+    keys = _key(hashes)
+    at = np.minimum(np.searchsorted(common[0], keys), common.shape[1] - 1)
+    is_common = common[0][at] == keys
+    rare = hashes[~is_common]
     if len(rare) >= want:
-        return rare[:want], np.zeros(want, bool)
-    rest = hashes[:counted][is_common]
+        return rare[:want], want
+    rest = hashes[is_common]
     rest = rest[np.lexsort((rest, common[1][at[is_common]]))]
-    return np.concatenate([rare, rest])[:want], np.arange(want) >= len(rare)
+    return np.concatenate([rare, rest])[:want], len(rare)
+
+
+_ENTRY = np.dtype([("key", "<u8"), ("fp", "<i8"), ("n", "<i4")])  # n is negative where the key is none of the first ninth
+MEMBER = "space long, fp long, n long, first boolean"
 
 
 def _keys(parts: int, shared):
-    """Prefixes: rare keys by part; common ones as rows of their space."""
+    """Prefixes: by part, those that are not common; the rest in rows of their own, whose parts are no two the same."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = shared.value
-        held: list[tuple] = []
-        size = 0
+        from pyspark import TaskContext
+
+        common, task = shared.value, TaskContext.get().partitionId()
+        held: list[np.ndarray] = []
+        hot: list[np.ndarray] = []
+        size = turn = 0
         seen: set[int] = set()
-        names = ["space", "fp", "n", "part", "blob"]
 
-        def dealt() -> pa.RecordBatch:
-            keys, fps, ns = (np.concatenate(x) for x in zip(*held, strict=True))
-            rows = [(p, b"".join([k.tobytes(), f.tobytes(), n.tobytes()])) for p, (k, f, n) in _dealt(keys, parts, fps, ns)]
-            none = pa.nulls(len(rows), pa.int64())
-            return _batch(names, [none, none, none, pa.array([p for p, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())])
+        def dealt() -> Iterator[pa.RecordBatch]:
+            nonlocal turn
+            out: list[tuple[int, bytes]] = []
+            if held:
+                rows = np.concatenate(held)
+                part = (rows["key"] % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                cuts = np.searchsorted(part[order], np.arange(parts + 1))
+                out = [(int(p), rows[order[cuts[p] : cuts[p + 1]]].tobytes()) for p in np.flatnonzero(np.diff(cuts))]
+            if hot:
+                out.append((-1 - (task << 32 | turn), np.concatenate(hot).tobytes()))
+                turn += 1
+            if out:
+                yield _batch(["part", "blob"], [pa.array([p for p, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())])
 
         for batch in batches:
-            spaces: list[tuple] = []
             for s in shingle_sets(batch.column(0).to_pylist()):
                 fp = set_id(s)
                 if not len(s) or fp in seen:
                     continue
-                if len(seen) < HELD:  # spares copies only; spaces are sets
+                if len(seen) < HELD_KEYS:  # spares copies only; spaces are sets
                     seen.add(fp)
-                keys, is_common = prefix(s, common)
-                rare = keys[~is_common]
-                held.append((rare, np.full(len(rare), fp, np.int64), np.full(len(rare), len(s), np.int64)))
-                size += len(rare)
-                spaces += [(k, fp, len(s)) for k in keys[is_common].view(np.int64).tolist()]
-            if spaces:
-                columns = [pa.array(x, pa.int64()) for x in zip(*spaces, strict=True)]
-                yield _batch(names, [*columns, pa.array([-1] * len(spaces), pa.int32()), pa.nulls(len(spaces), pa.binary())])
-            if size >= HELD:
-                yield dealt()
+                keys, rare = prefix(s, common)
+                row = np.empty(len(keys), _ENTRY)
+                row["key"], row["fp"], row["n"] = keys, fp, len(s)
+                row["n"][len(s) // 9 + 1 :] *= -1
+                held.append(row[:rare])
+                if rare < len(row):
+                    hot.append(row[rare:])
+                size += len(row)
+            if size >= HELD_KEYS:
+                yield from dealt()
                 held.clear()
+                hot.clear()
                 size = 0
-        if size:
-            yield dealt()
+        yield from dealt()
 
     return run
 
 
-def _rare_spaces(group: pd.DataFrame) -> pd.DataFrame:
-    """Spaces of two members and more; neighbours in size whose sizes alone rule out a link part them."""
-    columns = [np.frombuffer(b, np.int64).reshape(3, -1) for b in group["blob"]]
-    keys, fps, ns = np.concatenate(columns, axis=1)
-    order = np.lexsort((fps, ns, keys))
-    keys, fps, ns = keys[order], fps[order], ns[order]
-    same = keys[1:] == keys[:-1]
-    fresh = np.concatenate([[True], ~(same & (fps[1:] == fps[:-1]))])
-    keys, fps, ns = keys[fresh], fps[fresh], ns[fresh]
-    begins = np.concatenate([[True], (keys[1:] != keys[:-1]) | (5 * ns[:-1] < 4 * ns[1:])])
+def _spaces_of(key: tuple, table: pa.Table) -> pa.Table:
+    """A part's spaces of two members and more. Neighbours in size whose sizes alone rule out a link part them."""
+    rows = np.concatenate([np.frombuffer(b.as_py(), _ENTRY) for b in table["blob"]])
+    if key[0].as_py() < 0:
+        return _members(rows["key"].view(np.int64), rows["fp"], np.abs(rows["n"]), rows["n"] > 0)
+    # shingles of one document are most
+    _, which, numbers = np.unique(rows["key"], return_inverse=True, return_counts=True)
+    rows = rows[numbers[which] > 1]
+    n, first = np.abs(rows["n"]), rows["n"] > 0
+    order = np.lexsort((rows["fp"], n, rows["key"]))
+    keys, fps, n, first = rows["key"][order], rows["fp"][order], n[order], first[order]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = (keys[1:] != keys[:-1]) | (fps[1:] != fps[:-1])
+    keys, fps, n, first = keys[fresh], fps[fresh], n[fresh], first[fresh]
+    if not len(keys):
+        return _members(keys.view(np.int64), fps, n, first)
+    begins = np.ones(len(keys), bool)
+    begins[1:] = (keys[1:] != keys[:-1]) | (5 * n[:-1].astype(np.int64) < 4 * n[1:].astype(np.int64))
+    # who is in no first ninth needs a smaller one that is before it
     space = np.cumsum(begins) - 1
-    size = np.bincount(space)
+    starts = np.flatnonzero(begins)
+    before = np.cumsum(first) - np.repeat((np.cumsum(first) - first)[starts], np.diff(np.append(starts, len(keys))))
+    keep = before > 0
+    keys, fps, n, first, space = keys[keep], fps[keep], n[keep], first[keep], space[keep]
+    if not len(keys):
+        return _members(keys.view(np.int64), fps, n, first)
+    starts = np.flatnonzero(np.r_[True, space[1:] != space[:-1]])
+    sizes = np.diff(np.append(starts, len(keys)))
     # many shingles have the same members: one space is enough, named by them
-    with np.errstate(over="ignore"):
-        from quirelake.llm.shingles import mixed
-
-        starts = np.flatnonzero(begins)
-        m = mixed(fps.view(np.uint64))
-        name = mixed(np.add.reduceat(m, starts) + mixed(np.bitwise_xor.reduceat(mixed(m), starts))).view(np.int64)
-    keep = size[space] > 1
-    out = pd.DataFrame({"space": name[space][keep], "fp": fps[keep], "n": ns[keep]})
-    return out.drop_duplicates(["space", "fp"])
-
-
-def _plausible(group: pd.DataFrame) -> pd.DataFrame:
-    """Members that some other member of their space may link with, by their sketches. Rare spaces only: they are small."""
-    group = group.sort_values(["space", "fp"], ignore_index=True)
-    spaces, ns = group["space"].to_numpy(), group["n"].to_numpy()
-    sketches = [np.frombuffer(b, np.uint8) for b in group["blob"]]
-    cuts = np.flatnonzero(np.concatenate([[True], spaces[1:] != spaces[:-1], [True]]))
-    keep = np.zeros(len(group), bool)
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        for i in range(a, b):
-            for j in range(i + 1, b):
-                if not (keep[i] and keep[j]) and 4 * ns[i] <= 5 * ns[j] and 4 * ns[j] <= 5 * ns[i] and may_link(sketches[i], ns[i], sketches[j], ns[j]):
-                    keep[i] = keep[j] = True
-    return group.loc[keep, ["space", "fp", "n"]]
-
-
-def _sets(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = shared.value, set()
-        for batch in batches:
-            found = []
-            for s in shingle_sets(batch.column(0).to_pylist()):
-                fp = set_id(s)
-                at = _bit(np.int64(fp))
-                if bits[at >> 3] >> (at & 7) & 1 and fp not in seen:
-                    if len(seen) < HELD:
-                        seen.add(fp)
-                    found.append((fp, s.tobytes()))
-            if found:
-                yield _batch(["fp", "hashes"], [pa.array([f for f, _ in found], pa.int64()), pa.array([h for _, h in found], pa.binary())])
+    m = mixed(fps.view(np.uint64) ^ first.astype(np.uint64))
+    name = mixed(np.add.reduceat(m, starts) + mixed(np.bitwise_xor.reduceat(mixed(m), starts))).view(np.int64)
+    of = np.repeat(np.arange(len(starts)), sizes)
+    _, lead = np.unique(name, return_index=True)
+    keep = (np.isin(np.arange(len(starts)), lead) & (sizes > 1))[of]
+    return _members(name[of][keep], fps[keep], n[keep], first[keep])
 
-    return run
 
+def _members(space: np.ndarray, fp: np.ndarray, n: np.ndarray, first: np.ndarray) -> pa.Table:
+    return pa.table({"space": pa.array(space, pa.int64()), "fp": pa.array(fp, pa.int64()), "n": pa.array(n.astype(np.int64)), "first": pa.array(first.astype(bool), pa.bool_())})
 
-def _bit(fp):
-    return (fp & np.int64(0x7FFFFFFFFFFFFFFF)) % FILTER_BITS
 
+# joining a region
 
-def _filter(members: DataFrame) -> np.ndarray:
-    """A bit for each remainder that a member's name has: at most FILTER_BITS small numbers come to the driver."""
-    found = members.select((F.col("fp").bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)) % FILTER_BITS).cast("int").alias("b")).distinct().toPandas()["b"].to_numpy()
-    bits = np.zeros(FILTER_BITS, np.uint8)
-    bits[found] = 1
-    return np.packbits(bits, bitorder="little")
 
+def _folded(sketches: list[np.ndarray], cells: int) -> np.ndarray:
+    """Sketches of fewer cells; a capped number stays a lower bound of what it counts, so folding comes before capping."""
+    return np.stack([np.minimum(a.reshape(-1, cells).sum(0, dtype=np.int64), 255) for a in sketches]).astype(np.int16)
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        common, union = [], []
-        for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            common.append(both)
-            union.append(len(x) + len(y) - both)
-        yield _batch(["x", "y", "common", "union"], [batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(union, pa.int64())])
 
+def plausible(spaces: np.ndarray, n: np.ndarray, first: np.ndarray, sketches: list[np.ndarray]) -> np.ndarray:
+    """Which members some other member of their space may link with. Rows are by space, then size.
 
-def _may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        x, nx, bx, y, ny, by = (c.to_pylist() for c in batch.columns)
-        keep = [may_link(np.frombuffer(a, np.uint8), n, np.frombuffer(b, np.uint8), m) for n, a, m, b in zip(nx, bx, ny, by, strict=True)]
-        yield _batch(["x", "y"], [batch.column(0), batch.column(3)]).filter(pa.array(keep, pa.bool_()))
+    Of two members the smaller, or first, must have the space's shingle among its first.
+    """
+    keep = np.zeros(len(n), bool)
+    if not len(n):
+        return keep
+    cells = np.array([len(s) for s in sketches])
+    ends = np.searchsorted(spaces, spaces, side="right")
+    # partners of a row: those after it that are no more than 5/4 as large
+    lo = np.arange(len(n)) + 1
+    scale = spaces.astype(np.int64)  # numbers of spaces: ascending, so that one search does for all
+    largest = 5 * n // 4
+    bound = int(n.max()) + 1
+    hi = np.minimum(ends, np.searchsorted(scale * bound + n, scale * bound + np.minimum(largest, bound - 1), side="right"))
+    number = np.where(first, np.maximum(hi - lo, 0), 0)
+    at = 0
+    totals = np.concatenate([[0], np.cumsum(number)])
+    while at < len(n):
+        upto = max(at + 1, int(np.searchsorted(totals, totals[at] + (1 << 16), side="right")) - 1)
+        x = np.repeat(np.arange(at, upto), number[at:upto])
+        y = np.arange(len(x)) - np.repeat(totals[at:upto] - totals[at], number[at:upto]) + lo[x]
+        todo = ~(keep[x] & keep[y])
+        x, y = x[todo], y[todo]
+        width = np.minimum(cells[x], cells[y])
+        for w in np.unique(width):
+            i = np.flatnonzero(width == w)
+            own, back = np.unique(np.concatenate([x[i], y[i]]), return_inverse=True)
+            table = _folded([sketches[j] for j in own], int(w))
+            a, b = back[: len(i)], back[len(i) :]
+            step = max(1, (1 << 21) // int(w))
+            for s in range(0, len(i), step):
+                far = np.abs(table[a[s : s + step]] - table[b[s : s + step]]).sum(1, dtype=np.int64)
+                near = i[s : s + step][9 * far <= n[x[i[s : s + step]]] + n[y[i[s : s + step]]]]
+                keep[x[near]] = keep[y[near]] = True
+        at = upto
+    return keep
+
+
+def _plausible(table: pa.Table) -> pa.Table:
+    space, n, fp = (table[c].to_numpy() for c in ("space", "n", "fp"))
+    order = np.lexsort((fp, n, space))
+    first = table["first"].to_numpy(zero_copy_only=False)[order]
+    blobs = table["blob"].take(pa.array(order)).to_pylist()
+    numbers = np.unique(space[order], return_inverse=True)[1]
+    keep = plausible(numbers, n[order], first, [np.frombuffer(b, np.uint8) for b in blobs])
+    return pa.table({"space": pa.array(space[order][keep]), "fp": pa.array(fp[order][keep]), "home": pa.array(np.ones(int(keep.sum()), bool))})
+
+
+class _Forest:
+    """Union-find over numbered members."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def unite(self, members: np.ndarray) -> None:
+        labels = np.unique(self.label[members])
+        self.label[np.isin(self.label, labels)] = labels[0]
+
+
+def forest(sets: list[np.ndarray], home: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join the members of a region as all their links do; of two members, one must be at home."""
+    m = len(sets)
+    lengths = np.array([len(s) for s in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    linked, found = _Forest(m), []
+    done = np.zeros(m, bool)
+    mark = np.zeros(int(ids.max()) + 1, np.int64)
+    inner = 0
+    while True:
+        top = np.bincount(linked.label).argmax()
+        inside = linked.label == top
+        rest = np.flatnonzero(~done & ~inside)
+        if not len(rest):
+            return found
+        own = np.flatnonzero(~done & inside)
+        if inner < INNER_TURNS and len(own) and len(rest) > 1:
+            x, inner = own[0], inner + 1
+        else:
+            x = rest[0]
+        done[x] = True
+        mine = ids[starts[x] : starts[x] + lengths[x]]
+        mark[mine] = 1
+        common = np.add.reduceat(mark[ids], starts)
+        mark[mine] = 0
+        link = 100 * common >= 80 * (lengths + lengths[x] - common)
+        link &= (linked.label != linked.label[x]) & (home | home[x])
+        near = np.flatnonzero(link)
+        if len(near):
+            # one link to each group is enough
+            _, one = np.unique(linked.label[near], return_index=True)
+            found += [(int(x), int(y)) for y in near[one]]
+            linked.unite(np.append(near[one], x))
+
+
+def _joined(table: pa.Table) -> pa.Table:
+    """Forest links of one part's regions."""
+    space, fp = table["space"].to_numpy(), table["fp"].to_numpy()
+    home = table["home"].to_numpy(zero_copy_only=False)
+    order = np.lexsort((~home, fp, space))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (space[order][1:] != space[order][:-1]) | (fp[order][1:] != fp[order][:-1])
+    order = order[fresh]
+    cuts = np.flatnonzero(np.r_[True, space[order][1:] != space[order][:-1], True])
+    x: list[int] = []
+    y: list[int] = []
+    column = table["hashes"]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        rows = order[a:b]
+        if len(rows) > 1:
+            sets = [np.frombuffer(column[int(r)].as_py(), np.uint64) for r in rows]
+            links = forest(sets, home[rows])
+            x += [int(fp[rows[i]]) for i, _ in links]
+            y += [int(fp[rows[j]]) for _, j in links]
+    return pa.table({"x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64())})
 
 
-def _named(table: DataFrame, end: str) -> DataFrame:
-    return table.select(F.col("fp").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in table.columns if c != "fp"])
+EDGE = "x long, y long"
 
 
-def _measured(pairs: DataFrame, sets: DataFrame, sketches: DataFrame) -> DataFrame:
-    """(x, y, common, union) of distinct pairs, without those whose sketches rule a link out."""
-    small = F.broadcast(sketches) if sketches.count() <= SMALL_SKETCHES else sketches
-    may = pairs.join(_named(small, "x"), "x").join(_named(small, "y"), "y")
-    may = may.select("x", "n_x", "blob_x", "y", "n_y", "blob_y").mapInArrow(_may, "x long, y long")
-    joined = may.join(_named(sets, "x"), "x").join(_named(sets, "y"), "y").select("x", "y", "hashes_x", "hashes_y")
-    return written(joined.mapInArrow(_measure, "x long, y long, common long, `union` long"), "measured")
+# components
 
 
 def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,7 +435,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     A small graph's by one task; a larger one's by labels that spread along edges and jump to their labels' own.
     """
-    edges = written(edges.select("x", "y").filter("x != y"), "edges")
+    edges = written(edges.select("x", "y").filter("x != y").distinct(), "edges")
     if edges.count() <= SMALL_GRAPH:
         return written(edges.coalesce(1).mapInArrow(_united, "v long, label long"), "labels")
     return _spread(edges)
@@ -347,83 +454,161 @@ def _spread(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _spaces(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(doc_id, n, fp) of all documents; members (space, fp, n) of spaces of two and more; the members' sets, and sketches."""
-    spark = docs.sparkSession
-    parts = 4 * shuffle_partitions(spark)
-    first = written(docs.select("doc_id", "text").mapInArrow(_classes(parts), _CLASS), "shingled")
-    common = spark.sparkContext.broadcast(_listed(first))
-    texts = docs.filter(F.length("text") > 0).select("text")
-    keyed = written(texts.mapInArrow(_keys(parts, common), "space long, fp long, n long, part int, blob binary"), "prefixes")
-    rare = keyed.filter("part >= 0").groupBy("part").applyInPandas(_rare_spaces, "space long, fp long, n long")
-    rare = written(rare.distinct(), "rare-spaces")
-    classes = first.filter("part < 0")
-    wanted = rare.select("fp").union(keyed.filter("part < 0").select("fp")).distinct()
-    sketches = classes.join(wanted, "fp", "left_semi").select("fp", "n", "blob").dropDuplicates(["fp"])
-    sketches = written(sketches, "sketches")
-    near = rare.join(sketches.select("fp", "blob"), "fp").withColumn("part", F.pmod("space", F.lit(parts)))
-    near = near.groupBy("part").applyInPandas(_plausible, "space long, fp long, n long")
-    members = written(near.union(keyed.filter("part < 0").select("space", "fp", "n").distinct()), "members")
-    bits = spark.sparkContext.broadcast(_filter(members))
-    sets = written(texts.mapInArrow(_sets(bits), "fp long, hashes binary").dropDuplicates(["fp"]), "sets")
-    sketches = written(sketches.join(members.select("fp").distinct(), "fp", "left_semi"), "sketches")
-    return classes.select("doc_id", "n", "fp"), members, sets, sketches
-
-
-def _within(a: str, b: str):
-    """Sizes do not rule out a link."""
-    return (5 * F.col(a) >= 4 * F.col(b)) & (5 * F.col(b) >= 4 * F.col(a))
-
-
-def _link() -> F.Column:
-    return 100 * F.col("common") >= 80 * F.col("union")
-
-
-def _regions(members: DataFrame, sets: DataFrame, sketches: DataFrame) -> DataFrame:
-    """(fp, label) of every member that links with another."""
-    # spaces of one first pivot are one: a group of copies has many, all much alike
-    first = members.groupBy("space").agg(F.min_by("fp", F.struct("n", "fp")).alias("p"))
-    named = written(members.join(first, "space").select(F.col("p").alias("space"), "fp", "n").distinct(), "spaces")
-    own = named.filter("space = fp").select("space", F.col("n").alias("pn"))
-    reached = named.join(own, "space").filter("fp != space").filter(_within("n", "pn"))
-    found = _measured(reached.select(F.col("fp").alias("x"), F.col("space").alias("y")), sets, sketches)
-    labels = components(found.filter(_link()).select("x", "y"))
-    d = found.select(F.col("x").alias("fp"), F.col("y").alias("space"), (1 - F.col("common") / F.col("union")).alias("d"))
-    pivot = F.col("fp") == F.col("space")
-    state = named.join(d, ["fp", "space"], "left").select("space", "fp", "n", F.when(pivot, F.lit(0.0)).otherwise(F.col("d")).alias("d"), pivot.alias("used"))
-    turn = 0
+# recursion
+
+
+def _measured(pivots: pa.Table, members: pa.Table) -> pa.Table:
+    """Of each member the distances to its region's pivots, in order of the pivots' names."""
+    order = np.argsort(pivots["fp"].to_numpy(), kind="stable")
+    names = pivots["fp"].to_numpy()[order]
+    sets = [np.frombuffer(pivots["hashes"][int(i)].as_py(), np.uint64) for i in order]
+    far: list[list[float]] = []
+    linked: list[list[int]] = []
+    for blob in members["hashes"]:
+        s = np.frombuffer(blob.as_py(), np.uint64)
+        common = np.array([len(np.intersect1d(s, p, assume_unique=True)) for p in sets])
+        union = np.array([len(s) + len(p) for p in sets]) - common
+        far.append((1 - common / union).tolist())
+        linked.append(names[100 * common >= 80 * union].tolist())
+    columns = [members["space"], members["fp"], members["n"], members["home"], pa.array([names.tolist()] * len(far), pa.list_(pa.int64())), pa.array(far, pa.list_(pa.float64())), pa.array(linked, pa.list_(pa.int64()))]
+    return pa.table(columns, names=["space", "fp", "n", "home", "pivots", "far", "linked"])
+
+
+def _sized(regions: DataFrame) -> DataFrame:
+    return regions.groupBy("space").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
+
+
+def _pieces(size: Column, shingles: Column) -> Column:
+    """How many tasks' worth a region is."""
+    return F.greatest(F.ceil(size / F.lit(FIT)), F.ceil(shingles / F.lit(FIT_SHINGLES))).cast("int")
+
+
+def _split(large: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Regions (space, fp, n, home) that fit a task, from larger ones, and links found on the way."""
+    edges: DataFrame | None = None
+    fitting: list[DataFrame] = []
+    sizes = written(_sized(large), "region-sizes")
     while True:
-        # each member's region; of each space the one with most members that were no pivots, and how many are outside
-        now = state.join(labels.select(F.col("v").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-        now = written(now, "state")
-        sizes = now.filter("not used").groupBy("space", "label").agg(F.count("*").alias("c"))
-        largest = sizes.groupBy("space").agg(F.max_by("label", F.struct("c", "label")).alias("top"), (F.sum("c") - F.max("c")).alias("outside")).filter("outside > 0")
-        open_ = written(now.join(largest, "space"), "open")
-        # pivots of the largest region take in most of those outside; the last of these are pivots themselves
-        few = (F.col("outside") <= PIVOTS) | F.lit(turn >= INNER_TURNS)
         rank = F.row_number().over(Window.partitionBy("space").orderBy(F.xxhash64("fp"), "fp"))
-        candidate = open_.filter("not used").filter((F.col("label") != F.col("top")) == few)
-        most = PIVOTS << max(0, 2 * (turn - INNER_TURNS))
-        chosen = candidate.withColumn("rank", rank).filter(F.col("rank") <= most)
-        chosen = written(chosen.select("space", F.col("fp").alias("q"), F.col("n").alias("qn"), F.col("d").alias("qd"), F.col("label").alias("ql")), "pivots")
-        if chosen.isEmpty():
-            return labels.select(F.col("v").alias("fp"), "label")
-        near = F.col("d").isNull() | F.col("qd").isNull() | (F.abs(F.col("d") - F.col("qd")) <= EPS + 1e-9)
-        window = open_.filter("not used").join(chosen, "space").filter((F.col("label") != F.col("ql")) & near).filter(_within("n", "qn"))
-        found = _measured(window.select(F.least("fp", "q").alias("x"), F.greatest("fp", "q").alias("y")).distinct(), sets, sketches)
-        links = found.filter(_link()).select("x", "y")
-        if not links.isEmpty():
-            labels = components(links.union(labels.select(F.col("v").alias("x"), F.col("label").alias("y"))))
-        picked = chosen.select("space", F.col("q").alias("fp"), F.lit(True).alias("now"))
-        state = open_.join(picked, ["space", "fp"], "left").select("space", "fp", "n", "d", (F.col("used") | F.coalesce("now", F.lit(False))).alias("used"))
-        turn += 1
+        pivots = large.filter("home").withColumn("rank", rank).filter(F.col("rank") <= PIVOTS).select("space", "fp")
+        salts = sizes.select("space", F.explode(F.sequence(F.lit(0), 2 * _pieces(F.col("size"), F.col("shingles")) - 1)).alias("salt"))
+        pivots = written(pivots.join(sets, "fp"), "pivots").join(salts, "space").select("space", "salt", "fp", "hashes")
+        salted = large.join(sizes, "space").withColumn("salt", F.pmod(F.xxhash64("fp"), 2 * _pieces(F.col("size"), F.col("shingles"))).cast("int"))
+        members = salted.join(sets, "fp").select("space", "salt", "fp", "n", "home", "hashes")
+        found = pivots.groupBy("space", "salt").cogroup(members.groupBy("space", "salt"))
+        found = written(found.applyInArrow(_measured, "space long, fp long, n long, home boolean, pivots array<long>, far array<double>, linked array<long>"), "measured")
+        links = found.select(F.col("fp").alias("x"), F.explode("linked").alias("y")).filter("x != y")
+        edges = links if edges is None else edges.unionByName(links)
+        # the nearest pivot's cell is home; others whose pivots are within 2 * EPS of it get copies
+        near = F.array_min("far")
+        cell = F.explode(F.arrays_zip(F.col("pivots").alias("p"), F.col("far").alias("d")))
+        cells = found.select("space", "fp", "n", "home", near.alias("near"), F.element_at("pivots", F.array_position("far", near).cast("int")).alias("nearest"), cell.alias("c"))
+        cells = cells.filter(F.col("c.d") <= F.col("near") + 2 * EPS + 1e-9)
+        cells = cells.select(F.xxhash64("space", "c.p").alias("cell"), "space", "fp", "n", (F.col("home") & (F.col("c.p") == F.col("nearest"))).alias("home"))
+        # a cell without anyone at home has nothing to find
+        count = cells.groupBy("space", "cell").agg(F.count("*").alias("c"), F.sum("n").alias("s"), F.max("home").alias("any"))
+        count = written(count.filter("any"), "cells")
+        stuck = count.join(sizes, "space").filter((F.col("c") > SHRINKS * F.col("size")) & (_pieces(F.col("c"), F.col("s")) > 1)).select("space").distinct()
+        stuck = written(stuck, "stuck")
+        fitting.append(_blocks(large.join(stuck, "space"), sizes, edges))
+        go = cells.join(stuck, "space", "left_anti").join(count.select("cell", "c", "s"), "cell")
+        fits = _pieces(F.col("c"), F.col("s")) <= 1
+        fitting.append(written(go.filter(fits).select(F.col("cell").alias("space"), "fp", "n", "home"), "fitting"))
+        large = written(go.filter(~fits).select(F.col("cell").alias("space"), "fp", "n", "home"), "regions")
+        if large.isEmpty():
+            out = fitting[0]
+            for more in fitting[1:]:
+                out = out.unionByName(more)
+            return out, edges
+        sizes = written(_sized(large), "region-sizes")
+
+
+def _blocks(stuck: DataFrame, sizes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Regions that no pivots separate, as pairs of blocks of half a task; linked members need not meet again."""
+    if stuck.isEmpty():
+        return stuck
+    labels = components(edges).select(F.col("v").alias("fp"), "label")
+    named = written(stuck.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp")), "stuck-members")
+    top = named.groupBy("space", "label").agg(F.count("*").alias("c")).groupBy("space").agg(F.max_by("label", F.struct("c", "label")).alias("top"))
+    named = named.join(top, "space").withColumn("out", F.col("label") != F.col("top"))
+    # blocks of those outside the largest linked group, and of those inside
+    counts = named.groupBy("space").agg(F.sum(F.col("out").cast("long")).alias("n_out"), F.count("*").alias("c"), F.sum("n").alias("s")).filter("n_out > 0")
+    per = F.greatest(F.lit(2), F.least(F.lit(FIT), (F.col("c") / F.greatest(F.lit(1.0), F.col("s") / F.lit(FIT_SHINGLES))).cast("int"))) / 2
+    counts = counts.select("space", F.ceil(F.col("n_out") / per).cast("int").alias("b_out"), F.greatest(F.lit(1), F.ceil((F.col("c") - F.col("n_out")) / per)).cast("int").alias("b_in"))
+    dealt = named.join(counts, "space").withColumn("block", F.when(F.col("out"), F.pmod(F.xxhash64("fp"), "b_out")).otherwise(F.col("b_out") + F.pmod(F.xxhash64("fp"), "b_in")).cast("int"))
+    # a block outside meets all; one inside meets those outside
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("out"), F.col("b_out") + F.col("b_in")).otherwise(F.col("b_out")) - 1))
+    paired = dealt.withColumn("other", other)
+    name = F.xxhash64("space", F.least("block", "other"), F.greatest("block", "other"))
+    return written(paired.select(name.alias("space"), "fp", "n", "home"), "blocks")
+
+
+# the whole
+
+
+def _parts(rows: DataFrame) -> int:
+    return max(4 * shuffle_partitions(rows.sparkSession), math.ceil(rows.count() / PART_DOCUMENTS))
+
+
+def _bits(doc_id: Column, n: int) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(doc_id, F.lit(0)), doc_id.isNull()), F.lit(n)).cast("int")
+
+
+def _sets(rows: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(fp, hashes) of the wanted (fp): from one row of each, and of others that a filter of doc_ids lets pass."""
+    spark = rows.sparkSession
+    leads = classes.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+    leads = written(leads, "leads")
+    n = 1 << max(16, min(FILTER_BITS.bit_length() - 1, (8 * leads.count()).bit_length()))
+    bits = np.zeros(n, bool)
+    # a bit for each: at most n small numbers come to the driver
+    bits[leads.select(_bits(F.col("doc_id"), n).alias("b")).distinct().toArrow()["b"].to_numpy()] = True
+    shared = spark.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, seen = shared.value, set()
+        for batch in batches:
+            at = batch.column(1).to_numpy()
+            texts = batch.column(0).filter(pa.array((own[at >> 3] >> (at & 7) & 1).astype(bool))).to_pylist()
+            found = {}
+            for s in shingle_sets(texts):
+                fp = set_id(s)
+                if len(s) and fp not in seen:
+                    if len(seen) < HELD_KEYS:
+                        seen.add(fp)
+                    found[fp] = s.tobytes()
+            if found:
+                yield _batch(["fp", "hashes"], [pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.binary())])
+
+    made = rows.filter(F.length("text") > 0).select("text", _bits(F.col("doc_id"), n).alias("b")).mapInArrow(run, "fp long, hashes binary")
+    return written(made.join(wanted, "fp", "left_semi").dropDuplicates(["fp"]), "sets")
 
 
 def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, fp) of all rows, and those with words with their component's label."""
-    small_batches(docs.sparkSession)
-    classes, members, sets, sketches = _spaces(with_columns_of(docs, doc_id=T.LongType(), text=T.StringType()))
-    labels = _regions(members, sets, sketches)
+    spark = docs.sparkSession
+    small_batches(spark)
+    rows = with_columns_of(docs, doc_id=T.LongType(), text=T.StringType())
+    parts = _parts(rows)
+    first = written(rows.select("doc_id", "text").mapInArrow(_classes(parts), _CLASS), "shingled")
+    classes = first.filter("part < 0").select("doc_id", "n", "fp")
+    common = spark.sparkContext.broadcast(_listed(first))
+    keyed = rows.filter(F.length("text") > 0).select("text").mapInArrow(_keys(parts, common), "part long, blob binary")
+    spaces = written(keyed.groupBy("part").applyInArrow(_spaces_of, MEMBER).distinct(), "spaces")
+    sizes = written(_sized(spaces).filter("size > 1"), "space-sizes")
+    fits = _pieces(F.col("size"), F.col("shingles")) <= 1
+    small = spaces.join(sizes.filter(fits).select("space"), "space")
+    large = written(spaces.join(sizes.filter(~fits).select("space"), "space").select("space", "fp", "n", F.lit(True).alias("home")), "large-spaces")
+    sketches = first.filter("part < 0").join(spaces.select("fp").distinct(), "fp", "left_semi").select("fp", "blob").dropDuplicates(["fp"])
+    part = F.pmod("space", F.lit(parts))
+    near = small.join(sketches, "fp").groupBy(part).applyInArrow(_plausible, "space long, fp long, home boolean")
+    near = written(near, "plausible")
+    sets = _sets(rows, classes, near.select("fp").union(large.select("fp")).distinct())
+    edges = near.join(sets, "fp").groupBy(F.pmod("space", F.lit(parts))).applyInArrow(_joined, EDGE)
+    if not large.isEmpty():
+        fitting, found = _split(large, sets)
+        edges = edges.unionByName(found).unionByName(fitting.join(sets, "fp").groupBy("space").applyInArrow(_joined, EDGE))
+    labels = components(edges).select(F.col("v").alias("fp"), "label")
     return classes, classes.filter("n > 0").join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
 
 

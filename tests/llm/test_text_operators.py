@@ -251,8 +251,10 @@ def plain_components(rows):
     return sorted(repr((r["doc_id"], len(s), least.get(find(i)) if s else r["doc_id"])) for i, (r, s) in enumerate(zip(rows, sets, strict=True)))
 
 
-def test_ngram_join(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "COMMON", 6)  # a group of copies is then common
+@pytest.mark.parametrize("fit, pivots", [(2048, 16), (12, 3), (4, 2)])
+def test_ngram_join(spark, monkeypatch, fit, pivots):
+    monkeypatch.setattr(ngram_join, "FIT", fit)  # regions of more are split, and cut into blocks where that fails
+    monkeypatch.setattr(ngram_join, "PIVOTS", pivots)
     rng = random.Random(8)
     texts = ["one two", "one two", "One TWO ", "a b c d e", "a b c d e f", "of the of the of the of the"]
     for size, edits in ((2, 1), (3, 6), (40, 5)):
@@ -288,9 +290,37 @@ def test_sketches_rule_out_no_link(a, data):
     x, y = (np.array(sorted(s), np.uint64) for s in (a, b or {1}))
     both = len(np.intersect1d(x, y))
     if 5 * both >= 4 * (len(x) + len(y) - both):
-        assert ngram_join.may_link(ngram_join.sketch(x), len(x), ngram_join.sketch(y), len(y))
+        x, y = sorted((x, y), key=len)
+        kept = ngram_join.plausible(np.zeros(2, np.int64), np.array([len(x), len(y)]), np.array([True, False]), [ngram_join.sketch(x), ngram_join.sketch(y)])
+        assert kept.all()
         none = np.zeros((2, 0), np.uint64)
-        assert set(ngram_join.prefix(x, none)[0].tolist()) & set(ngram_join.prefix(y, none)[0].tolist())
+        assert set(ngram_join.prefix(x, none)[0][: len(x) // 9 + 1].tolist()) & set(ngram_join.prefix(y, none)[0].tolist())
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.integers(0, 2**48 - 1), min_size=1, max_size=40, unique=True), st.data())
+def test_counts_survive_packing(keys, data):
+    keys = np.array(sorted(keys), np.uint64)
+    numbers = np.array(data.draw(st.lists(st.integers(1, 2000), min_size=len(keys), max_size=len(keys))))
+    got, parts = ngram_join._unpacked(ngram_join._packed(keys, numbers))
+    assert [(int(k), int(parts[got == k].sum())) for k in np.unique(got)] == list(zip(keys.tolist(), numbers.tolist(), strict=True))
+
+
+def test_a_region_that_pivots_do_not_separate(spark, monkeypatch):
+    """Near copies of one text, each some way from the others: no cell shrinks, and blocks must find all links."""
+    monkeypatch.setattr(ngram_join, "FIT", 8)
+    monkeypatch.setattr(ngram_join, "PIVOTS", 2)
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(100)]
+    texts = []
+    for i in range(60):
+        own = list(base)
+        for at in rng.sample(range(100), i % 5):
+            own[at] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    out = ngram_join.link_components(docs).collect()
+    assert sorted(repr(tuple(r)) for r in out) == plain_components(docs.collect())
 
 
 def test_targets():
