@@ -40,7 +40,7 @@ EPS = 0.2
 KEY_BITS = 48
 #: Shingles of more documents go last in the order.
 COMMON = 2
-#: Most shingles in the list of common ones (16 bytes each, broadcast): beyond it, only commoner ones are listed.
+#: Most shingles in the list of common ones (12 bytes each, broadcast): beyond it, only commoner ones are listed.
 MOST_COMMON = 1 << 22
 #: Shingles that a task holds before it sends their counts, or their keys, on.
 HELD_COUNTS, HELD_KEYS = 1 << 22, 1 << 20
@@ -142,8 +142,8 @@ def _common(table: pa.Table) -> pa.Table:
     return pa.table({"key": pa.array(keys[keep].astype(np.int64)), "df": pa.array(numbers[keep])})
 
 
-def _listed(counts: DataFrame) -> np.ndarray:
-    """The keys of common shingles, ascending, and their numbers: the commonest powers of two that are MOST_COMMON at most."""
+def _listed(counts: DataFrame) -> Common:
+    """The common shingles with their numbers: the commonest powers of two that are MOST_COMMON at most."""
     table = written(counts.filter("part >= 0").groupBy("part").applyInArrow(_common, "key long, df long"), "common")
     levels = sorted((r["l"], r["c"]) for r in table.groupBy(F.floor(F.log2("df")).cast("int").alias("l")).agg(F.count("*").alias("c")).collect())
     total, least = 0, 64
@@ -152,30 +152,52 @@ def _listed(counts: DataFrame) -> np.ndarray:
             break
         total, least = total + c, level
     rows = table.filter(F.floor(F.log2("df")) >= least).toArrow()
-    keys, numbers = (rows[c].to_numpy().astype(np.uint64) for c in ("key", "df"))
-    return np.array([keys, numbers])[:, np.argsort(keys, kind="stable")]
+    keys, numbers = rows["key"].to_numpy().astype(np.uint64), rows["df"].to_numpy()
+    order = np.argsort(keys, kind="stable")
+    return Common(keys[order], np.minimum(numbers[order], 2**31 - 1).astype(np.int32))
 
 
 # regions
 
 
-def prefix(hashes: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, int]:
+class Common:
+    """The listed shingles by their keys; a bit table in front of the search spares it for nearly all others."""
+
+    TABLE_BITS = 25
+
+    def __init__(self, keys: np.ndarray, numbers: np.ndarray):
+        self.keys, self.numbers = keys, numbers
+        table = np.zeros(1 << self.TABLE_BITS, bool)
+        table[self._place(keys)] = True
+        self.table = np.packbits(table, bitorder="little")
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return (keys & np.uint64((1 << self.TABLE_BITS) - 1)).astype(np.int64)
+
+    def numbers_of(self, hashes: np.ndarray) -> np.ndarray:
+        """How many documents have each; 0 if it is not listed."""
+        out = np.zeros(len(hashes), np.int64)
+        keys = _key(hashes)
+        place = self._place(keys)
+        may = np.flatnonzero(self.table[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+        if len(may) and len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys[may]), len(self.keys) - 1)
+            out[may] = np.where(self.keys[at] == keys[may], self.numbers[at], 0)
+        return out
+
+
+def prefix(hashes: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, int]:
     """The first fifth of a set and one more in the total order, and how many of them are not listed as common.
 
-    The order: shingles that are not listed, by hash; listed ones, by frequency.
+    The order: shingles that are not listed (numbers 0), by hash; listed ones, by frequency.
     """
-    n = len(hashes)
-    want = n // 5 + 1 if n else 0
-    if not common.shape[1]:
-        return hashes[:want], want
-    keys = _key(hashes)
-    at = np.minimum(np.searchsorted(common[0], keys), common.shape[1] - 1)
-    is_common = common[0][at] == keys
-    rare = hashes[~is_common]
+    want = len(hashes) // 5 + 1 if len(hashes) else 0
+    listed = numbers > 0
+    rare = hashes[~listed]
     if len(rare) >= want:
         return rare[:want], want
-    rest = hashes[is_common]
-    rest = rest[np.lexsort((rest, common[1][at[is_common]]))]
+    rest = hashes[listed]
+    rest = rest[np.lexsort((rest, numbers[listed]))]
     return np.concatenate([rare, rest])[:want], len(rare)
 
 
@@ -211,13 +233,16 @@ def _keys(parts: int, shared):
                 yield _batch(["part", "blob"], [pa.array([p for p, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())])
 
         for batch in batches:
-            for s in shingle_sets(batch.column(0).to_pylist()):
+            sets = shingle_sets(batch.column(0).to_pylist())
+            numbers = common.numbers_of(np.concatenate(sets)) if sets else np.zeros(0, np.int64)
+            ends = np.cumsum([len(s) for s in sets])
+            for s, end in zip(sets, ends, strict=True):
                 fp = set_id(s)
                 if not len(s) or fp in seen:
                     continue
                 if len(seen) < HELD_KEYS:  # spares copies only; spaces are sets
                     seen.add(fp)
-                keys, rare = prefix(s, common)
+                keys, rare = prefix(s, numbers[end - len(s) : end])
                 row = np.empty(len(keys), _ENTRY)
                 row["key"], row["fp"], row["n"] = keys, fp, len(s)
                 row["n"][len(s) // 9 + 1 :] *= -1

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 #: Words of a shingle.
 WIDTH = 5
 #: Bytes hashed at once; a longer text is hashed in parts, cut between words.
-SLICE = 1 << 21
+SLICE = 1 << 16
+#: Longer words are named by a digest: texts of one letter more or less can be built that a polynomial does not tell apart.
+SHORT = 32
 
 _RANDOM = np.random.default_rng(510)
 _BYTE = _RANDOM.integers(1, 2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+_BYTE[65:91] = _BYTE[97:123]  # A-Z are lowered
 _BASE = 0x9E3779B97F4A7C15
 _STEP = np.uint64(0xD1342543DE82EF95)
 _power = _inverse = None
@@ -45,8 +48,17 @@ def _of_bytes(data: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray,
     word = ~space[data]
     edge = np.diff(np.concatenate([[False], word, [False]]).astype(np.int8))
     starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[_LOWER[data]] * power[: len(data)], dtype=np.uint64)])
-    return mixed((sums[stops] - sums[starts]) * inverse[starts]), starts
+    sums = np.empty(len(data) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(_BYTE[data] * power[: len(data)], dtype=np.uint64, out=sums[1:])
+    hashes = mixed((sums[stops] - sums[starts]) * inverse[starts])
+    for i in np.flatnonzero(stops - starts > SHORT):
+        hashes[i] = _digest(data[starts[i] : stops[i]].tobytes())
+    return hashes, starts
+
+
+def _digest(word: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(word.lower(), digest_size=8).digest(), "little")
 
 
 def word_hashes(texts: list[bytes], space: np.ndarray = _SPACE) -> list[np.ndarray]:
@@ -77,9 +89,7 @@ def _long(text: bytes, space: np.ndarray) -> np.ndarray:
             cut -= 1
         if cut == at:  # no blank in reach: such a word counts by a digest of its bytes
             cut = next((i for i in range(at + SLICE - 1, len(text)) if space[text[i]]), len(text))
-            import hashlib
-
-            parts.append(np.frombuffer(hashlib.sha256(text[at:cut].lower()).digest()[:8], "<u8"))
+            parts.append(np.array([_digest(text[at:cut])], np.uint64))
         else:
             parts.append(_of_bytes(np.frombuffer(text[at:cut], np.uint8), space)[0])
         at = cut + (cut < len(text))
@@ -88,17 +98,38 @@ def _long(text: bytes, space: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's shingles of WIDTH words; a shorter text is one shingle; no words, none."""
-    out = []
-    for words in word_hashes([(t or "").encode() for t in texts]):
-        n = len(words)
-        if not n:
-            out.append(np.empty(0, np.uint64))
-            continue
-        k = min(n, WIDTH)
-        rolled = np.zeros(n - k + 1, np.uint64)
-        for i in range(k):
-            rolled = rolled * _STEP + words[i : n - k + 1 + i]
-        out.append(np.unique(mixed(rolled + np.uint64(k))))
+    words = word_hashes([(t or "").encode() for t in texts])
+    lengths = np.array([len(w) for w in words])
+    out: list[np.ndarray] = []
+    at = 0
+    while at < len(words):
+        # texts side by side: shingles that reach into the next text are left out
+        upto, held = at + 1, lengths[at]
+        while upto < len(words) and held + lengths[upto] <= SLICE:
+            held += lengths[upto]
+            upto += 1
+        both = np.concatenate(words[at:upto])
+        rolled = np.zeros(max(0, len(both) - WIDTH + 1), np.uint64)
+        for i in range(WIDTH):
+            rolled = rolled * _STEP + both[i : i + len(rolled)]
+        rolled = mixed(rolled + np.uint64(WIDTH))
+        start = 0
+        for w in words[at:upto]:
+            if len(w) >= WIDTH:
+                found = np.sort(rolled[start : start + len(w) - WIDTH + 1])
+                fresh = np.empty(len(found), bool)
+                fresh[0] = True
+                np.not_equal(found[1:], found[:-1], out=fresh[1:])
+                out.append(found[fresh])
+            elif len(w):
+                one = np.zeros(1, np.uint64)
+                for x in w:
+                    one = one * _STEP + x
+                out.append(mixed(one + np.uint64(len(w))))
+            else:
+                out.append(np.empty(0, np.uint64))
+            start += len(w)
+        at = upto
     return out
 
 
