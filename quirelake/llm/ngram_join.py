@@ -40,6 +40,8 @@ EPS = 0.2
 KEY_BITS = 48
 #: Shingles of more documents go last in the order.
 COMMON = 2
+#: Keys of more documents are rows of their own, so that no task has all of a hot one's; the rest go by part.
+HOT = 64
 #: Most shingles in the list of common ones (12 bytes each, broadcast): beyond it, only commoner ones are listed.
 MOST_COMMON = 1 << 22
 #: Shingles that a task holds before it sends their counts, or their keys, on.
@@ -65,21 +67,63 @@ def _batch(names: list[str], columns: list[pa.Array]) -> pa.RecordBatch:
 # counting
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Bytes by significance: the upper ones of small numbers compress to nothing."""
+    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def _unplaned(data: np.ndarray, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return data.reshape(width, -1).T.copy().view(kind)[:, 0] if len(data) else np.empty(0, kind)
+
+
+def _steps(keys: np.ndarray) -> bytes:
+    """Ascending keys by their differences."""
+    return _planes(np.diff(keys, prepend=np.uint64(0)).astype("<u8"))
+
+
+def _unstepped(data: np.ndarray) -> np.ndarray:
+    return np.cumsum(_unplaned(data, "<u8"), dtype=np.uint64)
+
+
+def _compressed(*parts: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+
+
+def _decompressed(blob: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+
+
 def _packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Ascending distinct keys by their steps, and counts up to 255 (the rest as keys repeated), byte planes compressed."""
-    more = np.repeat(keys, (counts - 1) // 255)
-    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
-    planes = steps.view(np.uint8).reshape(-1, 8).T.copy()
-    small = ((counts - 1) % 255 + 1).astype(np.uint8)
-    return zstandard.ZstdCompressor(level=1).compress(np.array([len(keys), len(more)], "<u8").tobytes() + planes.tobytes() + small.tobytes() + more.astype("<u8").tobytes())
+    """Ascending distinct keys, and counts."""
+    return _compressed(_steps(keys), _planes(counts.astype("<u4")))
 
 
 def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    n, m = (int(x) for x in data[:16].view("<u8"))
-    keys = np.cumsum(data[16 : 16 + 8 * n].reshape(8, n).T.copy().view("<u8")[:, 0], dtype=np.uint64)
-    more = data[16 + 9 * n :].copy().view("<u8")
-    return np.concatenate([keys, more]), np.concatenate([data[16 + 8 * n : 16 + 9 * n].astype(np.int64), np.full(m, 255)])
+    data = _decompressed(blob)
+    n = len(data) // 12
+    return _unstepped(data[: 8 * n]), _unplaned(data[8 * n :], "<u4").astype(np.int64)
+
+
+def _packed_entries(rows: np.ndarray) -> bytes:
+    """Prefix entries, by ascending key."""
+    return _compressed(_steps(rows["key"]), rows["fp"].tobytes(), _planes(rows["n"].copy()))
+
+
+def _unpacked_entries(blob: bytes) -> np.ndarray:
+    data = _decompressed(blob)
+    n = len(data) // 20
+    rows = np.empty(n, _ENTRY)
+    rows["key"], rows["fp"], rows["n"] = _unstepped(data[: 8 * n]), data[8 * n : 16 * n].copy().view("<i8"), _unplaned(data[16 * n :], "<i4")
+    return rows
+
+
+def _parted(keys: np.ndarray, parts: int) -> Iterator[tuple[int, slice]]:
+    """Ascending keys by part: parts are ranges of keys, so that a part's are close together."""
+    cuts = np.searchsorted(keys, (np.arange(parts + 1) * (2.0**KEY_BITS / parts)).astype(np.uint64))
+    cuts[-1] = len(keys)
+    for p in np.flatnonzero(np.diff(cuts)):
+        yield int(p), slice(cuts[p], cuts[p + 1])
 
 
 def _key(hashes: np.ndarray) -> np.ndarray:
@@ -93,28 +137,28 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
 
 
 def _classes(parts: int):
-    """Of each document its set's name, size and sketch; of all shingles, numbers by part."""
+    """Of each document its set's name, size and sketch, in parts of their own; of all shingles, numbers by part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task = TaskContext.get().partitionId()
         held: list[np.ndarray] = []
-        size = 0
+        size = turn = 0
 
         def counted() -> pa.RecordBatch:
             keys, numbers = np.unique(np.concatenate(held), return_counts=True)
-            # parts are ranges of keys, so a part's keys are close together
-            cuts = np.searchsorted(keys, (np.arange(parts + 1, dtype=np.float64) * (2.0**KEY_BITS / parts)).astype(np.uint64))
-            cuts[-1] = len(keys)
-            full = np.flatnonzero(np.diff(cuts))
-            blobs = [_packed(keys[cuts[p] : cuts[p + 1]], numbers[cuts[p] : cuts[p + 1]]) for p in full]
-            none = pa.nulls(len(full), pa.int64())
-            return _batch(CLASS_NAMES, [none, none, none, pa.array(full.astype(np.int32)), pa.array(blobs, pa.binary())])
+            rows = [(p, _packed(keys[at], numbers[at])) for p, at in _parted(keys, parts)]
+            none = pa.nulls(len(rows), pa.int64())
+            return _batch(CLASS_NAMES, [none, none, none, pa.array([p for p, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.binary())])
 
         for batch in batches:
             sets = shingle_sets(batch.column(1).to_pylist())
             m = len(sets)
+            turn += 1
             yield _batch(
                 CLASS_NAMES,
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([-1] * m, pa.int32()), pa.array([sketch(s).tobytes() for s in sets], pa.binary())],
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([-(task << 32 | turn)] * m, pa.int64()), pa.array([sketch(s).tobytes() for s in sets], pa.binary())],
             )
             for s in sets:
                 held.append(_key(s))
@@ -130,21 +174,25 @@ def _classes(parts: int):
 
 
 CLASS_NAMES = ["doc_id", "n", "fp", "part", "blob"]
-_CLASS = "doc_id long, n long, fp long, part int, blob binary"
+_CLASS = "doc_id long, n long, fp long, part long, blob binary"
+_SHINGLED = "doc_id long, n long, fp long, blob binary, key long, df long"
 
 
-def _common(table: pa.Table) -> pa.Table:
-    """The part's shingles of more than COMMON documents, with their numbers."""
+def _merged(part: tuple, table: pa.Table) -> pa.Table:
+    """Documents as they are; of a part's counts the shingles of more than COMMON documents, with their numbers."""
+    if part[0].as_py() < 0:
+        none = pa.nulls(len(table), pa.int64())
+        return pa.table([table["doc_id"], table["n"], table["fp"], table["blob"], none, none], names=["doc_id", "n", "fp", "blob", "key", "df"])
     both = [_unpacked(b.as_py()) for b in table["blob"]]
     keys, which = np.unique(np.concatenate([k for k, _ in both]), return_inverse=True)
     numbers = np.bincount(which, weights=np.concatenate([c for _, c in both])).astype(np.int64)
     keep = numbers > COMMON
-    return pa.table({"key": pa.array(keys[keep].astype(np.int64)), "df": pa.array(numbers[keep])})
+    none = pa.nulls(int(keep.sum()), pa.int64())
+    return pa.table([none, none, none, pa.nulls(len(none), pa.binary()), pa.array(keys[keep].astype(np.int64)), pa.array(numbers[keep])], names=["doc_id", "n", "fp", "blob", "key", "df"])
 
 
-def _listed(counts: DataFrame) -> Common:
+def _listed(table: DataFrame) -> Common:
     """The common shingles with their numbers: the commonest powers of two that are MOST_COMMON at most."""
-    table = written(counts.filter("part >= 0").groupBy("part").applyInArrow(_common, "key long, df long"), "common")
     levels = sorted((r["l"], r["c"]) for r in table.groupBy(F.floor(F.log2("df")).cast("int").alias("l")).agg(F.count("*").alias("c")).collect())
     total, least = 0, 64
     for level, c in reversed(levels):
@@ -186,27 +234,25 @@ class Common:
         return out
 
 
-def prefix(hashes: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, int]:
-    """The first fifth of a set and one more in the total order, and how many of them are not listed as common.
+def prefix(hashes: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first fifth of a set and one more in the total order, and their numbers.
 
     The order: shingles that are not listed (numbers 0), by hash; listed ones, by frequency.
     """
     want = len(hashes) // 5 + 1 if len(hashes) else 0
     listed = numbers > 0
-    rare = hashes[~listed]
-    if len(rare) >= want:
-        return rare[:want], want
-    rest = hashes[listed]
-    rest = rest[np.lexsort((rest, numbers[listed]))]
-    return np.concatenate([rare, rest])[:want], len(rare)
+    rare = hashes[~listed][:want]
+    rest, more = hashes[listed], numbers[listed]
+    order = np.lexsort((rest, more))[: want - len(rare)]
+    return np.concatenate([rare, rest[order]]), np.concatenate([np.zeros(len(rare), np.int64), more[order]])
 
 
 _ENTRY = np.dtype([("key", "<u8"), ("fp", "<i8"), ("n", "<i4")])  # n is negative where the key is none of the first ninth
-MEMBER = "space long, fp long, n long, first boolean"
+MEMBER = "space long, fp long, n long, first boolean, hot boolean"
 
 
 def _keys(parts: int, shared):
-    """Prefixes: by part, those that are not common; the rest in rows of their own, whose parts are no two the same."""
+    """Prefixes: by part, those that are not hot; the rest in blobs of their own, whose parts are no two the same."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -222,12 +268,11 @@ def _keys(parts: int, shared):
             out: list[tuple[int, bytes]] = []
             if held:
                 rows = np.concatenate(held)
-                part = (rows["key"] % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                cuts = np.searchsorted(part[order], np.arange(parts + 1))
-                out = [(int(p), rows[order[cuts[p] : cuts[p + 1]]].tobytes()) for p in np.flatnonzero(np.diff(cuts))]
+                rows = rows[np.argsort(rows["key"], kind="stable")]
+                out = [(p, _packed_entries(rows[at])) for p, at in _parted(rows["key"], parts)]
             if hot:
-                out.append((-1 - (task << 32 | turn), np.concatenate(hot).tobytes()))
+                rows = np.concatenate(hot)
+                out.append((-1 - (task << 32 | turn), _packed_entries(rows[np.argsort(rows["key"], kind="stable")])))
                 turn += 1
             if out:
                 yield _batch(["part", "blob"], [pa.array([p for p, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())])
@@ -242,13 +287,14 @@ def _keys(parts: int, shared):
                     continue
                 if len(seen) < HELD_KEYS:  # spares copies only; spaces are sets
                     seen.add(fp)
-                keys, rare = prefix(s, numbers[end - len(s) : end])
+                keys, many = prefix(s, numbers[end - len(s) : end])
                 row = np.empty(len(keys), _ENTRY)
-                row["key"], row["fp"], row["n"] = keys, fp, len(s)
+                row["key"], row["fp"], row["n"] = _key(keys), fp, len(s)
                 row["n"][len(s) // 9 + 1 :] *= -1
-                held.append(row[:rare])
-                if rare < len(row):
-                    hot.append(row[rare:])
+                cut = np.searchsorted(many, HOT, side="right")
+                held.append(row[:cut])
+                if cut < len(row):
+                    hot.append(row[cut:])
                 size += len(row)
             if size >= HELD_KEYS:
                 yield from dealt()
@@ -262,9 +308,9 @@ def _keys(parts: int, shared):
 
 def _spaces_of(key: tuple, table: pa.Table) -> pa.Table:
     """A part's spaces of two members and more. Neighbours in size whose sizes alone rule out a link part them."""
-    rows = np.concatenate([np.frombuffer(b.as_py(), _ENTRY) for b in table["blob"]])
+    rows = np.concatenate([_unpacked_entries(b.as_py()) for b in table["blob"]])
     if key[0].as_py() < 0:
-        return _members(rows["key"].view(np.int64), rows["fp"], np.abs(rows["n"]), rows["n"] > 0)
+        return _members(rows["key"].view(np.int64), rows["fp"], np.abs(rows["n"]), rows["n"] > 0, True)
     # shingles of one document are most
     _, which, numbers = np.unique(rows["key"], return_inverse=True, return_counts=True)
     rows = rows[numbers[which] > 1]
@@ -275,7 +321,7 @@ def _spaces_of(key: tuple, table: pa.Table) -> pa.Table:
     fresh[1:] = (keys[1:] != keys[:-1]) | (fps[1:] != fps[:-1])
     keys, fps, n, first = keys[fresh], fps[fresh], n[fresh], first[fresh]
     if not len(keys):
-        return _members(keys.view(np.int64), fps, n, first)
+        return _members(keys.view(np.int64), fps, n, first, False)
     begins = np.ones(len(keys), bool)
     begins[1:] = (keys[1:] != keys[:-1]) | (5 * n[:-1].astype(np.int64) < 4 * n[1:].astype(np.int64))
     # who is in no first ninth needs a smaller one that is before it
@@ -285,20 +331,36 @@ def _spaces_of(key: tuple, table: pa.Table) -> pa.Table:
     keep = before > 0
     keys, fps, n, first, space = keys[keep], fps[keep], n[keep], first[keep], space[keep]
     if not len(keys):
-        return _members(keys.view(np.int64), fps, n, first)
+        return _members(keys.view(np.int64), fps, n, first, False)
     starts = np.flatnonzero(np.r_[True, space[1:] != space[:-1]])
     sizes = np.diff(np.append(starts, len(keys)))
     # many shingles have the same members: one space is enough, named by them
-    m = mixed(fps.view(np.uint64) ^ first.astype(np.uint64))
+    m = mixed(fps.view(np.uint64))
     name = mixed(np.add.reduceat(m, starts) + mixed(np.bitwise_xor.reduceat(mixed(m), starts))).view(np.int64)
-    of = np.repeat(np.arange(len(starts)), sizes)
-    _, lead = np.unique(name, return_index=True)
-    keep = (np.isin(np.arange(len(starts)), lead) & (sizes > 1))[of]
-    return _members(name[of][keep], fps[keep], n[keep], first[keep])
+    name[sizes < 2] = 0
+    name = np.repeat(name, sizes)
+    order = np.lexsort((~first, fps, name))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (name[order][1:] != name[order][:-1]) | (fps[order][1:] != fps[order][:-1])
+    keep = order[fresh & (name[order] != 0)]
+    return _members(name[keep], fps[keep], n[keep], first[keep], False)
+
 
+def _members(space: np.ndarray, fp: np.ndarray, n: np.ndarray, first: np.ndarray, hot: bool) -> pa.Table:
+    return pa.table({"space": pa.array(space, pa.int64()), "fp": pa.array(fp, pa.int64()), "n": pa.array(n.astype(np.int64)), "first": pa.array(first.astype(bool), pa.bool_()), "hot": pa.array(np.full(len(fp), hot))})
 
-def _members(space: np.ndarray, fp: np.ndarray, n: np.ndarray, first: np.ndarray) -> pa.Table:
-    return pa.table({"space": pa.array(space, pa.int64()), "fp": pa.array(fp, pa.int64()), "n": pa.array(n.astype(np.int64)), "first": pa.array(first.astype(bool), pa.bool_())})
+
+def _spaces(keyed: DataFrame) -> DataFrame:
+    """(space, fp, n, first), with one space for all shingles of the same members; first if it is for one of them."""
+    raw = written(keyed.groupBy("part").applyInArrow(_spaces_of, MEMBER), "prefixes")
+    hot = raw.filter("hot").groupBy("space", "fp", "n").agg(F.max("first").alias("first"))
+    hot = written(hot, "hot-spaces")
+    named = hot.groupBy("space").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("fp")).alias("a"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("b"), F.min(F.when(F.col("first"), F.col("n"))).alias("least"))
+    named = named.filter("c > 1 and least is not null").select("space", F.xxhash64("c", "a", "b").alias("name"), "least")
+    # who is in no first ninth needs a smaller one that is
+    members = hot.join(named, "space").filter("n >= least").select(F.col("name").alias("space"), "fp", "n", "first")
+    both = raw.filter("not hot").drop("hot").unionByName(members)
+    return written(both.groupBy("space", "fp", "n").agg(F.max("first").alias("first")), "spaces")
 
 
 # joining a region
@@ -310,30 +372,35 @@ def _folded(sketches: list[np.ndarray], cells: int) -> np.ndarray:
 
 
 def plausible(spaces: np.ndarray, n: np.ndarray, first: np.ndarray, sketches: list[np.ndarray]) -> np.ndarray:
-    """Which members some other member of their space may link with. Rows are by space, then size.
+    """Groups of members that may link, by their sketches, directly or by others: the first of each one's group.
 
-    Of two members the smaller, or first, must have the space's shingle among its first.
+    Rows are by space, then size. Of two members the smaller, or first, must have the space's shingle among its first.
     """
-    keep = np.zeros(len(n), bool)
+    label = np.arange(len(n))
     if not len(n):
-        return keep
+        return label
     cells = np.array([len(s) for s in sketches])
     ends = np.searchsorted(spaces, spaces, side="right")
-    # partners of a row: those after it that are no more than 5/4 as large
+    # partners of a row: those after it that are no more than 5/4 as large; spaces are numbered, so one search does for all
     lo = np.arange(len(n)) + 1
-    scale = spaces.astype(np.int64)  # numbers of spaces: ascending, so that one search does for all
-    largest = 5 * n // 4
     bound = int(n.max()) + 1
-    hi = np.minimum(ends, np.searchsorted(scale * bound + n, scale * bound + np.minimum(largest, bound - 1), side="right"))
+    hi = np.minimum(ends, np.searchsorted(spaces * bound + n, spaces * bound + np.minimum(5 * n // 4, bound - 1), side="right"))
     number = np.where(first, np.maximum(hi - lo, 0), 0)
-    at = 0
     totals = np.concatenate([[0], np.cumsum(number)])
+    up = list(range(len(n)))
+
+    def find(v: int) -> int:
+        while up[v] != v:
+            up[v] = v = up[up[v]]
+        return v
+
+    at = 0
     while at < len(n):
         upto = max(at + 1, int(np.searchsorted(totals, totals[at] + (1 << 16), side="right")) - 1)
         x = np.repeat(np.arange(at, upto), number[at:upto])
         y = np.arange(len(x)) - np.repeat(totals[at:upto] - totals[at], number[at:upto]) + lo[x]
-        todo = ~(keep[x] & keep[y])
-        x, y = x[todo], y[todo]
+        apart = label[x] != label[y]
+        x, y = x[apart], y[apart]
         width = np.minimum(cells[x], cells[y])
         for w in np.unique(width):
             i = np.flatnonzero(width == w)
@@ -344,19 +411,29 @@ def plausible(spaces: np.ndarray, n: np.ndarray, first: np.ndarray, sketches: li
             for s in range(0, len(i), step):
                 far = np.abs(table[a[s : s + step]] - table[b[s : s + step]]).sum(1, dtype=np.int64)
                 near = i[s : s + step][9 * far <= n[x[i[s : s + step]]] + n[y[i[s : s + step]]]]
-                keep[x[near]] = keep[y[near]] = True
+                for p, q in zip(x[near].tolist(), y[near].tolist(), strict=True):
+                    p, q = find(p), find(q)
+                    if p != q:
+                        up[max(p, q)] = min(p, q)
+        # rows of these spaces may meet again in the next turn
+        last = int(ends[upto - 1])
+        label[at:last] = [find(v) for v in range(at, last)]
         at = upto
-    return keep
+    return np.array([find(v) for v in range(len(n))])
 
 
 def _plausible(table: pa.Table) -> pa.Table:
+    """Members that may link with another, each with one of its group."""
     space, n, fp = (table[c].to_numpy() for c in ("space", "n", "fp"))
     order = np.lexsort((fp, n, space))
     first = table["first"].to_numpy(zero_copy_only=False)[order]
     blobs = table["blob"].take(pa.array(order)).to_pylist()
-    numbers = np.unique(space[order], return_inverse=True)[1]
-    keep = plausible(numbers, n[order], first, [np.frombuffer(b, np.uint8) for b in blobs])
-    return pa.table({"space": pa.array(space[order][keep]), "fp": pa.array(fp[order][keep]), "home": pa.array(np.ones(int(keep.sum()), bool))})
+    label = plausible(np.unique(space[order], return_inverse=True)[1], n[order], first, [np.frombuffer(b, np.uint8) for b in blobs])
+    # the least name of a group, so that groups of many spaces meet under one
+    least = np.full(len(label), np.iinfo(np.int64).max)
+    np.minimum.at(least, label, fp[order])
+    x, y = fp[order], least[label]
+    return pa.table({"x": pa.array(x[x != y]), "y": pa.array(y[x != y])})
 
 
 class _Forest:
@@ -508,6 +585,14 @@ def _pieces(size: Column, shingles: Column) -> Column:
     return F.greatest(F.ceil(size / F.lit(FIT)), F.ceil(shingles / F.lit(FIT_SHINGLES))).cast("int")
 
 
+def _fits(size: str, shingles: str) -> Column:
+    return _pieces(F.col(size), F.col(shingles)) <= 1
+
+
+def _links(regions: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+    return regions.select("space", "fp", "home").join(sets.select("fp", "hashes"), "fp").groupBy(F.pmod("space", F.lit(parts))).applyInArrow(_joined, EDGE)
+
+
 def _split(large: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Regions (space, fp, n, home) that fit a task, from larger ones, and links found on the way."""
     edges: DataFrame | None = None
@@ -517,9 +602,9 @@ def _split(large: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
         rank = F.row_number().over(Window.partitionBy("space").orderBy(F.xxhash64("fp"), "fp"))
         pivots = large.filter("home").withColumn("rank", rank).filter(F.col("rank") <= PIVOTS).select("space", "fp")
         salts = sizes.select("space", F.explode(F.sequence(F.lit(0), 2 * _pieces(F.col("size"), F.col("shingles")) - 1)).alias("salt"))
-        pivots = written(pivots.join(sets, "fp"), "pivots").join(salts, "space").select("space", "salt", "fp", "hashes")
+        pivots = written(pivots.join(sets.drop("n"), "fp"), "pivots").join(salts, "space").select("space", "salt", "fp", "hashes")
         salted = large.join(sizes, "space").withColumn("salt", F.pmod(F.xxhash64("fp"), 2 * _pieces(F.col("size"), F.col("shingles"))).cast("int"))
-        members = salted.join(sets, "fp").select("space", "salt", "fp", "n", "home", "hashes")
+        members = salted.join(sets.drop("n"), "fp").select("space", "salt", "fp", "n", "home", "hashes")
         found = pivots.groupBy("space", "salt").cogroup(members.groupBy("space", "salt"))
         found = written(found.applyInArrow(_measured, "space long, fp long, n long, home boolean, pivots array<long>, far array<double>, linked array<long>"), "measured")
         links = found.select(F.col("fp").alias("x"), F.explode("linked").alias("y")).filter("x != y")
@@ -537,7 +622,7 @@ def _split(large: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
         stuck = written(stuck, "stuck")
         fitting.append(_blocks(large.join(stuck, "space"), sizes, edges))
         go = cells.join(stuck, "space", "left_anti").join(count.select("cell", "c", "s"), "cell")
-        fits = _pieces(F.col("c"), F.col("s")) <= 1
+        fits = _fits("c", "s")
         fitting.append(written(go.filter(fits).select(F.col("cell").alias("space"), "fp", "n", "home"), "fitting"))
         large = written(go.filter(~fits).select(F.col("cell").alias("space"), "fp", "n", "home"), "regions")
         if large.isEmpty():
@@ -580,7 +665,7 @@ def _bits(doc_id: Column, n: int) -> Column:
 
 
 def _sets(rows: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(fp, hashes) of the wanted (fp): from one row of each, and of others that a filter of doc_ids lets pass."""
+    """(fp, n, hashes) of the wanted (fp): from one row of each, and of others that a filter of doc_ids lets pass."""
     spark = rows.sparkSession
     leads = classes.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
     leads = written(leads, "leads")
@@ -601,11 +686,11 @@ def _sets(rows: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
                 if len(s) and fp not in seen:
                     if len(seen) < HELD_KEYS:
                         seen.add(fp)
-                    found[fp] = s.tobytes()
+                    found[fp] = s
             if found:
-                yield _batch(["fp", "hashes"], [pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.binary())])
+                yield _batch(["fp", "n", "hashes"], [pa.array(found.keys(), pa.int64()), pa.array([len(s) for s in found.values()], pa.int64()), pa.array([s.tobytes() for s in found.values()], pa.binary())])
 
-    made = rows.filter(F.length("text") > 0).select("text", _bits(F.col("doc_id"), n).alias("b")).mapInArrow(run, "fp long, hashes binary")
+    made = rows.filter(F.length("text") > 0).select("text", _bits(F.col("doc_id"), n).alias("b")).mapInArrow(run, "fp long, n long, hashes binary")
     return written(made.join(wanted, "fp", "left_semi").dropDuplicates(["fp"]), "sets")
 
 
@@ -615,24 +700,28 @@ def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     small_batches(spark)
     rows = with_columns_of(docs, doc_id=T.LongType(), text=T.StringType())
     parts = _parts(rows)
-    first = written(rows.select("doc_id", "text").mapInArrow(_classes(parts), _CLASS), "shingled")
-    classes = first.filter("part < 0").select("doc_id", "n", "fp")
-    common = spark.sparkContext.broadcast(_listed(first))
+    shingled = rows.select("doc_id", "text").mapInArrow(_classes(parts), _CLASS)
+    shingled = written(shingled.groupBy("part").applyInArrow(_merged, _SHINGLED), "shingled")
+    classes = shingled.filter("key is null").select("doc_id", "n", "fp")
+    common = spark.sparkContext.broadcast(_listed(shingled.filter("key is not null")))
     keyed = rows.filter(F.length("text") > 0).select("text").mapInArrow(_keys(parts, common), "part long, blob binary")
-    spaces = written(keyed.groupBy("part").applyInArrow(_spaces_of, MEMBER).distinct(), "spaces")
+    spaces = _spaces(keyed)
     sizes = written(_sized(spaces).filter("size > 1"), "space-sizes")
-    fits = _pieces(F.col("size"), F.col("shingles")) <= 1
-    small = spaces.join(sizes.filter(fits).select("space"), "space")
-    large = written(spaces.join(sizes.filter(~fits).select("space"), "space").select("space", "fp", "n", F.lit(True).alias("home")), "large-spaces")
-    sketches = first.filter("part < 0").join(spaces.select("fp").distinct(), "fp", "left_semi").select("fp", "blob").dropDuplicates(["fp"])
-    part = F.pmod("space", F.lit(parts))
-    near = small.join(sketches, "fp").groupBy(part).applyInArrow(_plausible, "space long, fp long, home boolean")
-    near = written(near, "plausible")
-    sets = _sets(rows, classes, near.select("fp").union(large.select("fp")).distinct())
-    edges = near.join(sets, "fp").groupBy(F.pmod("space", F.lit(parts))).applyInArrow(_joined, EDGE)
+    small = spaces.join(sizes.filter(_fits("size", "shingles")).select("space"), "space")
+    large = spaces.join(sizes.filter(~_fits("size", "shingles")).select("space"), "space").select("space", "fp", "n", F.lit(True).alias("home"))
+    large = written(large, "large-spaces")
+    sketches = shingled.filter("key is null").join(spaces.select("fp").distinct(), "fp", "left_semi").select("fp", "blob").dropDuplicates(["fp"])
+    # members of small spaces that may link, each in one region, however many spaces it is in
+    near = components(small.join(sketches, "fp").groupBy(F.pmod("space", F.lit(parts))).applyInArrow(_plausible, EDGE))
+    sets = _sets(rows, classes, near.select(F.col("v").alias("fp")).union(large.select("fp")).distinct())
+    regions = near.select(F.col("label").alias("space"), F.col("v").alias("fp")).join(sets.select("fp", "n"), "fp").select("space", "fp", "n", F.lit(True).alias("home"))
+    sizes = written(_sized(regions), "region-sizes")
+    fit = regions.join(sizes.filter(_fits("size", "shingles")).select("space"), "space")
+    large = written(large.unionByName(regions.join(sizes.filter(~_fits("size", "shingles")).select("space"), "space")), "large-regions")
+    edges = _links(fit, sets, parts)
     if not large.isEmpty():
         fitting, found = _split(large, sets)
-        edges = edges.unionByName(found).unionByName(fitting.join(sets, "fp").groupBy("space").applyInArrow(_joined, EDGE))
+        edges = edges.unionByName(found).unionByName(_links(fitting, sets, parts))
     labels = components(edges).select(F.col("v").alias("fp"), "label")
     return classes, classes.filter("n > 0").join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
 
