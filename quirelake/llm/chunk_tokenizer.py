@@ -3,8 +3,9 @@
 Both vocabularies split text before their merges, never inside a run of letters and never joining what a blank or a
 line feed separates on its left. A text is therefore cut, without changing its ids, before each run of blanks and line
 feeds and between a Latin letter and an ASCII mark after it. Chunks repeat; a worker encodes a new one with the
-library and keeps its ids under a 64-bit hash in sorted arrays. Texts with other white space, in which such a cut could
-fall inside a token, go to the library whole.
+library and keeps its bytes and ids under a 64-bit hash in sorted arrays. Hashes only find chunks: bytes are compared
+wherever one is taken for another, so two of one hash get each their own ids. Texts with other white space, in which
+such a cut could fall inside a token, go to the library whole.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Bytes worked on at once; a longer text is cut at a chunk.
-SLICE = 1 << 21
+SLICE = 1 << 19
 #: Longer chunks are encoded each time, not kept.
 LONGEST = 256
 #: Chunks kept by a worker; beyond it, the store starts anew (only speed depends on it).
@@ -43,6 +44,33 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+class _Growing:
+    """An array that is appended to, in room that doubles."""
+
+    def __init__(self, kind):
+        self.room, self.n = np.empty(1 << 10, kind), 0
+
+    def append(self, more: np.ndarray) -> None:
+        if self.n + len(more) > len(self.room):
+            self.room = np.concatenate([self.room[: self.n], np.empty(self.n + 2 * len(more), self.room.dtype)])
+        self.room[self.n : self.n + len(more)] = more
+        self.n += len(more)
+
+
+def _places(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All places of runs that begin at starts."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _differ(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Which runs of a differ from those of b of the same lengths, none of them empty."""
+    if not len(lengths):
+        return np.zeros(0, bool)
+    wrong = a[_places(at, lengths)] != b[_places(bt, lengths)]
+    return np.logical_or.reduceat(wrong, np.cumsum(lengths) - lengths)
+
+
 class ChunkTokenizer:
     """encode() gives the ids that Tokenizer.encode(text, add_special_tokens=False) would."""
 
@@ -67,8 +95,10 @@ class ChunkTokenizer:
     def _clear(self) -> None:
         self._hash = np.empty(0, np.uint64)
         self._slot = np.empty(0, np.int64)
-        self._start = np.zeros(1, np.int64)
-        self._ids = np.empty(0, np.int32)
+        # of each slot, where its ids and bytes begin and how many they are
+        self._start, self._count = _Growing(np.int64), _Growing(np.int64)
+        self._byte_start, self._length = _Growing(np.int64), _Growing(np.int64)
+        self._ids, self._bytes = _Growing(np.int32), _Growing(np.uint8)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin (one more than texts)."""
@@ -146,38 +176,56 @@ class ChunkTokenizer:
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * self._power[: len(raw)], dtype=np.uint64)])
         hashes = (sums[stops] - sums[starts]) * self._inverse[starts]
         distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        begin, count, store = self._looked_up(distinct, first, starts, stops, data)
-        begin, count = begin[which], count[which]
-        total = np.concatenate([[0], np.cumsum(count)])
-        where = np.repeat(begin - total[:-1], count) + np.arange(total[-1])
-        ids = store[where]
+        # every other chunk of a hash must be the first one's bytes
+        lengths, lead = stops - starts, first[which]
+        again = np.flatnonzero((lead != np.arange(len(lead))) & (lengths > 0))
+        if (lengths != lengths[lead]).any() or _differ(raw, starts[again], raw, starts[lead[again]], lengths[again]).any():
+            found = [self.tokenizer.encode(p.decode(), add_special_tokens=False).ids for p in pieces]
+            return np.array([x for ids in found for x in ids], np.int32), np.array([len(ids) for ids in found])
+        begin, count, ids = self._looked_up(distinct, starts[first], lengths[first], raw, data)
+        ids = ids[_places(begin[which], count[which])]
         piece = np.searchsorted(ends, starts, side="right") if not self.folds else np.searchsorted(ends, np.flatnonzero(begins), side="right")
-        return ids, np.bincount(piece, weights=count, minlength=len(pieces)).astype(np.int64)
+        return ids, np.bincount(piece, weights=count[which], minlength=len(pieces)).astype(np.int64)
 
-    def _looked_up(self, distinct, first, starts, stops, data):
-        """Where each distinct chunk's ids begin in a store, how many, and the store."""
+    def _looked_up(self, distinct: np.ndarray, starts: np.ndarray, lengths: np.ndarray, raw: np.ndarray, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each distinct chunk's ids begin, how many, and these ids."""
         if len(self._hash) > KEPT:
             self._clear()
         at = np.searchsorted(self._hash, distinct)
-        known = at < len(self._hash)
-        known[known] = self._hash[at[known]] == distinct[known]
+        taken = at < len(self._hash)
+        taken[taken] = self._hash[at[taken]] == distinct[taken]
+        own = np.flatnonzero(taken)
+        slot = self._slot[at[own]]
+        alike = self._length.room[slot] == lengths[own]
+        check = np.flatnonzero(alike & (lengths[own] > 0))
+        alike[check] = ~_differ(raw, starts[own[check]], self._bytes.room, self._byte_start.room[slot[check]], lengths[own[check]])
+        own, slot = own[alike], slot[alike]
+        known = np.zeros(len(distinct), bool)
+        known[own] = True
         new = np.flatnonzero(~known)
-        if len(new):
-            found = self._encoded([data[starts[i] : stops[i]].decode() for i in first[new]])
-            counts = np.fromiter(map(len, found), np.int64, len(found))
-            slots = len(self._start) - 1 + np.arange(len(new))
-            self._start = np.concatenate([self._start, self._start[-1] + np.cumsum(counts)])
-            self._ids = np.concatenate([self._ids, np.fromiter((x for ids in found for x in ids), np.int32, counts.sum())])
-            keep = (stops - starts)[first[new]] <= LONGEST
-            slot = np.empty(len(distinct), np.int64)
-            slot[known] = self._slot[at[known]]
-            slot[new] = slots
-            where = np.searchsorted(self._hash, distinct[new[keep]])
-            self._hash = np.insert(self._hash, where, distinct[new[keep]])
-            self._slot = np.insert(self._slot, where, slots[keep])
-        else:
-            slot = self._slot[at]
-        return self._start[slot], self._start[slot + 1] - self._start[slot], self._ids
+        found = self._encoded([data[starts[i] : starts[i] + lengths[i]].decode() for i in new])
+        count = np.zeros(len(distinct), np.int64)
+        count[own] = self._count.room[slot]
+        count[new] = np.fromiter(map(len, found), np.int64, len(found))
+        more = np.fromiter((x for ids in found for x in ids), np.int32, int(count[new].sum()))
+        begin = np.zeros(len(distinct), np.int64)
+        order = np.concatenate([own, new])
+        begin[order] = np.cumsum(count[order]) - count[order]
+        ids = np.concatenate([self._ids.room[_places(self._start.room[slot], count[own])], more])
+        # a long chunk is not kept, nor one whose hash another has
+        fresh = np.flatnonzero((lengths[new] <= LONGEST) & ~taken[new])
+        keep = new[fresh]
+        if len(keep):
+            self._start.append(self._ids.n + np.cumsum(count[keep]) - count[keep])
+            self._ids.append(more[_places((np.cumsum(count[new]) - count[new])[fresh], count[keep])])
+            self._byte_start.append(self._bytes.n + np.cumsum(lengths[keep]) - lengths[keep])
+            self._bytes.append(raw[_places(starts[keep], lengths[keep])])
+            where = np.searchsorted(self._hash, distinct[keep])
+            self._hash = np.insert(self._hash, where, distinct[keep])
+            self._slot = np.insert(self._slot, where, self._count.n + np.arange(len(keep)))
+            self._count.append(count[keep])
+            self._length.append(lengths[keep])
+        return begin, count, ids
 
     def _encoded(self, chunks: list[str]) -> list[list[int]]:
         """A run of Latin letters is one word to both vocabularies, so it goes straight to the merges."""

@@ -76,16 +76,22 @@ def _matrix(blobs) -> np.ndarray:
     return np.stack([np.frombuffer(b, "<f8") for b in blobs])
 
 
-def _best(query: np.ndarray, vectors: np.ndarray, classes: np.ndarray, k: int) -> Iterator[tuple[int, int, float]]:
-    """Of each query the k best classes: (row of query, class, score)."""
+def _best(query: np.ndarray, bounds: np.ndarray, vectors: np.ndarray, classes: np.ndarray, k: int) -> Iterator[tuple[int, int, float]]:
+    """Of each query the k best classes that score its bound or more: (row of query, class, score)."""
     rough = query @ vectors.T
+    slack = SLACK * (1 + np.abs(rough).max())
+    some = np.flatnonzero(rough.max(1) >= bounds - slack)
+    query, bounds, rough = query[some], bounds[some], rough[some]
+    if not len(some):
+        return
     k = min(k, rough.shape[1])
-    least = np.partition(rough, rough.shape[1] - k, axis=1)[:, rough.shape[1] - k] - SLACK * (1 + np.abs(rough).max())
+    least = np.maximum(np.partition(rough, rough.shape[1] - k, axis=1)[:, rough.shape[1] - k], bounds) - slack
     for i in range(len(query)):
         at = np.flatnonzero(rough[i] >= least[i])
         scores = exact_scores(query[i], vectors[at])
         for j in np.lexsort((classes[at], -scores))[:k]:
-            yield i, int(classes[at[j]]), float(scores[j])
+            if scores[j] >= bounds[i]:
+                yield int(some[i]), int(classes[at[j]]), float(scores[j])
 
 
 FOUND = "query long, cls long, score double"
@@ -96,9 +102,9 @@ def _search(k: int):
         out: list[tuple] = []
         if len(candidates) and len(queries):
             vectors, classes = _matrix(candidates["vec"]), candidates["cls"].to_numpy()
-            for ids, blob in zip(queries["ids"], queries["vecs"], strict=True):
+            for ids, bounds, blob in zip(queries["ids"], queries["bounds"], queries["vecs"], strict=True):
                 own = np.frombuffer(ids, "<i8")
-                found = _best(np.frombuffer(blob, "<f8").reshape(len(own), -1), vectors, classes, k)
+                found = _best(np.frombuffer(blob, "<f8").reshape(len(own), -1), np.frombuffer(bounds, "<f8"), vectors, classes, k)
                 out += [(own[i], c, s) for i, c, s in found]
         return pd.DataFrame(out, columns=["query", "cls", "score"])
 
@@ -125,7 +131,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, seed: int = 7)
 
     Nearness is the inner product, larger first, then the smaller vec_id. A query with fewer candidates gets all.
     Vectors that are null, empty, zero, hold null or non-finite components, or have another length than most, take no
-    part, nor do rows whose vec_id is null. A row that is repeated counts once; a query is not answered with rows of its
+    part, nor do rows whose vec_id is null. A row that is repeated counts once; of
+    several rows with one vec_id, the one of the least vector asks. A query is not answered with rows of its
     own vec_id. Without vectors there are no rows. Other columns are not read.
     """
     spark = vectors.sparkSession
@@ -171,15 +178,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, seed: int = 7)
     parts = spark.createDataFrame([(c, b, p) for (c, b), p in sizes.items()], "curve int, block int, parts int")
     candidates = written(blocked.join(F.broadcast(parts), ["curve", "block"]).select("curve", "block", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), F.col("id").alias("cls"), "vec"), "blocks")
 
-    def sent(rows: list[tuple[int, int, int]], ids: np.ndarray, m: np.ndarray) -> Iterator[pd.DataFrame]:
-        """(curve, block, row): queries of a batch by block and part."""
+    def sent(rows: list[tuple[int, int, int]], ids: np.ndarray, m: np.ndarray, least: np.ndarray) -> Iterator[pd.DataFrame]:
+        """(curve, block, row): queries of a batch by block and part, with the least scores that they still need."""
         if rows:
             table = pd.DataFrame(rows, columns=["curve", "block", "row"])
             out = []
             for (c, b), own in table.groupby(["curve", "block"]):
                 i = own["row"].to_numpy()
-                out += [(c, b, p, ids[i].astype("<i8").tobytes(), m[i].astype("<f8").tobytes()) for p in range(sizes.get((c, b), 0))]
-            yield pd.DataFrame(out, columns=["curve", "block", "part", "ids", "vecs"])
+                out += [(c, b, p, ids[i].astype("<i8").tobytes(), least[i].astype("<f8").tobytes(), m[i].astype("<f8").tobytes()) for p in range(sizes.get((c, b), 0))]
+            yield pd.DataFrame(out, columns=["curve", "block", "part", "ids", "bounds", "vecs"])
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -190,12 +197,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, seed: int = 7)
             for c in range(CURVES):
                 at = np.searchsorted(bounds[c], curve_keys(m, c, seed), side="right")
                 todo += [(c, int(b) + s, i) for i, b in enumerate(at) for s in (-1, 0, 1)]
-            yield from sent(todo, batch["vec_id"].to_numpy(), m)
+            yield from sent(todo, batch["vec_id"].to_numpy(), m, np.full(len(m), -np.inf))
 
-    asked = written(asked.dropDuplicates(["vec_id"]), "queries")
+    # of several rows with a query's vec_id, the one of the least vector asks
+    asked = written(asked.groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
     many = max(1, min(shuffle_partitions(spark), asked.count() // 64))
     spread = asked.repartition(many)
-    sending = "curve int, block int, part int, ids binary, vecs binary"
+    sending = "curve int, block int, part int, ids binary, bounds binary, vecs binary"
     keys = ["curve", "block", "part"]
 
     def searched(queries: DataFrame) -> DataFrame:
@@ -226,7 +234,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, seed: int = 7)
             go = most + SLACK >= least[:, None]
             seen = np.abs(numbers[None, :] - at[:, None]) <= 1
             todo = sorted({(0, int(numbers[b]), int(i)) for i, b in zip(*np.nonzero(go & ~seen), strict=True)})
-            yield from sent(todo, batch["vec_id"].to_numpy(), m)
+            yield from sent(todo, batch["vec_id"].to_numpy(), m, least)
 
     both = near.unionByName(searched(pending.mapInPandas(rest, sending)))
     best = _merged(both, k + 1).select("query", "cls", "score")

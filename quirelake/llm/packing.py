@@ -13,7 +13,6 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -145,13 +144,11 @@ def _packer(tokenizer_path: str, end_id: int, size: int, most: int):
 
 
 def _merger(size: int):
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["sequence_id", "offset"])
-        pieces = [(None if pd.isna(d) else int(d), s, np.frombuffer(i, "<u4"), t) for d, s, i, t in zip(group.doc_id, group.start, group.ids, group.doc_tokens, strict=True)]
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        rows = group.sort_by([("sequence_id", "ascending"), ("offset", "ascending")]).to_pylist()
+        pieces = [(r["doc_id"], r["start"], np.frombuffer(r["ids"], "<u4"), r["doc_tokens"]) for r in rows]
         done, rest = poured(pieces, size)
-        out = pd.DataFrame(_rows(done + [rest] * bool(rest), _MERGED | int(key[0]) << _RUN_BITS, False))
-        out["doc_id"] = out["doc_id"].astype("Int64")
-        return out
+        return pa.Table.from_pydict(_rows(done + [rest] * bool(rest), _MERGED | int(key[0].as_py()) << _RUN_BITS, False), _ARROW)
 
     return run
 
@@ -169,9 +166,6 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, size: int = 2048, op
     pieces = written(rows.mapInArrow(_packer(tokenizer_path, end_id, size, open_windows), PIECE), "packed", ("open",))
     whole = pieces.filter(~F.col("open")).drop("open")
     group = F.floor(F.shiftright("sequence_id", _RUN_BITS) / MERGED_TOGETHER).cast("long")
-    merged = pieces.filter("open").withColumn("merge_group", group).groupBy("merge_group").applyInPandas(_drop_key(_merger(size)), PIECE)
+    merged = pieces.filter("open").withColumn("merge_group", group).groupBy("merge_group").applyInArrow(_merger(size), PIECE)
     return whole.unionByName(merged.drop("open"))
 
-
-def _drop_key(f):
-    return lambda key, group: f(key, group.drop(columns="merge_group"))

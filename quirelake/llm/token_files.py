@@ -6,12 +6,13 @@ rows never show. Shards follow the order of doc_id, nulls first; segments follow
 `start` counts the ids before the segment in its shard; the ids before a shard are summed from the other columns.
 
 Payload, little-endian:
-  magic "EFTK", version u16, bytes of an id u16, documents u64, ids u64, low bits u32, samples u32,
-  byte counts of the parts u64 x 6, then the parts:
-  ids | low bits of the boundaries | high bits in unary | samples: the place of every 64th one of these |
-  doc_ids i64 | bits of the documents whose doc_id is null
+  magic "EFTK", version u16, bytes of an id u16, documents u64, of these without a doc_id u64, ids u64,
+  least doc_id i64, low bits of boundaries u32, of doc_ids u32, byte counts of the parts u64 x 7, then the parts:
+  ids | of the boundaries, then of the doc_ids less the least: low bits, high bits in unary, samples: the place of every
+  64th one of these
 The boundaries (0, ..., ids) are monotone: n + 1 values under u take about n * (2 + log2(u / n)) bits, against 64 n
-for a table. select(i) starts at a sample and counts ones from there.
+for a table, and so are the doc_ids. select(i) starts at a sample and counts ones from there; what is read back comes
+from it.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 from quirelake.llm.chunk_tokenizer import ChunkTokenizer
 from quirelake.llm.common import fresh_path, shuffle_partitions, small_batches, with_columns_of
 
-_HEAD = struct.Struct("<4sHHQQII6Q")
+_HEAD = struct.Struct("<4sHHQQQqII7Q")
 _EVERY = 64
 #: Ids of a segment; one document more may go over it.
 SEGMENT_IDS = 1 << 18
@@ -57,8 +58,9 @@ class EliasFano:
     def of(cls, values: np.ndarray) -> EliasFano:
         n = len(values)
         low_bits = max(0, (int(values[-1]) // n).bit_length() - 1) if n else 0
-        low = ((values[:, None] >> np.arange(low_bits)) & 1).astype(np.uint8)
-        ones = (values >> low_bits) + np.arange(n)
+        values = values.astype(np.uint64)
+        low = ((values[:, None] >> np.arange(low_bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
+        ones = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         bits = np.zeros(int(ones[-1]) + 1 if n else 0, np.uint8)
         bits[ones] = 1
         return cls(np.packbits(low.ravel(), bitorder="little"), np.packbits(bits, bitorder="little"), ones[::_EVERY].astype("<u4"), n, low_bits)
@@ -93,24 +95,23 @@ class EliasFano:
 
 
 def encode_segment(doc_ids: list[int | None], ids: np.ndarray, bounds: np.ndarray) -> bytes:
-    """bounds: where each document's ids begin, and their number."""
+    """doc_ids ascending, nulls first; bounds: where each document's ids begin, and their number."""
     width = 2 if not len(ids) or int(ids.max()) < 1 << 16 else 4
-    ef = EliasFano.of(bounds)
-    known = np.array([0 if x is None else x for x in doc_ids], "<i8")
-    nulls = np.packbits(np.array([x is None for x in doc_ids], np.uint8), bitorder="little")
-    parts = [ids.astype(f"<u{width}").tobytes(), ef.low.tobytes(), ef.high.tobytes(), ef.samples.tobytes(), known.tobytes(), nulls.tobytes()]
-    return _HEAD.pack(b"EFTK", 1, width, len(doc_ids), len(ids), ef.low_bits, len(ef.samples), *map(len, parts)) + b"".join(parts)
+    known = [x for x in doc_ids if x is not None]
+    least = known[0] if known else 0
+    both = EliasFano.of(bounds.astype(np.uint64)), EliasFano.of(np.array([x - least for x in known], np.uint64))
+    parts = [ids.astype(f"<u{width}").tobytes(), *(x.tobytes() for ef in both for x in (ef.low, ef.high, ef.samples))]
+    return _HEAD.pack(b"EFTK", 2, width, len(doc_ids), len(doc_ids) - len(known), len(ids), least, both[0].low_bits, both[1].low_bits, *map(len, parts)) + b"".join(parts)
 
 
 def decode_segment(payload: bytes) -> tuple[list[int | None], np.ndarray, EliasFano]:
-    magic, version, width, n, _, low_bits, _, *sizes = _HEAD.unpack_from(payload)
-    if magic != b"EFTK" or version != 1:
+    magic, version, width, n, nulls, _, least, low_bits, id_bits, *sizes = _HEAD.unpack_from(payload)
+    if magic != b"EFTK" or version != 2:
         raise ValueError("not a segment of a token file")
     at = np.concatenate([[_HEAD.size], _HEAD.size + np.cumsum(sizes)])
     part = lambda i, kind: np.frombuffer(payload, kind, (at[i + 1] - at[i]) // np.dtype(kind).itemsize, at[i])
-    nulls = np.unpackbits(part(5, np.uint8), bitorder="little")[:n]
-    doc_ids = [None if null else int(x) for x, null in zip(part(4, "<i8"), nulls, strict=True)]
-    return doc_ids, part(0, f"<u{width}"), EliasFano(part(1, np.uint8), part(2, np.uint8), part(3, "<u4"), n + 1, low_bits)
+    bounds, known = (EliasFano(part(i, np.uint8), part(i + 1, np.uint8), part(i + 2, "<u4"), m, bits) for i, m, bits in ((1, n + 1, low_bits), (4, n - nulls, id_bits)))
+    return [None] * nulls + [least + known.select(i) for i in range(n - nulls)], part(0, f"<u{width}"), bounds
 
 
 def _segments(tokenizer_path: str, end_id: int):
@@ -172,7 +173,7 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for shard, start, payload in zip(*(batch.column(i) for i in range(3)), strict=True):
             doc_ids, ids, ef = decode_segment(payload.as_py())
-            bounds = ef.all()
+            bounds = np.array([ef.select(i) for i in range(ef.n)], np.int64)
             crcs = [zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             n = len(doc_ids)
             yield pa.RecordBatch.from_arrays(

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from quirelake.llm import packing, token_files
+from quirelake.llm import packing, shingles, token_files
 from quirelake.llm.chunk_tokenizer import ChunkTokenizer
 
 ODD = [
@@ -42,6 +42,55 @@ def test_long_texts_are_cut_safely(path, monkeypatch):
         assert ids.tolist() == plain(path, text)
 
 
+def test_words_of_one_hash_have_their_own_ids(path):
+    """Words of a text of two letters and its complement: polynomials of any odd base take the two for one."""
+    a = ["a"]
+    for _ in range(10):
+        a.append("".join({"a": "b", "b": "a"}[c] for c in "".join(a)))
+    words = ["".join(a), "".join({"a": "b", "b": "a"}[c] for c in "".join(a))]
+    for texts in (words, [words[1]], [f"x {words[0]} {words[1]} y"], [" ".join(words * 3)]):
+        ids, at = ChunkTokenizer.of(path).encode(texts)
+        for i, text in enumerate(texts):
+            assert ids[at[i] : at[i + 1]].tolist() == plain(path, text)
+    first, second = shingles.word_hashes([w.encode() for w in words])
+    assert first != second
+
+
+def test_stored_chunks_of_one_hash_are_told_apart(path):
+    t = ChunkTokenizer(path)
+    t._inverse = t._inverse * np.uint64(0)  # every chunk has the hash 0
+    for texts in (["one two two"], ["two"], ["three"], ["one"]):
+        ids, at = t.encode(texts)
+        assert ids.tolist() == plain(path, texts[0])
+
+
+def test_texts_without_blanks_are_not_kept(path):
+    rng, t = np.random.default_rng(4), ChunkTokenizer(path)
+    for _ in range(4):
+        texts = ["".join(map(chr, rng.integers(0x4E00, 0x9FA5, 2000))) for _ in range(10)]
+        ids, at = t.encode(texts)
+        assert ids[at[3] : at[4]].tolist() == plain(path, texts[3])
+    assert t._ids.n == 0 and t._bytes.n == 0
+
+
+def test_all_documents_are_packed(spark):
+    """Against plain ids: every piece's ids, crc32 and place; doc_ids that no float holds beside null ones."""
+    p = public_tokenizers.path("word_bpe_49k.json")
+    big = 2**53 + 1
+    texts = {big + i: "some words here " * (i % 7) for i in range(40)}
+    docs = spark.createDataFrame([*texts.items(), (None, "no id"), (None, None)], "doc_id long, text string").repartition(4)
+    pieces = packing.pack(docs, p, 1, size=32, open_windows=2).collect()
+    found = {}
+    for r in pieces:
+        ids = np.frombuffer(r["ids"], "<u4").tolist()
+        assert len(ids) == r["length"]
+        if r["doc_id"] is not None:
+            found.setdefault(r["doc_id"], {})[r["start"]] = ids
+    for doc_id, text in texts.items():
+        assert [x for _, ids in sorted(found[doc_id].items()) for x in ids] == plain(p, text) + [1]
+    assert sum(r["length"] for r in pieces if r["doc_id"] is None) == len(plain(p, "no id")) + 2
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(st.sampled_from("aBé'!, \n\t9日"), max_size=40))
 def test_any_text(text):
