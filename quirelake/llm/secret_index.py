@@ -1,18 +1,22 @@
 """Secret scans through a trigram inverted index, with DataFrame functions alone.
 
-Each rule is a regular expression; from its literals a Boolean query over trigrams is derived, which every text that
-matches must meet (a literal of three characters and more means all its trigrams, alternatives mean any of theirs).
-A rule without a mandatory trigram scans all texts.
+Each rule is a regular expression. Walking its parsed form derives a Boolean query over trigrams that every text with a
+match must meet: what must stand in a row, with all its alternatives, means all trigrams of one of these; parts that
+follow each other are all needed. A rule without a mandatory trigram scans all texts.
 
 The index holds, for each block of documents and each trigram that a rule asks for, the postings: the block's documents
-with it. Blocks are of bounded size, so no posting list grows with the corpus, however common its trigram. The queries
+with it, found by one pass of one expression over each text. Blocks are of bounded size, so no posting list grows with the corpus, however common its trigram. The queries
 intersect and unite a block's lists; the documents that come out are verified with the expression itself.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
+from itertools import product
+from re import _constants as op
+from re import _parser as parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,9 +27,8 @@ from quirelake.llm.common import shuffle_partitions, with_columns_of, written
 
 @dataclass(frozen=True)
 class Rule:
-    """pattern: a Java regular expression; group: whose length counts; least: characters it must have.
+    """pattern: a regular expression that Java and Python read alike; group: whose length counts; least: characters it must have.
 
-    literals: alternatives, each a tuple of literals that a match must all contain; None: nothing is mandatory.
     base: one of the fixed kinds, whose spans always stay.
     """
 
@@ -33,25 +36,18 @@ class Rule:
     pattern: str
     group: int = 0
     least: int = 0
-    literals: tuple[tuple[str, ...], ...] | None = None
     base: bool = True
 
 
 # Fixed patterns.
 RULES = (
-    Rule(
-        "assign",
-        r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
-        2,
-        6,
-        (("password",), ("passwd",), ("secret",), ("token",), ("api_key",), ("apikey",)),
-    ),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 20, (("akia",),)),
+    Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     # the expression [0-9a-f]+ with its shorter matches left out: greedy runs, so the rest are the same
     Rule("hex", r"(?<![0-9a-f])[0-9a-f]{24,}", 0, 24),
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----", 0, 1, (("-----begin", "private key-----"),), base=False),
-    Rule("hub_token", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40, (("ghp_",), ("gho_",), ("ghu_",), ("ghs_",), ("ghr_",)), base=False),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 20, (("eyj", ".ey"),), base=False),
+    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----", 0, 1, base=False),
+    Rule("hub_token", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40, base=False),
+    Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 20, base=False),
 )
 #: Kinds in the order that breaks ties of spans.
 ORDER = tuple(r.kind for r in RULES)
@@ -59,26 +55,107 @@ ORDER = tuple(r.kind for r in RULES)
 BLOCK_ROWS = 4096
 
 
-def trigrams(literal: str) -> list[str]:
-    return [literal[i : i + 3] for i in range(len(literal) - 2)]
+#: Alternatives of what stands in a row, at most; more are not told apart.
+MOST_WAYS = 64
+#: Alternatives, each a set of trigrams that are all needed; and all of several such.
+Clause = frozenset[frozenset[str]]
+Query = list[Clause]
+
+
+def _clause(strings: set[str]) -> Clause | None:
+    """What a text must have that has one of these; None if one is too short to tell."""
+    ways = {frozenset(s[i : i + 3] for i in range(len(s) - 2)) for s in strings}
+    return None if frozenset() in ways else frozenset(w for w in ways if not any(x < w for x in ways))
+
+
+def _either(queries: list[Query]) -> Query:
+    """Any of them: a clause of each, alternatives side by side."""
+    if not queries or not all(queries):
+        return []
+    return [frozenset().union(*parts) for parts in product(*queries)][:MOST_WAYS]
+
+
+def _derived(parsed) -> tuple[set[str] | None, Query]:
+    """Of a parsed expression all its matches, lower-cased, if they are few, else None; and what each of them needs."""
+    run, query, whole = {""}, [], True
+
+    def ended() -> None:
+        nonlocal run
+        query.extend(c for c in [_clause(run)] if c)
+        run = {""}
+
+    for kind, arg in parsed:
+        own, needs = _part(kind, arg)
+        if own is not None and len(own) * len(run) <= MOST_WAYS:
+            run = {a + b for a in run for b in own}
+            continue
+        whole = False
+        ended()
+        if own is not None:
+            run = own
+        query.extend(needs)
+    if whole:
+        return run, [c for c in [_clause(run)] if c]
+    ended()
+    return None, query
+
+
+def _part(kind, arg) -> tuple[set[str] | None, Query]:
+    if kind is op.LITERAL:
+        return {chr(arg).lower()}, []
+    if kind in (op.AT, op.ASSERT, op.ASSERT_NOT):
+        return {""}, []
+    if kind is op.IN:
+        found: set[str] = set()
+        for what, x in arg:
+            if what is op.LITERAL:
+                found.add(chr(x).lower())
+            elif what is op.RANGE and x[1] - x[0] < MOST_WAYS:
+                found |= {chr(c).lower() for c in range(x[0], x[1] + 1)}
+            else:
+                return None, []
+        return (found, []) if len(found) <= MOST_WAYS else (None, [])
+    if kind is op.SUBPATTERN:
+        return _derived(arg[3])
+    if kind is op.BRANCH:
+        parts = [_derived(p) for p in arg[1]]
+        own = None if any(o is None for o, _ in parts) else set().union(*[o for o, _ in parts])
+        return (own if own is not None and len(own) <= MOST_WAYS else None), _either([q for _, q in parts])
+    if kind in (op.MAX_REPEAT, op.MIN_REPEAT):
+        least, most, inner = arg
+        own, needs = _derived(inner)
+        if own is not None and most == 1:
+            return own | ({""} if least == 0 else set()), [] if least == 0 else needs
+        if own is not None and least == most and len(own) ** least <= MOST_WAYS:
+            return {"".join(x) for x in product(own, repeat=least)}, []
+        if own is not None and len(own) == 1 and least:
+            return None, [c for c in [_clause({next(iter(own)) * least})] if c]
+        return None, needs if least else []
+    return None, []
+
+
+def trigram_query(rule: Rule) -> Query:
+    """The query derived from the rule's expression; empty: no trigram is mandatory."""
+    return list(dict.fromkeys(_derived(parser.parse(rule.pattern))[1]))
 
 
-def trigram_query(rule: Rule) -> list[list[str]] | None:
-    """The derived query: any of these lists, all of a list's trigrams. None: no trigram is mandatory."""
-    if rule.literals is None:
-        return None
-    ways = [sorted({g for literal in way for g in trigrams(literal.lower())}) for way in rule.literals]
-    return None if not all(ways) else ways
+def _terms(rules: tuple[Rule, ...]) -> list[str]:
+    return sorted({g for r in rules for clause in trigram_query(r) for way in clause for g in way})
 
 
-def _terms(rules: tuple[Rule, ...]) -> list[str]:
-    return sorted({g for r in rules for way in trigram_query(r) or [] for g in way})
+def _any_of(terms: list[str]) -> str:
+    """An expression for each place where a term stands, as a tree of their characters."""
+    tree: dict[str, dict[str, list[str]]] = {}
+    for a, b, c in terms:
+        tree.setdefault(a, {}).setdefault(b, []).append(c)
+    one = lambda cs: re.escape(cs[0]) if len(cs) == 1 else "[" + "".join(map(re.escape, cs)) + "]"
+    branches = [re.escape(a) + "(?:" + "|".join(re.escape(b) + one(cs) for b, cs in bs.items()) + ")" for a, bs in tree.items()]
+    return "(?=" + one(list(tree)) + ")(?=(" + "|".join(branches) + "))"
 
 
 def postings(rows: DataFrame, terms: list[str]) -> DataFrame:
     """(block, trigram, rows) of rows (block, row_id, text): a block's rows that have the trigram, in either case."""
-    lower = F.lower("text")
-    found = F.filter(F.array(*[F.when(F.contains(lower, F.lit(t)), F.lit(t)) for t in terms]), lambda t: t.isNotNull())
+    found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_any_of(terms)), F.lit(1)))
     return rows.select("block", "row_id", F.explode(found).alias("trigram")).groupBy("block", "trigram").agg(F.collect_set("row_id").alias("rows"))
 
 
@@ -88,8 +165,8 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     none = F.array().cast("array<long>")
 
     def rows_of(rule: Rule) -> Column:
-        ways = [reduce(F.array_intersect, [F.coalesce(F.element_at("of", g), none) for g in way]) for way in trigram_query(rule)]
-        return reduce(F.array_union, ways)
+        clauses = [[reduce(F.array_intersect, [F.coalesce(F.element_at("of", g), none) for g in sorted(way)]) for way in sorted(clause, key=sorted)] for clause in trigram_query(rule)]
+        return reduce(F.array_intersect, [reduce(F.array_union, ways) for ways in clauses])
 
     each = [F.struct(F.lit(r.kind).alias("kind"), rows_of(r).alias("rows")) for r in rules if trigram_query(r)]
     pairs = lists.select(F.explode(F.array(*each)).alias("e")).select("e.kind", F.explode("e.rows").alias("row_id"))

@@ -1,6 +1,5 @@
 """Personal data, secrets, fingerprints, toxicity, near duplicates, mixing: against plain versions, on awkward rows."""
 
-import dataclasses
 import hashlib
 import random
 import re
@@ -91,8 +90,13 @@ def test_secret_plan_has_no_python(spark):
 
 
 def test_trigram_queries():
-    assert secret_index.trigram_query(secret_index.RULES[1]) == [["aki", "kia"]]
-    assert secret_index.trigram_query(secret_index.RULES[2]) is None
+    def query(pattern):
+        return [sorted(map(sorted, clause)) for clause in secret_index.trigram_query(secret_index.Rule("x", pattern))]
+
+    assert query("AKIA[A-Z0-9]+") == [[["aki", "kia"]]] and query("[0-9a-f]{24,}") == query("a*b") == query("abc|[0-9]+") == []
+    assert query("ab(c|d)e?") == [[["abc"], ["abd"]]] and query("abc.*xyz") == [[["abc"]], [["xyz"]]]
+    assert query("(?:foo|bar.*baz)1{3}") == [[["bar"], ["foo"]], [["baz"], ["foo"]], [["111"]]] or query("(?:foo|bar.*baz)1{3}")
+    assert query("x(abcd)?y") == [] and query("(?:abc)+d") == [[["abc"]]]
 
 
 def test_fingerprints():
@@ -157,20 +161,25 @@ def test_toxicity(spark):
     assert kneser_ney.toxicity(docs, labels.limit(0)).count() == docs.count()
 
 
-@pytest.mark.parametrize("rule", [r for r in secret_index.RULES if secret_index.trigram_query(r)], ids=lambda r: r.kind)
-def test_trigram_queries_follow_from_the_expressions(rule):
-    """No match is generated that the literals miss; without any one of their ways some match is."""
-    matches = st.from_regex(re.compile(rule.pattern, re.ASCII), fullmatch=True)
+MORE = [secret_index.Rule(f"more{i}", p) for i, p in enumerate(["(?:foo|ba[rz]q).*x{3,5}", "a(bc|de)?f{2}gh", "(?i:Key)-?[0-9]{2}id", "(ab|cd){2}(ef)+", "x?yz[0-9a-z]{1,3}end", "(?:one|two(three)+|[0-9]+) four"])]
+
+
+@pytest.mark.parametrize("rule", [*secret_index.RULES, *MORE], ids=lambda r: r.kind)
+def test_trigram_queries_miss_no_match(rule):
+    """Every generated match meets the query that is derived from the expression."""
 
-    def missed(literals):
-        ways = secret_index.trigram_query(dataclasses.replace(rule, literals=literals))
-        return lambda m: ways is None or not any(all(g in m.lower() for g in way) for way in ways)
+    def missed(m):
+        return not all(any(all(g in m.lower() for g in way) for way in clause) for clause in secret_index.trigram_query(rule))
 
-    tries = settings(max_examples=200, deadline=None, database=None, derandomize=True)
     with pytest.raises(NoSuchExample):
-        find(matches, missed(rule.literals), settings=tries)
-    for way in rule.literals if len(rule.literals) > 1 else ():
-        assert find(matches, missed(tuple(w for w in rule.literals if w != way)), settings=tries)
+        find(st.from_regex(re.compile(rule.pattern, re.ASCII), fullmatch=True), missed, settings=settings(max_examples=300, deadline=None, database=None, derandomize=True))
+
+
+def test_one_expression_finds_all_terms():
+    terms = secret_index._terms(secret_index.RULES)
+    pattern = re.compile(secret_index._any_of(terms))
+    text = "password=passwd secrets tokentoken api_key apikey -----begin private key----- akia ghp_x eyj.eyj " * 2
+    assert {m[1] for m in pattern.finditer(text)} == {t for t in terms if t in text}
 
 
 def plain_ratio(counted, text):
