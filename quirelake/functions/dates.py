@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.functions.text import plain_dashes, strip
+from quirelake.functions.text import LINE_END, plain_dashes, strip
 
 # Months of cells.
 CELL_MONTHS = {
@@ -54,8 +54,14 @@ def _parts(s: Column, pattern: str, order: str, months: dict[str, int]) -> tuple
     return group["y"], month, group["d"].try_cast("int")
 
 
+def _padded(n: Column, width: int) -> Column:
+    """With zeros in front; longer numbers stay whole."""
+    s = n.cast("string")
+    return F.when(F.length(s) < width, F.lpad(s, width, "0")).otherwise(s)
+
+
 def _iso(year: Column, month: Column, day: Column) -> Column:
-    return F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0"))
+    return F.concat_ws("-", _padded(year, 4), _padded(month, 2), _padded(day, 2))
 
 
 def normalize_date(value: Column) -> Column:
@@ -84,7 +90,7 @@ def report_date_iso(raw: Column) -> Column:
     for pattern, order in REPORT_FORMS:
         year, month, day = _parts(s, pattern, order, REPORT_MONTHS)
         n = year.try_cast("int")
-        full = F.when(F.length(year) == 4, year).otherwise(F.when(n < 50, F.concat(F.lit("20"), F.lpad(n.cast("string"), 2, "0"))).otherwise(F.concat(F.lit("19"), F.lpad(n.cast("string"), 2, "0"))))
+        full = F.when(F.length(year) == 4, year).otherwise(F.concat(F.when(n < 50, "20").otherwise("19"), _padded(n, 2)))
         iso = _iso(full, month, day)
         if "M" in order:
             out = out.when(s.rlike(pattern), F.when(month.isNull(), "").otherwise(iso))
@@ -95,16 +101,39 @@ def report_date_iso(raw: Column) -> Column:
 
 
 # Words of lines that carry a report's date, and its forms anywhere in a line.
-REPORT_DATE_LINE = r"(?i)DATE|REPORT|AS OF|AS AT|PRINTED|ISSUED"
+REPORT_DATE_LINE = r"(?i)\b(DATE|REPORT|AS\s+OF|VALID\s+AS\s+OF|REFERENCE|UPDATED|dd)\b"
 ANY_DATE = (
     r"\b(\d{1,2}[-/][A-Za-z]{3,8}[-/.]?\d{2,4}|\d{1,2}[-/]\d{1,2}[-/]\d{2,4}|[A-Z][a-z]{2,8}\s+\d{1,2},?\s+\d{4}"
     r"|\d{1,2}\.[A-Za-z]{3,4}\.\d{4}|\d{1,2}[A-Za-z]{3,4}\d{4}|\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}\s+[A-Za-z]{3}\s+\d{2,4})\b"
 )
 
 
+# Dashes that report dates are read with.
+REPORT_DASHES = "\u2010\u2011\u2013\u2014\u2212"
+
+
 def extract_report_date(text: Column) -> Column:
-    """The first date of a line among the first twenty that speaks of one; else the first in 3000 characters; raw."""
-    lines = F.slice(F.split(text, "\n"), 1, 20)
+    """The first date of a line among the first twenty that speaks of one; else the first in 3000 characters; raw, dashes plain."""
+    text = F.translate(text, REPORT_DASHES, "-" * len(REPORT_DASHES))
+    lines = F.slice(F.split(text, LINE_END), 1, 20)
     dated = F.filter(lines, lambda x: x.rlike(REPORT_DATE_LINE) & x.rlike(ANY_DATE))
     named = F.regexp_extract(F.get(dated, 0), ANY_DATE, 1)
     return F.coalesce(F.nullif(named, F.lit("")), F.regexp_extract(F.left(text, F.lit(3000)), ANY_DATE, 1), F.lit(""))
+
+
+# Columns that hold dates; so does every other one whose name ends in _DATE.
+DATE_COLUMNS = (
+    "INSTALL_DATE", "DATE", "LAST_DONE_DATE", "NEXT_DUE_DATE", "REMOVAL_DATE", "EXPIRY_DATE", "OVERHAUL_DATE", "MANUFACTURE_DATE",
+    "LAST_SHOP_VISIT_DATE", "FITMENT_DATE", "COMPLIANCE_DATE", "DUE_DATE", "LAST_DATE", "DONE_DATE", "CERT_DATE", "D.O.M",
+)
+
+
+def is_date_column(name: str) -> bool:
+    return not name.startswith("_") and (name.upper() in DATE_COLUMNS or name.upper().endswith("_DATE"))
+
+
+def normalize_dates(df: DataFrame) -> DataFrame:
+    """Every text column that holds dates, by its name, with its cells normalised; blank cells stay as they are."""
+    kinds = dict(df.dtypes)
+    cell = lambda c: F.when(strip(c) == "", c).otherwise(normalize_date(c))
+    return df.select(*[cell(F.col(f"`{c}`")).alias(c) if is_date_column(c) and kinds[c] == "string" else F.col(f"`{c}`") for c in df.columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.functions.text import blank
+from quirelake.functions.text import LINE_END, blank, joined_letters
 
 # Fixed patterns of file names, tried in the order of aircraft_key().
 LABELLED = r"(?i)(?:^|[^A-Z0-9])MSN[ _\-]?(\d{3,5})(?=[^\d]|$)"
@@ -81,41 +81,53 @@ def _family(c: Column, tiers: list[tuple[str, str]], sure: str) -> Column:
     found = []
     for kind, pattern in tiers:
         name = {"airbus": _airbus(c, pattern), "boeing": F.concat(F.lit("B7"), F.regexp_extract(c, pattern, 1)), "embraer": F.lit("Embraer")}[kind]
-        found.append(F.when(c.rlike(pattern), F.struct(name.alias("family"), F.lit(sure).alias("confidence"))))
+        model = F.regexp_extract(c, pattern, 0)
+        found.append(F.when(c.rlike(pattern), F.struct(name.alias("family"), model.alias("model"), F.lit(sure).alias("confidence"))))
     return F.coalesce(*found)
 
 
+def plain_lines(text: Column, n: int | None = None) -> Column:
+    """A header's lines, letter-spaced words joined; n: the first ones only."""
+    lines = F.split(blank(text), LINE_END)
+    return F.transform(F.slice(lines, 1, n) if n else lines, joined_letters)
+
+
 def family(text: Column) -> Column:
-    """struct(family, confidence) of a header: model lines first, registrations masked, then sure tokens anywhere."""
-    lines = F.filter(F.split(blank(text), "\n"), lambda x: x.rlike(MODEL_LINE))
+    """struct(family, model, confidence) of a header: model lines first, registrations masked, then sure tokens anywhere."""
+    masked = F.transform(plain_lines(text), lambda x: F.struct(x.rlike(MODEL_LINE).alias("names"), F.regexp_replace(x, TAIL, " ").alias("text")))
     tiers = [("airbus", AIRBUS), ("boeing", BOEING), ("embraer", EMBRAER)]
-    of_lines = F.transform(lines, lambda x: _family(F.regexp_replace(x, TAIL, " "), tiers, "high"))
+    of_lines = F.transform(F.filter(masked, lambda x: x["names"]), lambda x: _family(x["text"], tiers, "high"))
     named = F.get(F.filter(of_lines, lambda f: f.isNotNull()), 0)
     anywhere = [("airbus", AIRBUS_LETTER), ("boeing", BOEING_DASH), ("boeing", BOEING_LETTER), ("embraer", EMBRAER)]
-    return F.coalesce(named, _family(F.regexp_replace(blank(text), TAIL, " "), anywhere, "medium"), F.struct(F.lit("Unknown").alias("family"), F.lit("none").alias("confidence")))
+    loose = _family(F.array_join(F.transform(masked, lambda x: x["text"]), "\n"), anywhere, "medium")
+    return F.coalesce(named, loose, F.struct(F.lit("Unknown").alias("family"), F.lit("").alias("model"), F.lit("none").alias("confidence")))
 
 
-MSN_LABEL = r"(?i)(?:MSN|SERIAL\s*(?:NUMBER|NO|#)?|S\s?/\s?N|S\s?E\s?R\s?I\s?A\s?L)\s*[:#.]?\s*(\d{3,6})\b"
-REG_LABEL = r"(?:(?i)(?:A\s*/?\s*C\s*)?REG(?:ISTRATION)?\s*[:.]?\s*)(?-i)(N\d{1,5}[A-Z]{0,2}|[A-Z]{1,2}-[A-Z]{2,5}|[A-Z]{2}-[A-Z0-9]{3,4})\b"
-COLUMN_HEADS = r"(?i)PART\s*N|DESCRIPTION|QTY|POSITION"
+# Fixed patterns: labels of serial numbers and registrations, a serial number, words of lines that head columns.
+MSN_LABEL = r"(?i)(?:MSN|SERIAL\s*(?:NUMBER|NO|#)?|S\s?/\s?N|S\s?E\s?R\s?I\s?A\s?L)\s*[:#.]?\s*"
+MSN_VALUE = r"\b(\d{3,6})\b"
+REG_LABEL = r"(?i)(?:A\s*/?\s*C\s*)?REG(?:ISTRATION)?\s*[:.]?\s*"
+COLUMN_HEADS = r"(?i)\b(PART|SERIAL|DESCRIPTION|ATA|REPORT)\b"
+#: Lines of a header that may name the airframe.
+HEADER_LINES = 12
 
 
-def header_lines(text: Column, n: int = 12) -> Column:
-    return F.slice(F.split(blank(text), "\n"), 1, n)
+def _after(lines: Column, label: str, value: str) -> Column:
+    """The first value behind the first label of a line that has both; null if none has."""
+    found = F.transform(F.filter(lines, lambda x: x.rlike(label)), lambda x: F.regexp_extract(F.regexp_extract(x, f"{label}(.*)", 1), value, 1))
+    return F.get(F.filter(found, lambda v: v != ""), 0)
 
 
 def header_msn(text: Column) -> Column:
-    """The labelled serial number of the first twelve lines that are no column heads, or empty."""
-    lines = F.filter(header_lines(text), lambda x: x.rlike(MSN_LABEL) & ~x.rlike(COLUMN_HEADS))
-    return F.coalesce(F.regexp_extract(F.get(lines, 0), MSN_LABEL, 1), F.lit(""))
+    """The labelled serial number of the first twelve lines, or empty."""
+    return F.coalesce(_after(plain_lines(text, HEADER_LINES), MSN_LABEL, MSN_VALUE), F.lit(""))
 
 
 def header_registration(text: Column) -> Column:
-    """The labelled registration of the first twelve lines, else the first registration on a line of no heads."""
-    lines = header_lines(text)
-    labelled = F.regexp_extract(F.get(F.filter(lines, lambda x: x.rlike(REG_LABEL)), 0), REG_LABEL, 1)
+    """The labelled registration of the first twelve lines, else the first one on a line that heads no columns; upper case."""
+    lines = plain_lines(text, HEADER_LINES)
     loose = F.regexp_extract(F.get(F.filter(lines, lambda x: x.rlike(TAIL) & ~x.rlike(COLUMN_HEADS)), 0), TAIL, 1)
-    return F.coalesce(F.nullif(labelled, F.lit("")), F.nullif(loose, F.lit("")), F.lit(""))
+    return F.upper(F.coalesce(_after(lines, REG_LABEL, TAIL), loose, F.lit("")))
 
 
 # Fixed patterns of the other family classifier, which knows more makers and takes a stated type first.

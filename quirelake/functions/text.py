@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The dashes that count as one.
+#: Where a line ends, as Python splits text.
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 DASHES = "‐‑‒–—−"
 
 

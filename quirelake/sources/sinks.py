@@ -12,15 +12,15 @@ from quirelake.functions.text import blank
 
 # Known columns in the order they are shown, by sheet.
 COLUMN_ORDER = {
-    "OCCM": ["ATA", "ZONE", "FIN", "POSITION", "DESCRIPTION", "VENDOR_CODE", "PART_NUMBER", "SERIAL_NUMBER"],
-    "HT": ["ATA", "PART_NUMBER", "SERIAL_NUMBER", "DESCRIPTION", "POSITION"],
-    "LLP": ["NO", "PART_NUMBER", "SERIAL_NUMBER", "DESCRIPTION", "TSN", "CSN", "REMAINING"],
+    "OCCM": ["ATA", "PART_NUMBER", "SERIAL_NUMBER", "DESCRIPTION", "POSITION", "FIN", "INSTALL_DATE", "REMARKS"],
+    "HT": ["ATA", "PART_NUMBER", "SERIAL_NUMBER", "DESCRIPTION", "POSITION", "FIN", "MPD_TASK", "INTERVAL", "LAST_DONE_DATE", "NEXT_DUE_DATE", "REMAINING"],
+    "LLP": ["ATA", "PART_NUMBER", "SERIAL_NUMBER", "DESCRIPTION", "POSITION", "CYCLES_LIMIT", "CYCLES_TSN", "CYCLES_REMAINING"],
 }
 
 
 def canonical_order(columns: Sequence[str], sheet: str) -> list[str]:
     """Known columns first, then others as they stood, internal ones last."""
-    known = [c for c in COLUMN_ORDER[sheet] if c in columns]
+    known = [c for c in COLUMN_ORDER.get(sheet, []) if c in columns]
     return known + [c for c in columns if c not in known and not c.startswith("_")] + [c for c in columns if c.startswith("_")]
 
 
@@ -29,9 +29,13 @@ def as_text(df: DataFrame) -> DataFrame:
     return df.select(*[blank(F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
-def write_by_file(df: DataFrame, path: str, file_column: str = "source_file") -> None:
-    """A folder of CSV for each source file: one write for all, whatever their number."""
-    as_text(df).write.mode("overwrite").partitionBy(file_column).csv(path, header=True, emptyValue="")
+def write_by_file(df: DataFrame, path: str, sheet: str, file_column: str = "source_file") -> None:
+    """A folder of CSV for each source file, columns in the sheet's order: one write for all, whatever their number.
+
+    Rows are dealt by file first, a hot one's split over several tasks by adaptive execution, so that files are few.
+    """
+    ordered = df.select(*[F.col(f"`{c}`") for c in canonical_order(df.columns, sheet)])
+    as_text(ordered).hint("rebalance", F.col(file_column)).write.mode("overwrite").partitionBy(file_column).csv(path, header=True, emptyValue="")
 
 
 def append_log(df: DataFrame, path: str) -> None:

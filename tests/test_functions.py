@@ -64,6 +64,10 @@ def test_report_dates(spark, value, want):
 def test_report_date_found(spark):
     assert one(spark, dates.extract_report_date, "x\nREPORT DATE 12-Mar-2015\n01/02/2003") == "12-Mar-2015"
     assert one(spark, dates.extract_report_date, "x\nmade 01/02/2003") == "01/02/2003"
+    assert one(spark, dates.extract_report_date, "PRINTED 01/02/2003\nUPDATED 05/06/2007") == "05/06/2007"
+    assert one(spark, dates.extract_report_date, "DATE 12\u2011Mar\u20112015") == "12-Mar-2015"
+    assert one(spark, dates.extract_report_date, "DATED 1/2/03\nvalid as  of 28 Mar 18") == "28 Mar 18"
+    assert one(spark, dates.report_date_iso, "1-Feb-200") == "19200-02-01"
 
 
 @pytest.mark.parametrize(
@@ -76,11 +80,20 @@ def test_keys(spark, value, want):
 
 @pytest.mark.parametrize("value, want", [("MODEL 321-231", ("A320 family", "high")), ("747-06209", ("Unknown", "none")), ("TYPE XX-A350", ("Unknown", "none")), ("see A380 here", ("A380", "medium")), ("767-300ER", ("B767", "medium")), (None, ("Unknown", "none"))])
 def test_families(spark, value, want):
-    assert tuple(one(spark, identity.family, value)) == want
+    got = one(spark, identity.family, value)
+    assert (got["family"], got["confidence"]) == want
 
 
 def test_headers(spark):
     assert one(spark, identity.header_msn, "a\nMSN: 4174\n") == "4174"
+    assert one(spark, identity.header_msn, "SERIAL NUMBER AND LINE 4174") == "4174"
+    assert one(spark, identity.header_msn, "PART NO S E R I A L # 2211") == "2211"
+    assert one(spark, identity.header_msn, "MSN4174 SERIAL\nS/N 12") == "4174"
+    assert one(spark, identity.header_registration, "ATA REPORT AB-CDE") == ""
+    assert one(spark, identity.header_registration, "A/C REG N/A\nlist of VP-XYZ") == "VP-XYZ"
+    assert one(spark, identity.header_registration, "R E G : seen as VP-BDK") == "VP-BDK"
+    assert tuple(one(spark, identity.family, "M O D E L 737-800")) == ("B737", "737", "high")
+    assert tuple(one(spark, identity.family, "A330 list")) == ("A330", "A330", "medium")
     assert one(spark, identity.header_registration, "PART NO VP-XYZ\nREG: VP-BDK") == "VP-BDK"
 
 
@@ -91,3 +104,8 @@ def test_texts(spark):
     assert one(spark, text.strip, " x\t") == "x"
     assert one(spark, text.ocr_cleaned, "| a [b] |\n-----\n c") == "a b\nc"
     assert one(spark, text.unusable_reason, "(cid:3)" * 20) == "garbled_cid"
+
+
+def test_date_columns(spark):
+    df = spark.createDataFrame([("1/2/2003", "1/2/2003", " ", "1/2/2003", 5)], "INSTALL_DATE string, NOTE string, my_date string, _DATE string, n int")
+    assert tuple(dates.normalize_dates(df).first()) == ("2003-02-01", "1/2/2003", " ", "1/2/2003", 5)

@@ -8,13 +8,15 @@ from quirelake.streaming import arrivals
 
 def test_order_and_cells(spark):
     assert sinks.canonical_order(["_page", "X", "PART_NUMBER", "ATA"], "OCCM") == ["ATA", "PART_NUMBER", "X", "_page"]
+    assert sinks.canonical_order(["REMAINING", "_issues", "FIN", "ATA"], "HT") == ["ATA", "FIN", "REMAINING", "_issues"]
+    assert sinks.canonical_order(["Z", "ATA"], "other") == ["Z", "ATA"]
     df = spark.createDataFrame([('a"b', None, "c,d")], "x string, y string, z string")
     assert sinks.csv_lines(df).first()[0] == '"a""b",,"c,d"'
 
 
 def test_write_by_file_and_log(spark, tmp_path):
     df = spark.createDataFrame([("f1", "a"), ("f2", "b")], "source_file string, v string")
-    sinks.write_by_file(df, f"file://{tmp_path}/csv")
+    sinks.write_by_file(df, f"file://{tmp_path}/csv", "OCCM")
     assert sorted(p.name for p in (tmp_path / "csv").glob("source_file=*")) == ["source_file=f1", "source_file=f2"]
     for _ in range(2):
         sinks.append_log(df, f"file://{tmp_path}/log")
