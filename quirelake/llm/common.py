@@ -16,8 +16,11 @@ ARROW_ROWS = "512"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED).rstrip("/")
+    """The folder that the driver and all executors see. Without a name for it, a cluster has none: an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (named or LOCAL_SHARED).rstrip("/")
 
 
 def hadoop_fs(spark: SparkSession, path: str):

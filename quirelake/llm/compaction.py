@@ -1,23 +1,26 @@
 """Sharded storage with size-tiered compaction.
 
 An arrival is appended as small immutable shards, as its tasks wrote them. Shards of similar size, those of one tier,
-are merged, FAN or more at a time, into one of at most the target size, tier by tier; a shard of half the target and
+are merged, FAN to MOST at a time, into one of at most the target size, tier by tier; a shard of half the target and
 more is left alone. No merge shuffles: a merged shard is the concatenation of its inputs by one task.
 
-What the store holds is the newest manifest: a file that lists the shards, written aside and renamed into place under
-the next version. A reader sees one version or the next; a writer that finds its version taken reads anew and tries
-again; a job that dies leaves files that no manifest names. Shards that a commit drops are deleted after it, unless
-older versions are to stay readable.
+What the store holds is the newest manifest: a file that lists the shards, created under the next version only where
+none is there, which one of several writers can do; its last line says that it is whole. A reader sees one version or
+the next; a writer that finds its version taken reads anew and tries again, and a compaction drops those of its merges
+whose inputs another one has merged; a job that dies leaves files that no manifest names. Shards that a commit drops
+are deleted after it, unless older versions are to stay readable: readers of these then fail and start anew.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from dataclasses import asdict, dataclass
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +30,12 @@ TARGET = 128 << 20
 #: Shards of up to so many bytes are of tier 0; each tier is FAN times as large.
 SMALLEST = 1 << 20
 FAN = 4
+#: Shards of one merge at most.
+MOST = 32
+#: Seconds after which a manifest that is not whole is taken for that of a writer that has died.
+DEAD = 600
+#: What a whole manifest ends in.
+WHOLE = "\nwhole\n"
 #: Merges of one Spark job.
 AT_ONCE = 64
 
@@ -44,7 +53,7 @@ def tier(size: int) -> int:
 
 
 def merges(shards: list[Shard], target: int, fan: int = FAN) -> list[list[Shard]]:
-    """Runs to merge now: of each tier, in order of arrival, fan or more shards of at most target together."""
+    """Runs to merge now: of each tier, in order of arrival, fan to MOST shards of at most target together."""
     out: list[list[Shard]] = []
     tiers: dict[int, list[Shard]] = {}
     for s in shards:
@@ -53,13 +62,10 @@ def merges(shards: list[Shard], target: int, fan: int = FAN) -> list[list[Shard]
     for _, own in sorted(tiers.items()):
         run: list[Shard] = []
         for s in sorted(own, key=lambda s: (s.first, s.name)):
-            if run and sum(x.size for x in run) + s.size > target:
+            if run and (len(run) == MOST or sum(x.size for x in run) + s.size > target):
                 out.append(run)
                 run = []
             run.append(s)
-            if len(run) == fan and len(own) < 4 * fan * fan:
-                out.append(run)
-                run = []
         if len(run) >= fan:
             out.append(run)
     return [r for r in out if len(r) > 1]
@@ -73,41 +79,55 @@ class ShardStore:
 
     # manifests
 
+    def _manifest(self, version: int) -> str:
+        return f"{self.root}/manifests/v{version:08d}.json"
+
     def _versions(self) -> list[int]:
         fs, at = hadoop_fs(self.spark, f"{self.root}/manifests")
         return sorted(int(f.getPath().getName()[1:-5]) for f in fs.listStatus(at) if f.getPath().getName().endswith(".json")) if fs.exists(at) else []
 
+    def _text(self, version: int) -> str | None:
+        """A whole manifest's text; None while it is being written."""
+        rows = self.spark.read.text(self._manifest(version), wholetext=True).collect()
+        text = rows[0][0] if rows else ""
+        return text.removesuffix(WHOLE) if text.endswith(WHOLE) else None
+
     def version(self) -> int:
-        """The newest version; 0 before the first commit."""
-        return max(self._versions(), default=0)
+        """The newest whole version; 0 before the first commit."""
+        return next((v for v in reversed(self._versions()) if self._text(v) is not None), 0)
 
     def shards(self, version: int | None = None) -> list[Shard]:
         version = self.version() if version is None else version
         if not version:
             return []
-        text = self.spark.read.text(f"{self.root}/manifests/v{version:08d}.json", wholetext=True).first()[0]
-        return [Shard(**s) for s in json.loads(text)["shards"]]
+        return [Shard(**s) for s in json.loads(self._text(version) or "")["shards"]]
 
     def commit(self, base: int, shards: list[Shard]) -> bool:
         """Makes shards the version after base; False if another writer has made one."""
-        fs, at = hadoop_fs(self.spark, f"{self.root}/manifests/v{base + 1:08d}.json")
-        aside = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifests/.{uuid.uuid4().hex}")
-        out = fs.create(aside, False)
+        fs, at = hadoop_fs(self.spark, self._manifest(base + 1))
+        if fs.exists(at) and self._text(base + 1) is None and time.time() - fs.getFileStatus(at).getModificationTime() / 1000 > DEAD:
+            fs.delete(at, False)
+        try:
+            out = fs.create(at, False)
+        except Py4JJavaError as e:
+            if "AlreadyExists" in str(e.java_exception):
+                return False
+            raise
         try:
-            out.write(bytearray(json.dumps({"version": base + 1, "shards": [asdict(s) for s in shards]}).encode()))
+            out.write(bytearray((json.dumps({"version": base + 1, "shards": [asdict(s) for s in shards]}) + WHOLE).encode()))
         finally:
             out.close()
-        if not fs.exists(at) and fs.rename(aside, at):
-            return True
-        fs.delete(aside, False)
-        return False
+        return True
 
     def _changed(self, change) -> None:
         """Applies change to the newest list until it is committed."""
+        pause = 0.05
         while True:
             base = self.version()
             if self.commit(base, change(self.shards(base))):
                 return
+            time.sleep(pause)
+            pause = min(2 * pause, 5.0)
 
     # rows
 
@@ -147,26 +167,29 @@ class ShardStore:
             self._changed(lambda old, new=new: old + new)
 
     def compact(self, keep_versions: bool = False) -> int:
-        """Merges until no tier has a run to merge; returns the number of merges."""
+        """Merges until no tier has a run to merge; returns the number of merges that were committed."""
         done = 0
         while runs := merges(self.shards(), self.target)[:AT_ONCE]:
             folder = f"{self.root}/merged-{uuid.uuid4().hex}"
             parts = [self._read(run).coalesce(1).withColumn("_merge", F.lit(i)) for i, run in enumerate(runs)]
             reduce(DataFrame.union, parts).write.partitionBy("_merge").parquet(folder)
             made = {i: self._adopted(f"{folder}/_merge={i}", min(s.first for s in run), max(s.last for s in run)) for i, run in enumerate(runs)}
-            gone = {s.name for run in runs for s in run}
+            kept: dict[int, list[Shard]] = {}
 
-            def merged(old: list[Shard], gone=gone, made=made) -> list[Shard]:
-                if not gone <= {s.name for s in old}:
-                    raise RuntimeError("another compaction has merged these shards")
-                return [s for s in old if s.name not in gone] + [s for own in made.values() for s in own]
+            def merged(old: list[Shard], runs=runs, made=made, kept=kept) -> list[Shard]:
+                there = {s.name for s in old}
+                kept.clear()
+                kept.update({i: run for i, run in enumerate(runs) if {s.name for s in run} <= there})
+                gone = {s.name for run in kept.values() for s in run}
+                return [s for s in old if s.name not in gone] + [s for i in kept for s in made[i]]
 
             self._changed(merged)
-            if not keep_versions:
-                for name in gone:
-                    fs, at = hadoop_fs(self.spark, f"{self.root}/{name}")
-                    fs.delete(at, False)
-            done += len(runs)
+            # a rival's merge of the same shards stands: ours is dropped
+            unused = [s for i, own in made.items() if i not in kept for s in own]
+            for s in unused + [s for run in kept.values() for s in run] * (not keep_versions):
+                fs, at = hadoop_fs(self.spark, f"{self.root}/{s.name}")
+                fs.delete(at, False)
+            done += len(kept)
         return done
 
     def _read(self, shards: list[Shard]) -> DataFrame:

@@ -12,6 +12,7 @@ Weights are learned here, by pseudo-likelihood, from a bounded sample of the doc
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -29,6 +30,8 @@ TRAIN_DOCUMENTS, TRAIN_TOKENS = 5_000, 100_000
 #: Belief from which a token gets a label that the patterns did not give it.
 BELIEF = 0.95
 ROUNDS = 12
+#: Remainders that the sample is drawn by.
+_SPLIT = 1 << 50
 
 # The patterns' fixed forms, written so that no text takes them more than linear time.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -230,20 +233,25 @@ def _training_rows(graph: Graph) -> np.ndarray:
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        graph = Graph()
-        for i, text in enumerate(batch.column(0).to_pylist()):
+        graph, names = Graph(), batch.column(0).to_pylist()
+        for i, text in enumerate(batch.column(1).to_pylist()):
             if _SOME.search(text):
                 graph.add(i, text, base_spans(text))
         if graph.labels:
-            yield pa.RecordBatch.from_arrays([pa.array(_training_rows(graph).tolist(), pa.list_(pa.int64()))], names=["row"])
+            at = [names[doc] for doc, _, _ in graph.places], [start for _, start, _ in graph.places]
+            yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in at], pa.array(_training_rows(graph).tolist(), pa.list_(pa.int64()))], names=["name", "start", "row"])
 
 
 def train(docs: DataFrame) -> Field:
-    """Learns from about TRAIN_DOCUMENTS documents, by hash of all there are, and TRAIN_TOKENS tokens at most."""
+    """Learns from about TRAIN_DOCUMENTS documents, by hash of all there are, and the first TRAIN_TOKENS tokens by that hash.
+
+    Which these are depends on the documents alone, not on how they are dealt.
+    """
     count = docs.count()
-    share = int(min(1.0, TRAIN_DOCUMENTS / max(count, 1)) * 1_000_000)
-    drawn = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < share).filter("text is not null").select("text")
-    rows = drawn.mapInArrow(_sampled, "row array<long>").limit(TRAIN_TOKENS).toPandas()["row"]
+    share = math.ceil(min(1.0, TRAIN_DOCUMENTS / max(count, 1)) * _SPLIT)
+    named = docs.filter("text is not null").withColumn("name", F.xxhash64("doc_id", "text"))
+    drawn = named.filter(F.pmod("name", F.lit(_SPLIT)) < share).select("name", "text")
+    rows = drawn.mapInArrow(_sampled, "name long, start long, row array<long>").orderBy("name", "start").limit(TRAIN_TOKENS).toPandas()["row"]
     data = np.array(rows.tolist(), np.int64).reshape(-1, FEATURES + 3 * (len(KINDS) + 1) + 1)
     return Field.learned(data[:, :-1].astype(float), data[:, -1])
 

@@ -14,7 +14,9 @@ SF = "/root/testdata/sf0.001"
 def test_merges_take_shards_of_a_size():
     s = [compaction.Shard(f"s{i}", 1000, i, i) for i in range(9)] + [compaction.Shard("big", 60_000_000, 0, 0), compaction.Shard("done", 90_000_000, 0, 0)]
     runs = compaction.merges(s, 128_000_000)
-    assert [len(r) for r in runs] == [4, 4] and all(x.size == 1000 for r in runs for x in r)
+    assert [len(r) for r in runs] == [9] and all(x.size == 1000 for r in runs for x in r)
+    many = [compaction.Shard(f"s{i}", 1000, i, i) for i in range(100)]
+    assert [len(r) for r in compaction.merges(many, 128_000_000)] == [32, 32, 32, 4] and [len(r) for r in compaction.merges(many, 8000)] == [8] * 12 + [4]
     assert compaction.merges(s[:3], 128_000_000) == []
 
 
@@ -25,12 +27,54 @@ def test_store(spark, tmp_path):
     store.append(df.withColumn("a", (F.col("id") % 10).cast("int")), "a")
     assert store.version() == 10 and len(store.shards()) == 10
     before = store.shards(10)
-    assert store.compact(keep_versions=True) == 3 and len(store.shards()) == 1
+    assert store.compact(keep_versions=True) == 1 and len(store.shards()) == 1
     assert sorted(r["id"] for r in store.read().collect()) == list(range(400)) == sorted(r["id"] for r in store.read(10).collect())
     assert not store.commit(10, before), "the version is taken"
     assert store.shards(10) == before
 
 
+def test_two_writers_lose_nothing(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = f"file://{tmp_path}/store"
+
+    def write(no):
+        store = compaction.ShardStore(spark, root)
+        for i in range(3):
+            store.append(spark.range(10).select((F.col("id") + 100 * no + 10 * i).alias("id"), F.lit(i).alias("a")).coalesce(1), "a")
+        return store.compact()
+
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(write, range(2)))
+    store = compaction.ShardStore(spark, root)
+    store.compact()
+    assert sorted(r["id"] for r in store.read().collect()) == [100 * no + i for no in range(2) for i in range(30)]
+
+
+def test_a_manifest_that_is_not_whole_is_no_version(spark, tmp_path, monkeypatch):
+    store = compaction.ShardStore(spark, f"file://{tmp_path}/store")
+    store.append(spark.range(5).withColumn("a", F.lit(1)), "a")
+    (tmp_path / "store/manifests/v00000002.json").write_text('{"version": 2, "sh')
+    assert store.version() == 1 and not store.commit(1, [])
+    monkeypatch.setattr(compaction, "DEAD", -1)
+    assert store.commit(1, store.shards()) and store.version() == 2 and store.read().count() == 5
+
+
+def test_a_compaction_leaves_a_rival_s_merge(spark, tmp_path, monkeypatch):
+    store = compaction.ShardStore(spark, f"file://{tmp_path}/store")
+    store.append(spark.range(400).coalesce(1).withColumn("a", (F.col("id") % 10).cast("int")), "a")
+    rival, changed = compaction.ShardStore(spark, store.root), store._changed
+
+    def late(change):
+        monkeypatch.setattr(store, "_changed", changed)
+        rival.compact()
+        changed(change)
+
+    monkeypatch.setattr(store, "_changed", late)
+    assert store.compact() == 0
+    assert sorted(r["id"] for r in store.read().collect()) == list(range(400))
+
+
 def test_store_keeps_rows_without_arrival(spark, tmp_path):
     store = compaction.ShardStore(spark, f"file://{tmp_path}/store")
     df = spark.range(40).coalesce(1)
