@@ -45,9 +45,11 @@ HOT = 64
 #: Most shingles in the list of common ones (12 bytes each, broadcast): beyond it, only commoner ones are listed.
 MOST_COMMON = 1 << 20
 #: Shingles that a task holds before it sends their counts, or their keys, on.
-HELD_COUNTS, HELD_KEYS = 1 << 22, 1 << 20
+HELD_COUNTS, HELD_KEYS = 1 << 20, 1 << 19
+#: Names of sets that a task remembers so as not to send copies twice.
+SEEN = 1 << 16
 #: Documents of a part, about, so that a part's shingles fit a task however many documents there are.
-PART_DOCUMENTS = 8192
+PART_DOCUMENTS = 4096
 #: Members of a region that one task joins, and shingles of them.
 FIT, FIT_SHINGLES = 2048, 1 << 22
 #: Pivots of a region that is split; the share of its members that a cell may have for the split to go on.
@@ -285,7 +287,7 @@ def _keys(parts: int, shared):
                 fp = set_id(s)
                 if not len(s) or fp in seen:
                     continue
-                if len(seen) < HELD_KEYS:  # spares copies only; spaces are sets
+                if len(seen) < SEEN:  # spares copies only; spaces are sets
                     seen.add(fp)
                 keys, many = prefix(s, numbers[end - len(s) : end])
                 row = np.empty(len(keys), _ENTRY)
@@ -684,7 +686,7 @@ def _sets(rows: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
             for s in shingle_sets(texts):
                 fp = set_id(s)
                 if len(s) and fp not in seen:
-                    if len(seen) < HELD_KEYS:
+                    if len(seen) < SEEN:
                         seen.add(fp)
                     found[fp] = s
             if found:
