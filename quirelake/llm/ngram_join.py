@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quirelake.llm.common import shuffle_partitions, small_batches, with_columns_of, written
+from quirelake.llm.common import lean, shuffle_partitions, small_batches, with_columns_of, written
 from quirelake.llm.shingles import mixed, set_id, shingle_sets
 
 EPS = 0.2
@@ -692,7 +692,7 @@ def _sets(rows: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
             if found:
                 yield _batch(["fp", "n", "hashes"], [pa.array(found.keys(), pa.int64()), pa.array([len(s) for s in found.values()], pa.int64()), pa.array([s.tobytes() for s in found.values()], pa.binary())])
 
-    made = rows.filter(F.length("text") > 0).select("text", _bits(F.col("doc_id"), n).alias("b")).mapInArrow(run, "fp long, n long, hashes binary")
+    made = rows.filter(F.length("text") > 0).select("text", _bits(F.col("doc_id"), n).alias("b")).mapInArrow(lean(run), "fp long, n long, hashes binary")
     return written(made.join(wanted, "fp", "left_semi").dropDuplicates(["fp"]), "sets")
 
 
@@ -702,11 +702,11 @@ def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     small_batches(spark)
     rows = with_columns_of(docs, doc_id=T.LongType(), text=T.StringType())
     parts = _parts(rows)
-    shingled = rows.select("doc_id", "text").mapInArrow(_classes(parts), _CLASS)
+    shingled = rows.select("doc_id", "text").mapInArrow(lean(_classes(parts)), _CLASS)
     shingled = written(shingled.groupBy("part").applyInArrow(_merged, _SHINGLED), "shingled")
     classes = shingled.filter("key is null").select("doc_id", "n", "fp")
     common = spark.sparkContext.broadcast(_listed(shingled.filter("key is not null")))
-    keyed = rows.filter(F.length("text") > 0).select("text").mapInArrow(_keys(parts, common), "part long, blob binary")
+    keyed = rows.filter(F.length("text") > 0).select("text").mapInArrow(lean(_keys(parts, common)), "part long, blob binary")
     spaces = _spaces(keyed)
     sizes = written(_sized(spaces).filter("size > 1"), "space-sizes")
     small = spaces.join(sizes.filter(_fits("size", "shingles")).select("space"), "space")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quirelake.llm.chunk_tokenizer import ChunkTokenizer
-from quirelake.llm.common import small_batches, with_columns_of, written
+from quirelake.llm.common import lean, small_batches, with_columns_of, written
 
 PIECE = T.StructType(
     [
@@ -163,7 +163,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, size: int = 2048, op
     small_batches(docs.sparkSession)
     rows = with_columns_of(docs, doc_id=T.LongType(), text=T.StringType())
     # written once: sequences are made in one pass, and the left-over windows are read again
-    pieces = written(rows.mapInArrow(_packer(tokenizer_path, end_id, size, open_windows), PIECE), "packed", ("open",))
+    pieces = written(rows.mapInArrow(lean(_packer(tokenizer_path, end_id, size, open_windows)), PIECE), "packed", ("open",))
     whole = pieces.filter(~F.col("open")).drop("open")
     group = F.floor(F.shiftright("sequence_id", _RUN_BITS) / MERGED_TOGETHER).cast("long")
     merged = pieces.filter("open").withColumn("merge_group", group).groupBy("merge_group").applyInArrow(_merger(size), PIECE)
