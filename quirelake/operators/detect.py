@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,8 +12,8 @@ from quirelake.functions.text import collapse, without_spaces
 
 #: Characters that a signature without its blanks must have to count.
 LEAST_WITHOUT_SPACES = 8
-#: Signatures that are broadcast at most; a longer list is joined as Catalyst sees fit.
-BROADCAST_SIGNATURES = 20_000
+#: Signatures at most: workers hold them all.
+MOST_SIGNATURES = 20_000
 # Sheets in the order of priority.
 SHEETS = ("LLP", "HT", "OCCM")
 
@@ -19,32 +22,96 @@ def head(text: Column) -> Column:
     return F.upper(collapse(text))
 
 
+def _listed(signatures: DataFrame, *columns: Column) -> list:
+    """The signatures themselves, which workers search for all at once: formats are few, and more than MOST are an error."""
+    rows = signatures.select(*columns).limit(MOST_SIGNATURES + 1).collect()
+    if len(rows) > MOST_SIGNATURES:
+        raise ValueError(f"more than {MOST_SIGNATURES} signatures")
+    return rows
+
+
+class _Words:
+    """Finds which of many words a text contains, in one pass over it; made anew in each worker."""
+
+    def __init__(self, words: list[str]):
+        self.words, self.found = words, None
+
+    def __call__(self, text: str) -> set[str]:
+        import ahocorasick
+
+        if self.found is None:
+            self.found = ahocorasick.Automaton()
+            for w in self.words:
+                if w:
+                    self.found.add_word(w, w)
+            self.found.make_automaton()
+        out = {w for _, w in self.found.iter(text)} if len(self.found) else set()
+        return out | {""} if "" in self.words else out
+
+    def __reduce__(self):
+        return _Words, (self.words,)
+
+
 def match_signatures(docs: DataFrame, signatures: DataFrame, key: str, text: str) -> DataFrame:
     """(key, variant, pass): of each document the first variant one of whose signatures it contains.
 
     signatures: (variant, priority, signature). Two passes: literally, then with blanks taken out of both for
-    signatures of eight characters and more. A document of none is left out.
+    signatures of eight characters and more. A document of none is left out, and so is a null text; rows of one key
+    count together. All signatures are found in one pass over a text, so no text meets each of them.
     """
-    dim = signatures.select("variant", "priority", F.upper("signature").alias("s"), F.upper(without_spaces(F.col("signature"))).alias("s2"))
-    small = F.broadcast(dim) if dim.count() <= BROADCAST_SIGNATURES else dim
-    tested = docs.select(key, head(F.col(text)).alias("h"), F.upper(without_spaces(F.col(text))).alias("h2")).join(
-        small, F.contains("h", "s") | ((F.length("s2") >= LEAST_WITHOUT_SPACES) & F.contains("h2", "s2"))
-    )
-    turn = F.when(F.contains("h", "s"), 1).otherwise(2)
-    return tested.groupBy(key).agg(F.min(F.struct(turn.alias("pass"), "priority", "variant")).alias("m")).select(key, "m.variant", "m.pass")
+    s, s2 = F.upper("signature").alias("s"), F.upper(without_spaces(F.col("signature"))).alias("s2")
+    dim = sorted((r for r in _listed(signatures.dropna(subset=["signature"]), "priority", "variant", s, s2)), key=lambda r: (r["priority"], r["variant"]))
+    first: dict[str, int] = {}
+    squeezed: dict[str, int] = {}
+    for i, r in enumerate(dim):
+        first.setdefault(r["s"], i)
+        if len(r["s2"]) >= LEAST_WITHOUT_SPACES:
+            squeezed.setdefault(r["s2"], i)
+    literal, without = _Words(list(first)), _Words(list(squeezed))
+
+    @F.pandas_udf("long")
+    def rank(h: pd.Series, h2: pd.Series) -> pd.Series:
+        """The first signature's place, those of the second pass after all of the first."""
+        out = []
+        for a, b in zip(h, h2, strict=True):
+            found = None if a is None else min((first[w] for w in literal(a)), default=None)
+            if found is None and b is not None:
+                found = min((len(dim) + squeezed[w] for w in without(b)), default=None)
+            out.append(found)
+        return pd.Series(out, dtype="Int64")
+
+    ranked = docs.select(key, rank(head(F.col(text)), F.upper(without_spaces(F.col(text)))).alias("r")).filter("r is not null").groupBy(key).agg(F.min("r").alias("r"))
+    variants = F.array(*[F.lit(r["variant"]) for r in dim]) if dim else F.array().cast("array<string>")
+    return ranked.select(key, F.get(variants, F.pmod("r", F.lit(max(len(dim), 1))).cast("int")).alias("variant"), F.when(F.col("r") < len(dim), 1).otherwise(2).alias("pass"))
 
 
 def near_misses(docs: DataFrame, signatures: DataFrame, key: str, text: str, most: int = 3) -> DataFrame:
-    """(key, variant, ratio): variants of which a document has at least 0.6 of a signature's words, though not all."""
-    from pyspark.sql import Window
+    """(key, variant, ratio): variants of which a document has at least 0.6 of a signature's words, though not all.
 
+    The best ratios first, then by variant; a variant counts once. All words are found in one pass over a text.
+    """
     words = F.filter(F.split(F.upper(collapse(F.col("signature"))), " "), lambda w: w != "")
-    dim = signatures.select("variant", words.alias("words")).filter(F.size("words") >= 2)
-    ratio = F.size(F.filter("words", lambda w: F.contains(F.col("h"), w))) / F.size("words")
-    tested = docs.select(key, head(F.col(text)).alias("h")).join(F.broadcast(dim), F.lit(True)).withColumn("ratio", ratio)
-    best = tested.filter((F.col("ratio") >= 0.6) & (F.col("ratio") < 1)).groupBy(key, "variant").agg(F.max("ratio").alias("ratio"))
-    w = Window.partitionBy(key).orderBy(F.desc("ratio"), "variant")
-    return best.withColumn("no", F.row_number().over(w)).filter(F.col("no") <= most).drop("no")
+    dim = [(r["variant"], r["words"]) for r in _listed(signatures, "variant", words.alias("words")) if r["words"] and len(r["words"]) >= 2]
+    of: dict[str, list[int]] = {}
+    for i, (_, own) in enumerate(dim):
+        for w in own:
+            of.setdefault(w, []).append(i)
+    every = _Words(list(of))
+
+    @F.pandas_udf("array<struct<variant:string,ratio:double>>")
+    def missed(h: pd.Series) -> pd.Series:
+        out = []
+        for a in h:
+            counts = Counter(i for w in every(a or "") for i in of[w])
+            best: dict[str, float] = {}
+            for i, n in counts.items():
+                ratio = n / len(dim[i][1])
+                if 0.6 <= ratio < 1:
+                    best[dim[i][0]] = max(ratio, best.get(dim[i][0], 0.0))
+            out.append([{"variant": v, "ratio": r} for v, r in sorted(best.items(), key=lambda x: (-x[1], x[0]))[:most]])
+        return pd.Series(out)
+
+    return docs.select(key, F.explode(missed(head(F.col(text)))).alias("m")).select(key, "m.variant", "m.ratio")
 
 
 def sheet_type(text: Column, signatures: dict[str, list[str]]) -> Column:

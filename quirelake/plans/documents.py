@@ -53,7 +53,7 @@ def header_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def unusable_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id") % 6
-    broken = F.when(k == 0, F.regexp_replace(F.left("text", F.lit(300)), ".", "(cid:7)")).when(k == 1, F.regexp_replace("text", "[A-Za-z]", "9")).when(k == 2, " ").otherwise(F.col("text"))
+    broken = F.when(k == 0, F.regexp_replace("text", ".", "(cid:7)")).when(k == 1, F.regexp_replace("text", "[A-Za-z]", "9")).when(k == 2, " ").otherwise(F.col("text"))
     d = table(spark, sf_dir, "documents").select(F.coalesce(tx.unusable_reason(broken), F.lit("usable")).alias("reason"))
     return d.groupBy("reason").agg(F.count("*").alias("documents"))
 
@@ -103,8 +103,8 @@ def signature_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = detect.near_misses(table(spark, sf_dir, "conversations").withColumn("key", F.concat_ws(":", "conv_id", "turn")), _signatures(spark, sf_dir), "key", "text")
-    return found.select("key", "variant", F.round("ratio", 6).alias("ratio"))
+    found = detect.near_misses(table(spark, sf_dir, "documents"), _signatures(spark, sf_dir), "doc_id", "text")
+    return found.select("doc_id", "variant", F.round("ratio", 6).alias("ratio"))
 
 
 _SHEETS = {"LLP": ["the of", "is that"], "HT": ["for the"], "OCCM": ["and the", "with that"]}
@@ -175,10 +175,10 @@ SQL = {
       t AS (SELECT doc_id, variant, priority, CASE WHEN contains(h, upper(signature)) THEN 1 ELSE 2 END AS pass FROM d, s
         WHERE contains(h, upper(signature)) OR (length({_SQUEEZED.format('signature')}) >= 8 AND contains(h2, {_SQUEEZED.format('signature')})))
       SELECT doc_id, variant, CAST(pass AS BIGINT) AS pass FROM t QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pass, priority) = 1""",
-    "near_misses": f"""WITH {_SIG}, c AS (SELECT conv_id || ':' || turn AS key, {_UP.format('text')} AS h FROM conversations), w AS (SELECT variant, list_filter(string_split({_UP.format('signature')}, ' '), lambda x: x <> '') AS words FROM s),
-      r AS (SELECT key, variant, len(list_filter(words, lambda x: contains(h, x))) / len(words) AS ratio FROM c, w WHERE len(words) >= 2),
-      b AS (SELECT key, variant, max(ratio) AS ratio FROM r WHERE ratio >= 0.6 AND ratio < 1 GROUP BY 1, 2)
-      SELECT key, variant, round(ratio, 6) AS ratio FROM b QUALIFY row_number() OVER (PARTITION BY key ORDER BY b.ratio DESC, variant) <= 3""",
+    "near_misses": f"""WITH {_SIG}, c AS (SELECT doc_id, {_UP.format('text')} AS h FROM documents), w AS (SELECT variant, list_filter(string_split({_UP.format('signature')}, ' '), lambda x: x <> '') AS words FROM s),
+      r AS (SELECT doc_id, variant, len(list_filter(words, lambda x: contains(h, x))) / len(words) AS ratio FROM c, w WHERE len(words) >= 2),
+      b AS (SELECT doc_id, variant, max(ratio) AS ratio FROM r WHERE ratio >= 0.6 AND ratio < 1 GROUP BY 1, 2)
+      SELECT doc_id, variant, round(ratio, 6) AS ratio FROM b QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY b.ratio DESC, variant) <= 3""",
     "sheet_types": f"""WITH d AS (SELECT {_UP.format('text')} AS h, {_SQUEEZED.format('text')} AS q FROM documents), t AS (SELECT CASE WHEN contains(h, 'THE OF') OR contains(h, 'IS THAT') THEN 'LLP' WHEN contains(h, 'FOR THE') THEN 'HT'
       WHEN contains(h, 'AND THE') OR contains(h, 'WITH THAT') THEN 'OCCM' WHEN contains(q, 'WITHTHAT') THEN 'OCCM' ELSE 'Unknown' END AS sheet_type FROM d) SELECT sheet_type, count(*) AS documents FROM t GROUP BY 1""",
     "hint_frequency": "WITH h AS (SELECT unnest([lang, source, CASE WHEN n_chars > 2000 THEN 'long' ELSE 'short' END]) AS hint FROM documents) SELECT hint, count(*) AS n FROM h GROUP BY 1 ORDER BY n DESC, hint LIMIT 20",
