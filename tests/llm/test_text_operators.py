@@ -184,14 +184,19 @@ def test_one_expression_finds_all_terms():
 
 def plain_ratio(counted, text):
     """The ratio of a text by exact counts of the texts (text, toxic) that are counted."""
-    of, pre, after = ({}, {}), {}, {}
+    of, pre, after, own_pre, own_after, own_over = ({}, {}), {}, {}, ({}, {}), ({}, {}), ({}, {})
     for t, toxic in counted:
         w = ["", "", *t.split()]
         for x, y, z in zip(w, w[1:], w[2:], strict=False):
             of[toxic].setdefault(z, set()).add(y)
             pre.setdefault((y, z), set()).add(x)
+            own_pre[toxic].setdefault((y, z), set()).add(x)
     for (y, _), x in pre.items():
         after[y] = after.get(y, 0) + len(x)
+    for c in (0, 1):
+        for (y, _), x in own_pre[c].items():
+            own_after[c][y] = own_after[c].get(y, 0) + len(x)
+            own_over[c][y] = own_over[c].get(y, 0) + max(len(x) - 10, 0)
     n = [{w: len(x) for w, x in c.items()} for c in of]
     both = {w: n[0].get(w, 0) + n[1].get(w, 0) for w in n[0] | n[1]}
 
@@ -203,8 +208,13 @@ def plain_ratio(counted, text):
     base = backed(both, 1.0, lambda w: 1 / max(len(both), 1 << 20))
     lower, total, w = [backed(c, 2.0, base) for c in n], 0.0, ["", *text.split()]
     for y, z in zip(w, w[1:], strict=False):
-        kept = min(max(len(pre.get((y, z), ())) - 10.0, 0) / max(after.get(y, 0), 1), 0.95)
-        o, t = (np.log(kept + (1 - kept) * c(z)) for c in lower)
+        kept = 0.95 * max(len(pre.get((y, z), ())) - 10, 0) / max(after.get(y, 0), 1)
+        shared = [kept + (1 - kept) * c(z) for c in lower]
+        own = [0.95 * max(len(p.get((y, z), ())) - 10, 0) / max(a.get(y, 0), 1) for p, a in zip(own_pre, own_after, strict=True)]
+        left = [1 - 0.95 * o.get(y, 0) / max(a.get(y, 0), 1) for o, a in zip(own_over, own_after, strict=True)]
+        o, t = (np.log(own[c] + left[c] * shared[c]) for c in (0, 1))
+        if max(len(pre.get((y, z), ())), 0) <= 10 and abs(np.log(lower[1](z) / lower[0](z))) <= kneser_ney.MARGIN:
+            continue  # neither the word nor the bigram says anything
         total += np.sign(t - o) * max(abs(t - o) - kneser_ney.MARGIN, 0)
     return total / (len(w) - 1)
 
@@ -233,6 +243,22 @@ def test_toxicity_counts_words_and_bigrams_exactly(spark):
     assert model.ratio(kneser_ney.words_of([alike[0][1]])[0]) > 0 > model.ratio(kneser_ney.words_of([alike[0][0]])[0])
 
 
+def test_toxicity_sees_expressions_of_ordinary_words(spark):
+    """Two words that both classes use alike, next to each other in toxic texts alone, which are few: shared bigrams back both."""
+    rng, rows = random.Random(5), []
+    words = [f"w{i}" for i in range(300)]
+    for i in range(1500):
+        toxic = i % 25 == 0
+        own = [rng.choice(words) for _ in range(40)]
+        for at in rng.sample(range(0, 38, 3), 4):
+            own[at : at + 3] = ["red", "kite", rng.choice(words)] if toxic else ["red", rng.choice(words), "kite"]
+        rows.append((i, " ".join(own), int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model, _ = kneser_ney.train(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    said = lambda t: model.ratio(kneser_ney.words_of([t])[0])
+    assert said("w1 red kite w2") > 0 and said("w1 red w3 kite w2") == 0
+
+
 def plain_sets(text):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
