@@ -4,12 +4,12 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from quirelake.plans import documents, facts, records, slots
+    from quirelake.plans import documents, facts, forms, records, slots
 
-    return slots.QUERIES | records.QUERIES | documents.QUERIES | facts.QUERIES
+    return slots.QUERIES | records.QUERIES | documents.QUERIES | facts.QUERIES | forms.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from quirelake.plans import documents, facts, records, slots
+    from quirelake.plans import documents, facts, forms, records, slots
 
-    return slots.SQL | records.SQL | documents.SQL | facts.SQL
+    return slots.SQL | records.SQL | documents.SQL | facts.SQL | forms.SQL

@@ -1,10 +1,13 @@
 """Operators on small inputs whose results are plain to see, and on the properties they promise."""
 
+import random
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quirelake.operators import compare, layout, membership, quality, similarity, slots
+from quirelake.operators import compare, forms, layout, membership, quality, similarity, slots
+from quirelake.plans import forms as plans_forms
 from quirelake.sources import files
 
 
@@ -122,3 +125,49 @@ def test_files(spark, tmp_path):
 def test_self_check(spark):
     df = spark.createDataFrame([("1", "2", "3"), ("1", "2", "4"), ("", "2", "2"), ("a", "2", "2"), ("1,000", "1", "1001")], "a string, b string, t string")
     assert [r[0] for r in df.select(quality.row_check([F.col("a"), F.col("b")], F.col("t"))).collect()] == ["OK", "MISMATCH", "SKIPPED", "UNPARSEABLE", "OK"]
+
+
+def test_token_rows_keep_every_token(spark):
+    lines = [("d", 1, "  AB12 PN-1 fuel pump SN9 2020-01-02 10 20 left  over "), ("d", 2, "PN-1 SN9 2020-01-02 10 20"), ("d", 3, "2020-01-02 10 20"), ("d", 4, "AB12 PN-1 SN9 2020-01-02 10"), ("d", 5, ""), ("d", 6, None)]
+    out = forms.token_rows(spark.createDataFrame(lines, "doc_id string, line_no long, line string"), plans_forms.FITTED).orderBy("line_no").collect()
+    assert [tuple(r)[1:] for r in out] == [(1, "AB12", "PN-1", "fuel pump", "SN9", "2020-01-02", "10", "20", "left over"), (2, "", "PN-1", "", "SN9", "2020-01-02", "10", "20", "")]
+
+
+def test_metric_lines_before_any_component_are_left_out(spark):
+    lines = [("d", 1, "Hours 9 9 9 9"), ("d", 2, "24110000 P1 PN-1 fuel pump 77 2020-01-02 Days 1 ? 3 4"), ("d", 3, "Hours 5 6 7 8"), ("d", 4, "Hours 0 0 0 0"), ("d", 5, None)]
+    (row,) = forms.metric_rows(spark.createDataFrame(lines, "doc_id string, line_no long, line string"), plans_forms.TIMES).collect()
+    assert (row["DESCRIPTION"], row["DAYS_SINCE_NEW"], row["DAYS_SINCE_FIT"], row["HOURS_SINCE_NEW"], row["LANDINGS_SINCE_NEW"]) == ("fuel pump", "1", "", "5", "")
+
+
+def _plain_ruled(dark):
+    runs, merged = [], []
+    for x in dark:
+        if runs and x - runs[-1][-1] <= 2:
+            runs[-1].append(x)
+        else:
+            runs.append([x])
+    for x in (sum(r) // len(r) for r in runs):
+        if merged and x - merged[-1] <= 15:
+            merged[-1] = (merged[-1] + x) // 2
+        else:
+            merged.append(x)
+    spans = [(j - i, -i) for i in range(len(merged)) for j in range(i + 4, len(merged)) if all(b - a < 150 for a, b in zip(merged[i:j], merged[i + 1 : j + 1], strict=True))]
+    n, i = max(spans, default=(0, 0))
+    return merged, (merged[-i], merged[-i + n]) if n else None
+
+
+def test_ruled_lines_and_their_longest_run(spark):
+    rng = random.Random(1)
+    pages = [[], [5], [1, 2, 3, 30, 31, 400], list(range(0, 600, 100)), *[sorted(rng.sample(range(1500), rng.choice([8, 20, 60]))) for _ in range(30)]]
+    df = spark.createDataFrame(list(enumerate(pages)), "page int, dark array<int>").withColumn("lines", forms.ruled_lines(F.col("dark")))
+    for r in df.withColumn("run", forms.dense_run(F.col("lines"))).collect():
+        assert (r["lines"], tuple(r["run"]) if r["run"] else None) == _plain_ruled(pages[r["page"]])
+
+
+def test_codes_tasks_pages_and_confidence(spark):
+    line = lambda x: tuple(spark.range(1).select(forms.date_and_task(F.lit(x)).alias("f")).first()["f"])
+    assert line("24 P1 28-02-2014CLEANING 1") == ("28-02-2014", "CLEANING") and line("04-OCT-13 x") == ("04-OCT-13", "") and line("none") == ("", "")
+    codes = spark.createDataFrame([(x,) for x in ("10HQ", "AB", "12", "a1", "A1", "A1B2C3D4E5F", None)], "c string").select(forms.is_position_code(F.col("c"))).collect()
+    assert [r[0] for r in codes] == [True, False, False, False, True, False, False]
+    assert forms.long_pages(spark.createDataFrame([("x" * 99,), ("x" * 100,), (None,)], "text string")).count() == 1
+    assert forms.confident(spark.createDataFrame([(30.0,), (30.5,), (None,)], "conf double")).count() == 1
