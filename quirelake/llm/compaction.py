@@ -21,6 +21,7 @@ from dataclasses import asdict, dataclass
 from functools import reduce
 
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,6 +108,16 @@ class ShardStore:
         fs, at = hadoop_fs(self.spark, self._manifest(base + 1))
         if fs.exists(at) and self._text(base + 1) is None and time.time() - fs.getFileStatus(at).getModificationTime() / 1000 > DEAD:
             fs.delete(at, False)
+        text = (json.dumps({"version": base + 1, "shards": [asdict(s) for s in shards]}) + WHOLE).encode()
+        if fs.getScheme() == "file":
+            # Hadoop's local file system looks and then creates, so two writers could both succeed
+            fs.mkdirs(at.getParent())
+            try:
+                with open(at.toUri().getPath(), "xb") as out:
+                    out.write(text)
+            except FileExistsError:
+                return False
+            return True
         try:
             out = fs.create(at, False)
         except Py4JJavaError as e:
@@ -114,7 +125,7 @@ class ShardStore:
                 return False
             raise
         try:
-            out.write(bytearray((json.dumps({"version": base + 1, "shards": [asdict(s) for s in shards]}) + WHOLE).encode()))
+            out.write(bytearray(text))
         finally:
             out.close()
         return True
@@ -171,8 +182,16 @@ class ShardStore:
         done = 0
         while runs := merges(self.shards(), self.target)[:AT_ONCE]:
             folder = f"{self.root}/merged-{uuid.uuid4().hex}"
-            parts = [self._read(run).coalesce(1).withColumn("_merge", F.lit(i)) for i, run in enumerate(runs)]
-            reduce(DataFrame.union, parts).write.partitionBy("_merge").parquet(folder)
+            try:
+                parts = [self._read(run).coalesce(1).withColumn("_merge", F.lit(i)) for i, run in enumerate(runs)]
+                reduce(DataFrame.union, parts).write.partitionBy("_merge").parquet(folder)
+            except (PySparkException, Py4JJavaError):
+                if {s.name for run in runs for s in run} <= {s.name for s in self.shards()}:
+                    raise
+                # a rival has merged and deleted some of these shards meanwhile
+                fs, at = hadoop_fs(self.spark, folder)
+                fs.delete(at, True)
+                continue
             made = {i: self._adopted(f"{folder}/_merge={i}", min(s.first for s in run), max(s.last for s in run)) for i, run in enumerate(runs)}
             kept: dict[int, list[Shard]] = {}
 
