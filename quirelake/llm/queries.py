@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quirelake.llm.common import documents
 from quirelake.llm.compaction import sharded
+from quirelake.llm.filter_audit import audit
 from quirelake.llm.hilbert_search import nearest
 from quirelake.llm.kneser_ney import toxicity
 from quirelake.llm.mixing import taken
@@ -70,7 +71,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {"op1_token_files": op1_token_files, "op2_pii": op2_pii, "op3_fingerprints": op3_fingerprints, "op4_mixing": op4_mixing, "op5_nearest": op5_nearest, "op6_secrets": op6_secrets, "op7_shards": op7_shards, "op8_packing": op8_packing, "op9_toxicity": op9_toxicity, "op10_ngram_join": op10_ngram_join}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES = {"op1_token_files": op1_token_files, "op2_pii": op2_pii, "op3_fingerprints": op3_fingerprints, "op4_mixing": op4_mixing, "op5_nearest": op5_nearest, "op6_secrets": op6_secrets, "op7_shards": op7_shards, "op8_packing": op8_packing, "op9_toxicity": op9_toxicity, "op10_ngram_join": op10_ngram_join, "op11_filter_audit": op11_filter_audit}
 OP10_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
@@ -104,4 +109,38 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_nearest": OP5_SQL, "op10_ngram_join": OP10_SQL}
+OP11_SQL = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), l AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id
+), f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    concat(CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END, CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END,
+      CASE WHEN 100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 3 * length(t) THEN 'C' ELSE '' END,
+      CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END, CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END) AS fails
+  FROM w LEFT JOIN l USING (doc_id)
+), c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails
+), x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), s AS (
+  SELECT filter_order, step, substr(filter_order, step, 1) AS own, left(filter_order, step - 1) AS earlier FROM o, (SELECT unnest(range(1, 6)) AS step)
+), r AS (
+  SELECT part, filter_order, step, own,
+    sum(CASE WHEN NOT contains(fails, own) AND (earlier = '' OR NOT regexp_matches(fails, '[' || earlier || '_]')) THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN contains(fails, own) AND NOT regexp_matches(fails, '[' || earlier || '_]') THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN contains(fails, own) AND regexp_matches(fails, '[' || earlier || '_]') THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN fails = own THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN contains(fails, own) AND NOT regexp_matches(fails, '[' || earlier || '_]') THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN contains(fails, own) AND NOT regexp_matches(fails, '[' || earlier || '_]') THEN toxic ELSE 0 END) AS toxic_lost
+  FROM c, s GROUP BY part, filter_order, step, own
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM r
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_nearest": OP5_SQL, "op10_ngram_join": OP10_SQL, "op11_filter_audit": OP11_SQL}
