@@ -17,6 +17,7 @@ from quirelake.llm.packing import pack
 from quirelake.llm.parsing import with_edits
 from quirelake.llm.pii import KINDS, find_pii, written_spans
 from quirelake.llm.secret_index import RULES, find_secrets
+from quirelake.llm.time_partitions import rewritten_by_time, shifted_moment
 from quirelake.llm.token_files import token_file_digest
 
 
@@ -75,7 +76,13 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {"op1_token_files": op1_token_files, "op2_pii": op2_pii, "op3_fingerprints": op3_fingerprints, "op4_mixing": op4_mixing, "op5_nearest": op5_nearest, "op6_secrets": op6_secrets, "op7_shards": op7_shards, "op8_packing": op8_packing, "op9_toxicity": op9_toxicity, "op10_ngram_join": op10_ngram_join, "op11_filter_audit": op11_filter_audit}
+def op13_time_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clicks = spark.read.parquet(f"{sf_dir}/clicks.parquet")
+    earlier = F.col("arrived_at") < F.lit("2024-04-01 00:00:00").cast("timestamp_ntz")
+    return rewritten_by_time(clicks, shifted_moment(F.col("ts"), F.col("click_id")), ("arrived_at", "click_id"), "click_id", earlier)
+
+
+QUERIES = {"op1_token_files": op1_token_files, "op2_pii": op2_pii, "op3_fingerprints": op3_fingerprints, "op4_mixing": op4_mixing, "op5_nearest": op5_nearest, "op6_secrets": op6_secrets, "op7_shards": op7_shards, "op8_packing": op8_packing, "op9_toxicity": op9_toxicity, "op10_ngram_join": op10_ngram_join, "op11_filter_audit": op11_filter_audit, "op13_time_partitions": op13_time_partitions}
 OP10_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
