@@ -10,6 +10,7 @@ from quirelake.llm.common import documents
 from quirelake.llm.compaction import sharded
 from quirelake.llm.filter_audit import audit
 from quirelake.llm.hilbert_search import nearest
+from quirelake.llm.html_text import main_texts
 from quirelake.llm.kneser_ney import toxicity
 from quirelake.llm.mixing import taken
 from quirelake.llm.ngram_join import link_components
@@ -76,13 +77,17 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op13_time_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     clicks = spark.read.parquet(f"{sf_dir}/clicks.parquet")
     earlier = F.col("arrived_at") < F.lit("2024-04-01 00:00:00").cast("timestamp_ntz")
     return rewritten_by_time(clicks, shifted_moment(F.col("ts"), F.col("click_id")), ("arrived_at", "click_id"), "click_id", earlier)
 
 
-QUERIES = {"op1_token_files": op1_token_files, "op2_pii": op2_pii, "op3_fingerprints": op3_fingerprints, "op4_mixing": op4_mixing, "op5_nearest": op5_nearest, "op6_secrets": op6_secrets, "op7_shards": op7_shards, "op8_packing": op8_packing, "op9_toxicity": op9_toxicity, "op10_ngram_join": op10_ngram_join, "op11_filter_audit": op11_filter_audit, "op13_time_partitions": op13_time_partitions}
+QUERIES = {"op1_token_files": op1_token_files, "op2_pii": op2_pii, "op3_fingerprints": op3_fingerprints, "op4_mixing": op4_mixing, "op5_nearest": op5_nearest, "op6_secrets": op6_secrets, "op7_shards": op7_shards, "op8_packing": op8_packing, "op9_toxicity": op9_toxicity, "op10_ngram_join": op10_ngram_join, "op11_filter_audit": op11_filter_audit, "op12_html_text": op12_html_text, "op13_time_partitions": op13_time_partitions}
 OP10_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
