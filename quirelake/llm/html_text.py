@@ -34,7 +34,7 @@ from quirelake.llm.common import lean, small_batches, with_columns_of
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript iframe xmp noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
-PARAGRAPHS = frozenset("p pre blockquote li dd dt h1 h2 h3 h4 h5 h6 figcaption caption".split())
+PARAGRAPHS = frozenset("p pre blockquote li dd dt h1 h2 h3 h4 h5 h6 figcaption caption td th".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Left out whatever their class; header only outside of an article.
 OUT = frozenset("nav footer aside form dialog menu template button select svg canvas object audio video map search header fieldset".split())
@@ -260,6 +260,8 @@ def main_text(page: str | None) -> str:
     best = max(range(n), key=final.__getitem__)
     if final[best] == float("-inf"):
         return ""
+    while tag[best] in ("tr", "tbody", "thead", "tfoot") and not out[up[best]]:
+        best = up[best]  # rows are a table's
     inner, w = best, best
     while w >= 0:
         if tag[w] == "article" and not out[w]:
@@ -268,7 +270,7 @@ def main_text(page: str | None) -> str:
     kept = [False] * n
     kept[best] = True
     if best:
-        least = max(SIBLING_LEAST, SIBLING_SHARE * final[inner])
+        least = max(SIBLING_LEAST, SIBLING_SHARE * max(final[inner], 0))
         for i in range(1, n):
             if up[i] == up[best] and not out[i] and chars[i]:
                 if tag[best] == "article":
