@@ -53,7 +53,8 @@ def counted_failures(docs: DataFrame, labels: DataFrame, part: str = "lang") ->
     rows = docs.select(*[(F.col(f"`{k}`") if k in docs.columns else F.lit(None)).cast(t).alias(name) for k, t, name in (("doc_id", "long", "doc_id"), ("text", "string", "text"), (part, "string", "part"))])
     labels = with_columns_of(labels, doc_id=T.LongType(), quality=T.LongType(), toxic=T.LongType()).filter("doc_id IS NOT NULL")
     known = labels.groupBy("doc_id").agg(*[F.max(F.when(F.col(k) == 1, 1).otherwise(0)).alias(k) for k in ("quality", "toxic")])
-    one = text_failures(rows).groupBy("doc_id", "part", "digest", "bits").agg(F.count("*").alias("n")).join(known, "doc_id", "left")
+    # written, as both the copies' counts and their least doc_ids are taken from it: texts are read once
+    one = written(text_failures(rows), "text-failures").groupBy("doc_id", "part", "digest", "bits").agg(F.count("*").alias("n")).join(known, "doc_id", "left")
     one = one.select("doc_id", "part", "digest", "bits", "n", *[(F.col("n") * F.coalesce(k, F.lit(0))).alias(name) for k, name in (("quality", "good"), ("toxic", "toxic"))])
     by_text = one.groupBy("digest", "part", "bits").agg(
         F.min("doc_id").alias("first"),
