@@ -84,6 +84,9 @@ def _long(text: bytes, space: np.ndarray) -> np.ndarray:
     """A text of more than SLICE bytes; a word of more is hashed by its own polynomial parts."""
     parts, at = [], 0
     while at < len(text):
+        if space[text[at]]:  # no part of the word after it
+            at += 1
+            continue
         cut = min(len(text), at + SLICE - 1)
         while cut < len(text) and cut > at and not space[text[cut]]:
             cut -= 1
@@ -92,8 +95,8 @@ def _long(text: bytes, space: np.ndarray) -> np.ndarray:
             parts.append(np.array([_digest(text[at:cut])], np.uint64))
         else:
             parts.append(_of_bytes(np.frombuffer(text[at:cut], np.uint8), space)[0])
-        at = cut + (cut < len(text))
-    return np.concatenate(parts)
+        at = cut
+    return np.concatenate(parts) if parts else np.empty(0, np.uint64)
 
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
