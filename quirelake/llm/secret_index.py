@@ -12,9 +12,10 @@ intersect and unite a block's lists; the documents that come out are verified wi
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
-from itertools import product
+from itertools import islice, product
 from re import _constants as op
 from re import _parser as parser
 
@@ -53,7 +54,8 @@ RULES = (
 ORDER = tuple(r.kind for r in RULES)
 #: Rows of a block of the index, about.
 BLOCK_ROWS = 4096
-
+#: Matches of a text whose places are added up in one go.
+RUN = 512
 
 #: Alternatives of what stands in a row, at most; more are not told apart.
 MOST_WAYS = 64
@@ -72,7 +74,7 @@ def _either(queries: list[Query]) -> Query:
     """Any of them: a clause of each, alternatives side by side."""
     if not queries or not all(queries):
         return []
-    return [frozenset().union(*parts) for parts in product(*queries)][:MOST_WAYS]
+    return [frozenset().union(*parts) for parts in islice(product(*queries), MOST_WAYS)]
 
 
 def _derived(parsed) -> tuple[set[str] | None, Query]:
@@ -173,24 +175,46 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return pairs.groupBy("row_id").agg(F.collect_set("kind").alias("kinds"))
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _matches(rule: Rule, text: Column) -> Column:
-    """Spans of a rule: between a text's matches lie the parts that splitting at it leaves, so lengths give places."""
+    """Spans of a rule: between a text's matches lie the parts that splitting at it leaves, so lengths give places.
+
+    Places are sums of lengths, within runs of RUN matches first and then over the runs, as adding to an array copies it:
+    the work is in proportion to the matches.
+    """
     pattern = F.lit(rule.pattern)
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
     named = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else whole
-    gaps = F.slice(F.split(text, rule.pattern, -1), 1, F.size(whole))
-    steps = F.arrays_zip(F.transform(gaps, F.length).alias("gap"), F.transform(whole, F.length).alias("own"), F.transform(named, F.length).alias("counted"))
+    empty = F.array().cast(SPANS)
+    span = "struct<at:bigint,spans:array<struct<start:bigint,end:bigint>>>"
 
     def step(state: Column, x: Column) -> Column:
         start = state["at"] + x["gap"]
         end = start + x["own"]
-        span = F.struct(F.lit(rule.kind).alias("kind"), start.alias("start"), end.alias("end"), F.lit(rule.base).alias("base"))
-        return F.struct(end.alias("at"), F.when(x["counted"] >= rule.least, F.array_append(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
-
-    empty = F.array().cast(SPANS)
-    first = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("spans"))
-    typed = F.transform(steps, lambda x: F.struct(x["gap"].cast("long").alias("gap"), x["own"].cast("long").alias("own"), x["counted"].alias("counted")))
-    return F.when(F.size(whole) > 0, F.aggregate(typed, first, step, lambda s: s["spans"])).otherwise(empty)
+        fits = F.array_append(state["spans"], F.struct(start.alias("start"), end.alias("end")))
+        return F.struct(end.alias("at"), F.when(x["counted"] >= rule.least, fits).otherwise(state["spans"]).alias("spans"))
+
+    def placed(steps: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / RUN).cast("int"))
+        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans")).cast(span)
+        return _bound(F.transform(numbers, lambda c: F.aggregate(F.slice(steps, c * RUN + 1, F.lit(RUN)), start, step)), joined)
+
+    def joined(runs: Column) -> Column:
+        first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts"))
+        starts = F.aggregate(runs, first, lambda s, r: F.struct((s["at"] + r["at"]).alias("at"), F.array_append(s["starts"], s["at"]).alias("starts")), lambda s: s["starts"])
+        moved = lambda r, at: F.transform(r["spans"], lambda x: F.struct(F.lit(rule.kind).alias("kind"), (x["start"] + at).alias("start"), (x["end"] + at).alias("end"), F.lit(rule.base).alias("base")))
+        return F.flatten(F.zip_with(runs, starts, moved))
+
+    def spans(found: Column) -> Column:
+        gaps = F.slice(F.split(text, rule.pattern, -1), 1, F.size(found))
+        steps = F.arrays_zip(F.transform(gaps, lambda g: F.length(g).cast("long")).alias("gap"), F.transform(found, lambda w: F.length(w).cast("long")).alias("own"), F.transform(named, F.length).alias("counted"))
+        return F.when(F.size(found) > 0, _bound(steps, placed)).otherwise(empty)
+
+    return _bound(whole, spans)
 
 
 SPANS = "array<struct<kind:string,start:bigint,end:bigint,base:boolean>>"
