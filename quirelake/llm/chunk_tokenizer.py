@@ -5,7 +5,8 @@ line feed separates on its left. A text is therefore cut, without changing its i
 feeds and between a Latin letter and an ASCII mark after it. Chunks repeat; a worker encodes a new one with the
 library and keeps its bytes and ids under a 64-bit hash in sorted arrays. Hashes only find chunks: bytes are compared
 wherever one is taken for another, so two of one hash get each their own ids. Texts with other white space, in which
-such a cut could fall inside a token, go to the library whole.
+such a cut could fall inside a token, go to the library whole. Markers of the vocabulary that stand in a text, such as an
+end of text, get their own ids, as the library gives them; it encodes what lies between two of them by itself.
 """
 
 from __future__ import annotations
@@ -85,7 +86,12 @@ class ChunkTokenizer:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        markers = self.tokenizer.get_added_tokens_decoder()
+        if any(m.normalized or m.single_word or m.lstrip or m.rstrip for m in markers.values()):
+            raise ValueError("markers that take white space or need a word's bounds are not supported")
+        #: The ids of markers that may stand in a text, and an expression for them.
+        self.markers = {m.content: i for i, m in markers.items()}
+        self._marker = re.compile("(" + "|".join(map(re.escape, sorted(self.markers, key=len, reverse=True))) + ")") if self.markers else None
         ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
         #: True for vocabularies that drop white space and lower the case.
         self.folds = ids(" A") == ids("a")
@@ -116,12 +122,12 @@ class ChunkTokenizer:
                 pending.clear()
                 held = 0
 
-        for i, text in enumerate(texts):
-            if _OTHER_SPACE.search(text):
+        for i, text in ((i, part) for i, whole in enumerate(texts) for part in (self._marker.split(whole) if self._marker and self._marker.search(whole) else [whole])):
+            if text in self.markers or _OTHER_SPACE.search(text):
                 flush()
                 ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
                 parts.append(ids)
-                lengths[i] = len(ids)
+                lengths[i] += len(ids)
                 continue
             for piece in self._slices(text.encode()):
                 if held + len(piece) > SLICE:

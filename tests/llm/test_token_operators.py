@@ -1,5 +1,6 @@
 """Tokenizing, token files, packing: against the library itself, and round trips."""
 
+import functools
 import zlib
 
 import numpy as np
@@ -22,10 +23,11 @@ def path(request):
     return public_tokenizers.path(request.param)
 
 
+loaded = functools.cache(Tokenizer.from_file)
+
+
 def plain(path, text):
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t.encode(text, add_special_tokens=False).ids
+    return loaded(path).encode(text, add_special_tokens=False).ids
 
 
 def test_chunks_give_the_library_s_ids(path):
@@ -34,6 +36,34 @@ def test_chunks_give_the_library_s_ids(path):
         assert ids[at[i] : at[i + 1]].tolist() == plain(path, text), text
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|end", "oftext|>", "a", " b", " ", "\n", "'s", "É", "\u00a0", "1", "x" * 90, "<|"]), max_size=12).map("".join), max_size=6))
+def test_markers_get_the_library_s_ids(texts):
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        file = public_tokenizers.path(name)
+        ids, at = ChunkTokenizer.of(file).encode(texts)
+        for i, text in enumerate(texts):
+            assert ids[at[i] : at[i + 1]].tolist() == plain(file, text), text
+
+
+@pytest.mark.parametrize("slice_", [64, 100])
+def test_words_longer_than_a_slice_are_the_same_words_anywhere(monkeypatch, slice_):
+    """Separators before, after and at every edge of a slice, single, doubled and mixed: the words' hashes are the same."""
+    monkeypatch.setattr(shingles, "SLICE", slice_)
+    monkeypatch.setattr(shingles, "_power", None)
+    for n in range(slice_ - 3, slice_ + 4):
+        words = ["w" * n, "q", "v" * (2 * n), "short", "w" * n]
+        want = [shingles.word_hashes([w.encode()])[0][0] for w in words]
+        for gap in (" ", "  ", "\r\n", "\t \x0b" * 30):
+            for before in ("", " ", "\n\n", " " * slice_):
+                got = shingles.word_hashes([(before + gap.join(words) + before).encode()])[0]
+                assert got.tolist() == want, (n, gap, before)
+        for lead in range(slice_ + 2):  # the word begins at every place of a slice
+            got = shingles.word_hashes([("a " * (lead // 2) + " " * (lead % 2) + words[0] + " q").encode()])[0]
+            assert got.tolist()[-2:] == [want[0], want[1]] and len(got) == lead // 2 + 2
+    assert shingles.word_hashes([b" " * (3 * slice_)])[0].tolist() == []
+
+
 def test_long_texts_are_cut_safely(path, monkeypatch):
     monkeypatch.setattr("quirelake.llm.chunk_tokenizer.SLICE", 64)
     t = ChunkTokenizer(path)
