@@ -9,7 +9,8 @@ order of the sources shows. A shard takes the next draws of each source's permut
 construction, and orders its rows by hash.
 
 What the driver holds is a few numbers for each block, of which there are BLOCKS_PER_SHARD for each shard, and for
-each source. All is seeded: reruns agree.
+each source. Shards, where their number is not given, follow from the words alone, up to MOST_SHARDS, and all is seeded:
+reruns agree, whatever the session's settings.
 """
 
 from __future__ import annotations
@@ -21,13 +22,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quirelake.llm.common import shuffle_partitions, with_columns_of, written
+from quirelake.llm.common import with_columns_of, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: All targets together, in words of all documents; and a source's most, in its own.
 SHARE, MOST = 1.5, 2.0
 #: Blocks that a shard is made of, about.
 BLOCKS_PER_SHARD = 16
+#: Words of a shard, about; and shards at most, which then are larger.
+SHARD_WORDS, MOST_SHARDS = 1 << 20, 4096
 #: Most rows of the plan that is broadcast; a longer one is joined by shuffle.
 BROADCAST_ROWS = 500_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -111,8 +114,8 @@ def _with_size(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"size": word_count(text), "row_hash": F.xxhash64(F.col("doc_id").cast("long"), text)})
 
 
-def _planned(rows: DataFrame, shards: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """Of rows (source, row_hash, size): the sources with their targets, and each block's takings.
+def _planned(rows: DataFrame, shards: int | None, seed: int) -> tuple[DataFrame, DataFrame, int]:
+    """Of rows (source, row_hash, size): the sources with their targets, each block's takings, and how many shards there are.
 
     The first table has a row for each source; the second, for each block, an array of (turn, shard, words), words
     null where the whole block is taken, and the least of these words as `cut`.
@@ -121,6 +124,7 @@ def _planned(rows: DataFrame, shards: int, seed: int) -> tuple[DataFrame, DataFr
     found = sorted(rows.groupBy("source").agg(F.sum("size").alias("n")).collect(), key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["n"] for r in found]
     goal = targets(sizes)
+    shards = shards or min(MOST_SHARDS, max(1, round(sum(goal) / SHARD_WORDS)))
     per_block = max(1.0, SHARE * sum(sizes) / (shards * BLOCKS_PER_SHARD))
     fields = "source_name string, source_no int, n_blocks long, source_size long, target double"
     sources = spark.createDataFrame([(r["source"], i, max(1, round(r["n"] / per_block)), r["n"], goal[i]) for i, r in enumerate(found)], fields)
@@ -132,7 +136,7 @@ def _planned(rows: DataFrame, shards: int, seed: int) -> tuple[DataFrame, DataFr
         taken.setdefault((s, block), []).append((turn, shard, want[0] if want else None))
     fields = "source_no int, block long, turns array<struct<turn:int,shard:int,words:long>>"
     blocks = spark.createDataFrame([(s, b, sorted(t, key=lambda x: x[0])) for (s, b), t in taken.items()], fields)
-    return sources, blocks
+    return sources, blocks, shards
 
 
 def _small(table: DataFrame, rows: int) -> DataFrame:
@@ -144,9 +148,9 @@ def _in_blocks(rows: DataFrame, sources: DataFrame, n_sources: int) -> DataFrame
     return named.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "row_hash"), F.col("n_blocks"))).drop("source_name", "n_blocks")
 
 
-def _taken(rows: DataFrame, narrow: DataFrame, shards: int, seed: int) -> DataFrame:
-    """rows (source, row_hash, size, ...) with source_size, target and takings, an array of (turn, shard, words)."""
-    sources, blocks = _planned(narrow, shards, seed)
+def _taken(rows: DataFrame, narrow: DataFrame, shards: int | None, seed: int) -> tuple[DataFrame, int]:
+    """rows (source, row_hash, size, ...) with source_size, target and takings, an array of (turn, shard, words); and the shards."""
+    sources, blocks, shards = _planned(narrow, shards, seed)
     n_blocks = blocks.count()
     named = _in_blocks(rows, sources, sources.count()).join(_small(blocks, n_blocks), ["source_no", "block"], "left")
     is_cut = F.coalesce(F.exists("turns", lambda t: t["words"].isNotNull()), F.lit(False))
@@ -161,7 +165,7 @@ def _taken(rows: DataFrame, narrow: DataFrame, shards: int, seed: int) -> DataFr
 
     takings = F.transform(F.coalesce("turns", F.array().cast("array<struct<turn:int,shard:int,words:long>>")), lambda t: F.struct(t["turn"].alias("turn"), t["shard"].alias("shard"), words(t).alias("words")))
     both = whole.unionByName(cut).withColumn("takings", F.filter(takings, lambda t: t["words"] > 0))
-    return both.drop("turns", "before", "source_no", "block")
+    return both.drop("turns", "before", "source_no", "block"), shards
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
@@ -178,11 +182,13 @@ def taken(docs: DataFrame, shards: int | None = None, seed: int = 42) -> DataFra
     columns are not read.
     """
     narrow = _narrow(docs)
-    return _taken(narrow, narrow, shards or shuffle_partitions(docs.sparkSession), seed).select("doc_id", "size", "source_size", "target", "takings")
+    return _taken(narrow, narrow, shards, seed)[0].select("doc_id", "size", "source_size", "target", "takings")
 
 
 def first_words(text: Column, words: Column) -> Column:
-    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(1), words.cast("int")), " ")
+    """text up to the end of its first words, as it is: the words and what stands before each are added up."""
+    lengths = lambda parts: F.aggregate(F.slice(parts, F.lit(1), words.cast("int")), F.lit(0), lambda n, p: n + F.length(p))
+    return F.substring(text, F.lit(1), lengths(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))) + lengths(F.split(text, WORD, -1)))
 
 
 def mix(docs: DataFrame, shards: int | None = None, seed: int = 42) -> DataFrame:
@@ -191,12 +197,12 @@ def mix(docs: DataFrame, shards: int | None = None, seed: int = 42) -> DataFrame
     A document taken in part has the first of its words, and n_chars, if there, is set to the new length. Columns of
     docs named like this operator's own (size, row_hash, takings and so on) keep their values. See taken().
     """
-    shards = shards or shuffle_partitions(docs.sparkSession)
     narrow = _narrow(docs)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select(
         "row", F.col("row.doc_id").alias("doc_id"), F.col("row.text").cast("string").alias("text"), F.col("row.source").cast("string").alias("source")
     )
-    rows = _taken(_with_size(packed), narrow, shards, seed).select("row", "text", "size", "row_hash", F.explode("takings").alias("t"))
+    both, shards = _taken(_with_size(packed), narrow, shards, seed)
+    rows = both.select("row", "text", "size", "row_hash", F.explode("takings").alias("t"))
     text = F.when(F.col("t.words") < F.col("size"), first_words(F.col("text"), F.col("t.words"))).otherwise(F.col("text"))
     rows = rows.withColumn("text", text).repartitionById(shards, F.col("t.shard")).sortWithinPartitions("t.shard", F.xxhash64(F.lit(seed), "row_hash", "t.turn"))
     own = {"text": F.col("text").cast(docs.schema["text"].dataType)}

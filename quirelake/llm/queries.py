@@ -42,7 +42,7 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.aggregate("takings", F.lit(0).cast("long"), lambda total, t: total + t["words"])
-    return taken(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", words.alias("taken"))
+    return taken(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", words.alias("taken"), F.transform("takings", lambda t: t["shard"]).alias("shards"))
 
 
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

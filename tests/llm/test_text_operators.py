@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -394,3 +395,67 @@ def test_mix(spark):
     words = mixed.select(F.sum(mixing.word_count(F.col("text")))).first()[0]
     assert words == sum(x["words"] for r in out.collect() for x in r["takings"])
     assert mixing.taken(docs.limit(0)).count() == 0 and mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_a_mix_is_the_same_under_any_setting(spark, monkeypatch):
+    """Shards, draws and words hang on the rows alone; each source's are held against its blocks, added up plainly."""
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 500)
+    rng = random.Random(4)
+    docs = awkward(spark, *["\t ".join(["w"] * rng.randrange(0, 60)) for _ in range(200)])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    try:
+        for n in ("2", "64"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.append((sorted(map(repr, mixing.taken(docs.repartition(int(n) // 2)).collect())), sorted(map(repr, mixing.mix(docs).collect()))))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1]
+    whole = {r["text"] for r in docs.collect()}
+    for r in mixing.mix(docs).collect():  # a document taken in part is its own beginning, white space and all
+        assert r["text"] in whole or any((t or "").startswith(r["text"]) and r["text"][-1:].strip() for t in whole)
+    shards = {t["shard"] for r in mixing.taken(docs).collect() for t in r["takings"]}
+    words = sum(x["words"] for r in mixing.taken(docs).collect() for x in r["takings"])
+    assert shards == set(range(round(words / 500)))
+
+
+def test_plan_against_adding_up():
+    """Every source's draws are its blocks in some order, as often as its target holds it, the last cut to meet it."""
+    rng = random.Random(8)
+    words = {(s, b): rng.randrange(0, 50) for s in range(4) for b in range(12)} | {(4, 0): 0}
+    sizes = [sum(n for (s, _), n in words.items() if s == x) for x in range(5)]
+    goal = mixing.targets(sizes)
+    whole, parts = mixing.plan(sizes, goal, words, 7, 3)
+    for s in range(5):
+        draws = [(b, turn, words[s, b]) for x, b, turn, _ in whole if x == s] + [(b, turn, n) for x, b, turn, _, n in parts if x == s]
+        assert len(set(d[:2] for d in draws)) == len(draws) and sum(n for *_, n in draws) == round(goal[s])
+        full = round(goal[s]) // sizes[s] if sizes[s] else 0
+        for turn in range(full):
+            assert {b for b, t, n in draws if t == turn} == {b for (x, b), n in words.items() if x == s and n}
+    per_shard = [sum(d[3] == k for d in [*whole, *parts]) for k in range(7)]
+    assert max(per_shard) - min(per_shard) <= 1
+
+
+def test_many_secrets_in_one_text(spark):
+    many = " ".join(f"token=abc{i:06d} AKIA{'A' * 16}{i % 10}" for i in range(20_000))
+    docs = spark.createDataFrame([(1, many), (2, "x" * 700 + "token=abcdefg " * 513)], "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in r["secrets"]) for r in secret_index.find_secrets(docs).collect()}
+    assert time.time() - began < 60
+    assert got == {1: plain_secrets(many), 2: plain_secrets("x" * 700 + "token=abcdefg " * 513)}
+
+
+ADDED = {"private_key": r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----", "hub_token": r"gh[pousr]_[A-Za-z0-9]{36,}", "web_token": r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"}
+
+
+def test_added_secrets_against_plain_matches(spark):
+    """All six kinds, side by side and overlapping, against the expressions alone."""
+    pieces = ["-----BEGIN PRIVATE KEY-----", "-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN rsa PRIVATE KEY-----", "ghp_" + "a1" * 18, "ghp_" + "a1" * 17, "ghs_" + "0f" * 30, f"eyJ{'h' * 10}.eyJ{'p' * 12}.{'s' * 11}", f"eyJ{'h' * 9}.eyJ{'p' * 12}.{'s' * 11}", "token: ghp_" + "b2" * 20, "AKIA" + "Z" * 20, "AKIAx", "deadbeef" * 4, "secret='x'", "é ", "\n"]
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(["", " ", ","]) + rng.choice(pieces) for _ in range(rng.randrange(0, 12))) for _ in range(120)]
+    order = [*SECRETS, *ADDED]
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"], s["base"]) for s in r["secrets"]] for r in secret_index.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        want = [(m.start(), order.index(k), m.end(), k, True) for k, (p, ok) in SECRETS.items() for m in re.finditer(p, text) if ok(m)]
+        want += [(m.start(), order.index(k), m.end(), k, False) for k, p in ADDED.items() for m in re.finditer(p, text)]
+        assert got[i] == [(k, s, e, b) for s, _, e, k, b in sorted(want)], text
