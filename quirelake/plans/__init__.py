@@ -4,12 +4,12 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from quirelake.plans import catalogue, documents, facts, forms, records, slots
+    from quirelake.plans import catalogue, documents, facts, forms, grids, records, slots
 
-    return slots.QUERIES | records.QUERIES | documents.QUERIES | facts.QUERIES | forms.QUERIES | catalogue.QUERIES
+    return slots.QUERIES | records.QUERIES | documents.QUERIES | facts.QUERIES | forms.QUERIES | catalogue.QUERIES | grids.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from quirelake.plans import catalogue, documents, facts, forms, records, slots
+    from quirelake.plans import catalogue, documents, facts, forms, grids, records, slots
 
-    return slots.SQL | records.SQL | documents.SQL | facts.SQL | forms.SQL | catalogue.SQL
+    return slots.SQL | records.SQL | documents.SQL | facts.SQL | forms.SQL | catalogue.SQL | grids.SQL
