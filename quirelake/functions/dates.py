@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,21 +45,40 @@ REPORT_FORMS = (
 )
 
 
-def _month(c: Column, months: dict[str, int]) -> Column:
-    table = F.create_map(*[F.lit(x) for pair in months.items() for x in pair])
-    return F.try_element_at(table, F.upper(c))
+#: Between a date's parts, once its form is known.
+_CUT = "\x1f"
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _parts(s: Column, pattern: str, order: str, months: dict[str, int]) -> tuple[Column, Column, Column]:
-    group = {k: F.regexp_extract(s, pattern, i + 1) for i, k in enumerate(order)}
-    month = _month(F.rtrim(group["M"], F.lit(".")), months) if "M" in group else group["m"].try_cast("int")
-    return group["y"], month, group["d"].try_cast("int")
+def _told(s: Column, forms: tuple[tuple[str, str], ...]) -> Column:
+    """Year, month, day and "M" for a month's name, as texts, of the first form that s has; no form is null."""
+    shapes = []
+    for pattern, order in forms:
+        at = {k.lower(): f"${i}" for i, k in enumerate(order, 1)}
+        shapes.append(F.when(s.rlike(pattern), F.regexp_replace(s, pattern, _CUT.join([at["y"], at["m"], at["d"], "M" if "M" in order else ""]))))
+    return F.split(F.coalesce(*shapes), _CUT, -1)
+
+
+def _number(c: Column) -> Column:
+    return c.try_cast("int")
+
+
+def _month(p: Column, months: dict[str, int]) -> Column:
+    return F.when(p[3] == "M", _named(F.rtrim(p[1], F.lit(".")), months)).otherwise(_number(p[1]))
+
+
+def _named(c: Column, months: dict[str, int]) -> Column:
+    table = F.create_map(*[F.lit(x) for pair in months.items() for x in pair])
+    return F.try_element_at(table, F.upper(c))
 
 
 def _padded(n: Column, width: int) -> Column:
     """With zeros in front; longer numbers stay whole."""
-    s = n.cast("string")
-    return F.when(F.length(s) < width, F.lpad(s, width, "0")).otherwise(s)
+    return _let(n.cast("string"), lambda s: F.lpad(s, F.greatest(F.length(s), F.lit(width)), F.lit("0")))
 
 
 def _iso(year: Column, month: Column, day: Column) -> Column:
@@ -69,15 +90,17 @@ def normalize_date(value: Column) -> Column:
 
     A value in no known form, or no day of the calendar, stays as it was.
     """
-    s = plain_dashes(strip(value))
-    found = []
-    for pattern, order in CELL_FORMS:
-        year, month, day = _parts(s, pattern, order, CELL_MONTHS)
-        y = year.try_cast("int")
-        y = F.when(y < 100, y + F.when(y <= 50, 2000).otherwise(1900)).otherwise(y)
-        date = F.try_to_date(_iso(y, month, day), "yyyy-MM-dd")
-        found.append(F.when(s.rlike(pattern) & month.isNotNull() & (y > 0), F.date_format(date, "yyyy-MM-dd")))
-    return F.when(s == "", s).when(s.rlike(r"^\d{4}-\d{2}-\d{2}$"), s).otherwise(F.coalesce(*found, value))
+
+    def dated(p: Column) -> Column:
+        year = _let(_number(p[0]), lambda y: F.when(y < 100, y + F.when(y <= 50, 2000).otherwise(1900)).otherwise(y))
+        iso = F.concat_ws("-", *[F.lpad(n.cast("string"), w, "0") for n, w in ((year, 4), (_month(p, CELL_MONTHS), 2), (_number(p[2]), 2))])
+        return _let(iso, lambda d: F.when((F.left(d, F.lit(4)) != "0000") & F.try_to_date(d, "yyyy-MM-dd").isNotNull(), d))
+
+    def read(s: Column) -> Column:
+        known = F.when((s == "") | s.rlike(r"^\d{4}-\d{2}-\d{2}$"), s)
+        return F.coalesce(known, _let(_told(s, CELL_FORMS), lambda p: F.when(p.isNotNull(), dated(p))))
+
+    return F.coalesce(_let(plain_dashes(strip(value)), read), value)
 
 
 def report_date_iso(raw: Column) -> Column:
@@ -85,19 +108,17 @@ def report_date_iso(raw: Column) -> Column:
 
     Forms with a month's name don't check the day.
     """
-    s = F.rtrim(strip(raw), F.lit("."))
-    out = F.when(s == "", "")
-    for pattern, order in REPORT_FORMS:
-        year, month, day = _parts(s, pattern, order, REPORT_MONTHS)
-        n = year.try_cast("int")
-        full = F.when(F.length(year) == 4, year).otherwise(F.concat(F.when(n < 50, "20").otherwise("19"), _padded(n, 2)))
-        iso = _iso(full, month, day)
-        if "M" in order:
-            out = out.when(s.rlike(pattern), F.when(month.isNull(), "").otherwise(iso))
-        else:
-            fine = day.between(1, 31) & month.between(1, 12)
-            out = out.when(s.rlike(pattern), F.when(fine, iso).otherwise(""))
-    return out.otherwise("")
+
+    def dated(p: Column) -> Column:
+        day, month = _number(p[2]), _month(p, REPORT_MONTHS)
+        year = F.when(F.length(p[0]) == 4, p[0]).otherwise(_let(_number(p[0]), lambda n: F.concat(F.when(n < 50, "20").otherwise("19"), _padded(n, 2))))
+        fine = F.when(p[3] == "M", month.isNotNull()).otherwise(day.between(1, 31) & month.between(1, 12))
+        return F.when(fine, _iso(year, month, day)).otherwise("")
+
+    def read(s: Column) -> Column:
+        return _let(_told(s, REPORT_FORMS), lambda p: F.when(p.isNotNull(), dated(p)))
+
+    return F.when(raw.isNotNull(), F.coalesce(_let(F.rtrim(strip(raw), F.lit(".")), read), F.lit(""))).otherwise("")
 
 
 # Words of lines that carry a report's date, and its forms anywhere in a line.
