@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quirelake.functions.text import blank
 
+# Columns that comparisons leave out.
 INTERNAL = ("_issues", "_page", "_source", "_trailer", "_ref_htll", "_pn_known")
 KINDS = ("added", "changed", "removed", "unchanged")
 # Keys by sheet.

@@ -10,44 +10,44 @@ from pyspark.sql import functions as F
 from quirelake.functions.text import blank
 
 # Formats that tell positions, with the columns of the position, its source, the zone and the kardex.
-POSITION_COLUMNS = """
-Aeroflot|FIN|FIN|ZONE|
-Aircraft Inventory Report (MM_504)|POSITION|POSITION||
-Aircraft Rotables Report|POSITION|POSITION||
-AMOS|POS|POS||
-Aircraft Spec File OCCM|POS|POS||
-A330 Engineering Planning OCCM|FIN|FIN|ZONE|
-B777 Annex 8 OCCM|POSITION|POSITION||
-EL AL B767-3Q8ER Records Package||NONE||
-Georgian Airways B737|POSITION|POSITION||
-AMOS HT (Aircraft Equipment List Report)|POS|POS||
-MM_510 HARD TIME LLP Components|POSITION|POSITION||
-TAP HT (compact)|POSITION|POSITION||
-Iberia Listado HT|LOCATION|LOCATION||
-OASES Lifed Component Report|POSITION|POSITION||
-STARS Trax HT|POSITION|POSITION||
-Aircraft Rotables HT|POSITION|POSITION||
-B777 Annex 7 OCCM||TEMPLATE||
-CCA A340 OCCM|LOCATION|LOCATION||
-On Condition Monitoring OCCM|POSITION|POSITION||
-Swiss A340 OCCM|POSITION|POSITION||
-A305 A340 OCCM|POSITION|POSITION||
-Avianca OCCM|POSITION|POSITION||
-Aegean ERJ OCCM|POSITION|POSITION||
-Cathay OCCM|LOCATION|LOCATION||
-CONFIG SLOT OCCM|POSITION|POSITION||
-Iberia Listado OCCM|LOCATION|LOCATION||
-OASES|POSITION|POSITION|ZONE|
-OCCM List As At|POSN|POSN||
-OCCM Status List|FIN|FIN||
-MSN Components Status List|FIN|FIN|ZONE|
-B737-600 IPC-style OCCM (Multi-line)|POS|POS||
-On Condition Components Report|POSITION|POSITION||
-Remaining Potentials|AMM_FIN|AMM_FIN||KARDEX
-Standard OCCM|FIN|FIN||
-TAP Compact OCCM|POSITION|POSITION||
-Technical Object Listing|FUNCTIONAL_LOCATION|FUNCTIONAL_LOCATION||KARDEX
-"""
+POSITION_COLUMNS = (
+    ("Aeroflot", "FIN", "FIN", "ZONE", None),
+    ("Aircraft Inventory Report (MM_504)", "POSITION", "POSITION", None, None),
+    ("Aircraft Rotables Report", "POSITION", "POSITION", None, None),
+    ("AMOS", "POS", "POS", None, None),
+    ("Aircraft Spec File OCCM", "POS", "POS", None, None),
+    ("A330 Engineering Planning OCCM", "FIN", "FIN", "ZONE", None),
+    ("B777 Annex 8 OCCM", "POSITION", "POSITION", None, None),
+    ("EL AL B767-3Q8ER Records Package", None, "NONE", None, None),
+    ("Georgian Airways B737", "POSITION", "POSITION", None, None),
+    ("AMOS HT (Aircraft Equipment List Report)", "POS", "POS", None, None),
+    ("MM_510 HARD TIME LLP Components", "POSITION", "POSITION", None, None),
+    ("TAP HT (compact)", "POSITION", "POSITION", None, None),
+    ("Iberia Listado HT", "LOCATION", "LOCATION", None, None),
+    ("OASES Lifed Component Report", "POSITION", "POSITION", None, None),
+    ("STARS Trax HT", "POSITION", "POSITION", None, None),
+    ("Aircraft Rotables HT", "POSITION", "POSITION", None, None),
+    ("B777 Annex 7 OCCM", None, "TEMPLATE", None, None),
+    ("CCA A340 OCCM", "LOCATION", "LOCATION", None, None),
+    ("On Condition Monitoring OCCM", "POSITION", "POSITION", None, None),
+    ("Swiss A340 OCCM", "POSITION", "POSITION", None, None),
+    ("A305 A340 OCCM", "POSITION", "POSITION", None, None),
+    ("Avianca OCCM", "POSITION", "POSITION", None, None),
+    ("Aegean ERJ OCCM", "POSITION", "POSITION", None, None),
+    ("Cathay OCCM", "LOCATION", "LOCATION", None, None),
+    ("CONFIG SLOT OCCM", "POSITION", "POSITION", None, None),
+    ("Iberia Listado OCCM", "LOCATION", "LOCATION", None, None),
+    ("OASES", "POSITION", "POSITION", "ZONE", None),
+    ("OCCM List As At", "POSN", "POSN", None, None),
+    ("OCCM Status List", "FIN", "FIN", None, None),
+    ("MSN Components Status List", "FIN", "FIN", "ZONE", None),
+    ("B737-600 IPC-style OCCM (Multi-line)", "POS", "POS", None, None),
+    ("On Condition Components Report", "POSITION", "POSITION", None, None),
+    ("Remaining Potentials", "AMM_FIN", "AMM_FIN", None, "KARDEX"),
+    ("Standard OCCM", "FIN", "FIN", None, None),
+    ("TAP Compact OCCM", "POSITION", "POSITION", None, None),
+    ("Technical Object Listing", "FUNCTIONAL_LOCATION", "FUNCTIONAL_LOCATION", None, "KARDEX"),
+)
 # Names that a format may give a column, the first that is there and not blank counts.
 CANDIDATES = {"part_number": ("PART_NUMBER", "PN", "P_N"), "serial_number": ("SERIAL_NUMBER", "SERIAL", "S_N"), "description": ("DESCRIPTION", "EQUIPMENT_DESCRIPTION", "PART_NAME"), "ata": ("ATA",)}
 # Variants of files that no format was found for.
@@ -56,8 +56,7 @@ UNREAD = ("", "Unknown", "Timeout")
 
 def position_columns(spark) -> DataFrame:
     """(variant, position_column, position_source, zone_column, kardex_column): a table of a few dozen rows."""
-    rows = [[x or None for x in line.split("|")] for line in POSITION_COLUMNS.strip().splitlines()]
-    return spark.createDataFrame(rows, "variant string, position_column string, position_source string, zone_column string, kardex_column string")
+    return spark.createDataFrame(POSITION_COLUMNS, "variant string, position_column string, position_source string, zone_column string, kardex_column string")
 
 
 def tagged(sheets: dict[str, DataFrame]) -> DataFrame:
@@ -99,7 +98,7 @@ def positions(files: DataFrame, rows: DataFrame, columns: DataFrame) -> DataFram
 
     Files of unread or unmapped variants and files without rows are left out; unmapped() and without_rows() report them.
     """
-    mapped = read_files(files).join(F.broadcast(columns), "variant")
+    mapped = read_files(files).join(columns, "variant")
     own = rows.select(F.col("source_file").alias("filename"), F.trim(blank(F.col("variant"))).alias("variant"), "record")
     named = mapped.join(own, ["filename", "variant"])
     cell = lambda c: F.trim(blank(F.try_element_at("record", F.col(c))))
@@ -110,12 +109,12 @@ def positions(files: DataFrame, rows: DataFrame, columns: DataFrame) -> DataFram
 
 def unmapped(files: DataFrame, columns: DataFrame) -> DataFrame:
     """(variant, files): read files whose format tells no positions."""
-    return read_files(files).join(F.broadcast(columns), "variant", "left_anti").groupBy("variant").agg(F.count("*").alias("files"))
+    return read_files(files).join(columns, "variant", "left_anti").groupBy("variant").agg(F.count("*").alias("files"))
 
 
 def without_rows(files: DataFrame, rows: DataFrame, columns: DataFrame) -> DataFrame:
     """Files whose format tells positions, but of which there are no rows."""
-    mapped = read_files(files).join(F.broadcast(columns), "variant", "left_semi")
+    mapped = read_files(files).join(columns, "variant", "left_semi")
     own = rows.select(F.col("source_file").alias("filename"), F.trim(blank(F.col("variant"))).alias("variant")).distinct()
     return mapped.join(own, ["filename", "variant"], "left_anti").select(*files.columns)
 

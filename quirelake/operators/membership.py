@@ -5,13 +5,14 @@ from __future__ import annotations
 import hashlib
 import math
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAGIC = b"CYPM"
+#: What a filter's file begins with, unless the caller names something else.
+MARK = b"BLOM"
 
 
 def normal(c: Column) -> Column:
@@ -61,15 +62,16 @@ class Bloom:
     def __contains__(self, value: str) -> bool:
         return all(self.bits[p // 8] >> p % 8 & 1 for p in bit_places(value, self.m, self.k))
 
-    def to_bytes(self) -> bytes:
-        return MAGIC + struct.pack("<HQI", 1, self.m, self.k) + bytes(self.bits)
+    def to_bytes(self, mark: bytes = MARK) -> bytes:
+        return mark + struct.pack("<HQI", 1, self.m, self.k) + bytes(self.bits)
 
     @classmethod
-    def from_bytes(cls, data: bytes) -> Bloom:
-        if data[:4] != MAGIC or struct.unpack_from("<H", data, 4)[0] != 1:
+    def from_bytes(cls, data: bytes, mark: bytes = MARK) -> Bloom:
+        n = len(mark)
+        if data[:n] != mark or struct.unpack_from("<H", data, n)[0] != 1:
             raise ValueError("not a filter of this format")
-        m, k = struct.unpack_from("<QI", data, 6)
-        return cls(m, k, bytearray(data[18:]))
+        m, k = struct.unpack_from("<QI", data, n + 2)
+        return cls(m, k, bytearray(data[n + 14 :]))
 
     @classmethod
     def of(cls, values: Iterable[str], n: int, rate: float = 0.001) -> Bloom:
@@ -79,23 +81,22 @@ class Bloom:
         return out
 
 
+#: Bytes of a filter that come to the driver as one row.
+_SLICE = 4096
+
+
 def build_bloom(master: DataFrame, rate: float = 0.001) -> Bloom:
-    """A filter of master (value): partitions set bits, the driver ors them as they come, one partition at a time."""
+    """A filter of master (value), its bits set by the executors: of each slice of the filter one row, with its bytes that
+    are not zero, comes to the driver, one partition of slices at a time. The driver holds the filter, 1.8 bytes a value."""
     n = master.count()
     m, k = sizes(n, rate)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Bloom(m, k)
-        for batch in batches:
-            for v in batch["value"]:
-                own.add(v)
-        yield pd.DataFrame({"bits": [bytes(own.bits)]})
-
+    places = master.filter(F.col("value").isNotNull()).select(F.explode(F.array(*[native_place(F.col("value"), m, i) for i in range(k)])).alias("p"))
+    one = places.groupBy(F.expr("p div 8").alias("at")).agg(F.bit_or(F.expr("shiftleft(1, cast(p % 8 as int))")).alias("bits"))
+    slices = one.groupBy(F.expr(f"at div {_SLICE}").alias("slice")).agg(F.collect_list(F.struct("at", "bits")).alias("bytes"))
     out = Bloom(m, k)
-    total = int.from_bytes(out.bits, "little")
-    for row in master.select("value").mapInPandas(run, "bits binary").toLocalIterator():
-        total |= int.from_bytes(row["bits"], "little")
-    out.bits = bytearray(total.to_bytes(len(out.bits), "little"))
+    for row in slices.toLocalIterator():
+        for at, bits in row["bytes"]:
+            out.bits[at] |= bits
     return out
 
 
