@@ -73,15 +73,24 @@ def row_check(parts: list[Column], total: Column) -> Column:
 def profile(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Median, mean, the value at place int(0.95 n) of those in order, largest and sum, of each key.
 
-    Places are found by a window, not by gathering a key's values; keys are few and groups large.
+    Rows are first counted by value, which a key's tasks share; places are then sums of counts over its distinct values,
+    rounded to nothing: a key with as many values as rows is what windows can't split, counts of few values are cheap.
     """
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
     w = Window.partitionBy(*keys)
-    placed = df.filter(F.col(value).isNotNull()).select(*keys, value).withColumns({"_no": F.row_number().over(w.orderBy(value)), "_n": F.count("*").over(w)})
+    upto = F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = counted.withColumns({"_upto": upto, "_n": F.sum("_c").over(w)})
+
+    def at(place: Column) -> Column:
+        """The value that has the place, from 0, in the order of all rows."""
+        return F.max(F.when((F.col("_upto") > place) & (F.col("_upto") - F.col("_c") <= place), F.col(value)))
+
+    half, last = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
     return placed.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.percentile(value, 0.5).alias("median"),
-        F.avg(value).alias("mean"),
-        F.max(F.when(F.col("_no") == F.floor(F.col("_n") * 0.95) + 1, F.col(value))).alias("p95"),
+        F.sum("_c").alias("n"),
+        ((at(half).cast("double") + at(last).cast("double")) / 2).alias("median"),
+        (F.sum(F.col(value) * F.col("_c")) / F.sum("_c")).alias("mean"),
+        at(F.floor(F.col("_n") * 0.95)).alias("p95"),
         F.max(value).alias("largest"),
-        F.sum(value).alias("total"),
+        F.sum(F.col(value) * F.col("_c")).alias("total"),
     )
