@@ -253,10 +253,67 @@ MM504 = Format(
     least_page=100,
 )
 
+SAP_INVENTORY = Format(
+    "OCCM Inventory (SAP-ES)", "OCCM", ("Ubicac.técnica Denominación Material Número de serie Válido de",),
+    ("ATA", "POSITION_CODE", "DESCRIPTION", "PART_NUMBER", "MATERIAL_CODE", "SERIAL_NUMBER", "VALID_FROM"),
+    (form(raw(r" [A-Z0-9]{3,8} -(ATA(\d{2})(?:-[A-Z0-9]+)*)(?= )", "POSITION_CODE", "ATA"), many("DESCRIPTION", lazy=True), raw(r" ([A-Z0-9./,\-]+):([A-Z0-9]+)(?= )", "PART_NUMBER", "MATERIAL_CODE"), opt("SERIAL_NUMBER"), one("VALID_FROM", SLASHED)),),
+    dashes=True, skip="^ Ubicac",
+)
+
+_AT_INSTALL = tuple(one(c) for c in ("TAH_AT_INSTALL", "TAC_AT_INSTALL", "TSN", "CSN"))
+AT_INSTALL = Format(
+    "OCCM List (TAH/TAC at Install)", "OCCM", ("ATA Partno Serialno Description Pos Inst-Date TAH@INS TAC@INS TSN CSN", "TAH@INS TAC@INS"),
+    ("ATA", "PART_NUMBER", "SERIAL_NUMBER", "DESCRIPTION", "POSITION", "INSTALL_DATE", "TAH_AT_INSTALL", "TAC_AT_INSTALL", "TSN", "CSN"),
+    (
+        form(one("ATA", CHAPTER), one("PART_NUMBER"), one("SERIAL_NUMBER"), many("DESCRIPTION"), one("POSITION"), one("INSTALL_DATE", DMY_SHORT), *_AT_INSTALL),
+        form(one("ATA", CHAPTER), one("PART_NUMBER"), one("SERIAL_NUMBER"), many("DESCRIPTION", but="See"), raw(f"({_other('See')})", "POSITION"), raw(r" (See(?= )(?: \S+)*?)", "INSTALL_DATE"), *_AT_INSTALL),
+    ),
+)
+
+CONDITION = "(?:N|R|IT|OH|M|S)"
+DOTTED = r"\d{2}\.\d{2}\.\d{4}"
+DOT_DATED = Format(
+    "OCCM List MSN (Dot-Dated, With Condition)", "OCCM", ("OCCM LIST MSN", "ATA PART NO. SERIAL NO. DESCRIPTION CON POS. INST-DATE TAH Inst TAC Inst TSN CSN"),
+    ("ATA", "PART_NUMBER", "SERIAL_NUMBER", "DESCRIPTION", "CONDITION", "POSITION", "INSTALL_DATE", "TAH_AT_INSTALL", "TAC_AT_INSTALL", "TSN", "CSN"),
+    (form(one("ATA", CHAPTER), one("PART_NUMBER"), one("SERIAL_NUMBER"), many("DESCRIPTION", but=DOTTED), one("CONDITION", CONDITION), many("POSITION", least=0, but=f"{DOTTED}|{CONDITION}"), one("INSTALL_DATE", DOTTED), raw(r"(?: \S+)*"), *_AT_INSTALL),),
+)
+
+_DAYS = (one("SERIAL_NUMBER"), one("LAST_BATCH_MOVEMENT", r"\d{1,2}[A-Za-z]{3}\d{4}"), raw(" Days(?= )"), *[one(f"DAYS_SINCE_{b}") for b in ("NEW", "FIT", "OVERHAUL", "REPAIR")])
+_DECIMAL = r"\d+(?:\.\d+)?"
+OASES = Format(
+    "OASES", "OCCM", ("FL Technics OASES", "OASES Live system", "OASES Option", "Aircraft Build Report Date", "Aircraft Build Aircraft Reg", "Position Zone Part Number Description", "Last Batch Movement", "Since New Since Fit Since Overhaul"),
+    ("ATA", "POSITION", "ZONE", "PART_NUMBER", "DESCRIPTION", "SERIAL_NUMBER", "LAST_BATCH_MOVEMENT", *[f"{m}_SINCE_{b}" for m in ("DAYS", "HOURS", "LANDINGS") for b in ("NEW", "FIT", "OVERHAUL", "REPAIR")]),
+    (
+        form(one("ATA", r"\d{6,8}"), raw(rf" (\S+ (?!{_DECIMAL}(?: |$))\S+)(?= )", "POSITION"), one("ZONE", _DECIMAL), one("PART_NUMBER"), many("DESCRIPTION"), *_DAYS),
+        form(one("ATA", r"\d{6,8}"), raw(rf"(?! \S+ (?!{_DECIMAL} )\S+ {_DECIMAL} \S+ )"), one("POSITION"), one("ZONE"), one("PART_NUMBER"), many("DESCRIPTION"), *_DAYS),
+    ),
+    least_page=100, starts=r"^\d{6,8} .* Days \S+ \S+ \S+ \S+$", ends=r"^landings(?: \S+){4}",
+    notes=tuple((f"{m}_SINCE_{b}", rf"^{m.title()}(?= \S+ \S+ \S+ \S+)(?: .*)? (\S+)" + r" \S+" * (3 - i) + "$") for m in ("HOURS", "LANDINGS") for i, b in enumerate(("NEW", "FIT", "OVERHAUL", "REPAIR"))),
+)
+
+_DATED = r"\d{2}\.[A-Za-z]{3}\.\d{4}"
+_ROTABLE_HEAD = (raw(r"(?=(?: \S+){8})"), raw(rf" ({CHAPTER})-\d{{2}}(?= )", "ATA"), one("POSITION"), many("DESCRIPTION", least=0, lazy=True), one("PART_NUMBER"))
+_ROTABLE_LIMITS = (many("REQUIREMENT", least=0, lazy=True), raw(rf"(?=(?:.* ({_DATED})(?= |$))?)", "EXPECTED"), raw(r" (\d+ [HD])(?= |$)", "INTERVAL"), raw(r"(?: (\S+ \S+)(?= |$))?", "TO_GO"), rest())
+_ROTABLE_TIMES = (one("INSTALL_DATE", _DATED), one("TSN", INT), one("CSN", INT))
+ROTABLES_HARD_TIME = Format(
+    "Aircraft Rotables HT", "HT", ("Aircraft Rotables Report",),
+    ("ATA", "POSITION", "DESCRIPTION", "PART_NUMBER", "SERIAL_NUMBER", "MANUFACTURED", "INSTALL_DATE", "TSN", "CSN", "REQUIREMENT", "INTERVAL", "TO_GO", "EXPECTED"),
+    tuple(form(*_ROTABLE_HEAD, *made, *_ROTABLE_TIMES, *limits) for made in ((one("SERIAL_NUMBER"), one("MANUFACTURED", _DATED)), (raw(f"({_other(_DATED)})", "SERIAL_NUMBER"),)) for limits in (_ROTABLE_LIMITS, (many("REQUIREMENT", least=0),))),
+    least_page=80, skip=r"(?i)Aircraft Rotables Report|^ Aircraft:|^ ATA\s+POSITION",
+)
+
+_SPECIFIED = (raw(f"({_other(DOTTED)})", "PART_NUMBER"), raw(f"({_other(DOTTED)})?", "SERIAL_NUMBER"), many("DESCRIPTION", least=0, but=DOTTED), raw(f"({_other(DOTTED)})", "POS"), one("INST_DATE", DOTTED), one("TSN", r"\d+:\d{2}(?::\d{2})?"), one("CSN", INT), rest())
+SPECIFICATION = Format(
+    "Aircraft Spec File OCCM", "OCCM", ("AIRCRAFT SPECIFICATION FILE",),
+    ("ATA", "ATA_DESCRIPTION", "PART_NUMBER", "SERIAL_NUMBER", "DESCRIPTION", "POS", "INST_DATE", "TSN", "CSN"),
+    (form(one("ATA", r"\d{1,2}"), raw(r"((?: [^\d ]+(?= ))*+)", "ATA_DESCRIPTION"), *_SPECIFIED), form(raw(r"(?! \d{1,2} )"), *_SPECIFIED, under=True)),
+    carried=("ATA", "ATA_DESCRIPTION"), orphans=True,
+)
+
 #: In order of priority within a sheet, as the formats are tried.
 FORMATS = (
-    AEGEAN, A330_PLANNING, AVIANCA, ANNEX_8, ANNEX_7, A340_STATUS, MSN_STATUS, IGO_STATUS, MM504, ROTABLES, AMOS, CATHAY, CONFIG_SLOT, IBERIA, LIST_AS_AT, ON_CONDITION, REMAINING_POTENTIALS, TAP_COMPACT, TECHNICAL_OBJECTS, COMPONENTS_LIST,
-    REPLACEMENT_PLAN, TAP_HARD_TIME, IBERIA.alias("Iberia Listado HT", "HT", "Fecha de listado", "Horas de vuelo"),
+    SPECIFICATION, AEGEAN, A330_PLANNING, AVIANCA, ANNEX_8, ANNEX_7, A340_STATUS, MSN_STATUS, IGO_STATUS, MM504, ROTABLES, AMOS, CATHAY, CONFIG_SLOT, IBERIA, OASES, LIST_AS_AT, ON_CONDITION, REMAINING_POTENTIALS, TAP_COMPACT, TECHNICAL_OBJECTS, COMPONENTS_LIST, SAP_INVENTORY, AT_INSTALL, DOT_DATED,
+    REPLACEMENT_PLAN, TAP_HARD_TIME, IBERIA.alias("Iberia Listado HT", "HT", "Fecha de listado", "Horas de vuelo"), ROTABLES_HARD_TIME,
     AMOS.alias("AMOS HT (Aircraft Equipment List Report)", "HT", "Aircraft Equipment List Report", "Aircraft-Equipment-List", "PART NO. SERIAL NO. DESCRIPTION POS."),
     TIMELINE, EMES_HARD_TIME, REMAINING_POTENTIALS.alias("Remaining Potentials (HT)", "HT", *REMAINING_POTENTIALS.signatures, "Protocol Type H/T"),
 )

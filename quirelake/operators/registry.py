@@ -102,7 +102,8 @@ class Format:
     read. dashes: all dashes are read as hyphens. skip: lines that are never rows. upper: columns put in capitals.
     empty: values that stand for none. section: (pattern whose first group is carried down, column); a section line is no
     row. continuation: (pattern of a line directly below a row that goes on with it, column, what stands between).
-    carried: columns that rows of an under form have from the last other row. offsets: columns that are a line's distance
+    carried: columns that rows of an under form have from the last other row; without one before them they are no rows, but
+    where orphans is set they are, with these columns empty. offsets: columns that are a line's distance
     away, (column, distance, prefix to cut). before: a pattern of the line before a row. notes: (column, pattern whose
     first group is it) of lines below a row, the last counts, up to a line of ends. file_values: (column, (pattern of
     the file's name, value) in order).
@@ -122,6 +123,7 @@ class Format:
     section: tuple[str, str] | None = None
     continuation: tuple[str, str, str] | None = None
     carried: tuple[str, ...] = ()
+    orphans: bool = False
     offsets: tuple[tuple[str, int, str], ...] = ()
     before: tuple[str, str, str] | None = None
     notes: tuple[tuple[str, str], ...] = ()
@@ -275,7 +277,8 @@ class Registry:
         # what rows of an under form have from the last row that is none
         main = F.when(F.col("_row").isNotNull() & ~F.col("_row.under"), F.col("_row.cells"))
         rows = rows.withColumn("_above", F.last(main, ignorenulls=True).over(of_doc.rowsBetween(*upto)))
-        rows = rows.withColumn("_row", F.when(~F.coalesce(F.col("_row.under"), F.lit(False)) | F.col("_above").isNotNull(), F.col("_row")))
+        alone = F.col("variant").isin([f.name for f in self.formats if f.orphans])
+        rows = rows.withColumn("_row", F.when(~F.coalesce(F.col("_row.under"), F.lit(False)) | F.col("_above").isNotNull() | alone, F.col("_row")))
         # lines at a distance, of those with text
         distances = sorted({d for f in self.formats for _, d, _ in f.offsets} | {-1 for f in self.formats if f.before})
         spaced = [f.name for f in self.formats if f.offsets or f.before]
@@ -287,7 +290,7 @@ class Registry:
         starts = self._each(lambda f: F.ltrim(line).rlike(f.starts) if f.starts else None)
         told = texts.withColumn("_run", F.sum((~F.when(starts.isNull(), goes_on).otherwise(~starts)).cast("long")).over(of_page.rowsBetween(*upto)))
         ended = self._each(lambda f: F.lower(F.ltrim(line)).rlike(f.ends) if f.ends else None)
-        told = told.withColumn("_ended", F.coalesce(F.max(F.coalesce(ended, F.lit(False))).over(Window.partitionBy("doc", "variant", "page", "_run").orderBy("line_no").rowsBetween(*upto)), F.lit(False)))
+        told = told.withColumn("_ended", F.coalesce(F.max(F.coalesce(ended, F.lit(False))).over(Window.partitionBy("doc", "variant", "page", "_run").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)))
         n_notes = max((len(f.notes) for f in self.formats), default=0)
         note = lambda i: self._each(lambda f: F.when(F.ltrim(line).rlike(f.notes[i][1]), F.regexp_extract(F.ltrim(line), f.notes[i][1], 1)) if len(f.notes) > i else None)
         gathered = told.groupBy("doc", "variant", "page", "_run").agg(
@@ -302,7 +305,7 @@ class Registry:
             if f.section:
                 new[f.section[1]] = F.coalesce("_section", F.lit(""))
             for c in f.carried:
-                new[c] = F.when(F.col("_row.under"), F.get("_above", F.lit(f.columns.index(c))))
+                new[c] = F.when(F.col("_row.under"), F.coalesce(F.get("_above", F.lit(f.columns.index(c))), F.lit("")))
             for c, d, prefix in f.offsets:
                 new[c] = F.regexp_replace(F.col(f"_at{d}"), f"^{prefix}", "") if prefix else F.col(f"_at{d}")
             if f.before:

@@ -86,9 +86,9 @@ class ReadFormat:
             return
         cells, under = found
         if under:
-            if self.above is None:
+            if self.above is None and not self.own.orphans:
                 return
-            cells |= {c: self.above.get(c, "") for c in self.own.carried}
+            cells |= {c: (self.above or {}).get(c, "") for c in self.own.carried}
         else:
             self.above = cells
         if self.own.section:

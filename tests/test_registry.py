@@ -34,6 +34,12 @@ ROWS = {
     "Avianca OCCM": (["4 28 0 FUEL PUMP P1 S1 3-Jan-19 1,2 UNKNOWN", "ata28 P1 S1 FUEL PUMP 03.04.2019", "4 28 X1 P1 S1 3-Jan-19 1.2 3 x", "4 28 X1 P1 S1 3-Jan-19 x 3"], [("4", "28", "", "FUEL PUMP", "P1", "S1", "3-Jan-19", "1,2", "UNKNOWN"), ("", "28", "", "FUEL PUMP", "P1", "S1", "03.04.2019", "", ""), ("4", "28", "X1", "", "P1", "S1", "3-Jan-19", "1.2", "3")]),
     "Cathay OCCM": (["28 FUEL PUMP E1 P-1 S123 LH 1:00 2:00 3:00 4 5 6 3/04/2019", "28 PUMP E1 P-1 S-1 1:00 2:00 3:00 4 5 6 3-Jan-19", "28 E1 P-1 S123 LH 1:00 2:00 3:00 4 5 6 3-Jan-19"], [("28", "FUEL PUMP", "E1", "P-1", "S123", "LH", "1:00", "2:00", "3:00", "4", "5", "6", "3/04/2019"), ("28", "PUMP", "E1", "P-1", "S-1", "", "1:00", "2:00", "3:00", "4", "5", "6", "3-Jan-19")]),
     "Aircraft Inventory Report (MM_504)": (["28AB P1 S1 FUEL PUMP X:1 03-Jan-19 was new 1.5 x 10:20 y 3 4 5", "28 P1 S1 PUMP X1 03-04-2019", "28 P1 S1 X1 03-Jan-19 a b"], [("28AB", "P1", "S1", "FUEL PUMP", "X:1", "03-Jan-19", "was new", "1.5", "10:20", "3", "4"), ("28", "P1", "S1", "PUMP", "X1", "03-04-2019", "", "", "", "", "")]),
+    "OCCM Inventory (SAP-ES)": (["Ubicac. x", "ECABC -ATA28-11-A FUEL PUMP P-1:M1 S1 01/02/2019", "ECABC -ATA29 PUMP P-1:M1 01/02/2019", "ECABC ATA29 PUMP P-1:M1 01/02/2019"], [("28", "ATA28-11-A", "FUEL PUMP", "P-1", "M1", "S1", "01/02/2019"), ("29", "ATA29", "PUMP", "P-1", "M1", "", "01/02/2019")]),
+    "OCCM List (TAH/TAC at Install)": (["28 P1 S1 FUEL PUMP X1 3-Jan-19 1 2 3 4", "28 P1 S1 FUEL PUMP X1 See note 5 1 2 3 4", "28 P1 S1 X1 3-Jan-19 1 2 3 4", "28 P1 S1 PUMP X1 9 1 2 3 4"], [("28", "P1", "S1", "FUEL PUMP", "X1", "3-Jan-19", "1", "2", "3", "4"), ("28", "P1", "S1", "FUEL PUMP", "X1", "See note 5", "1", "2", "3", "4")]),
+    "OCCM List MSN (Dot-Dated, With Condition)": (["28 P1 S1 FUEL N PUMP OH LH WING 01.02.2019 1 2 3 4", "28 P1 S1 PUMP N 01.02.2019 x 1 2 3 4", "28 P1 S1 PUMP X 01.02.2019 1 2 3 4"], [("28", "P1", "S1", "FUEL N PUMP", "OH", "LH WING", "01.02.2019", "1", "2", "3", "4"), ("28", "P1", "S1", "PUMP", "N", "", "01.02.2019", "1", "2", "3", "4")]),
+    "OASES": (["241100 LH WING 12.5 P1 FUEL PUMP S1 3Jan2019 Days 1 2 3 4", "Hours x 5 6 7 8", "", "Landings 9 10 11 12", "Hours 0 0 0 0", "24110000 X1 100 P2 VALVE S2 13Jan2019 Days 1 2 3 ?", "Landings 1 2 3", "24110000 X1 P2 S2 13Jan2019 Days 1 2 3 ?"], [("241100", "LH WING", "12.5", "P1", "FUEL PUMP", "S1", "3Jan2019", "1", "2", "3", "4", "5", "6", "7", "8", "9", "10", "11", "12"), ("24110000", "X1", "100", "P2", "VALVE", "S2", "13Jan2019", "1", "2", "3", "?", "", "", "", "", "", "", "", "")]),
+    "Aircraft Rotables HT": (["ATA POSITION x", "28-11 X1 FUEL PUMP P1 S1 01.Jan.2010 03.Feb.2011 10 20 OVH 500 H 30 H 05.May.2020 09.Sep.2021", "28-11 X1 P1 S1 03.Feb.2011 10 20 none", "19-11 X1 PUMP P1 S1 03.Feb.2011 10 20 x y"], [("28", "X1", "FUEL PUMP", "P1", "S1", "01.Jan.2010", "03.Feb.2011", "10", "20", "OVH", "500 H", "30 H", "09.Sep.2021"), ("28", "X1", "", "P1", "S1", "", "03.Feb.2011", "10", "20", "none", "", "", "")]),
+    "Aircraft Spec File OCCM": (["P0 X1 01.02.2019 10:20 5", "28 FUEL P1-1 S1 PUMP LH X1 01.02.2019 10:20 5 end", "P2 S2 X2 01.02.2019 10:20:30 6", "29 P3 S3 X3 01.02.2019 1:00 7", "VALVE S4 X4 01.02.2019 1:00 8"], [("", "", "P0", "", "", "X1", "01.02.2019", "10:20", "5"), ("28", "FUEL", "P1-1", "S1", "PUMP LH", "X1", "01.02.2019", "10:20", "5"), ("28", "FUEL", "P2", "S2", "", "X2", "01.02.2019", "10:20:30", "6"), ("29", "", "P3", "S3", "", "X3", "01.02.2019", "1:00", "7"), ("29", "", "VALVE", "S4", "", "X4", "01.02.2019", "1:00", "8")]),
     "AMOS": (["21-22 AIR CONDITIONING see below", "P1 S1 FUEL PUMP 30HQ A/C DELIVERY / 24310 03.Jan.2019 10:20 5 trail", "P1 S1 FUEL PUMP NEW / 24310 3.Jan.2019 10 5", ",RAM AIR", "32 LANDING GEAR x", "P2 S2 VALVE 11HB X/1 END 3.Jan.2019 1 2", "P2 S2 VALVE X/1 3.Jan.2019 1 2", "P2 S2 NEW / 1 3.Jan.2019 1 2", "P2 S2 11HB REL / 1 3.Jan.2019 1 2", "P3 S3 VALVE 3.Jan.2019 1 2"], [("21-22", "P1", "S1", "FUEL PUMP", "30HQ", "A/C DELIVERY / 24310", "03.Jan.2019", "10:20", "5"), ("21-22", "P1", "S1", "FUEL PUMP,RAM AIR", "", "NEW / 24310", "3.Jan.2019", "10", "5"), ("32", "P2", "S2", "VALVE", "11HB", "X/1 END", "3.Jan.2019", "1", "2"), ("32", "P2", "S2", "VALVE", "", "X/1", "3.Jan.2019", "1", "2")]),
 }
 ALIASES = {"Iberia Listado HT": "Iberia Listado OCCM", "AMOS HT (Aircraft Equipment List Report)": "AMOS", "Remaining Potentials (HT)": "Remaining Potentials"}
