@@ -148,8 +148,8 @@ def chapter_rows(rows: DataFrame, chapter: str = "21") -> DataFrame:
 
 
 def seeded_sample(files: DataFrame, key: str, n: int = 10, seed: int = 7) -> DataFrame:
-    """A sampling operator: n files by hash, the same for the same seed."""
-    return files.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    """A sampling operator: n files by the digest of seed and key, the same for the same seed whatever engine takes it."""
+    return files.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))), key).limit(n)
 
 
 def without_trailing_hyphens(c: Column) -> Column:

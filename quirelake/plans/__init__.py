@@ -4,12 +4,12 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from quirelake.plans import catalogue, documents, events, facts, forms, grids, records, slots
+    from quirelake.plans import catalogue, documents, events, facts, forms, grids, records, reports, slots
 
-    return slots.QUERIES | records.QUERIES | documents.QUERIES | facts.QUERIES | forms.QUERIES | catalogue.QUERIES | grids.QUERIES | events.QUERIES
+    return slots.QUERIES | records.QUERIES | documents.QUERIES | facts.QUERIES | forms.QUERIES | catalogue.QUERIES | grids.QUERIES | events.QUERIES | reports.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from quirelake.plans import catalogue, documents, events, facts, forms, grids, records, slots
+    from quirelake.plans import catalogue, documents, events, facts, forms, grids, records, reports, slots
 
-    return slots.SQL | records.SQL | documents.SQL | facts.SQL | forms.SQL | catalogue.SQL | grids.SQL | events.SQL
+    return slots.SQL | records.SQL | documents.SQL | facts.SQL | forms.SQL | catalogue.SQL | grids.SQL | events.SQL | reports.SQL
