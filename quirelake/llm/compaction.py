@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import math
+import os
 import time
 import uuid
 from dataclasses import asdict, dataclass
@@ -103,33 +104,49 @@ class ShardStore:
             return []
         return [Shard(**s) for s in json.loads(self._text(version) or "")["shards"]]
 
-    def commit(self, base: int, shards: list[Shard]) -> bool:
-        """Makes shards the version after base; False if another writer has made one."""
-        fs, at = hadoop_fs(self.spark, self._manifest(base + 1))
-        if fs.exists(at) and self._text(base + 1) is None and time.time() - fs.getFileStatus(at).getModificationTime() / 1000 > DEAD:
-            fs.delete(at, False)
-        text = (json.dumps({"version": base + 1, "shards": [asdict(s) for s in shards]}) + WHOLE).encode()
-        if fs.getScheme() == "file":
-            # Hadoop's local file system looks and then creates, so two writers could both succeed
-            fs.mkdirs(at.getParent())
-            try:
-                with open(at.toUri().getPath(), "xb") as out:
-                    out.write(text)
-            except FileExistsError:
-                return False
-            return True
+    def _placed(self, path: str, text: bytes) -> bool:
+        """Puts a whole file in place, by one step that fails where there is one: a link on local file systems, elsewhere a
+        rename without overwriting, which HDFS does in one step."""
+        fs, at = hadoop_fs(self.spark, path)
+        _, staged = hadoop_fs(self.spark, f"{self.root}/staged-{uuid.uuid4().hex}")
+        fs.mkdirs(at.getParent())
+        out = fs.create(staged, False)
         try:
-            out = fs.create(at, False)
+            out.write(bytearray(text))
+        finally:
+            out.close()
+        try:
+            if fs.getScheme() == "file":
+                os.link(staged.toUri().getPath(), at.toUri().getPath())
+            else:
+                jvm = self.spark._jvm
+                none = self.spark._sc._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+                jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), self.spark._jsc.hadoopConfiguration()).rename(staged, at, none)
+        except FileExistsError:
+            return False
         except Py4JJavaError as e:
             if "AlreadyExists" in str(e.java_exception):
                 return False
             raise
-        try:
-            out.write(bytearray(text))
         finally:
-            out.close()
+            fs.delete(staged, False)
         return True
 
+    def commit(self, base: int, shards: list[Shard]) -> bool:
+        """Makes shards the version after base; False if another writer has made one.
+
+        Manifests appear whole, in one step. One that is not whole is of another writer that died; the one writer that can
+        place a mark beside it takes it away, and looks again before it does. The mark stays, so no version's manifest
+        is ever taken away twice. A store whose rename is no single step must not have two writers.
+        """
+        manifest = self._manifest(base + 1)
+        fs, at = hadoop_fs(self.spark, manifest)
+        if fs.exists(at) and self._text(base + 1) is None and time.time() - fs.getFileStatus(at).getModificationTime() / 1000 > DEAD:
+            if self._placed(f"{manifest}.dead", b"") and self._text(base + 1) is None:
+                fs.delete(at, False)
+        text = json.dumps({"version": base + 1, "shards": [asdict(s) for s in shards]}) + WHOLE
+        return self._placed(manifest, text.encode())
+
     def _changed(self, change) -> None:
         """Applies change to the newest list until it is committed."""
         pause = 0.05
@@ -181,10 +198,10 @@ class ShardStore:
         """Merges until no tier has a run to merge; returns the number of merges that were committed."""
         done = 0
         while runs := merges(self.shards(), self.target)[:AT_ONCE]:
-            folder = f"{self.root}/merged-{uuid.uuid4().hex}"
+            folder, number = f"{self.root}/merged-{uuid.uuid4().hex}", f"_merge_{uuid.uuid4().hex}"  # no rows have such a column
             try:
-                parts = [self._read(run).coalesce(1).withColumn("_merge", F.lit(i)) for i, run in enumerate(runs)]
-                reduce(DataFrame.union, parts).write.partitionBy("_merge").parquet(folder)
+                parts = [self._read(run).coalesce(1).withColumn(number, F.lit(i)) for i, run in enumerate(runs)]
+                reduce(DataFrame.union, parts).write.partitionBy(number).parquet(folder)
             except (PySparkException, Py4JJavaError):
                 if {s.name for run in runs for s in run} <= {s.name for s in self.shards()}:
                     raise
@@ -192,7 +209,7 @@ class ShardStore:
                 fs, at = hadoop_fs(self.spark, folder)
                 fs.delete(at, True)
                 continue
-            made = {i: self._adopted(f"{folder}/_merge={i}", min(s.first for s in run), max(s.last for s in run)) for i, run in enumerate(runs)}
+            made = {i: self._adopted(f"{folder}/{number}={i}", min(s.first for s in run), max(s.last for s in run)) for i, run in enumerate(runs)}
             kept: dict[int, list[Shard]] = {}
 
             def merged(old: list[Shard], runs=runs, made=made, kept=kept) -> list[Shard]:

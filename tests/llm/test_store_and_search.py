@@ -58,6 +58,10 @@ def test_a_manifest_that_is_not_whole_is_no_version(spark, tmp_path, monkeypatch
     assert store.version() == 1 and not store.commit(1, [])
     monkeypatch.setattr(compaction, "DEAD", -1)
     assert store.commit(1, store.shards()) and store.version() == 2 and store.read().count() == 5
+    assert not store.commit(1, []) and store.read().count() == 5, "a whole manifest is never taken away"
+    (tmp_path / "store/manifests/v00000003.json").write_text("{")
+    assert store._placed(f"{store._manifest(3)}.dead", b""), "another writer is about to take it away"
+    assert not store.commit(2, []) and not list(tmp_path.glob("store/staged-*"))
 
 
 def test_a_compaction_leaves_a_rival_s_merge(spark, tmp_path, monkeypatch):
@@ -160,3 +164,11 @@ def test_same_as_sql(spark, name):
     df, there = queries.QUERIES[name](spark, SF), con.sql(queries.ORACLE_SQL[name])
     assert sorted(df.columns) == sorted(there.columns)
     assert sorted(repr(tuple(r)) for r in df.collect()) == sorted(repr(r) for r in there.select(*df.columns).fetchall())
+
+
+def test_rows_with_the_merges_own_column_keep_it(spark, tmp_path):
+    store = compaction.ShardStore(spark, f"file://{tmp_path}/store", 1 << 20)
+    for day in range(6):
+        store.append(spark.createDataFrame([(day, f"m{day}")], "arrival int, _merge string"), "arrival")
+    store.compact()
+    assert sorted(r["_merge"] for r in store.read().collect()) == [f"m{d}" for d in range(6)] and len(store.shards()) < 6
