@@ -17,7 +17,7 @@ PRINTED: dict[str, tuple[str, tuple[str, ...], str]] = {
     "Aircraft Components List": ("AIRCRAFT COMPONENTS LIST", ("{ch}31 {pos} {words} {pn}", "{ch}31 {pos} {pn}"), ""),
     "Vietnam Airlines": ("Plan of aircraft  component replacement", ("{words} {pn} {sn} A321 {dmy} {dmy} LIFE {words} OK", "{pn} {sn} A321 {dmy} {dmy} X OK"), ""),
     "e.MES Hard Time Component Status": ("T/C # TASK HT", ("{ch}-11-ESR OVH LRU {pn} {sn} {words} 1,200 - {iso} {n}", "{ch}-11 OVH LRU {pn} {sn} {words} 12"), ""),
-    "Aircraft Rotables Report": ("Aircraft Rotables Report", ("{ch}-31 {pos} {words} {pn} {sn} {dotted} {dotted} {n} 7", "{ch}-31 {pos} {words} {pn} {sn} {dotted} {n} 7"), ""),
+    "Aircraft Rotables Report": ("OCCM: Aircraft Rotables Report", ("{ch}-31 {pos} {words} {pn} {sn} {dotted} {dotted} {n} 7", "{ch}-31 {pos} {words} {pn} {sn} {dotted} {n} 7"), ""),
     "OCCM Status (IGO)": ("ATA PART NO. SERIAL NO. DESCRIPTION POSITION INST‐DATE TSN CSN TSI CSI", ("{ch} {pn} {sn} {words} {pos} {dmy} {n} 2 3 4", "{ch} {pn} {sn} {pos} {dmy} {n} 2 3 4"), ""),
     "Iberia Listado OCCM": ("LISTADODE EQUIPOS INSTALADOS", ("{ch}-31 {pos} {words} {pn} {sn} {slashed} {slashed} 10:20 {n}", "{ch}-31 {pos} {words} {pn} {sn}"), ""),
     "A330 Engineering Planning OCCM": ("ENGINEERING & PLANNING", ("{ch} 100 F1 {words} {pn} {sn} {dmy} {n} 2 3 4 5 6 end", "{ch} 100 F1 {pn} {sn} {dmy} {n} 2 3 4 5 6"), ""),
@@ -27,21 +27,35 @@ PRINTED: dict[str, tuple[str, tuple[str, ...], str]] = {
 _WORDS = ("FUEL PUMP", "VALVE", "LH WING  TANK")
 
 
-def _holds() -> dict[str, tuple[Column, str]]:
+#: What a printed row may hold, in SQL; `_columns` says the same of lineitem's columns.
+_SQL = {
+    "pn": "'P' || l_partkey || '-' || l_linenumber",
+    "sn": "'S' || l_suppkey",
+    "ch": "CAST(l_partkey % 64 + 20 AS VARCHAR)",
+    "pos": "'X' || (l_suppkey % 90 + 10)",
+    "n": "CAST(CAST(l_quantity AS INTEGER) AS VARCHAR)",
+    "words": "[" + ", ".join(f"'{w}'" for w in _WORDS) + "][l_partkey % 3 + 1]",
+    "iso": "strftime(l_shipdate, '%Y-%m-%d')",
+    "dmy": "strftime(l_shipdate, '%-d-%b-%y')",
+    "dotted": "strftime(l_shipdate, '%d.%b.%Y')",
+    "slashed": "strftime(l_shipdate, '%d/%m/%Y')",
+}
+
+
+def _columns() -> dict[str, Column]:
     text = lambda c: c.cast("string")
-    day = lambda java, c, case=lambda x: x: (case(F.date_format("l_shipdate", java)), f"strftime(l_shipdate, '{c}')")
-    which = F.element_at(F.array(*[F.lit(w) for w in _WORDS]), (F.pmod("l_partkey", F.lit(3)) + 1).cast("int"))
+    day = lambda form: F.date_format("l_shipdate", form)
     return {
-        "pn": (F.concat(F.lit("P"), text(F.col("l_partkey")), F.lit("-"), text(F.col("l_linenumber"))), "'P' || l_partkey || '-' || l_linenumber"),
-        "sn": (F.concat(F.lit("S"), text(F.col("l_suppkey"))), "'S' || l_suppkey"),
-        "ch": (text(F.col("l_partkey") % 64 + 20), "CAST(l_partkey % 64 + 20 AS VARCHAR)"),
-        "pos": (F.concat(F.lit("X"), text(F.col("l_suppkey") % 90 + 10)), "'X' || (l_suppkey % 90 + 10)"),
-        "n": (text(F.col("l_quantity").cast("int")), "CAST(CAST(l_quantity AS INTEGER) AS VARCHAR)"),
-        "words": (which, "[" + ", ".join(f"'{w}'" for w in _WORDS) + "][l_partkey % 3 + 1]"),
-        "iso": day("yyyy-MM-dd", "%Y-%m-%d"),
-        "dmy": day("d-MMM-yy", "%-d-%b-%y"),
-        "dotted": day("dd.MMM.yyyy", "%d.%b.%Y"),
-        "slashed": day("dd/MM/yyyy", "%d/%m/%Y"),
+        "pn": F.concat(F.lit("P"), text(F.col("l_partkey")), F.lit("-"), text(F.col("l_linenumber"))),
+        "sn": F.concat(F.lit("S"), text(F.col("l_suppkey"))),
+        "ch": text(F.col("l_partkey") % 64 + 20),
+        "pos": F.concat(F.lit("X"), text(F.col("l_suppkey") % 90 + 10)),
+        "n": text(F.col("l_quantity").cast("int")),
+        "words": F.element_at(F.array(*[F.lit(w) for w in _WORDS]), (F.pmod("l_partkey", F.lit(3)) + 1).cast("int")),
+        "iso": day("yyyy-MM-dd"),
+        "dmy": day("d-MMM-yy"),
+        "dotted": day("dd.MMM.yyyy"),
+        "slashed": day("dd/MM/yyyy"),
     }
 
 
@@ -59,9 +73,9 @@ PAD = "." * 100
 
 def printed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text): each order as a document of one of the formats, or of none."""
-    holds = _holds()
+    holds = _columns()
     k = F.pmod("l_orderkey", F.lit(len(PRINTED) + 1))
-    row = lambda t: F.concat(*[holds[x][0] if named else F.lit(x) for named, x in _pieces(t)])
+    row = lambda t: F.concat(*[holds[x] if named else F.lit(x) for named, x in _pieces(t)])
     own = reduce(lambda c, x: c.when(k == x[0], F.when(F.col("l_linenumber") % 2 == 1, row(x[1][1][0])).otherwise(row(x[1][1][1]))), enumerate(PRINTED.values()), F.when(F.lit(False), ""))
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.coalesce(own, F.lit("a row of no format")).alias("line"))
     heads = F.element_at(F.array(*[F.lit(f"{h}\n{PAD}\n{b}") for h, _, b in PRINTED.values()], F.lit(f"nothing known\n{PAD}\n")), (k + 1).cast("int"))
@@ -87,9 +101,8 @@ QUERIES = {f.__name__: f for f in (format_routes, format_records)}
 
 
 def _sql_printed() -> str:
-    holds = _holds()
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    row = lambda t: " || ".join(holds[x][1] if named else quoted(x) for named, x in _pieces(t))
+    row = lambda t: " || ".join(_SQL[x] if named else quoted(x) for named, x in _pieces(t))
     k = f"l_orderkey % {len(PRINTED) + 1}"
     rows = " ".join(f"WHEN {i} THEN CASE WHEN l_linenumber % 2 = 1 THEN {row(a)} ELSE {row(b)} END" for i, (_, (a, b), _) in enumerate(PRINTED.values()))
     heads = " ".join(f"WHEN {i} THEN {quoted(h)} || chr(10) || '{PAD}' || chr(10) || {quoted(b)}" for i, (h, _, b) in enumerate(PRINTED.values()))
