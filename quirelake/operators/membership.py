@@ -110,6 +110,17 @@ def maybe_known(c: Column, bloom: Bloom) -> Column:
     return test(c)
 
 
+def confirmed(df: DataFrame, column: str, bloom: Bloom, master: DataFrame, into: str = "_known") -> DataFrame:
+    """df with a boolean as `known` gives it: what the filter denies is not there, what it may know is looked up in master.
+
+    master (value): the normalised values that the filter was built of.
+    """
+    own = master.select(F.col("value").alias("_value"), F.lit(True).alias("_hit")).distinct()
+    told = df.withColumn("_maybe", maybe_known(F.col(column), bloom))
+    joined = told.join(own, (normal(F.col(column)) == F.col("_value")) & F.col("_maybe"), "left")
+    return joined.withColumn(into, F.when(F.col("_maybe"), F.coalesce("_hit", F.lit(False))).otherwise(F.col("_maybe"))).drop("_value", "_hit", "_maybe")
+
+
 def first_hash(c: Column) -> Column:
     """The first 64 bits of a value's SHA-256 as a decimal, with built-in functions."""
     return F.conv(F.left(F.sha2(c, 256), F.lit(16)), 16, 10).cast("decimal(38,0)")

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from quirelake.operators import membership
 from quirelake.plans import records
 
 
@@ -25,3 +26,14 @@ def test_pairs_of_a_large_nation_are_counted_not_made(spark, tables):
     rows = records.pair_ladder(spark, tables(customer=customer, supplier=supplier)).collect()
     assert sum(r["pairs"] for r in rows) == n * n
     assert sum(r["pairs"] for r in rows if r["status"] == "manual_override") == n // 50 * n
+
+
+def test_a_filters_yes_is_looked_up(spark):
+    values = spark.range(400).select(F.concat(F.lit("pn"), F.col("id").cast("string")).alias("v"), (F.col("id") < 200).alias("listed"))
+    blank = spark.createDataFrame([(" ", None), (None, None)], "v string, listed boolean")
+    master = membership.master_values(values.filter("listed"), ["v"])
+    bloom = membership.build_bloom(master, 0.5)
+    alone = values.select("listed", membership.maybe_known(F.col("v"), bloom).alias("maybe"))
+    assert alone.filter("maybe and not listed").count() > 0
+    told = membership.confirmed(values.unionByName(blank), "v", bloom, master, "maybe")
+    assert told.count() == 402 and told.filter("not (maybe <=> listed)").count() == 0
