@@ -12,6 +12,13 @@ from pyspark.sql import functions as F
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 # The dashes that count as one.
 DASHES = "‐‑‒–—−"
+# Letters whose capital is several letters, and one letter that stands for each: its own, or itself.
+_WIDE = "".join(c for c in map(chr, range(0xFB20)) if len(c.upper()) > 1)
+_NARROW = "".join("ẞ" if c == "ß" else c.title() if len(c.title()) == 1 else c for c in _WIDE)
+#: Ranges that hold all of these but ß.
+_RARE = "[\\u0149\\u01f0\\u0390\\u03b0\\u0587\\u1e96-\\u1e9a\\u1f50-\\u1fff\\ufb00-\\ufb1f]"
+#: Private characters that stand for these while the others are put in capitals.
+_HELD = "".join(chr(0x10FF00 + i) for i in range(len(_WIDE)))
 
 
 def blank(c: Column) -> Column:
@@ -36,6 +43,21 @@ def without_spaces(c: Column) -> Column:
     return F.regexp_replace(blank(c), r"(?U)\s+", "")
 
 
+def capitals(c: Column, of: Column | None = None) -> Column:
+    """A text in capitals, a letter for each letter, as SQL's upper has it: ß is ẞ, never two letters that other words hold.
+
+    of: the text that c is made of, which is searched in its place for letters that need care.
+    """
+    plain = F.replace(c, F.lit("ß"), F.lit("ẞ"))
+    held = F.translate(F.upper(F.translate(plain, _WIDE, _HELD)), _HELD, _NARROW)
+    return F.when((c if of is None else of).rlike(_RARE), held).otherwise(F.upper(plain))
+
+
+def capital(text: str) -> str:
+    """`capitals` of a text in Python."""
+    return "".join(_NARROW[_WIDE.index(c)] if c in _WIDE else c.upper() for c in text)
+
+
 def undoubled(c: Column) -> Column:
     """Characters that a broken font printed twice, once: pairs from the left."""
     return F.regexp_replace(c, r"(.)\1", "$1")

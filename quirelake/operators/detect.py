@@ -9,7 +9,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirelake.functions.text import collapse, without_spaces
+from quirelake.functions.text import capital, capitals, collapse, without_spaces
 
 #: Characters that a signature without its blanks must have to count.
 LEAST_WITHOUT_SPACES = 8
@@ -20,7 +20,7 @@ SHEETS = ("LLP", "HT", "OCCM")
 
 
 def head(text: Column) -> Column:
-    return F.upper(collapse(text))
+    return capitals(collapse(text), text)
 
 
 def _listed(signatures: DataFrame, *columns: Column) -> list:
@@ -64,7 +64,7 @@ def match_signatures(docs: DataFrame, signatures: DataFrame, key: str, text: str
     count together. All signatures are found in one pass over a text, by one expression of a tree of them.
     """
     spark = docs.sparkSession
-    s, s2 = F.upper("signature").alias("s"), F.upper(without_spaces(F.col("signature"))).alias("s2")
+    s, s2 = capitals(F.col("signature")).alias("s"), capitals(without_spaces(F.col("signature"))).alias("s2")
     dim = sorted((r for r in _listed(signatures.dropna(subset=["signature"]), "priority", "variant", s, s2)), key=lambda r: (r["priority"], r["variant"]))
     first: dict[str, int] = {}
     squeezed: dict[str, int] = {}
@@ -80,7 +80,7 @@ def match_signatures(docs: DataFrame, signatures: DataFrame, key: str, text: str
     told = docs.filter(F.col(text).isNotNull()).select(key, _found(head(F.col(text)), list(first)).alias("_one"), text)
     literal = (F.size("_one") > 0) | F.lit(always is not None)
     # without blanks only where nothing is found literally
-    told = told.select(key, F.when(literal, 1).otherwise(2).alias("pass"), F.when(literal, F.col("_one")).otherwise(_found(F.upper(without_spaces(F.col(text))), list(squeezed))).alias("words"))
+    told = told.select(key, F.when(literal, 1).otherwise(2).alias("pass"), F.when(literal, F.col("_one")).otherwise(_found(capitals(without_spaces(F.col(text)), F.col(text)), list(squeezed))).alias("words"))
     ranked = told.select(key, "pass", F.explode("words").alias("word")).join(table, ["pass", "word"]).select(key, "pass", "rank")
     if always is not None:
         ranked = ranked.unionByName(told.select(key, F.lit(1).alias("pass"), F.lit(always).alias("rank")))
@@ -95,7 +95,7 @@ def near_misses(docs: DataFrame, signatures: DataFrame, key: str, text: str, mos
     are found in one pass over a text.
     """
     spark = docs.sparkSession
-    words = F.filter(F.split(F.upper(collapse(F.col("signature"))), " "), lambda w: w != "")
+    words = F.filter(F.split(head(F.col("signature")), " "), lambda w: w != "")
     dim = [(r["variant"], r["words"]) for r in _listed(signatures, "variant", words.alias("words")) if r["words"] and len(r["words"]) >= 2]
     of: dict[str, list[int]] = {}
     for i, (_, own) in enumerate(dim):
@@ -115,12 +115,12 @@ def near_misses(docs: DataFrame, signatures: DataFrame, key: str, text: str, mos
 
 def sheet_type(text: Column, signatures: dict[str, list[str]]) -> Column:
     """The first sheet, by priority, of which a text has a signature; literally first, then without blanks; else Unknown."""
-    h, h2 = head(text), F.upper(without_spaces(text))
+    h, h2 = head(text), capitals(without_spaces(text), text)
     found = []
     for squeezed in (False, True):
         for sheet in SHEETS:
             for s in signatures.get(sheet, ()):
-                own = "".join(s.upper().split()) if squeezed else s.upper()
+                own = "".join(capital(s).split()) if squeezed else capital(s)
                 if not squeezed or len(own) >= LEAST_WITHOUT_SPACES:
                     found.append(F.when(F.contains(h2 if squeezed else h, F.lit(own)), sheet))
     return F.coalesce(*found, F.lit("Unknown"))

@@ -2,8 +2,9 @@
 
 import random
 
+from pyspark.sql import functions as F
 
-
+from quirelake.functions import text
 from quirelake.operators import detect, quality
 
 
@@ -66,3 +67,21 @@ def test_profile_by_places(spark):
         n = len(own)
         assert (r["n"], r["median"], r["p95"], r["largest"], r["total"]) == (n, (own[(n - 1) // 2] + own[n // 2]) / 2, own[int(0.95 * n)], own[-1], sum(own))
         assert abs(r["mean"] - sum(own) / n) < 1e-9
+
+
+def test_capitals_are_a_letter_for_a_letter(spark):
+    wide = [chr(i) for i in range(1, 0x1FFFF) if not 0xD800 <= i <= 0xDFFF and len(chr(i).upper()) > 1]
+    texts = ["", "straße", "aŉbﬁcᾳd é", "ẞ", *wide]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(3).orderBy("i").select(text.capitals(F.col("t"))).collect()]
+    assert got == [text.capital(t) for t in texts]
+    assert got[:4] == ["", "STRAẞE", "AŉBﬁCᾼD É", "ẞ"] and all(len(g) == 1 for g in got[4:])
+
+
+def test_sharp_s_is_not_two_letters(spark):
+    """Words and signatures of SS, as the SQL sees them: not in ß, whose capital is a letter of its own."""
+    d = spark.createDataFrame([(1, "ßh es it"), (2, "sh es it"), (3, "maße der liste")], "k long, t string")
+    s = spark.createDataFrame([("V1", 1, "Sh onst, es it"), ("V2", 2, "sse der"), ("V3", 3, "ße d e f"), ("V4", 4, "Maße der")], "variant string, priority int, signature string")
+    assert {(r["k"], r["variant"]): r["ratio"] for r in detect.near_misses(d, s.limit(1), "k", "t").collect()} == {(2, "V1"): 0.75}
+    assert [(r["k"], r["variant"], r["pass"]) for r in detect.match_signatures(d, s, "k", "t").collect()] == [(3, "V4", 1)]
+    told = d.select("k", detect.sheet_type(F.col("t"), {"HT": ["ss"], "OCCM": ["maße"]}).alias("s")).orderBy("k").collect()
+    assert [r["s"] for r in told] == ["Unknown", "Unknown", "OCCM"]
