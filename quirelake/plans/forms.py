@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirelake.operators import forms, layout
-from quirelake.sources.tables import table
+from quirelake.sources.tables import spread, table
 
 FITTED = forms.TokenLayout(
     name="fitted parts around the date of installation",
@@ -38,7 +38,7 @@ def _day() -> Column:
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order's rows, numbered anew: line numbers repeat."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
-    return table(spark, sf_dir, "lineitem").withColumn("row", F.row_number().over(w))
+    return spread(spark, sf_dir, "lineitem", "l_orderkey").withColumn("row", F.row_number().over(w))
 
 
 def _numbered(spark: SparkSession, sf_dir: str, *lines: Column) -> DataFrame:

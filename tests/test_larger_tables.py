@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quirelake.operators import membership
 from quirelake.plans import records
+from quirelake.sources import tables as sources
 
 
 @pytest.fixture
@@ -37,3 +38,12 @@ def test_a_filters_yes_is_looked_up(spark):
     assert alone.filter("maybe and not listed").count() > 0
     told = membership.confirmed(values.unionByName(blank), "v", bloom, master, "maybe")
     assert told.count() == 402 and told.filter("not (maybe <=> listed)").count() == 0
+
+
+def test_parts_follow_the_size_of_the_files(spark, tables, monkeypatch):
+    at = tables(lineitem=spark.range(5000).select(F.col("id").alias("l_orderkey")).repartition(3))
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sources.spread(spark, at, "lineitem", "l_orderkey").rdd.getNumPartitions() == most
+    monkeypatch.setattr(sources, "PART", 500)
+    dealt = sources.spread(spark, at, "lineitem", "l_orderkey")
+    assert dealt.rdd.getNumPartitions() > 2 * most and dealt.count() == 5000
