@@ -93,31 +93,39 @@ class LineLayout:
 
 
 def extract(lines: DataFrame, layout: LineLayout, doc: str = "doc_id") -> DataFrame:
-    """(doc, line_no, columns): the records of documents' lines (doc, line_no, line). Every value is text."""
+    """(doc, line_no, columns): the records of documents' lines (doc, line_no, line). Every value is text.
+
+    Lines are dealt by document once; what surrounds a row is found by windows and groups within that.
+    """
     line = F.col("line")
-    rows = lines.filter(~line.rlike(layout.skip)) if layout.skip else lines
+    rows, heads = lines, {}
+    if layout.header:
+        found = {c: F.min_by(F.regexp_extract("line", p, 1), F.when(line.rlike(p), F.col("line_no"))) for c, p in layout.header.items()}
+        heads = {c: f"_head_{c}" for c in layout.header}
+        rows = rows.withColumns({heads[c]: F.coalesce(value.over(Window.partitionBy(doc)), F.lit("")) for c, value in found.items()})
+    rows = rows.filter(~line.rlike(layout.skip)) if layout.skip else rows
     shapes = []
     for pattern, names in layout.branches:
         fields = [F.regexp_extract(line, pattern, names.index(c) + 1).alias(c) if c in names else F.lit("").alias(c) for c in layout.columns]
         shapes.append(F.when(line.rlike(pattern), F.struct(*fields)))
     rows = rows.withColumn("_record", F.coalesce(*shapes))
+    around = ["line_no", "_record", *heads.values()]
     if layout.section:
         heading = F.nullif(F.regexp_extract(line, layout.section, 1), F.lit(""))
         rows = rows.withColumn("_section", carried(heading, [doc], ["line_no"]))
+        around.append("_section")
     if layout.continuation:
         pattern, column = layout.continuation
-        anchored = rows.withColumn("_no", island(F.col("_record").isNotNull(), [doc], ["line_no"]))
-        more = anchored.filter(F.col("_record").isNull() & line.rlike(pattern)).groupBy(doc, "_no")
-        tails = more.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.trim(line).alias("t")))), lambda p: p["t"]), " ").alias("_tail"))
-        rows = anchored.filter("_record is not null").join(tails, [doc, "_no"], "left")
+        here = F.col("_record").isNotNull()
+        more = ~here & line.rlike(pattern)
+        runs = rows.withColumn("_no", island(here, [doc], ["line_no"])).filter(here | more).groupBy(doc, "_no")
+        gathered = runs.agg(F.first(F.when(here, F.struct(*around)), ignorenulls=True).alias("_r"), F.array_sort(F.collect_list(F.when(more, F.struct("line_no", F.trim(line).alias("t"))))).alias("_tail"))
+        rows = gathered.filter("_r is not null").select(doc, "_r.*", F.when(F.size("_tail") > 0, F.array_join(F.transform("_tail", lambda p: p["t"]), " ")).alias("_tail"))
         extra = {column: F.trim(F.concat_ws(" ", F.col(f"_record.{column}"), F.col("_tail")))}
     else:
         rows, extra = rows.filter("_record is not null"), {}
     if layout.section:
         extra[layout.section_column] = F.coalesce(F.nullif(F.col(f"_record.{layout.section_column}") if layout.section_column in layout.columns else F.lit(""), F.lit("")), F.col("_section"), F.lit(""))
     names = [*layout.columns, *[c for c in extra if c not in layout.columns]]
-    out = rows.select(doc, "line_no", *[extra.get(c, F.col(f"_record.{c}") if c in layout.columns else None).alias(c) for c in names])
-    if layout.header:
-        heads = lines.groupBy(doc).agg(*[F.coalesce(F.min_by(F.regexp_extract("line", p, 1), F.when(F.col("line").rlike(p), F.col("line_no"))), F.lit("")).alias(c) for c, p in layout.header.items()])
-        out = out.join(heads, doc, "left")
-    return out
+    told = [extra.get(c, F.col(f"_record.{c}") if c in layout.columns else None).alias(c) for c in names]
+    return rows.select(doc, "line_no", *told, *[F.col(h).alias(c) for c, h in heads.items()])
