@@ -35,10 +35,10 @@ def offset_record(lines: DataFrame, group: list[str], order: str, anchor: str, f
 
 def row_islands(words: DataFrame, page: list[str], top: str = "top", left: str = "left", height: str = "height", factor: float = 0.7) -> DataFrame:
     """Words with `row`, the number of their line: a new one where the top jumps by more than factor of the median height."""
-    median = words.groupBy(*page).agg(F.percentile(height, 0.5).alias("_median"))
+    median = F.percentile(height, 0.5).over(Window.partitionBy(*page))
     w = Window.partitionBy(*page).orderBy(top, left)
     jump = F.abs(F.col(top) - F.lag(top).over(w)) > factor * F.col("_median")
-    marked = words.join(median, page).withColumn("_jump", F.coalesce(jump, F.lit(False)))
+    marked = words.dropna(subset=page).withColumn("_median", median).withColumn("_jump", F.coalesce(jump, F.lit(False)))
     return marked.withColumn("row", island(F.col("_jump"), page, [top, left])).drop("_median", "_jump")
 
 

@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quirelake.operators import membership
-from quirelake.plans import records
+from quirelake.operators import layout, membership
+from quirelake.plans import documents, records
 from quirelake.sources import tables as sources
 
 
@@ -47,3 +47,17 @@ def test_parts_follow_the_size_of_the_files(spark, tables, monkeypatch):
     monkeypatch.setattr(sources, "PART", 500)
     dealt = sources.spread(spark, at, "lineitem", "l_orderkey")
     assert dealt.rdd.getNumPartitions() > 2 * most and dealt.count() == 5000
+
+
+def test_lines_and_words_are_not_joined_with_themselves(spark):
+    text = ["REG: VP-1", "21 PN-9", "wrapped one", "wrapped two", "ATA 32 GEAR", "PN only", "Page 1", "wrapped after a foot", "REG: VP-2"]
+    lines = spark.createDataFrame([(1, i, t) for i, t in enumerate(text)] + [(2, 0, "wrapped alone"), (2, 1, "22 PN-8")], "doc_id long, line_no long, line string")
+    found = layout.extract(lines, documents.PRINTED)
+    assert sorted(map(tuple, found.select("doc_id", "line_no", "NO", "PART", "NOTE", "ATA", "REG").collect())) == [
+        (1, 1, "21", "PN-9", "wrapped one wrapped two", "", "VP-1"), (1, 5, "", "PN", "wrapped after a foot", "32", "VP-1"), (2, 1, "22", "PN-8", "", "", ""),
+    ]
+    words = spark.createDataFrame([("p", 1.0, 0.0, 10.0), ("p", 30.0, 0.0, 10.0), (None, 1.0, 0.0, 10.0)], "page string, top double, left double, height double")
+    rows = layout.row_islands(words, ["page"])
+    assert [r["row"] for r in rows.orderBy("top").collect()] == [0, 1]
+    for df in (found, rows):
+        assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
