@@ -27,6 +27,12 @@ def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def _told(df: DataFrame, **values: Column) -> DataFrame:
+    """df with values that no optimiser writes out again where they are used: a generator's only row."""
+    one = F.explode_outer(F.array(F.struct(*[v.alias(k) for k, v in values.items()]))).alias("_told")
+    return df.select("*", one).select("*", "_told.*").drop("_told")
+
+
 def page_lines(words: DataFrame, page: list[str]) -> DataFrame:
     """(page, row, words): each line's words from left to right, an array of (left, center, text)."""
     placed = words.select(*page, *WORDS).dropna(subset=[*WORDS]).filter(F.trim("text") != "")
@@ -146,13 +152,20 @@ def page_grids(rules: DataFrame, page: list[str]) -> DataFrame:
     return grouped.select(*page, lines("v").alias("xs"), lines("h").alias("ys"), "v", "h")
 
 
-def _drawn(pieces: Column, at: Column, low: Column, high: Column) -> Column:
+def _drawn(pieces: Column, low: Column, high: Column) -> Column:
     """Whether rules near a line cover enough of one side of a cell."""
-    near = F.filter(pieces, lambda p: F.abs(p["at"] - at) <= OFF)
-    over = F.transform(near, lambda p: F.greatest(F.lit(0.0), F.least(p["high"], high) - F.greatest(p["low"], low)))
+    over = F.transform(pieces, lambda p: F.greatest(F.lit(0.0), F.least(p["high"], high) - F.greatest(p["low"], low)))
     return F.aggregate(over, F.lit(0.0), lambda a, b: a + b) >= COVERED * (high - low)
 
 
+def _borders(pieces: Column, lines: Column, across: Column) -> Column:
+    """Of each line, and each interval of the lines across it, whether it is drawn there."""
+    spans = F.arrays_zip(F.slice(across, 1, F.greatest(F.size(across) - 1, F.lit(0))).alias("low"), F.slice(across, 2, F.greatest(F.size(across) - 1, F.lit(0))).alias("high"))
+    near = lambda at: F.filter(pieces, lambda p: F.abs(p["at"] - at) <= OFF)
+    sides = lambda own: F.transform(spans, lambda s: _drawn(own, s["low"].cast("double"), s["high"].cast("double")))
+    return F.transform(lines, lambda at: _let(near(at.cast("double")), sides))
+
+
 def grid_cells(words: DataFrame, rules: DataFrame, page: list[str]) -> DataFrame:
     """(page, row, col, row_span, col_span, text) of each cell with words: where its first row and column are, from 0.
 
@@ -160,17 +173,18 @@ def grid_cells(words: DataFrame, rules: DataFrame, page: list[str]) -> DataFrame
     cell goes on: it is the cell of the last one before it, up to which there is none, first to the left, then upward.
     Words outside of the lines belong to no cell. Texts go by the words' lines, then from left to right.
     """
-    held = words.select(*page, *WORDS).dropna(subset=[*WORDS]).filter(F.trim("text") != "").join(page_grids(rules, page), page)
+    # a page's borders are told once, not once a word
+    grids = _told(page_grids(rules, page), upright=_borders(F.col("v"), F.col("xs"), F.col("ys")), level=_borders(F.col("h"), F.col("ys"), F.col("xs"))).drop("v", "h")
+    held = words.select(*page, *WORDS).dropna(subset=[*WORDS]).filter(F.trim("text") != "").join(grids, page)
     x, y = F.col("left") + F.col("width") / 2, F.col("top") + F.col("height") / 2
     at = lambda lines, p: F.size(F.filter(lines, lambda q: q <= p)) - 1
-    held = held.withColumns({"_c": at("xs", x), "_r": at("ys", y)})
+    held = _told(held, _c=at("xs", x), _r=at("ys", y))
     held = held.filter((F.col("_c") >= 0) & (F.col("_c") < F.size("xs") - 1) & (F.col("_r") >= 0) & (F.col("_r") < F.size("ys") - 1))
-    of = lambda lines, i: F.get(lines, i).cast("double")
-    upright = lambda c, r: _drawn(F.col("v"), of("xs", c), of("ys", r), of("ys", r + 1))
-    level = lambda r, c: _drawn(F.col("h"), of("ys", r), of("xs", c), of("xs", c + 1))
+    upright = lambda c, r: F.get(F.get("upright", c), r)
+    level = lambda r, c: F.get(F.get("level", r), c)
     lead = lambda upto, border: F.array_max(F.filter(F.sequence(F.lit(0), upto), lambda i: (i == 0) | border(i)))
-    held = held.withColumn("col", lead(F.col("_c"), lambda i: upright(i, F.col("_r"))))
-    held = held.withColumn("row", lead(F.col("_r"), lambda i: level(i, F.col("col"))))
+    held = _told(held, col=lead(F.col("_c"), lambda i: upright(i, F.col("_r"))))
+    held = _told(held, row=lead(F.col("_r"), lambda i: level(i, F.col("col"))))
     n_rows, n_cols = F.size("ys") - 1, F.size("xs") - 1
     ends = lambda first, n, border: F.array_min(F.filter(F.sequence(first + 1, n), lambda i: (i == n) | border(i))) - first
     held = held.withColumn("col_span", ends(F.col("col"), n_cols, lambda i: upright(i, F.col("row"))))
