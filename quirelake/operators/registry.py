@@ -171,8 +171,6 @@ class Registry:
         head's aircraft, literally, then without blanks.
         """
         heads = docs.withColumn("_h", F.upper(collapse(blank(F.col(text))))).withColumn("_q", F.upper(without_spaces(F.col("_h"))))
-        filtered = any(f.aircraft for f in self.formats)
-        heads = heads.withColumn("_f", short_family(blank(F.col(text))) if filtered else F.lit(""))
 
         def literal(signatures: tuple[str, ...]) -> Column:
             return _any([F.contains(F.col("_h"), F.lit(" ".join(s.upper().split()))) for s in signatures])
@@ -180,6 +178,10 @@ class Registry:
         def squeezed(signatures: tuple[str, ...]) -> Column:
             return _any([F.contains(F.col("_q"), F.lit(_squeezed(s))) for s in signatures if len(_squeezed(s)) >= LEAST_WITHOUT_SPACES])
 
+        # an aircraft is looked for only where a format that wants one has a signature
+        wanting = tuple(s for f in self.formats if f.aircraft for s in f.signatures)
+        heads = heads.withColumn("_f", F.when(literal(wanting) | squeezed(wanting), short_family(blank(F.col(text)))).otherwise("") if wanting else F.lit(""))
+
         def fits(f: Format) -> Column:
             return F.lit(True) if f.aircraft is None else (F.col("_f") == "") | F.col("_f").rlike(f.aircraft)
 
