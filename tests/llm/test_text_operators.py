@@ -459,3 +459,18 @@ def test_added_secrets_against_plain_matches(spark):
         want = [(m.start(), order.index(k), m.end(), k, True) for k, (p, ok) in SECRETS.items() for m in re.finditer(p, text) if ok(m)]
         want += [(m.start(), order.index(k), m.end(), k, False) for k, p in ADDED.items() for m in re.finditer(p, text)]
         assert got[i] == [(k, s, e, b) for s, _, e, k, b in sorted(want)], text
+
+
+def test_toxicity_hears_words_that_tell_little(spark):
+    """No word is twice as frequent in one class as in the other, less than the margin; all words together tell the classes apart."""
+    rng, rows = random.Random(9), []
+    words = [f"w{i}" for i in range(400)]
+    for i in range(1600):
+        toxic = i % 4 == 0
+        rows.append((i, " ".join(rng.choices(words, [3 if (w % 2 == 0) == toxic else 2 for w in range(400)], k=120)), int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model, _ = kneser_ney.train(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    assert all(model.ratio(kneser_ney.words_of([t])[0]) == 0 for _, t, _ in rows)
+    got = kneser_ney.toxicity(docs.select("doc_id", "text"), docs.select("doc_id", "toxic")).filter("held_out").join(docs, "doc_id").collect()
+    toxic, other = ([r["score"] for r in got if r["toxic"] == c] for c in (1, 0))
+    assert np.mean([a > b for a in toxic for b in other]) > 0.85
