@@ -12,6 +12,7 @@ of more than LONGEST_LINE characters is no printed row. Columns beyond the named
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import reduce
@@ -153,6 +154,69 @@ def _squeezed(signature: str) -> str:
     return "".join(signature.upper().split())
 
 
+#: Characters of a piece that several signatures share, and signatures of a mask: two bits of each.
+_SHARED, _MASKED = 4, 31
+
+
+class _Found:
+    """Which signatures a head has, each looked for once: as masks of two bits a signature, squeezed and literal.
+
+    Signatures are put together by a piece that they share, and looked for where that is there. One that stands literally in
+    a head stands in it without blanks too, so the head itself is searched only for those found without blanks, and short ones.
+    """
+
+    def __init__(self, signatures: list[str]):
+        left = list(dict.fromkeys((" ".join(s.upper().split()), _squeezed(s)) for s in signatures))
+        self.groups: list[tuple[str, list[tuple[str, str]]]] = []
+        while left:
+            pieces = Counter(p for _, q in left if len(q) >= LEAST_WITHOUT_SPACES for p in {q[i : i + _SHARED] for i in range(len(q) - _SHARED + 1)})
+            piece = min(pieces, key=lambda p: (-pieces[p], p), default="")
+            own = [x for x in left if not piece or len(x[1]) >= LEAST_WITHOUT_SPACES and piece in x[1]]
+            self.groups += [(piece, own[i : i + _MASKED]) for i in range(0, len(own), _MASKED)]
+            left = [x for x in left if x not in own]
+        self.at: dict[tuple[str, str], tuple[int, int]] = {}
+        self.packed: list[list[tuple[str, list[tuple[str, str]]]]] = [[]]
+        n = 0
+        for piece, own in self.groups:
+            if n + len(own) > _MASKED:
+                self.packed.append([])
+                n = 0
+            self.at |= {x: (len(self.packed) - 1, n + i) for i, x in enumerate(own)}
+            self.packed[-1].append((piece, own))
+            n += len(own)
+
+    def masks(self, head: Column, tight: Column) -> Column:
+        bits = lambda x, b: F.lit(b << 2 * self.at[x][1]).cast("long")
+        none = F.lit(0).cast("long")
+
+        def one(x: tuple[str, str]) -> Column:
+            here = F.contains(head, F.lit(x[0]))
+            if len(x[1]) < LEAST_WITHOUT_SPACES:
+                return F.when(here, bits(x, 2)).otherwise(none)
+            return F.when(F.contains(tight, F.lit(x[1])), F.when(here, bits(x, 3)).otherwise(bits(x, 1))).otherwise(none)
+
+        def group(piece: str, own: list[tuple[str, str]]) -> Column:
+            both = reduce(lambda a, b: a.bitwiseOR(b), [one(x) for x in own])
+            return F.when(F.contains(tight, F.lit(piece)), both).otherwise(none) if piece and len(own) > 1 else both
+
+        return F.struct(*[reduce(lambda a, b: a.bitwiseOR(b), [group(*g) for g in mask] or [none]).alias(f"m{i}") for i, mask in enumerate(self.packed)])
+
+    def _any_of(self, signatures: tuple[str, ...], bit: int) -> Column:
+        wanted: dict[int, int] = {}
+        for s in signatures:
+            x = (" ".join(s.upper().split()), _squeezed(s))
+            if bit == 2 or len(x[1]) >= LEAST_WITHOUT_SPACES:
+                mask, i = self.at[x]
+                wanted[mask] = wanted.get(mask, 0) | bit << 2 * i
+        return _any([F.col(f"_m.m{i}").bitwiseAND(F.lit(w).cast("long")) != 0 for i, w in sorted(wanted.items())])
+
+    def literal(self, signatures: tuple[str, ...]) -> Column:
+        return self._any_of(signatures, 2)
+
+    def squeezed(self, signatures: tuple[str, ...]) -> Column:
+        return self._any_of(signatures, 1)
+
+
 @dataclass(frozen=True)
 class Registry:
     """formats in order of priority within their sheet; sheets: the signatures of each sheet itself."""
@@ -170,13 +234,12 @@ class Registry:
         formats, literally and without blanks. The format, within the sheet: the first with a signature and of the
         head's aircraft, literally, then without blanks.
         """
-        heads = docs.withColumn("_h", F.upper(collapse(blank(F.col(text))))).withColumn("_q", F.upper(without_spaces(F.col("_h"))))
-
-        def literal(signatures: tuple[str, ...]) -> Column:
-            return _any([F.contains(F.col("_h"), F.lit(" ".join(s.upper().split()))) for s in signatures])
-
-        def squeezed(signatures: tuple[str, ...]) -> Column:
-            return _any([F.contains(F.col("_q"), F.lit(_squeezed(s))) for s in signatures if len(_squeezed(s)) >= LEAST_WITHOUT_SPACES])
+        h, found = F.col("_h"), _Found([s for own in (*self.sheets.values(), *(f.signatures for f in self.formats)) for s in own])
+        # a text without other characters than ASCII has no other white space
+        tight = F.when(F.octet_length(h) == F.char_length(h), F.replace(h, F.lit(" "), F.lit(""))).otherwise(F.upper(without_spaces(h)))
+        heads = docs.withColumn("_h", F.upper(collapse(blank(F.col(text))))).withColumn("_q", tight)
+        heads = heads.select("*", _once(found.masks(h, F.col("_q"))).alias("_m"))
+        literal, squeezed = found.literal, found.squeezed
 
         # an aircraft is looked for only where a format that wants one has a signature
         wanting = tuple(s for f in self.formats if f.aircraft for s in f.signatures)
@@ -197,11 +260,15 @@ class Registry:
 
     def _each(self, of: Callable[[Format], Column | None]) -> Column:
         """The column of the row's own format; null where it has none."""
-        found = [(f, c) for f in self.formats if (c := of(f)) is not None]
-        if not found:
-            return F.lit(None)
-        (f, c), *others = found
-        return reduce(lambda chain, x: chain.when(F.col("variant") == x[0].name, x[1]), others, F.when(F.col("variant") == f.name, c))
+        found = sorted({f.name: c for f in reversed(self.formats) if (c := of(f)) is not None}.items(), key=lambda x: x[0].encode())
+
+        def halved(some: list[tuple[str, Column]]) -> Column:
+            if len(some) == 1:
+                return F.when(F.col("variant") == some[0][0], some[0][1])
+            half = len(some) // 2
+            return F.when(F.col("variant") < some[half][0], halved(some[:half])).otherwise(halved(some[half:]))
+
+        return halved(found) if found else F.lit(None)
 
     def _cells(self, line: Column) -> Column:
         """Of a line, one blank before each token: struct(under, cells) in the columns' order of its format, or null."""
@@ -252,7 +319,7 @@ class Registry:
                     cell = F.when(cell == none, "").otherwise(cell) if name == c else cell
                 told = dict(f.file_values).get(c)
                 own.append(F.coalesce(*[F.when(F.lower("file").rlike(p), v) for p, v in told], F.lit("")) if told else cell)
-            return F.array(*own)
+            return F.array(*own) if f.upper or f.empty or f.file_values else F.slice(cells, 1, len(f.columns))
 
         return self._each(of)
 

@@ -90,11 +90,8 @@ def format_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def format_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record of every printed document, its columns joined in their order."""
-    columns = F.lit(None)
-    for f in CATALOGUE.formats:
-        columns = F.when(F.col("variant") == f.name, F.array(*[F.lit(c) for c in f.columns])).otherwise(columns)
     found = CATALOGUE.records(CATALOGUE.route(printed(spark, sf_dir)), "doc_id")
-    return found.select(F.col("doc").alias("doc_id"), F.col("line_no").cast("long").alias("line_no"), "variant", F.array_join(F.transform(columns, lambda c: F.element_at("record", c)), "|").alias("cells"))
+    return found.select(F.col("doc").alias("doc_id"), F.col("line_no").cast("long").alias("line_no"), "variant", F.array_join(F.map_values("record"), "|").alias("cells"))
 
 
 QUERIES = {f.__name__: f for f in (format_routes, format_records)}

@@ -126,3 +126,13 @@ def test_declarations_name_their_groups(f):
         assert len(names) == len(set(names)) and set(names) <= set(f.columns)
         assert re.compile(re.sub(r"\\p\{L\}", "A-Za-z", x.pattern)).groups == len(names)
     assert AMOS.stateful and opt("A").names == ("A",) and many("B", lazy=True).pattern.endswith("?)")
+
+
+def test_a_signature_is_looked_for_once(spark):
+    """In the whole of a plan that routes, each signature stands once for each form that it can have in a head."""
+    docs = spark.createDataFrame([(1, "x")], "doc long, text string")
+    plan = CATALOGUE.route(docs)._jdf.queryExecution().optimizedPlan().toString()
+    own = {" ".join(s.upper().split()) for f in FORMATS for s in f.signatures if len("".join(s.split())) >= 8 and " " in s.strip()}
+    assert len(own) > 60
+    for s in own:
+        assert plan.count(f", {s})") == plan.count(f", {''.join(s.split())})") == 1, s
