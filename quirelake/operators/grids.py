@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirelake.functions.text import blank
@@ -84,24 +84,32 @@ def aligned(words: Column, tokens: tuple[str, ...]) -> Column:
     return F.element_at(F.aggregate(words, F.array(*[start] * len(tokens)), step), -1)["back"]
 
 
-def column_anchors(lines: DataFrame, layout: AnchorLayout, doc: str, page: list[str]) -> DataFrame:
-    """(doc, anchors): for each right column its place, the median over pages of where the page's header has it, or null.
+def with_anchors(lines: DataFrame, layout: AnchorLayout, doc: str, page: list[str]) -> DataFrame:
+    """lines with anchors: for each right column its place, the median over its document's pages of where the page's header
+    has it, or null; null where the document has no header.
 
-    A page's header is the line with most of the tokens in order, two at least, the first of several.
+    A page's header is the line with most of the tokens in order, two at least, the first of several. doc is one of page.
+    Lines are told once, by windows: they are not joined with what is found in them.
     """
     tokens = tuple(t for _, t in layout.right)
-    found = lines.select(*page, "row", aligned(F.col("words"), tokens).alias("at"))
-    n = F.size(F.filter("at", lambda x: x.isNotNull()))
-    heads = found.filter(n >= min(2, len(tokens))).groupBy(*page).agg(F.max_by("at", F.struct(n.alias("n"), (-F.col("row")).alias("r"))).alias("at"))
-    medians = [F.floor(F.percentile(F.get("at", F.lit(i)), 0.5)).cast("double") for i in range(len(tokens))]
-    return heads.groupBy(doc).agg(F.array(*medians).alias("anchors"))
+    least = min(2, len(tokens))
+    # only words that are tokens can be aligned, and few lines have enough of them
+    named = F.filter("words", lambda w: F.upper(F.rtrim(w["text"], F.lit(":"))).isin([t.upper() for t in tokens]))
+    told = _told(lines, _at=F.when(F.size(named) >= least, _let(named, lambda words: aligned(words, tokens))))
+    n = F.size(F.filter("_at", lambda x: x.isNotNull()))
+    rank = F.when(n >= least, F.struct(n.alias("n"), (-F.col("row")).alias("r")))
+    told = told.withColumn("_rank", rank).withColumn("_best", F.max("_rank").over(Window.partitionBy(*page)))
+    own = Window.partitionBy(doc)
+    header = lambda i: F.when(F.col("_rank") == F.col("_best"), F.get("_at", F.lit(i)))
+    medians = [F.floor(F.percentile(header(i), 0.5).over(own)).cast("double") for i in range(len(tokens))]
+    some = F.max(F.col("_best").isNotNull()).over(own)
+    return told.withColumn("anchors", F.when(some, F.array(*medians))).drop("_at", "_rank", "_best")
 
 
 def anchored_rows(words: DataFrame, layout: AnchorLayout, doc: str, page: list[str]) -> DataFrame:
     """(page, row, left and right columns, loose) of the data rows of words; every value is text."""
     lines = page_lines(words, page)
-    anchors = column_anchors(lines, layout, doc, page)
-    held = lines.join(anchors, doc, "left")
+    held = with_anchors(lines, layout, doc, page)
     for i, form in enumerate(layout.row):
         held = held.filter(F.coalesce(F.get("words", F.lit(i))["text"].rlike(form), F.lit(False)))
     names = [c for c, _ in layout.right]

@@ -175,3 +175,15 @@ def test_records_of_cells(spark):
     rules = [(1, "v", x, 0.0, 60.0) for x in (0.0, 100.0)] + [(1, "v", 50.0, 0.0, 40.0)] + [(1, "h", y, 0.0, 100.0) for y in (0.0, 20.0, 40.0, 60.0)]
     cells = grid_cells(spark.createDataFrame(words, "page int, text string, left double, top double, width double, height double"), spark.createDataFrame(rules, "page int, kind string, at double, start double, stop double"), ["page"])
     assert {(r["row"], r["ATA"], r["PART"]) for r in grid_records(cells, ("ATA", "PART"), ["page"]).collect()} == {(1, "24", "P 1 under"), (2, "both", "")}
+
+
+def test_lines_are_not_joined_with_their_anchors(spark):
+    """Anchors are told by windows; two pages' headers give a document's, a document without one has none."""
+    words = [(1, 1, t, float(x), top, 40.0, 10.0) for t, x, top in (("Vendor:", 500, 0.0), ("PART", 700, 0.0), ("24", 20, 40.0), ("100", 80, 40.0), ("V1", 480, 40.0), ("P1", 730, 40.0))]
+    words += [(1, 2, t, float(x), top, 40.0, 10.0) for t, x, top in (("VENDOR", 520, 0.0), ("PART:", 720, 0.0), ("25", 20, 40.0), ("101", 80, 40.0), ("P2", 700, 40.0))]
+    words += [(2, 1, t, float(x), 0.0, 40.0, 10.0) for t, x in (("26", 20), ("102", 80), ("PART", 700))]
+    df = spark.createDataFrame(words, "doc long, page long, text string, left double, top double, width double, height double")
+    layout = AnchorLayout(left=("ATA", "ZONE", "REST"), right=(("V", "VENDOR"), ("P", "PART")), row=(r"^\d{2}$", r"^\d{3}$"))
+    out = anchored_rows(df, layout, "doc", ["doc", "page"])
+    assert sorted(map(tuple, out.select("doc", "page", "ATA", "ZONE", "REST", "V", "P").collect())) == [(1, 1, "24", "100", "", "V1", "P1"), (1, 2, "25", "101", "", "", "P2"), (2, 1, "26", "102", "PART", "", "")]
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
