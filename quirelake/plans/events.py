@@ -49,7 +49,7 @@ def format_from_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs.createOrReplaceTempView("quirelake_printed")
     found = spark.sql("""
       SELECT * FROM read_format(TABLE(
-        SELECT doc_id, CAST(pos + 1 AS BIGINT) AS line_no, line FROM quirelake_printed LATERAL VIEW posexplode(split(text, '\\n')) AS pos, line WHERE is_format(text, 'AMOS')
+        SELECT doc_id, CAST(1 AS BIGINT) AS line_no, text AS line FROM quirelake_printed WHERE is_format(text, 'AMOS')
       ) PARTITION BY (doc_id) ORDER BY (line_no), 'AMOS')""")
     return found.select("doc_id", "line_no", F.concat_ws("|", *[F.col(c) for c in found.columns[2:]]).alias("cells"))
 

@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirelake.operators import layout, membership
+from quirelake.operators.catalogue import CATALOGUE
 from quirelake.plans import documents, records
+from quirelake.sources import table_functions
 from quirelake.sources import tables as sources
 
 
@@ -61,3 +63,28 @@ def test_lines_and_words_are_not_joined_with_themselves(spark):
     assert [r["row"] for r in rows.orderBy("top").collect()] == [0, 1]
     for df in (found, rows):
         assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_text_is_squeezed_once_for_all_signatures(spark):
+    table_functions.register(spark)
+    signatures = sorted({s for f in CATALOGUE.formats for s in f.signatures})
+    texts = [None, "", " ", "am os", "xAMOSx", "swiss-\nas.com", *signatures, *[s.lower().replace(" ", "\t\x0b\n ") for s in signatures], *[" ".join(s) for s in signatures]]
+    spark.createDataFrame(list(enumerate(texts)), "i int, text string").createOrReplaceTempView("odd_texts")
+    told = spark.sql(f"SELECT {', '.join(f"is_format(text, '{f.name}')" for f in CATALOGUE.formats)} FROM odd_texts ORDER BY i").collect()
+    for i, f in enumerate(CATALOGUE.formats):
+        words = [s.upper().split() for s in f.signatures]
+        says = lambda t: any(" ".join(w) in " ".join(t.upper().split()) or len("".join(w)) >= 8 and "".join(w) in "".join(t.upper().split()) for w in words)  # noqa: B023, E731
+        assert [r[i] for r in told] == [t is not None and says(t) for t in texts], f.name
+        plan = spark.sql(f"SELECT is_format(text, '{f.name}') FROM odd_texts")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_replace") <= 2, f.name
+
+
+def test_a_document_is_one_row_of_its_table_function(spark):
+    table_functions.register(spark)
+    text = ["AMOS", "x" * 110, "21-22 AIR CONDITIONING see below", "P1 S1 FUEL PUMP NEW / 24310 3.Jan.2019 10 5", ",RAM AIR", "", "P2 S2 VALVE 11HB X/1 3.Jan.2019 1 2", ",RAM AIR", "P2 S2 VALVE 11HB X/1 3.Jan.2019 1 2", ",LAST"]
+    rows = [(1, i, t) for i, t in enumerate(text, 1)] + [(2, 1, "\n".join(text)), (3, 1, "\n".join(text[:4])), (3, 5, "\n".join(text[4:])), (4, 1, None)]
+    spark.createDataFrame(rows, "doc_id long, line_no long, line string").repartition(3).createOrReplaceTempView("whole_texts")
+    got = spark.sql("SELECT * FROM read_format(TABLE(whole_texts) PARTITION BY (doc_id) ORDER BY (line_no), 'AMOS')").collect()
+    of = lambda doc: sorted(tuple(r)[1:] for r in got if r["doc_id"] == doc)
+    assert [(r[0], r[1], r[4]) for r in of(1)] == [(4, "21-22", "FUEL PUMP,RAM AIR"), (7, "21-22", "VALVE,RAM AIR"), (9, "21-22", "VALVE,LAST")]
+    assert of(1) == of(2) == of(3) and len(got) == 9
